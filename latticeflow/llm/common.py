@@ -67,3 +67,12 @@ def remainder(key: Column, by: int) -> Column:
 def held_out(key: Column, by: int, rest: int) -> Column:
     """Whether a row is kept from learning; a null key is not held out, but matches no label either."""
     return F.coalesce(remainder(key, by) == F.lit(rest), F.lit(False))
+
+
+#: Rows up to which a side of a join is broadcast, at no more than a few hundred bytes a row.
+BROADCAST_ROWS = 400_000
+
+
+def join_checked(left: DataFrame, right: DataFrame, on: list[str], how: str, rows: int, most: int = BROADCAST_ROWS) -> DataFrame:
+    """Join with a right side of ``rows`` rows: broadcast up to ``most``, beyond that hashed after a shuffle, without a sort."""
+    return left.join(F.broadcast(right) if rows <= most else right.hint("shuffle_hash"), on, how)

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, quality_fm, repetition, toxicity
-from .common import held_out, remainder, table
+from . import language_id, packing, phrase_index, quality_fm, repetition, simhash, suffix_dedup, toxicity
+from .common import cut, held_out, remainder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -24,6 +24,31 @@ def repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.repetition(table(spark, sf_dir, "documents"))
 
 
+def benchmark_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrase_index.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prints = cut(simhash.fingerprints(table(spark, sf_dir, "documents")), "prints")
+    grouped = simhash.near_groups(prints)
+    return grouped.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))
+
+
+def tokenizer_path() -> str:
+    """The public byte-level vocabulary of this machine."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def packed_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), packing.Vocabulary.load(tokenizer_path()))
+
+
+def repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")).drop("kept_text")
+
+
 def quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = quality_fm.learn(docs, table(spark, sf_dir, "labels"), learnable=remainder(F.col("key"), 5) != 0)
@@ -41,10 +66,30 @@ def queries() -> dict[str, Query]:
     return {
         "op1_counterfactual_toxicity": toxicity_scores,
         "op2_suffix_array_repetition": repetition_rules,
+        "op3_positional_index_decontamination": benchmark_hits,
+        "op4_multi_index_simhash": near_duplicates,
         "op5_factorisation_machine_quality": quality_scores,
+        "op6_pattern_packing": packed_pieces,
+        "op8_radix_suffix_dedup": repeated_bytes,
         "op10_ppm_language_id": language_predictions,
     }
 
 
+#: Words of both sides; every window of an item against every window of a document, through the window's words.
+OP3_SQL = r"""
+with d as (select row_number() over () as uid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
+b as (select item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark),
+bw as (select distinct item_id, least(len(w), 10) as n, array_to_string(w[i : i + least(len(w), 10) - 1], ' ') as g from (select item_id, w, unnest(range(1, greatest(len(w) - 10, 0) + 2)) as i from b where len(w) > 0)),
+sizes as (select distinct n from bw),
+dw as (select uid, i, n, array_to_string(w[i : i + n - 1], ' ') as g from (select uid, w, n, unnest(range(1, len(w) - n + 2)) as i from d, sizes where len(w) >= n)),
+hits as (select dw.uid, dw.i, dw.n, bw.item_id from dw join bw on dw.n = bw.n and dw.g = bw.g),
+words as (select uid, count(distinct p) as n_hit from (select uid, unnest(range(i, i + n)) as p from hits) group by uid),
+items as (select uid, count(*) as n_items, string_agg(item, ',' order by item) as l from (select distinct uid, cast(item_id as varchar) as item from hits) group by uid)
+select d.doc_id, cast(len(d.w) as bigint) as n_words, cast(coalesce(words.n_hit, 0) as bigint) as n_hit, cast(coalesce(items.n_items, 0) as bigint) as n_items,
+  sha256(coalesce(items.l, '')) as items_sha256, words.n_hit is not null as contaminated
+from d left join words using (uid) left join items using (uid)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_positional_index_decontamination": OP3_SQL}
