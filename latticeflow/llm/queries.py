@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, packing, phrase_index, quality_fm, repetition, simhash, suffix_dedup, toxicity
+from . import language_id, packing, phrase_index, preference, quality_fm, repetition, simhash, site_tree, suffix_dedup, toxicity
 from .common import cut, held_out, remainder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -45,6 +45,17 @@ def packed_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), packing.Vocabulary.load(tokenizer_path()))
 
 
+def main_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return site_tree.extract(table(spark, sf_dir, "pages"))
+
+
+def preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = preference.swapped_replies(preference.conversations(table(spark, sf_dir, "conversations")))
+    out = preference.preference_pairs(pairs)
+    shown = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws("-", s["start"].cast("string"), s["end"].cast("string"))), ",")
+    return out.withColumn("chosen_spans", shown("chosen_spans")).withColumn("rejected_spans", shown("rejected_spans"))
+
+
 def repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")).drop("kept_text")
 
@@ -70,7 +81,9 @@ def queries() -> dict[str, Query]:
         "op4_multi_index_simhash": near_duplicates,
         "op5_factorisation_machine_quality": quality_scores,
         "op6_pattern_packing": packed_pieces,
+        "op7_site_style_tree": main_texts,
         "op8_radix_suffix_dedup": repeated_bytes,
+        "op9_preference_formatting": preferences,
         "op10_ppm_language_id": language_predictions,
     }
 
@@ -91,5 +104,20 @@ from d left join words using (uid) left join items using (uid)
 """
 
 
+#: The turns in order; the first differing place of chosen and rejected; renderings and character ranges by running sums.
+OP9_SQL = """
+with c as (select conv_id, list(struct_pack(role := coalesce(role, ''), t := coalesce(text, '')) order by turn, role, text) as w from conversations where conv_id is not null group by conv_id),
+l as (select conv_id, w[1 : list_max(list_filter(range(1, len(w) + 1), lambda i: w[i].role = 'assistant'))] as w from c where len(list_filter(w, lambda x: x.role = 'assistant')) > 0),
+p as (select a.conv_id as pair_id, a.w as a, list_concat(a.w[1 : len(a.w) - 1], [struct_pack(role := 'assistant', t := b.w[len(b.w)].t)]) as b from l a join l b on b.conv_id = a.conv_id + 1),
+k as (select *, coalesce(list_min(list_filter(range(1, greatest(len(a), len(b)) + 1), lambda i: a[i] is distinct from b[i])) - 1, len(a)) as n from p),
+e as (select pair_id, n, side, i - n as i, case side when 'a' then a[i] else b[i] end as x from (select *, unnest(range(1, greatest(len(a), len(b)) + 1)) as i from k), (values ('a'), ('b')) s(side) where i <= case side when 'a' then len(a) else len(b) end),
+r as (select pair_id, n, side, i, x.role as role, '<|turn|>' || x.role || chr(10) || x.t || '<|end|>' as s, sum(case when i > 0 then length('<|turn|>' || x.role || chr(10) || x.t || '<|end|>') else 0 end) over (partition by pair_id, side order by i) as z, length(x.t) + 7 as y from e),
+o as (select pair_id, side, any_value(n) as n, coalesce(string_agg(s, '' order by i) filter (i <= 0), '') as prompt, coalesce(string_agg(s, '' order by i) filter (i > 0), '') as done,
+  coalesce(string_agg(cast(z - y as bigint) || '-' || cast(z as bigint), ',' order by i) filter (i > 0 and role = 'assistant'), '') as spans from r group by pair_id, side)
+select x.pair_id, cast(x.n as integer) as prompt_turns, x.prompt, x.done as chosen, x.spans as chosen_spans, y.done as rejected, y.spans as rejected_spans
+from o x join o y on x.pair_id = y.pair_id and x.side = 'a' and y.side = 'b'
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_positional_index_decontamination": OP3_SQL}
+    return {"op3_positional_index_decontamination": OP3_SQL, "op9_preference_formatting": OP9_SQL}
