@@ -32,6 +32,8 @@ DEPTH, GRAM, DIGIT = 200, 32, 40
 WINDOWS = DEPTH - GRAM + 1
 #: Bytes worked on at once (under 2 ** PLACE); classes sorted in one block; classes from which a digit value is split; its parts.
 CHUNK, PLACE, BLOCK_ROWS, HOT, PART = 1 << 19, 20, 20_000, 256, 16
+#: Bytes of spans or classes up to which they are broadcast to the texts; beyond, the texts are shuffled to them.
+BROADCAST_BYTES = 48 << 20
 
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
@@ -174,10 +176,10 @@ def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["part", "digit", "uid", "start", "place", "bytes"]
     for batch in batches:
         out: list[tuple] = []
-        for uid, text, todo in zip(batch.column("__uid").to_pylist(), batch.column("__bytes").to_pylist(), batch.column("todo").to_pylist()):
-            for c in todo:
-                s, n, p, d = c["start"], c["n"], c["place"], c["digit"]
-                if not c["hot"]:
+        columns = [batch.column(c).to_pylist() for c in ("start", "n", "place", "digit", "hot")]
+        for uid, text, *todo in zip(batch.column("__uid").to_pylist(), batch.column("__bytes").to_pylist(), *columns):
+            for s, n, p, d, hot in zip(*todo):
+                if not hot:
                     out.append((d, d, uid, s, p, text[s : s + n + DEPTH - 1]))
                     continue
                 for offset in range(p // PART, (p - n + 1) // PART - 1, -1):  # windows whose digit stands at [offset * PART, + PART)
@@ -205,10 +207,22 @@ def _sort_block(block: pa.Table) -> pa.Table:
     return pa.table({"__uid": uid[first], "a": start[first], "b": (start[last] + DEPTH) if len(row) else start})
 
 
+def _merge_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        flat = [[x for ab in merged([(s["a"], s["b"]) for s in found]) for x in ab] for found in batch.column("spans").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("__uid"), pa.array(flat, pa.list_(pa.int32()))], ["__uid", "spans"])
+
+
+def weight(df: DataFrame, column: str, each: int) -> int:
+    """Bytes of a table of arrays, at ``each`` an element and 64 a row."""
+    return int(df.agg(F.coalesce(F.sum(F.size(column) * each + 64), F.lit(0))).first()[0])
+
+
 def repeated_spans(docs: DataFrame, text: str = "text", keep: list[Column] | None = None) -> DataFrame:
-    """Per row: ``keep``, ``bytes`` (the text in UTF-8) and ``spans``, an array of (a, b): bytes a to b are in repeated windows.
+    """Per row: ``keep``, ``bytes`` (the text in UTF-8) and ``spans``: a, b, a, b and so on, the maximal spans of bytes a to b that
+    repeated windows cover, in order; null if there are none.
 
-    Spans may overlap. A null text is empty; a text under ``DEPTH`` bytes has no window; repeated rows are copies of each other.
+    A null text is empty; a text under ``DEPTH`` bytes has no window; repeated rows are copies of each other.
     Other columns of ``docs`` are not read.
     """
     given = docs.select(*(keep or [F.col("doc_id")]), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("__bytes"))
@@ -229,15 +243,17 @@ def repeated_spans(docs: DataFrame, text: str = "text", keep: list[Column] | Non
     copied = copied.select(F.col("uid").alias("__uid"), F.col("start").alias("a"), (F.col("start") + F.col("n") + (DEPTH - 1)).alias("b"))
     hot = classes.groupBy("digit").agg((F.count(F.lit(1)) > HOT).alias("hot"))
     todo = classes.join(hot, "digit").select(F.col("one.uid").alias("__uid"), F.struct(F.col("one.start").alias("start"), F.col("one.n").alias("n"), F.col("one.place").alias("place"), "digit", "hot").alias("c"))
-    todo = cut(todo.groupBy("__uid").agg(F.collect_list("c").alias("todo")), "todo")
-    rows = join_checked(texts.select("__uid", "__bytes"), todo, ["__uid"], "inner", todo.count()).mapInArrow(_classes, "part long, digit long, uid long, start long, place long, bytes binary")
+    lists = todo.groupBy("__uid").agg(F.collect_list("c").alias("c"))
+    todo = cut(lists.select("__uid", *(F.transform("c", lambda x, f=f: x[f]).alias(f) for f in ("start", "n", "place", "digit", "hot"))), "todo")
+    rows = join_checked(texts.select("__uid", "__bytes"), todo, ["__uid"], "inner", weight(todo, "start", 20), BROADCAST_BYTES).mapInArrow(_classes, "part long, digit long, uid long, start long, place long, bytes binary")
     rows = cut(rows, "rows")
     blocks = max(1, rows.count() // BLOCK_ROWS)
     sorted_ = rows.withColumn("block", F.pmod(F.xxhash64("part"), F.lit(blocks))).groupBy("block").applyInArrow(lambda _, t: _sort_block(t), "__uid long, a long, b long")
 
     spans = same.unionByName(copied).unionByName(sorted_).groupBy("__uid").agg(F.collect_list(F.struct(F.col("a").cast("int").alias("a"), F.col("b").cast("int").alias("b"))).alias("spans"))
-    spans = cut(spans, "spans")
-    return join_checked(texts.select("__uid", *kept, "__bytes"), spans, ["__uid"], "left", spans.count()).select(*kept, F.col("__bytes").alias("bytes"), "spans")
+    spans = cut(spans.mapInArrow(_merge_spans, "__uid long, spans array<int>"), "spans")
+    joined = join_checked(texts.select("__uid", *kept, "__bytes"), spans, ["__uid"], "left", weight(spans, "spans", 4), BROADCAST_BYTES)
+    return joined.select(*kept, F.col("__bytes").alias("bytes"), "spans")
 
 
 def remove_repeats(docs: DataFrame, text: str = "text", keep: list[Column] | None = None) -> DataFrame:
@@ -253,9 +269,10 @@ def remove_repeats(docs: DataFrame, text: str = "text", keep: list[Column] | Non
         for batch in batches:
             out = []
             for raw, found in zip(batch.column("bytes"), batch.column("spans").to_pylist()):
-                t, cuts = raw.as_py(), merged([(s["a"], s["b"]) for s in found or []])
-                left = b"".join(t[a:b] for a, b in zip([0, *(b for _, b in cuts)], [*(a for a, _ in cuts), len(t)]))
-                out.append((left.decode("utf-8", "ignore"), len(t), len(t) - len(left), len(cuts), hashlib.sha256(left).hexdigest()))
+                t, edges = raw.as_py(), [0, *(found or [])]
+                edges.append(len(t))
+                left = b"".join(t[a:b] for a, b in zip(edges[::2], edges[1::2]))
+                out.append((left.decode("utf-8", "ignore"), len(t), len(t) - len(left), len(edges) // 2 - 1, hashlib.sha256(left).hexdigest()))
             columns = list(zip(*out)) or [()] * 5
             kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string())
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], *(pa.array(c, k) for c, k in zip(columns, kinds))], [*kept, *names])
