@@ -244,7 +244,7 @@ def repeated_spans(docs: DataFrame, text: str = "text", keep: list[Column] | Non
     hot = classes.groupBy("digit").agg((F.count(F.lit(1)) > HOT).alias("hot"))
     todo = classes.join(hot, "digit").select(F.col("one.uid").alias("__uid"), F.struct(F.col("one.start").alias("start"), F.col("one.n").alias("n"), F.col("one.place").alias("place"), "digit", "hot").alias("c"))
     lists = todo.groupBy("__uid").agg(F.collect_list("c").alias("c"))
-    todo = cut(lists.select("__uid", *(F.transform("c", lambda x, f=f: x[f]).alias(f) for f in ("start", "n", "place", "digit", "hot"))), "todo")
+    todo = cut(lists.select("__uid", *(F.col(f"c.{f}").alias(f) for f in ("start", "n", "place", "digit", "hot"))), "todo")
     rows = join_checked(texts.select("__uid", "__bytes"), todo, ["__uid"], "inner", weight(todo, "start", 20), BROADCAST_BYTES).mapInArrow(_classes, "part long, digit long, uid long, start long, place long, bytes binary")
     rows = cut(rows, "rows")
     blocks = max(1, rows.count() // BLOCK_ROWS)
