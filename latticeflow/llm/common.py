@@ -1,57 +1,13 @@
-"""What the operators of this subpackage share: the shared folder, lineage cuts, column checks and Arrow mapping."""
+"""What the operators of this subpackage share beside the library's lineage cuts and checked joins."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_written: list[tuple[SparkSession, str]] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir`` as the cluster sets it.
-
-    Where the setting is absent, as in tests, a temporary folder serves if, and only if, everything runs in one process.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        return base.rstrip("/")
-    if not spark.sparkContext.master.split("[")[0] == "local":
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    base = tempfile.mkdtemp(prefix="latticeflow-")
-    spark.conf.set("spark.checkpoint.dir", base)
-    return base
-
-
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back.
-
-    The plan above starts from files that survive the loss of any executor, and no later step computes ``df`` again.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/cut-{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+from ..storage import cut, join_checked
 
-
-def drop_cuts(since: int = 0) -> None:
-    """Delete the files of the cuts made after the first ``since`` ones; only once nothing reads them any more."""
-    while len(_written) > since:
-        spark, path = _written.pop()
-        try:
-            jvm = spark.sparkContext._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-        except Exception:  # the session is gone, and with it the folder's owner
-            pass
-
-
-atexit.register(drop_cuts)
+__all__ = ["cut", "held_out", "join_checked", "remainder", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,12 +23,3 @@ def remainder(key: Column, by: int) -> Column:
 def held_out(key: Column, by: int, rest: int) -> Column:
     """Whether a row is kept from learning; a null key is not held out, but matches no label either."""
     return F.coalesce(remainder(key, by) == F.lit(rest), F.lit(False))
-
-
-#: Rows up to which a side of a join is broadcast, at no more than a few hundred bytes a row.
-BROADCAST_ROWS = 400_000
-
-
-def join_checked(left: DataFrame, right: DataFrame, on: list[str], how: str, rows: int, most: int = BROADCAST_ROWS) -> DataFrame:
-    """Join with a right side of ``rows`` rows: broadcast up to ``most``, beyond that hashed after a shuffle, without a sort."""
-    return left.join(F.broadcast(right) if rows <= most else right.hint("shuffle_hash"), on, how)
