@@ -17,10 +17,10 @@ def full_grid(df: DataFrame, axes: dict[str, list[str]]) -> DataFrame:
     return reduce(lambda d, c: d.select("*", c), columns, spark.range(1)).drop("id")
 
 
-def grid_density(generated: DataFrame, reference: DataFrame, axes: dict[str, list[str]], epsilon: float = 1e-6) -> DataFrame:
+def grid_density(generated: DataFrame, reference: DataFrame, axes: dict[str, list[str]], epsilon_ref: float = 1e-6, epsilon_gen: float = 1e-5) -> DataFrame:
     """Per cell of the grid: counts and shares of both sets, the ratio of shares, and weights from it.
 
-    Cells that the reference lacks get ``epsilon``, then its shares are normalised again; ``weight`` is ``log1p(ratio)`` over its
+    Cells that the reference lacks get ``epsilon_ref``, then its shares are normalised again; ``weight`` is ``log1p(ratio)`` over its
     maximum. The grid's cells without rows are kept.
     """
     keys = list(axes)
@@ -29,9 +29,9 @@ def grid_density(generated: DataFrame, reference: DataFrame, axes: dict[str, lis
     cells = cells.withColumns({c: F.coalesce(F.col(c), F.lit(0)) for c in ("count_gen", "count_ref")})
     everything = Window.partitionBy()
     share = lambda c: F.coalesce(F.col(c) / F.nullif(F.sum(c).over(everything), F.lit(0)), F.lit(0.0))
-    cells = cells.withColumn("p_gen", share("count_gen")).withColumn("raw", F.when(F.col("count_ref") > 0, share("count_ref")).otherwise(F.lit(epsilon)))
+    cells = cells.withColumn("p_gen", share("count_gen")).withColumn("raw", F.when(F.col("count_ref") > 0, share("count_ref")).otherwise(F.lit(epsilon_ref)))
     cells = cells.withColumn("p_ref", F.col("raw") / F.sum("raw").over(everything)).drop("raw")
-    cells = cells.withColumn("density_ratio", F.col("p_ref") / (F.col("p_gen") + F.lit(epsilon))).withColumn("log_ratio", F.log1p("density_ratio"))
+    cells = cells.withColumn("density_ratio", F.col("p_ref") / (F.col("p_gen") + F.lit(epsilon_gen))).withColumn("log_ratio", F.log1p("density_ratio"))
     return cells.withColumn("weight", F.col("log_ratio") / F.max("log_ratio").over(everything))
 
 

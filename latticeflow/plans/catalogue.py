@@ -284,7 +284,7 @@ g as (select * from (values {", ".join(f"('{x}')" for x in _AXES["price_bin"])})
 d as (select g.*, coalesce(x.n, 0) as count_gen, coalesce(y.n, 0) as count_ref from g left join (select price_bin, size_bin, extra_bin, count(*) as n from p group by all) x using (price_bin, size_bin, extra_bin) left join (select price_bin, size_bin, extra_bin, count(*) as n from r group by all) y using (price_bin, size_bin, extra_bin)),
 e as (select *, count_gen / cast(sum(count_gen) over () as double) as p_gen, case when count_ref > 0 then count_ref / cast(sum(count_ref) over () as double) else 0.000001 end as raw from d),
 h as (select *, raw / sum(raw) over () as p_ref from e),
-k as (select *, p_ref / (p_gen + 0.000001) as density_ratio from h)"""
+k as (select *, p_ref / (p_gen + 0.00001) as density_ratio from h)"""
 
 
 @query(f"""with {_CELLS_SQL}
