@@ -34,7 +34,7 @@ def candidates(atoms: DataFrame, tasks: DataFrame, cutoff: float = 6.0) -> tuple
     seeds = tasks.select("task_id", F.explode("source_contact_residue_ids").alias("residue_id"))
     picked = structure.anchors(frame, seeds)
     wins = structure.windows(frame, picked)
-    order = [F.desc("avg_contact_count"), F.col("left"), F.col("right")]
+    order = [F.desc("avg_contact_count"), F.col("rank"), F.col("peptide_length"), F.col("left")]
     kept = ordered.band_quota_backfill(wins, ["task_id"], "length_band", {"8_10": 6, "11_14": 6, "15_20": 4}, order, 16, "window_rank")
     return kept.withColumn("candidate_id", S.uuid5(F.concat_ws("::", "task_id", "left", "right"))), frame
 
