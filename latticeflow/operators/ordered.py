@@ -68,7 +68,7 @@ def refill(donors: DataFrame, deficits: DataFrame, bin_: str, group: str, used:
     """
     fields = donors.schema
     ready = donors.join(deficits.select(bin_, "deficit", "bin_order"), bin_).join(used.select(group, F.col("n").alias("__used")), group, "left")
-    rows = ready.withColumn("__used", F.coalesce("__used", F.lit(0))).withColumn("__n", F.row_number().over(over([], [F.col("bin_order"), *order])))
+    rows = ready.withColumn("__used", F.coalesce("__used", F.lit(0))).withColumn("__n", F.row_number().over(over([], [F.col("bin_order"), *order]))).withColumn("__all", F.lit(0))
 
     def visit(pdf):
         pdf = pdf.sort_values("__n")
@@ -82,7 +82,7 @@ def refill(donors: DataFrame, deficits: DataFrame, bin_: str, group: str, used:
                 keep.append(i)
         return pdf.loc[keep, fields.names]
 
-    return rows.groupBy(F.lit(0)).applyInPandas(visit, fields)
+    return rows.groupBy("__all").applyInPandas(visit, fields)
 
 
 # Frames, prefix sums and runs

@@ -175,7 +175,7 @@ def cap_atoms(atoms: DataFrame, wins: DataFrame, key: str = "candidate_id") -> D
 
 def ragged(atoms: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """Per key: coordinates (N x 3), elements, names, residue tags and the cap mask, as arrays in one order."""
-    listed = F.array_sort(F.collect_list(F.struct(*order, *XYZ, "element", "atom_name", "tag", "is_cap")))
+    listed = F.array_sort(F.collect_list(F.struct(*(F.col(c).alias(f"o{i}") for i, c in enumerate(order)), *XYZ, "element", "atom_name", "tag", "is_cap")))
     got = atoms.groupBy(*keys).agg(listed.alias("a"))
     return got.select(*keys, F.transform("a", lambda x: F.array(x["x"].cast("float"), x["y"].cast("float"), x["z"].cast("float"))).alias("coords"), *(F.col(f"a.{c}").alias(c) for c in ("element", "atom_name", "tag", "is_cap")))
 
