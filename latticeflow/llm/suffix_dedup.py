@@ -30,8 +30,12 @@ from .common import cut, join_checked
 #: Bytes through which suffixes are compared; bytes of the strings whose hashes are the first digit; bytes of later digits.
 DEPTH, GRAM, DIGIT = 200, 32, 40
 WINDOWS = DEPTH - GRAM + 1
-#: Bytes worked on at once (under 2 ** PLACE); classes sorted in one block; classes from which a digit value is split; its parts.
-CHUNK, PLACE, BLOCK_ROWS, HOT, PART = 1 << 19, 20, 20_000, 256, 16
+#: Bytes worked on at once (under 2 ** PLACE); classes sorted in one block; classes from which a digit value is split; windows of its parts.
+CHUNK, PLACE, BLOCK_ROWS, HOT, PART = 1 << 19, 20, 10_000, 256, 16
+#: Classes of a part from which its windows are sorted each by itself.
+BIG = 4000
+#: Rows that a worker turns into Python objects at once.
+SLICE_ROWS = 500
 #: Bytes of spans or classes up to which they are broadcast to the texts; beyond, the texts are shuffled to them.
 BROADCAST_BYTES = 48 << 20
 
@@ -162,9 +166,16 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of SLICE_ROWS rows: what a worker holds at once does not depend on the session's batch size."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE_ROWS):
+            yield batch.slice(at, SLICE_ROWS)
+
+
 def _first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kinds = (pa.int32(), pa.int16(), pa.int64(), pa.int16(), pa.int64())
-    for batch in batches:
+    for batch in slices(batches):
         i = batch.schema.names.index("__bytes")
         got = text_runs([t.as_py() for t in batch.column(i)])
         arrays = [pa.array([g[j] for g in got], pa.list_(k)) for j, k in enumerate(kinds)]
@@ -172,23 +183,27 @@ def _first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (part, digit, uid, start, place, bytes) of the classes to be sorted; hot digit values come in parts."""
-    names = ["part", "digit", "uid", "start", "place", "bytes"]
-    for batch in batches:
+    """Rows (part, hot, uid, start, place, hash, bytes) of the classes to be sorted; hot digit values come in parts."""
+    names = ["part", "hot", "uid", "start", "place", "hash", "bytes"]
+
+    def row(part: int, hot: bool, uid: int, start: int, place: int, raw: bytes) -> tuple:
+        return part, hot, uid, start, place, xxh3_64_intdigest(raw) - (1 << 63), raw
+
+    for batch in slices(batches):
         out: list[tuple] = []
         columns = [batch.column(c).to_pylist() for c in ("start", "n", "place", "digit", "hot")]
         for uid, text, *todo in zip(batch.column("__uid").to_pylist(), batch.column("__bytes").to_pylist(), *columns):
             for s, n, p, d, hot in zip(*todo):
                 if not hot:
-                    out.append((d, d, uid, s, p, text[s : s + n + DEPTH - 1]))
+                    out.append(row(d, False, uid, s, p, text[s : s + n + DEPTH - 1]))
                     continue
                 for offset in range(p // PART, (p - n + 1) // PART - 1, -1):  # windows whose digit stands at [offset * PART, + PART)
                     a, b = max(0, p - offset * PART - PART + 1), min(n - 1, p - offset * PART)
                     core = s + p - offset * PART
                     shared = text[core : core + DEPTH - PART + 1]
                     part = xxh3_64_intdigest(shared, (d + offset) & (2**64 - 1)) - (1 << 63)
-                    out.append((part, d, uid, s + a, p - a, text[s + a : s + b + DEPTH]))
-                    if len(out) >= 20_000:
+                    out.append(row(part, True, uid, s + a, p - a, text[s + a : s + b + DEPTH]))
+                    if len(out) >= 5_000:
                         yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*out)], names)
                         out = []
         if out:
@@ -200,13 +215,29 @@ def _sort_block(block: pa.Table) -> pa.Table:
     _, group = np.unique(part, return_inverse=True)
     rows = block.column("bytes").to_pylist()
     row, inner = repeated_windows(rows, group, place)
-    uid, start = block.column("uid").to_numpy()[row], block.column("start").to_numpy().astype(np.int64)[row] + inner
+    first = block.column("start").to_numpy().astype(np.int64)
+    own = first[row] >= 0
+    row, inner = row[own], inner[own]
+    uid, start = block.column("uid").to_numpy()[row], first[row] + inner
     new = np.concatenate([[True], (row[1:] != row[:-1]) | (inner[1:] != inner[:-1] + 1)]) if len(row) else np.zeros(0, bool)
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(row)) - 1
     return pa.table({"__uid": uid[first], "a": start[first], "b": (start[last] + DEPTH) if len(row) else start})
 
 
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each window of the rows by itself: its place and the hashes of its halves; start -1 for a class of copies."""
+    names, half = ["part", "offset", "first", "second", "uid", "start"], DEPTH // 2
+    for batch in slices(batches):
+        out: list[tuple] = []
+        for part, uid, start, place, raw in zip(*(batch.column(c).to_pylist() for c in ("part", "uid", "start", "place", "bytes"))):
+            for i in range(len(raw) - DEPTH + 1):
+                first, second = (xxh3_64_intdigest(raw[a : a + half]) - (1 << 63) for a in (i, i + half))
+                out.append((part, place - i, first, second, uid, start + i if start >= 0 else -1))
+        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(list(zip(*out)) or [()] * 6, kinds)], names)
+
+
 def _merge_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         flat = [[x for ab in merged([(s["a"], s["b"]) for s in found]) for x in ab] for found in batch.column("spans").to_pylist()]
@@ -245,12 +276,26 @@ def repeated_spans(docs: DataFrame, text: str = "text", keep: list[Column] | Non
     todo = classes.join(hot, "digit").select(F.col("one.uid").alias("__uid"), F.struct(F.col("one.start").alias("start"), F.col("one.n").alias("n"), F.col("one.place").alias("place"), "digit", "hot").alias("c"))
     lists = todo.groupBy("__uid").agg(F.collect_list("c").alias("c"))
     todo = cut(lists.select("__uid", *(F.col(f"c.{f}").alias(f) for f in ("start", "n", "place", "digit", "hot"))), "todo")
-    rows = join_checked(texts.select("__uid", "__bytes"), todo, ["__uid"], "inner", weight(todo, "start", 20), BROADCAST_BYTES).mapInArrow(_classes, "part long, digit long, uid long, start long, place long, bytes binary")
+    rows = join_checked(texts.select("__uid", "__bytes"), todo, ["__uid"], "inner", weight(todo, "start", 20), BROADCAST_BYTES).mapInArrow(_classes, "part long, hot boolean, uid long, start long, place long, hash long, bytes binary")
     rows = cut(rows, "rows")
-    blocks = max(1, rows.count() // BLOCK_ROWS)
-    sorted_ = rows.withColumn("block", F.pmod(F.xxhash64("part"), F.lit(blocks))).groupBy("block").applyInArrow(lambda _, t: _sort_block(t), "__uid long, a long, b long")
 
-    spans = same.unionByName(copied).unionByName(sorted_).groupBy("__uid").agg(F.collect_list(F.struct(F.col("a").cast("int").alias("a"), F.col("b").cast("int").alias("b"))).alias("spans"))
+    # Parts of hot digit values: equal ones are one class again, and a part that still has many classes is sorted window by window.
+    whole = (F.col("start") + F.length("bytes")).alias("b")
+    parts = cut(rows.filter("hot").groupBy("part", "place", "hash").agg(F.count(F.lit(1)).alias("copies"), F.min("uid").alias("uid"), F.first("bytes").alias("bytes")), "parts")
+    same_parts = rows.filter("hot").join(parts.filter("copies > 1").select("part", "place", "hash"), ["part", "place", "hash"], "left_semi").select(F.col("uid").alias("__uid"), F.col("start").alias("a"), whole)
+    single = rows.filter("hot").select("part", "place", "hash", "uid", "start").join(parts.filter("copies = 1").select("part", "place", "hash"), ["part", "place", "hash"], "left_semi")
+    sizes = parts.groupBy("part").agg((F.count(F.lit(1)) > BIG).alias("big"))
+    sized = cut(parts.join(sizes, "part").join(single.select("part", "place", "hash", "start"), ["part", "place", "hash"], "left"), "sized")
+    # A class of copies takes part as a partner only: its windows are known to be repeated.
+    few = sized.filter("not big").select("part", "uid", F.coalesce("start", F.lit(-1)).alias("start"), "place", "bytes").unionByName(rows.filter("not hot").select("part", "uid", "start", "place", "bytes"))
+    blocks = max(1, few.count() // BLOCK_ROWS)
+    sorted_ = few.withColumn("block", F.pmod(F.xxhash64("part"), F.lit(blocks))).groupBy("block").applyInArrow(lambda _, t: _sort_block(t), "__uid long, a long, b long")
+    windows = cut(sized.filter("big").select("part", "uid", F.coalesce("start", F.lit(-1)).alias("start"), "place", "bytes").mapInArrow(_windows, "part long, offset int, first long, second long, uid long, start long"), "windows")
+    key = ["part", "offset", "first", "second"]
+    met_windows = windows.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(*key)
+    by_window = windows.filter("start >= 0").join(met_windows, key, "left_semi").select(F.col("uid").alias("__uid"), F.col("start").alias("a"), (F.col("start") + DEPTH).alias("b"))
+
+    spans = same.unionByName(copied).unionByName(same_parts).unionByName(sorted_).unionByName(by_window).groupBy("__uid").agg(F.collect_list(F.struct(F.col("a").cast("int").alias("a"), F.col("b").cast("int").alias("b"))).alias("spans"))
     spans = cut(spans.mapInArrow(_merge_spans, "__uid long, spans array<int>"), "spans")
     joined = join_checked(texts.select("__uid", *kept, "__bytes"), spans, ["__uid"], "left", weight(spans, "spans", 4), BROADCAST_BYTES)
     return joined.select(*kept, F.col("__bytes").alias("bytes"), "spans")
@@ -266,7 +311,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", keep: list[Column] | Non
     names = ["kept_text", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             out = []
             for raw, found in zip(batch.column("bytes"), batch.column("spans").to_pylist()):
                 t, edges = raw.as_py(), [0, *(found or [])]

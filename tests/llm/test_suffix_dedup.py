@@ -58,6 +58,15 @@ def test_hot_digits_and_small_chunks(spark, monkeypatch):
     assert run(spark, texts) == brute(texts)
 
 
+def test_big_parts_by_window(spark, monkeypatch):
+    monkeypatch.setattr(S, "HOT", 2)
+    monkeypatch.setattr(S, "BIG", 1)
+    rng = random.Random(9)
+    passage = prose(rng, 70)
+    texts = fixture() + [prose(rng, rng.randint(3, 60)) + " " + passage + " " + prose(rng, 40) for _ in range(60)]
+    assert run(spark, texts) == brute(texts)
+
+
 def test_null_keys_repeated_rows_and_clashing_names(spark):
     text = prose(random.Random(1), 100)
     df = spark.createDataFrame([(None, text, 1), (None, text, 2), (3, None, 3)], "doc_id long, text string, n_removed int")
