@@ -152,7 +152,7 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t(spark, sf_dir, "events").withColumn("c", F.pmod(F.floor("value").cast("long"), F.lit(4)))
 
 
-_BY_TIME = [F.col("ts"), F.col("event_id")]
+_BY_TIME = ["ts", "event_id"]
 
 
 @query(f"""
@@ -209,7 +209,10 @@ def longest_run(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Quotas, ranks, caps
 
 
-_LINE = [F.desc("l_extendedprice"), F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_suppkey"), F.col("l_quantity")]
+def _line() -> list[Column]:
+    return [F.desc("l_extendedprice"), F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_suppkey"), F.col("l_quantity")]
+
+
 _LINE_SQL = "l_extendedprice desc, l_orderkey, l_linenumber, l_suppkey, l_quantity"
 
 
@@ -220,7 +223,7 @@ k as (select * from f qualify row_number() over (partition by l_partkey order by
 select l_partkey, l_orderkey, l_linenumber, band, cast(row_number() over (partition by l_partkey order by {_LINE_SQL}) as integer) as rank from k""")
 def band_quota_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = t(spark, sf_dir, "lineitem").withColumn("band", S.short_length_band(F.col("l_quantity")))
-    out = ordered.band_quota_backfill(li, ["l_partkey"], "band", {"8_10": 6, "11_14": 6, "15_20": 4}, _LINE, 10)
+    out = ordered.band_quota_backfill(li, ["l_partkey"], "band", {"8_10": 6, "11_14": 6, "15_20": 4}, _line(), 10)
     return out.select("l_partkey", "l_orderkey", "l_linenumber", "band", "rank")
 
 
@@ -337,7 +340,7 @@ select l_partkey, l_orderkey, l_linenumber from l where l_partkey % 10 = 0 or n
 def thin_to_quota(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = t(spark, sf_dir, "lineitem")
     quotas = t(spark, sf_dir, "part").filter("p_partkey % 10 <> 0").select(F.col("p_partkey").alias("l_partkey"), (F.col("p_partkey") % 7 + 3).alias("quota"))
-    return ordered.thin_to_quota(li, quotas, ["l_partkey"], F.col("l_quantity") >= 45, _LINE).select("l_partkey", "l_orderkey", "l_linenumber")
+    return ordered.thin_to_quota(li, quotas, ["l_partkey"], F.col("l_quantity") >= 45, _line()).select("l_partkey", "l_orderkey", "l_linenumber")
 
 
 @query("""
