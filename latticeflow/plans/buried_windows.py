@@ -1,5 +1,7 @@
 """The buried-area pipeline: windows around near anchors, surface scores, clone removal and sampling, matching to a reference
 distribution, clusters, caps, group-safe split, realignment after the cap, and key-value tracks.
+
+Each stage's result is written to the shared folder, so the next one plans from files.
 """
 
 from __future__ import annotations
@@ -9,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import clusters, density, greedy, joins, ordered, quality, sampling, structure, surface
+from ..storage import cut
 
 INF = float("inf")
 #: Edges of the three axes of the reference grid.
@@ -36,7 +39,7 @@ def windows(frame: DataFrame, contact_pairs: DataFrame, anchor_cutoff: float = 5
     order = [F.desc("near_ratio"), F.desc("near_residues"), F.abs("offset"), -F.least("length", F.lit(14)), F.col("left"), F.col("right")]
     kept = ordered.top_k(good, ["task_id", "pep"], order, most_windows, "window_index")
     kept = kept.join(nearest, ["task_id", "pep"], "left").withColumnRenamed("length", "peptide_length")
-    return kept.withColumn("candidate_id", S.uuid5(F.concat_ws("::", "task_id", "pep", "left", "right")))
+    return cut(kept.withColumn("candidate_id", S.uuid5(F.concat_ws("::", "task_id", "pep", "left", "right"))), "windows")
 
 
 def scored(wins: DataFrame, frame: DataFrame, atoms: DataFrame, tasks: DataFrame, least_burial: float = 0.05, points: int = surface.POINTS) -> DataFrame:
@@ -47,12 +50,12 @@ def scored(wins: DataFrame, frame: DataFrame, atoms: DataFrame, tasks: DataFrame
         F.size(F.array_distinct(F.flatten(F.collect_list("touched")))).alias("pocket_size"),
     )
     out = structure.backbone_risk(frame, wins).join(stats, "candidate_id").withColumn("contact_coverage", F.col("n_contact_residues") / F.col("peptide_length"))
-    out = out.withColumn("prescreen_skipped", ~quality.burial_prescreen())
+    out = cut(out.withColumn("prescreen_skipped", ~quality.burial_prescreen()), "prescreened")
     areas = surface.window_burial(atoms, tasks, out.filter("not prescreen_skipped"), points=points)
     out = out.join(areas, "candidate_id", "left").na.fill(0.0, ["area_free", "area_bound", "area_buried", "burial"])
     out = out.withColumn("score", S.window_score(F.col("burial"), F.col("contact_coverage"), F.col("covalent_bias_risk")))
     reason = quality.first_reason([("few_contact_residues", F.col("n_contact_residues") < 2), ("low_coverage", F.col("contact_coverage") < 0.25), ("small_pocket", F.col("pocket_size") < 2), ("low_burial", F.col("burial") < least_burial)], "")
-    return out.withColumn("drop_reason", F.nullif(reason, F.lit("")))
+    return cut(out.withColumn("drop_reason", F.nullif(reason, F.lit(""))), "scored")
 
 
 def without_clones(rows: DataFrame) -> DataFrame:
@@ -60,7 +63,7 @@ def without_clones(rows: DataFrame) -> DataFrame:
     rank = F.struct((-F.col("burial")).alias("a"), (-F.col("contact_coverage")).alias("b"), (-F.col("n_contact_residues")).alias("c"), F.col("covalent_bias_risk").alias("d"))
     pairs = joins.interval_conflicts(rows, ["task_id"], "candidate_id", "left", "right", ("pep", "receptor_anchor"))
     chosen = greedy.independent_set(rows.select(F.col("candidate_id").alias("id"), rank.alias("priority")), pairs.select("a", "b"))
-    return rows.join(chosen.filter("kept").select(F.col("id").alias("candidate_id")), "candidate_id", "left_semi")
+    return cut(rows.join(chosen.filter("kept").select(F.col("id").alias("candidate_id")), "candidate_id", "left_semi"), "distinct")
 
 
 def selected(rows: DataFrame, k: int = 5, threshold: float = 0.5, seed: str = "20260406", draw: bool = True) -> DataFrame:
@@ -75,7 +78,7 @@ def selected(rows: DataFrame, k: int = 5, threshold: float = 0.5, seed: str = "2
     best = [F.desc("contact_coverage"), F.desc("n_contact_residues"), F.desc("burial"), F.col("covalent_bias_risk"), F.col("candidate_id")]
     first = rows.withColumn("__by", by).withColumn("__n", F.row_number().over(ordered.over(["task_id", "eligible"], [F.desc("__by"), F.col("candidate_id")])))
     first = first.withColumn("selection_mode", F.when(F.col("eligible") & (F.col("__n") <= k), "sampling" if draw else "topk").otherwise("fallback")).drop("__by", "__n", "eligible")
-    return ordered.top_k(first, ["task_id"], [(F.col("selection_mode") == "fallback").cast("int"), *best], k, "rank_in_task")
+    return cut(ordered.top_k(first, ["task_id"], [(F.col("selection_mode") == "fallback").cast("int"), *best], k, "rank_in_task"), "selected")
 
 
 def binned(rows: DataFrame) -> DataFrame:
@@ -86,12 +89,13 @@ def binned(rows: DataFrame) -> DataFrame:
 
 def matched(generated: DataFrame, reference: DataFrame, ratio: float = 0.40, alpha: float = 1.0) -> tuple[DataFrame, DataFrame]:
     """Rows kept to follow the reference's distribution over the grid, and the grid: a floor a task, quotas a cell, then a fill."""
-    gen, ref = binned(generated), binned(reference)
-    cells = density.grid_density(gen, ref, AXES)
+    gen, ref = cut(binned(generated), "generated"), binned(reference)
+    cells = cut(density.grid_density(gen, ref, AXES), "cells")
     target = max(1, round(gen.count() * ratio * alpha))
-    quotas = density.apportioned(cells, "p_ref", F.lit(target), list(AXES))
+    quotas = cut(density.apportioned(cells, "p_ref", F.lit(target), list(AXES)), "quotas")
     weighted = gen.join(F.broadcast(cells.select(*AXES, "weight")), list(AXES), "left").withColumn("weight", F.coalesce("weight", F.lit(0.0)))
-    return density.quota_keep(weighted, quotas, list(AXES), ["task_id"], [F.desc("weight"), F.desc("score"), F.col("candidate_id")], target), quotas
+    weighted = cut(weighted, "weighted")
+    return cut(density.quota_keep(weighted, quotas, list(AXES), ["task_id"], [F.desc("weight"), F.desc("score"), F.col("candidate_id")], target), "matched"), quotas
 
 
 def capped_and_split(rows: DataFrame, families: list[str], cap: int = 200, monitor: float = 0.01, seed: str = "42") -> tuple[DataFrame, DataFrame]:
@@ -99,18 +103,18 @@ def capped_and_split(rows: DataFrame, families: list[str], cap: int = 200, monit
     there = [F.col(c) for c in families if c in rows.columns]
     keyed = rows.withColumn("group_key", S.group_key(there, F.col("pdb_id"), F.col("task_id")))
     order = [(F.col("selection_mode") == "fallback").cast("int"), F.desc("keep_prob"), F.desc("score"), sampling.hash_order(F.col("candidate_id"), seed), F.col("candidate_id")]
-    out = ordered.capped(keyed, ["group_key"], order, cap, "family_cap")
+    out = cut(ordered.capped(keyed, ["group_key"], order, cap, "family_cap"), "capped")
     return sampling.group_split(out.filter("kept"), "group_key", "bin_key", monitor, seed), out.filter("not kept")
 
 
 def realigned(main: DataFrame, donors: DataFrame, reference: DataFrame, cap: int, ratio: float = 1.0) -> DataFrame:
     """The capped set thinned to the reference's quotas, a row a task protected, and short cells refilled from donors under the cap."""
-    cells = density.grid_density(main, binned(reference), AXES)
+    cells = cut(density.grid_density(main, binned(reference), AXES), "cells")
     target = max(1, round(main.count() * ratio))
-    quotas = density.apportioned(cells, "p_ref", F.lit(target), list(AXES)).select(*AXES, "quota")
+    quotas = cut(density.apportioned(cells, "p_ref", F.lit(target), list(AXES)).select(*AXES, "quota"), "quotas")
     order = [F.desc("keep_prob"), F.desc("score"), F.col("candidate_id")]
     floor = main.withColumn("__protected", F.row_number().over(ordered.over(["task_id"], order)) == 1)
-    kept = ordered.thin_to_quota(floor, quotas, list(AXES), F.col("__protected"), order).drop("__protected")
+    kept = cut(ordered.thin_to_quota(floor, quotas, list(AXES), F.col("__protected"), order).drop("__protected"), "thinned")
     have = kept.groupBy("bin_key").agg(F.count(F.lit(1)).alias("n"))
     want = quotas.withColumn("bin_key", F.concat_ws("|", *AXES)).join(have, "bin_key", "left").withColumn("deficit", F.col("quota") - F.coalesce("n", F.lit(0))).filter("deficit > 0")
     want = want.withColumn("bin_order", F.col("bin_key"))
