@@ -282,18 +282,22 @@ def repeated_spans(docs: DataFrame, text: str = "text", keep: list[Column] | Non
     # Parts of hot digit values: equal ones are one class again, and a part that still has many classes is sorted window by window.
     whole = (F.col("start") + F.length("bytes")).alias("b")
     parts = cut(rows.filter("hot").groupBy("part", "place", "hash").agg(F.count(F.lit(1)).alias("copies"), F.min("uid").alias("uid"), F.first("bytes").alias("bytes")), "parts")
-    same_parts = rows.filter("hot").join(parts.filter("copies > 1").select("part", "place", "hash"), ["part", "place", "hash"], "left_semi").select(F.col("uid").alias("__uid"), F.col("start").alias("a"), whole)
-    single = rows.filter("hot").select("part", "place", "hash", "uid", "start").join(parts.filter("copies = 1").select("part", "place", "hash"), ["part", "place", "hash"], "left_semi")
+    key = ["part", "place", "hash"]
+    twice, once = parts.filter("copies > 1").select(*key), parts.filter("copies = 1").select(*key)
+    hot_rows = rows.filter("hot").select(*key, "uid", "start", whole)
+    # The members of one class may be most rows, the classes are few: they go to the rows, not the rows to them.
+    same_parts = join_checked(hot_rows, twice, key, "left_semi", twice.count()).select(F.col("uid").alias("__uid"), F.col("start").alias("a"), "b")
+    single = join_checked(hot_rows, once, key, "left_semi", once.count())
     sizes = parts.groupBy("part").agg((F.count(F.lit(1)) > BIG).alias("big"))
-    sized = cut(parts.join(sizes, "part").join(single.select("part", "place", "hash", "start"), ["part", "place", "hash"], "left"), "sized")
+    sized = cut(parts.join(sizes, "part").join(single.select(*key, "start"), key, "left"), "sized")
     # A class of copies takes part as a partner only: its windows are known to be repeated.
     few = sized.filter("not big").select("part", "uid", F.coalesce("start", F.lit(-1)).alias("start"), "place", "bytes").unionByName(rows.filter("not hot").select("part", "uid", "start", "place", "bytes"))
     blocks = max(1, few.count() // BLOCK_ROWS)
     sorted_ = few.withColumn("block", F.pmod(F.xxhash64("part"), F.lit(blocks))).groupBy("block").applyInArrow(lambda _, t: _sort_block(t), "__uid long, a long, b long")
     windows = cut(sized.filter("big").select("part", "uid", F.coalesce("start", F.lit(-1)).alias("start"), "place", "bytes").mapInArrow(_windows, "part long, offset int, first long, second long, uid long, start long"), "windows")
-    key = ["part", "offset", "first", "second"]
-    met_windows = windows.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(*key)
-    by_window = windows.filter("start >= 0").join(met_windows, key, "left_semi").select(F.col("uid").alias("__uid"), F.col("start").alias("a"), (F.col("start") + DEPTH).alias("b"))
+    place = ["part", "offset", "first", "second"]
+    met_windows = cut(windows.groupBy(*place).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(*place), "met")
+    by_window = join_checked(windows.filter("start >= 0"), met_windows, place, "left_semi", met_windows.count()).select(F.col("uid").alias("__uid"), F.col("start").alias("a"), (F.col("start") + DEPTH).alias("b"))
 
     spans = same.unionByName(copied).unionByName(same_parts).unionByName(sorted_).unionByName(by_window).groupBy("__uid").agg(F.collect_list(F.struct(F.col("a").cast("int").alias("a"), F.col("b").cast("int").alias("b"))).alias("spans"))
     spans = cut(spans.mapInArrow(_merge_spans, "__uid long, spans array<int>"), "spans")
