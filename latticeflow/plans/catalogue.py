@@ -171,7 +171,7 @@ def prefix_window_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = ordered.with_prefix(_events(spark, sf_dir), ["user_id"], _BY_TIME, flag, "s")
     w = ordered.over(["user_id"], _BY_TIME)
     e = e.withColumn("i", F.row_number().over(w) - 1)
-    ends = F.array(*(F.struct(F.lit(n).cast("long").alias("n"), F.lead("s", n - 1).over(w).alias("e")) for n in (8, 12, 20)))
+    ends = F.array(*(F.struct(F.lit(n).cast("long").alias("n"), F.lead("s", n - 1).over(w).alias("e")) for n in range(8, 21)))
     rows = e.withColumn("ends", ends).select("user_id", F.col("i").cast("long").alias("left_index"), "s", "c", F.explode("ends").alias("x"))
     contacts = F.col("x.e") - F.col("s") + flag
     return rows.filter("x.e is not null").select("user_id", "left_index", F.col("x.n").alias("length"), contacts.alias("contacts")).filter("contacts / length >= 0.9")
@@ -183,7 +183,7 @@ w as (select u, n, a, len, unnest(range(greatest(0, a - len + 1), least(a, n - l
 select u as id, cast(l as bigint) as "left", cast(l + len - 1 as bigint) as "right", cast(len as bigint) as length from w""")
 def window_enumerate(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), (F.col("c_custkey") % 40 + 8).alias("n"), (F.col("c_custkey") % 7 + 4).alias("a"))
-    w = ordered.enumerate_windows(a, "n", "a", 8, 12)
+    w = ordered.enumerate_windows(a, "n", "a", 8, 20)
     return w.select("id", F.col("left").cast("long"), F.col("right").cast("long"), F.col("length").cast("long"))
 
 
