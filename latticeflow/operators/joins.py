@@ -94,19 +94,19 @@ def kmer_conflicts(df: DataFrame, key: str, short: str, long: str, least: float
     """Pairs ``a < b`` whose short sequences share a k-mer (k is 3 up to ten letters, else 4) and whose both sequences are
     identical, position by position, to ``least`` or more.
 
-    Short and long rows with different k never meet. Lengths are compared before letters, and each pair once.
+    Short and long rows with different k never meet. Different short sequences meet once, however many rows have them; lengths are
+    compared before letters.
     """
-    k = F.when(F.char_length(short) <= 10, 3).otherwise(4)
-    keyed = df.select(F.col(key).alias("id"), F.col(short).alias("s"), F.col(long).alias("l"), k.alias("k")).withColumn("kmer", F.explode(S.kmers(F.col("s"), F.col("k"))))
-    a = keyed.select("k", "kmer", F.col("id").alias("a"), F.char_length("s").alias("n"))
-    b = keyed.select("k", "kmer", F.col("id").alias("b"), F.char_length("s").alias("m"))
-    ratio = F.least("n", "m") / F.greatest("n", "m")
-    pairs = a.join(b, ["k", "kmer"]).filter("a < b").filter(ratio >= max(least, least_ratio)).select("a", "b").distinct()
+    texts = df.select(F.col(short).alias("s")).distinct()
+    keyed = texts.withColumn("k", F.when(F.char_length("s") <= 10, 3).otherwise(4)).withColumn("kmer", F.explode(S.kmers(F.col("s"), F.col("k"))))
+    ratio = F.least(F.char_length("as"), F.char_length("bs")) / F.greatest(F.char_length("as"), F.char_length("bs"))
+    met = keyed.withColumnRenamed("s", "as").join(keyed.withColumnRenamed("s", "bs"), ["k", "kmer"]).filter(ratio >= max(least, least_ratio)).select("as", "bs").distinct()
+    alike = met.withColumn("short_identity", S.positional_identity(F.col("as"), F.col("bs"))).filter(F.col("short_identity") >= least)
     full = df.select(F.col(key).alias("id"), F.col(short).alias("s"), F.col(long).alias("l"))
-    both = pairs.join(full.toDF("a", "as", "al"), "a").join(full.toDF("b", "bs", "bl"), "b")
+    both = alike.join(full.toDF("a", "as", "al"), "as").join(full.toDF("b", "bs", "bl"), "bs").filter("a < b")
     both = both.filter(S.length_ratio(F.col("al"), F.col("bl")) >= least)
-    scored = both.select("a", "b", S.positional_identity(F.col("as"), F.col("bs")).alias("short_identity"), S.positional_identity(F.col("al"), F.col("bl")).alias("long_identity"))
-    return scored.filter((F.col("short_identity") >= least) & (F.col("long_identity") >= least))
+    scored = both.select("a", "b", "short_identity", S.positional_identity(F.col("al"), F.col("bl")).alias("long_identity"))
+    return scored.filter(F.col("long_identity") >= least)
 
 
 def equal_key_pairs(df: DataFrame, group: list[str], key: str, item: str) -> DataFrame:

@@ -375,7 +375,7 @@ def exact_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Short and long sequences of letters from parts: brand and type digits spelt out, names in capitals."""
     p = t(spark, sf_dir, "part")
-    return p.select(F.col("p_partkey").alias("id"), F.substring(F.upper(F.regexp_replace(F.concat("p_name", "p_type"), " ", "")), 1, 12).alias("s"), F.concat(F.upper("p_name"), "p_brand", F.col("p_size").cast("string")).alias("l"), F.col("p_retailprice").alias("w"))
+    return p.select(F.col("p_partkey").alias("id"), F.upper(F.regexp_replace(F.concat("p_name", "p_type"), " ", "")).alias("s"), F.concat(F.upper("p_name"), "p_brand", F.col("p_size").cast("string")).alias("l"), F.col("p_retailprice").alias("w"))
 
 
 _NAMES_SQL = """n as (select p_partkey as id, substr(upper(replace(p_name || p_type, ' ', '')), 1, 12) as s, upper(p_name) || p_brand || cast(p_size as varchar) as l, p_retailprice as w from part)"""

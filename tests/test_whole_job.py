@@ -28,3 +28,33 @@ def test_anchored_windows_of_every_length(spark):
         want += [(u, i, i + k - 1, k) for k in range(8, 21) for i in range(n - k + 1) if i <= a <= i + k - 1]
     got = catalogue.queries()["window_enumerate"](spark, SMALL).select("id", "left", "right", "length").collect()
     assert sorted(map(tuple, got)) == sorted(want)
+
+
+def kmer_pairs(parts):
+    def kmers(s):
+        k = 3 if len(s) <= 10 else 4
+        return {(k, s[i : i + k]) for i in range(max(1, len(s) - k + 1))}
+
+    same = lambda x, y: sum(p == q for p, q in zip(x, y)) / max(len(x), len(y))
+    out = {}
+    for a, s, m, _ in parts:
+        for b, t, n, _ in parts:
+            if a < b and kmers(s) & kmers(t) and same(s, t) >= 0.85 and same(m, n) >= 0.85:
+                out[a, b] = (round(same(s, t), 6), round(same(m, n), 6))
+    return out
+
+
+def test_kmer_pairs_and_greedy_choice_on_whole_strings(spark):
+    parts = rows("select p_partkey, upper(replace(p_name || p_type, ' ', '')), upper(p_name) || p_brand || cast(p_size as varchar), p_retailprice from 'TABLES/part.parquet'")
+    want = kmer_pairs(parts)
+    got = catalogue.queries()["kmer_block_dup"](spark, SMALL).collect()
+    assert {(r["a"], r["b"]): (r["short_identity"], r["long_identity"]) for r in got} == want and len(got) == len(want)
+    assert want != kmer_pairs([(i, s[:12], m, w) for i, s, m, w in parts])
+
+    kept, by = [], {}
+    for i, _, _, _ in sorted(parts, key=lambda p: (-p[3], p[0])):
+        by[i] = next((k for k in kept if (min(i, k), max(i, k)) in want), None)
+        if by[i] is None:
+            kept.append(i)
+    got = catalogue.queries()["greedy_dedup"](spark, SMALL).collect()
+    assert {r["id"]: (r["kept"], r["by"]) for r in got} == {i: (b is None, b) for i, b in by.items()}
