@@ -3,8 +3,9 @@
 The element trees of a host's pages are merged: nodes with equal paths of tags, classes and ids are one node. A node's presentation
 says whether it can hold main text at all (menus, forms, adverts and the like cannot). Its content features are the texts of its
 blocks; a feature that ``n`` of the node's ``m`` pages share has the entropy ``log n / log m`` over these pages, from 0 (one page's
-own) to 1 (on every page). A node's importance is 1 minus the mean entropy of its features. Nodes of low importance outside
-articles are removed, with their branch, from every page of the host.
+own) to 1 (on every page). A node's importance is 1 minus the mean entropy of its features. The tree holds all blocks that their
+presentation does not rule out, in articles and outside. Blocks of nodes of low importance are removed from every page of the host,
+unless a page's article would lose its whole text. Beside an article, a block stays if its node was judged and is of importance.
 """
 
 from __future__ import annotations
@@ -57,10 +58,13 @@ def _presentation(tag: str, attributes: str, in_main: bool) -> tuple[str, bool]:
 
 
 def blocks(html: str | None) -> list[tuple[str, str, bool]]:
-    """(path, text, in an article) of the page's blocks in order, without those that their presentation rules out.
+    """``all_blocks`` of a page by itself: if an article or main element has text, blocks elsewhere are left out."""
+    out = all_blocks(html)
+    return [b for b in out if b[2]] or out
 
-    If the page has an article or main element with text, blocks elsewhere are left out.
-    """
+
+def all_blocks(html: str | None) -> list[tuple[str, str, bool]]:
+    """(path, text, in an article) of the page's blocks in order, without those that their presentation rules out."""
     html = html or ""
     lower = None
     out: list[tuple[str, str, bool]] = []
@@ -128,8 +132,7 @@ def blocks(html: str | None) -> list[tuple[str, str, bool]]:
             continue
         stack.append((tag, f"{stack[-1][1]}/{name}", stack[-1][2] or noise, stack[-1][3] or tag in MAIN))
     flush()
-    inside = [b for b in out if b[2]]
-    return inside or out
+    return out
 
 
 def parsed(pages: DataFrame, html: str = "html", keep: list[Column] | None = None) -> DataFrame:
@@ -138,7 +141,7 @@ def parsed(pages: DataFrame, html: str = "html", keep: list[Column] | None = Non
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("path", pa.string()), ("text", pa.string()), ("main", pa.bool_()), ("feature", pa.int64())]))
         for batch in batches:
-            got = [[{"path": p, "text": t, "main": a, "feature": xxh3_64_intdigest(t) - (1 << 63)} for p, t, a in blocks(h.as_py())] for h in batch.column(0)]
+            got = [[{"path": p, "text": t, "main": a, "feature": xxh3_64_intdigest(t) - (1 << 63)} for p, t, a in all_blocks(h.as_py())] for h in batch.column(0)]
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(got, kind)], [*batch.schema.names[1:], "blocks"])
 
     given = pages.select(F.col(html).alias("__html"), *(keep or [F.col("page_id"), F.col("url")]))
@@ -152,13 +155,13 @@ def host(url: Column) -> Column:
 
 
 def importance(trees: DataFrame) -> DataFrame:
-    """``(host, path, pages, importance)`` for the nodes of ``trees`` (host, blocks) that stand outside articles.
+    """``(host, path, pages, importance)`` for the nodes of ``trees`` (host, blocks), in articles and outside.
 
     Pages are counted before the shuffle, by feature and node, so a host with most of the pages is no bottleneck.
     """
-    outside = F.array_distinct(F.transform(F.filter("blocks", lambda b: ~b["main"]), lambda b: F.struct(b["path"].alias("path"), b["feature"].alias("feature"))))
+    features = F.array_distinct(F.transform("blocks", lambda b: F.struct(b["path"].alias("path"), b["feature"].alias("feature"))))
     nodes = F.transform(F.array_distinct(F.transform("f", lambda b: b["path"])), lambda p: F.struct(p.alias("path"), F.lit(None).cast("long").alias("feature")))
-    seen = trees.select("host", outside.alias("f")).select("host", F.explode(F.concat("f", nodes)).alias("x")).groupBy("host", "x.path", "x.feature").agg(F.count(F.lit(1)).alias("n"))
+    seen = trees.select("host", features.alias("f")).select("host", F.explode(F.concat("f", nodes)).alias("x")).groupBy("host", "x.path", "x.feature").agg(F.count(F.lit(1)).alias("n"))
     merged = seen.groupBy("host", "path").agg(F.max(F.when(F.col("feature").isNull(), F.col("n"))).alias("pages"), F.avg(F.when(F.col("feature").isNotNull(), F.log("n"))).alias("shared"))
     return merged.select("host", "path", "pages", F.when(F.col("pages") < 2, 1.0).otherwise(1 - F.col("shared") / F.log("pages")).alias("importance"))
 
@@ -170,10 +173,14 @@ def extract(pages: DataFrame, html: str = "html", url: str = "url", keep: list[C
     """
     own = keep or [F.col("page_id"), F.col("url")]
     trees = cut(parsed(pages, html, [*(c.alias(f"__k{i}") for i, c in enumerate(own)), host(F.col(url)).alias("host")]), "trees")
-    low = importance(trees).filter((F.col("pages") >= least_pages) & (F.col("importance") < least))
-    low = cut(low.groupBy("host").agg(F.collect_set("path").alias("low")), "low")
-    joined = join_checked(trees, low, ["host"], "left", low.count())
-    left = F.filter("blocks", lambda b: b["main"] | ~F.array_contains(F.coalesce("low", F.array().cast("array<string>")), b["path"]))
+    judged = importance(trees).filter(F.col("pages") >= least_pages).withColumn("lowly", F.col("importance") < least)
+    judged = cut(judged.groupBy("host").agg(F.collect_set(F.expr("if(lowly, path, null)")).alias("low"), F.collect_set(F.expr("if(lowly, null, path)")).alias("fine")), "judged")
+    joined = join_checked(trees, judged, ["host"], "left", judged.count())
+    of = lambda name, b: F.array_contains(F.coalesce(name, F.array().cast("array<string>")), b["path"])
+    article = F.exists("blocks", lambda b: b["main"])
+    by_tree = F.filter("blocks", lambda b: F.when(b["main"] | ~F.col("article"), ~of("low", b)).otherwise(of("fine", b)))
+    joined = joined.withColumn("article", article).withColumn("left", by_tree)
+    left = F.when(F.col("article") & (F.size("left") == 0), F.filter("blocks", lambda b: b["main"])).otherwise(F.col("left"))
     names = pages.select(*own).columns
     out = joined.select(*(F.col(f"__k{i}").alias(n) for i, n in enumerate(names)), F.array_join(F.transform(left, lambda b: b["text"]), "\n").alias("text"))
     return out.withColumn("n_chars", F.char_length("text").cast("long"))

@@ -44,3 +44,11 @@ def test_low_importance_branches_go(spark):
 def test_articles_are_never_pruned(spark):
     df = spark.createDataFrame([(i, "http://h/", "<article><p>the same</p></article><div>foot</div>") for i in range(30)], "page_id long, url string, html string")
     assert {r["text"] for r in T.extract(df).collect()} == {"the same"}
+
+
+def test_boilerplate_in_articles_goes_and_text_beside_them_stays(spark):
+    page = lambda i: f"<body><div class=top>Menu one</div><article><div class=box>Read more of us</div>{f'<p>text {i}</p>' if i % 2 else ''}</article><div class=body><p>beside {i}</p></div></body>"
+    teaser = "<article><p>only here</p></article><div class=side>once</div>"
+    rows = [(i, "http://h/", page(i)) for i in range(30)] + [(100, "http://few/", teaser)]
+    got = {r["page_id"]: r["text"] for r in T.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"text {i}\nbeside {i}" if i % 2 else f"beside {i}" for i in range(30)} | {100: "only here"}
