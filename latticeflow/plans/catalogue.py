@@ -617,9 +617,9 @@ with {_PAIRED % (_DOT, "and (a.vec_id // 2) % 10 = 0")}, o as (select query, sco
 select cast(count(*) as bigint) as n, cast(quantile_disc(rank, 0.5) as double) as median_rank, round(avg(rank), 6) as mean_rank, round(avg(1.0 / rank), 6) as mrr, round(avg(case when rank <= 1 then 1.0 else 0.0 end), 6) as recall_at_1, round(avg(case when rank <= 5 then 1.0 else 0.0 end), 6) as recall_at_5, round(avg(case when rank <= 10 then 1.0 else 0.0 end), 6) as recall_at_10
 from (select p.query, 1 + sum(case when score > t or (score = t and item < p.query) then 1 else 0 end) as rank from p join o on p.query = o.query group by 1)""")
 def retrieval_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stated query set: the even vectors whose pair number is divisible by ten, against all odd vectors."""
+    """Every even vector against all odd vectors."""
     v = t(spark, sf_dir, "embeddings").withColumn("pair", F.expr("vec_id div 2"))
-    scores = retrieval.similarity(v.filter("vec_id % 2 = 0 and pair % 10 = 0"), v.filter("vec_id % 2 = 1"), "pair", "pair", "embedding", "embedding")
+    scores = retrieval.similarity(v.filter("vec_id % 2 = 0"), v.filter("vec_id % 2 = 1"), "pair", "pair", "embedding", "embedding")
     m = retrieval.rank_metrics(retrieval.partner_ranks(scores))
     return m.select("n", "median_rank", *(r6(c).alias(c) for c in m.columns[2:]))
 

@@ -58,3 +58,17 @@ def test_kmer_pairs_and_greedy_choice_on_whole_strings(spark):
             kept.append(i)
     got = catalogue.queries()["greedy_dedup"](spark, SMALL).collect()
     assert {r["id"]: (r["kept"], r["by"]) for r in got} == {i: (b is None, b) for i, b in by.items()}
+
+
+def test_ranks_of_every_pair(spark):
+    vectors = dict(rows("select vec_id, embedding from 'TABLES/embeddings.parquet'"))
+    left, right = ({v // 2: list(map(float, e)) for v, e in vectors.items() if v % 2 == side} for side in (0, 1))
+    ranks = []
+    for q in sorted(left.keys() & right.keys()):
+        scores = {i: sum(x * y for x, y in zip(left[q], e)) for i, e in right.items()}
+        ranks.append(1 + sum(s > scores[q] or (s == scores[q] and i < q) for i, s in scores.items()))
+    n = len(ranks)
+    got = catalogue.queries()["retrieval_rank"](spark, SMALL).collect()[0]
+    assert (got["n"], got["median_rank"]) == (n, sorted(ranks)[(n + 1) // 2 - 1])
+    assert abs(got["mean_rank"] - sum(ranks) / n) < 1e-5 and abs(got["mrr"] - sum(1 / r for r in ranks) / n) < 1e-5
+    assert all(abs(got[f"recall_at_{k}"] - sum(r <= k for r in ranks) / n) < 1e-5 for k in (1, 5, 10))
