@@ -57,6 +57,39 @@ def drop_cuts(since: int = 0) -> None:
 atexit.register(drop_cuts)
 
 
+def publish(df: DataFrame, name: str, since: int) -> DataFrame:
+    """``cut``, after which the files of the cuts from number ``since`` on, which only led up to it, are deleted."""
+    out = cut(df, name)
+    last = _written.pop()
+    drop_cuts(since)
+    _written.append(last)
+    return out
+
+
+def cuts_made() -> int:
+    """How many cuts there are: the mark that ``publish`` and ``drop_cuts`` take."""
+    return len(_written)
+
+
 def join_checked(left: DataFrame, right: DataFrame, on: list[str], how: str, rows: int, most: int = BROADCAST_ROWS) -> DataFrame:
     """Join with a right side of ``rows`` rows: broadcast up to ``most``, beyond that hashed after a shuffle, without a sort."""
     return left.join(F.broadcast(right) if rows <= most else right.hint("shuffle_hash"), on, how)
+
+
+#: Keys with more than one in so many of all rows are hot: there can be no more of them than this.
+HOT_KEYS = 100_000
+
+
+def join_counted(left: DataFrame, right: DataFrame, on: list[str], how: str, count: str, rows: int) -> DataFrame:
+    """Join with a right side of one row a key whose ``count`` is how many of the ``rows`` rows of ``left`` have the key.
+
+    Keys with over ``rows / HOT_KEYS`` rows, HOT_KEYS of them at most, are broadcast and their rows are not shuffled; the rows of
+    all other keys meet in a hash join after a shuffle, where a key brings a hundred-thousandth of the rows at most. ``how`` is
+    inner or left_semi; ``left`` is read once for each of the two. ``count`` is no column of the result.
+    """
+    bound = max(1, rows // HOT_KEYS)
+    hot, rest = right.filter(F.col(count) > bound).drop(count), right.filter(F.col(count) <= bound).drop(count)
+    flagged = left.join(F.broadcast(hot.select(*on, F.lit(True).alias("__hot"))), on, "left")
+    first = left.join(F.broadcast(hot), on, how)
+    second = flagged.filter("__hot is null").drop("__hot").join(rest.hint("shuffle_hash"), on, how)
+    return first.select(*second.columns).unionByName(second)
