@@ -5,9 +5,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..storage import cut, join_checked
+from ..storage import cut, join_checked, join_counted
 
-__all__ = ["cut", "held_out", "join_checked", "remainder", "table"]
+__all__ = ["cut", "held_out", "join_checked", "join_counted", "remainder", "small_batches", "table"]
+
+#: Rows and bytes of a batch that goes to a Python worker, at most.
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound the Arrow batches of this session; smaller bounds that it has already stay.
+
+    Texts are long: the usual 10,000 rows are tens of megabytes, held several times over by the executor and its workers.
+    """
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = (spark.conf.get(key, None) or "").removesuffix("b")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

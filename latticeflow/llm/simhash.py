@@ -1,78 +1,218 @@
 """SimHash near-duplicates by multi-index hashing.
 
-For every segment of a fingerprint the small Hamming ball of radius 1 within that segment is enumerated, the other segments
-held fixed; each member of a ball is an entry of a hash table. Two fingerprints that differ in two bits or fewer always share
-an entry: one bit is flipped on either side (0, 1 or 2 differing bits need 0 + 0, 1 + 0 or 1 + 1 flips). So all links are found,
-and an entry holds no more than 65 different fingerprints, however large a group of near copies is: each is linked to the
-entry's least member only, after the complete distance is verified, and components join the rest.
+A fingerprint is cut into segments, and each segment has a table: its value, and the fingerprints that have it. If two fingerprints
+differ in ``r`` bits or fewer, they differ in ``r // m`` bits or fewer in one of their ``m`` segments. So each fingerprint looks up,
+in every table, the small Hamming ball of that radius around its own segment, and what it finds there is verified on all bits.
+
+A value that many fingerprints share, as in a large group of near copies, is split by the other segments: its members meet again at
+the members of a small ball around all their other bits. Such a meeting place holds only fingerprints within ``r`` bits of its
+least one, and their number is bounded by the size of the balls, so each is linked to that one, and no pairs within it are listed.
+
+``near_groups`` does this for fingerprints of 64 bits and a few differing bits, without losing a link. ``similar_groups`` is for texts
+with equal shingles: wide fingerprints whose segments are searched with balls on both sides, then the Jaccard similarity itself.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from itertools import repeat
+from itertools import combinations, repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from xxhash import xxh64_intdigest
+from xxhash import xxh3_64_intdigest, xxh3_128_digest, xxh64_intdigest
 
-from .common import cut
+from .common import cut, join_checked, join_counted, small_batches
 from .graph import components
 
-WIDTH, SEED, BITS, MOST_BITS, SEGMENTS = 3, 42, 64, 2, 4
+#: Fingerprints of 64 bits: words of a shingle, seed of its hash, differing bits of a link, segments.
+WIDTH, SEED, BITS, MOST_BITS, SEGMENTS = 3, 42, 64, 2, 2
+#: Fingerprints that a table's value may have before it is split by the other segments.
+LIGHT = 16
+#: Wide fingerprints: words of a shingle, similarity, longs (each has two segments), bits of a segment that are looked up.
+WIDE_WIDTH, LEAST_SIMILARITY, LONGS, SEGMENT_BITS = 5, 0.8, 3, 28
+#: Differing bits beyond which two wide fingerprints are not compared by their shingles: 0.8 means 15 % on average.
+MOST_WIDE = 46
 
 
-def fingerprint(text: str | None) -> int:
-    """The 64-bit SimHash of the text's word shingles; 0 without a word.
+def shingles(text: str | None, width: int) -> list[bytes]:
+    """Runs of ``width`` words, space-joined, repeats included; all words if they are fewer; none without a word.
 
-    A-Z are lower-cased, words are runs of anything but ASCII white space, a text of fewer words is one shingle.
+    A-Z are lower-cased, words are runs of anything but ASCII white space.
     """
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
+    if len(words) >= width:
+        return list(map(b" ".join, zip(*(words[i:] for i in range(width)))))
+    return [b" ".join(words)] if words else []
+
+
+def majority(hashes: np.ndarray) -> np.ndarray:
+    """Of rows of little-endian hash words, the bits set in over half the rows, as words."""
+    total = np.zeros(hashes.shape[1] * BITS, np.int64)
+    for at in range(0, len(hashes), 1 << 14):
+        total += np.unpackbits(hashes[at : at + (1 << 14)].astype("<u8").view(np.uint8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return np.packbits(2 * total > len(hashes), bitorder="little").view("<u8")
+
+
+def fingerprint(text: str | None, width: int = WIDTH) -> int:
+    """The 64-bit SimHash of the text's word shingles; 0 without a word."""
+    parts = shingles(text, width)
+    if not parts:
         return 0
-    shingles = map(b" ".join, zip(*(words[i:] for i in range(WIDTH)))) if len(words) >= WIDTH else [b" ".join(words)]
-    hashes = np.fromiter(map(xxh64_intdigest, shingles, repeat(SEED)), np.uint64)
-    total = np.zeros(BITS, np.int64)
-    for at in range(0, len(hashes), 1 << 16):
-        total += np.unpackbits(hashes[at : at + (1 << 16)].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * total > len(hashes), bitorder="little").view("<u8")[0])
+    return int(majority(np.fromiter(map(xxh64_intdigest, parts, repeat(SEED)), np.uint64).reshape(-1, 1))[0])
+
+
+def fingerprints(docs: DataFrame, text: str = "text", keep: list[Column] | None = None, name: str = "fp", width: int = WIDTH) -> DataFrame:
+    """Columns ``keep`` and the fingerprint as a signed long.
+
+    Null and empty texts have fingerprint 0; whole texts of any length are read; repeated rows have one fingerprint each; an empty
+    table gives an empty one. Other columns are not read; ``keep`` may have no column ``name``.
+    """
+    small_batches(docs.sparkSession)
+
+    def prints(texts: pa.Array) -> pa.Array:
+        return pa.array(np.array([fingerprint(t.as_py(), width) for t in texts], np.uint64).view(np.int64))
 
+    return docs.select(*(keep or [F.col("doc_id")]), F.arrow_udf(prints, "long")(F.col(text)).alias(name))
 
-def fingerprints(docs: DataFrame, text: str = "text", keep: list[Column] | None = None, name: str = "fp") -> DataFrame:
-    """Columns ``keep`` and the fingerprint as a signed long; null texts count as empty."""
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            prints = np.array([fingerprint(t.as_py()) for t in batch.column(0)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(prints)], [*batch.schema.names[1:], name])
+def ball(mask: int, radius: int) -> list[tuple[int, int]]:
+    """(flipped bits, their number) of the ball of ``radius`` within the bits of ``mask``; as signed longs."""
+    bits = [b for b in range(BITS) if mask >> b & 1]
+    flips = [(sum(1 << b for b in some), n) for n in range(radius + 1) for some in combinations(bits, n)]
+    return [(f - (1 << BITS) if f >> (BITS - 1) else f, n) for f, n in flips]
 
-    given = docs.select(F.col(text).alias("__text"), *(keep or [F.col("doc_id")]))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema.fields[1:])
-    return given.mapInArrow(rows, f"{fields}, `{name}` long")
 
+def masks(segments: int) -> list[int]:
+    """The bits of each of ``segments`` segments of nearly equal widths."""
+    edges = [round(i * BITS / segments) for i in range(segments + 1)]
+    return [(1 << b) - (1 << a) for a, b in zip(edges, edges[1:])]
 
-def links(prints: DataFrame) -> DataFrame:
-    """Edges ``(u, v)`` that connect the different fingerprints ``fp`` of ``prints`` as all pairs at ``MOST_BITS`` or less would."""
-    per = BITS // SEGMENTS
-    ball = F.explode(F.flatten(F.array(F.array(F.lit(BITS)), *(F.sequence(F.lit(s * per), F.lit((s + 1) * per - 1)) for s in range(SEGMENTS))))).alias("bit")
-    flip = "case when bit < 64 then shiftleft(1L, bit) else 0L end"
-    entries = prints.select("fp", ball).select(F.expr(f"fp ^ {flip}").alias("entry"), F.expr(flip).alias("flipped"), F.expr("bit = 64").alias("own"))
-    met = entries.groupBy("entry").agg(F.bit_or("flipped").alias("flipped"), F.max("own").alias("own")).filter("bit_count(flipped) + cast(own as int) >= 2")
-    members = F.expr("concat(if(own, array(entry), array()), transform(filter(sequence(0, 63), b -> getbit(flipped, b) = 1), b -> entry ^ shiftleft(1L, b)))")
-    fetched = met.select(members.alias("m")).select(F.array_min("m").alias("v"), F.explode("m").alias("u"))
-    return fetched.filter(f"u <> v and bit_count(u ^ v) <= {MOST_BITS}").select("u", "v").distinct()
 
+def links(prints: DataFrame, most_bits: int = MOST_BITS, segments: int = SEGMENTS) -> DataFrame:
+    """Edges ``(u, v)`` that connect the different fingerprints ``fp`` of ``prints`` as all pairs at ``most_bits`` or less would.
 
-def near_groups(prints: DataFrame, key: str = "doc_id") -> DataFrame:
+    ``prints`` has each fingerprint once; it is read several times. ``most_bits`` is even: half of it is flipped on either side
+    where a value is split. Neither LIGHT nor ``segments`` changes what is connected.
+    """
+    if most_bits % 2:
+        raise ValueError("most_bits must be even")
+    signed = lambda m: m - (1 << BITS) if m >> (BITS - 1) else m
+    all_masks = masks(segments)
+    radius, half = most_bits // segments, most_bits // 2
+    table = prints.select("fp", F.explode(F.array(*(F.struct(F.lit(s).alias("segment"), F.col("fp").bitwiseAND(F.lit(signed(m))).alias("value")) for s, m in enumerate(all_masks)))).alias("t")).select("t.*", "fp")
+    sizes = cut(table.groupBy("segment", "value").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("one")), "sizes")
+    several = sizes.filter(F.col("n").between(2, LIGHT)).select("segment", "value")
+    fetched = join_checked(table, several, ["segment", "value"], "left_semi", several.count()).groupBy("segment", "value").agg(F.collect_list("fp").alias("members"))
+    single = sizes.filter("n = 1").select("segment", "value", F.array("one").alias("members"))
+    heavy = sizes.filter(F.col("n") > LIGHT).select("segment", "value", F.lit(None).cast("array<long>").alias("members"))
+    buckets = cut(single.unionByName(fetched).unionByName(heavy), "buckets")
+
+    flips = F.array(*(F.struct(F.lit(s).alias("segment"), F.lit(signed(m)).alias("mask"), F.lit(f).alias("flip"), F.lit(n).alias("away")) for s, m in enumerate(all_masks) for f, n in ball(m, radius)))
+    probes = prints.select("fp", F.explode(flips).alias("p")).select("fp", "p.segment", "p.away", F.col("fp").bitwiseXOR(F.col("p.flip")).bitwiseAND(F.col("p.mask")).alias("value"))
+    met = join_checked(probes, buckets, ["segment", "value"], "inner", buckets.count())
+    near = F.expr(f"u <> v and bit_count(u ^ v) <= {most_bits}")
+    found = met.filter("members is not null").select(F.col("fp").alias("u"), F.explode("members").alias("v")).filter(near)
+
+    split = None
+    hot = cut(met.filter("members is null").select("segment", "value", "fp", "away"), "hot")
+    for s, m in enumerate(all_masks):
+        rest = ((1 << BITS) - 1) ^ m
+        for away in range(radius + 1):
+            around = [f for f, _ in ball(rest, half if away == 0 else max(0, most_bits - away - half))]
+            part = hot.filter((F.col("segment") == s) & (F.col("away") == away))
+            part = part.select("segment", "value", "fp", "away", F.explode(F.array(*map(F.lit, around))).alias("flip")).withColumn("place", F.col("fp").bitwiseXOR(F.col("flip")).bitwiseAND(F.lit(signed(rest)))).drop("flip")
+            split = part if split is None else split.unionByName(part)
+    places = split.groupBy("segment", "value", "place").agg(F.min(F.when(F.col("away") == 0, F.col("fp"))).alias("v"), F.collect_list("fp").alias("members"))
+    by_place = places.filter("v is not null and size(members) > 1").select("v", F.explode("members").alias("u")).filter(near)
+    return found.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).unionByName(by_place.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))).distinct()
+
+
+def near_groups(prints: DataFrame, key: str = "doc_id", most_bits: int = MOST_BITS, segments: int = SEGMENTS) -> DataFrame:
     """``prints`` (any columns, with ``fp``) and ``component``: the least ``key`` among all rows reachable by links.
 
     ``prints`` is read more than once: pass files. Equal fingerprints form one node, so copies need no pairs. Null keys never are
-    the least one; a component of null keys only has a null id.
+    the least one; a component of null keys only has a null id. An empty table gives an empty one.
     """
-    nodes = cut(prints.groupBy("fp").agg(F.min(key).alias("least")), "nodes")
-    roots = cut(components(links(nodes)), "roots").withColumnRenamed("u", "fp")
-    rooted = nodes.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
+    nodes = cut(prints.groupBy("fp").agg(F.min(key).alias("least"), F.count(F.lit(1)).alias("__n")), "nodes")
+    roots = cut(components(links(nodes.select("fp"), most_bits, segments)), "roots").withColumnRenamed("u", "fp")
+    rooted = cut(join_checked(nodes, roots, ["fp"], "left", roots.count()).select("fp", F.coalesce("root", "fp").alias("root"), "least", "__n"), "rooted")
     named = rooted.groupBy("root").agg(F.min("least").alias("component"))
-    return prints.join(rooted.select("fp", "root").join(named, "root").select("fp", "component"), "fp")
+    by_print = cut(rooted.join(named, "root").select("fp", "component", "__n"), "named")
+    rows = int(by_print.agg(F.coalesce(F.sum("__n"), F.lit(0))).first()[0])
+    return join_counted(prints, by_print, ["fp"], "inner", "__n", rows)
+
+
+def shingle_set(text: str | None, width: int) -> np.ndarray:
+    """The text's different shingles as sorted 64-bit hashes."""
+    return np.unique(np.fromiter(map(xxh3_64_intdigest, set(shingles(text, width))), np.uint64))
+
+
+def wide_print(text: str | None, width: int) -> tuple[list[int], int]:
+    """The wide fingerprint of the text's different shingles, and a hash of their set; zeros without a word."""
+    parts = sorted(set(shingles(text, width)))
+    if not parts:
+        return [0] * LONGS, 0
+    raw = [np.frombuffer(b"".join(map(xxh3_128_digest, parts, repeat(seed))), "<u8").reshape(-1, 2) for seed in range((LONGS + 1) // 2)]
+    bits = majority(np.ascontiguousarray(np.concatenate(raw, axis=1)[:, :LONGS]))
+    return bits.view(np.int64).tolist(), xxh3_64_intdigest(np.sort(raw[0][:, 0]).tobytes()) - (1 << 63)
+
+
+def candidates(nodes: DataFrame, segment_bits: int = SEGMENT_BITS, most: int = MOST_WIDE) -> DataFrame:
+    """Pairs ``(u, v)`` of the ``node`` s of ``nodes`` (node, fp) whose wide fingerprints agree in a segment but for two bits.
+
+    Each segment is posted with its ball of radius 1, so two that differ in two bits of a segment meet. Of a meeting place all
+    members are paired with two of them, which differ by segment, so that a crowd gives a number of pairs in proportion to it.
+    """
+    places = []
+    salts = [xxh3_64_intdigest(bytes([s])) - (1 << 63) for s in range(2 * LONGS)]
+    for s in range(2 * LONGS):
+        value = f"shiftrightunsigned(fp[{s // 2}], {32 * (s % 2)}) & {(1 << segment_bits) - 1}L"
+        places.append(f"transform(sequence(0, {segment_bits}), b -> {s * (1 << 48)}L + (({value}) ^ if(b = 0, 0L, shiftleft(1L, b - 1))))")
+    entries = nodes.select("node", F.explode(F.expr(f"concat({', '.join(places)})")).alias("place"))
+    salt = F.expr(f"array({', '.join(f'{x}L' for x in salts)})[cast(shiftright(place, 48) as int)]")
+    mixed = entries.select("place", F.col("node").bitwiseXOR(salt).alias("mixed"))
+    met = mixed.groupBy("place").agg(F.count(F.lit(1)).alias("n"), F.min("mixed").alias("lo"), F.max("mixed").alias("hi")).filter("n > 1")
+    met = cut(met, "met")
+    own = met.select(F.col("lo").bitwiseXOR(salt).alias("u"), F.col("hi").bitwiseXOR(salt).alias("v"))
+    crowds = met.filter("n > 2").drop("n")
+    more = join_checked(mixed, crowds, ["place"], "inner", crowds.count())
+    ends = F.explode(F.array("lo", "hi")).alias("end")
+    more = more.select("place", "mixed", ends).filter("mixed <> end").select(F.col("mixed").bitwiseXOR(salt).alias("u"), F.col("end").bitwiseXOR(salt).alias("v"))
+    pairs = own.unionByName(more).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    side = lambda c: nodes.select(F.col("node").alias(c), F.col("fp").alias(f"{c}_fp"))
+    known = pairs.join(side("u"), "u").join(side("v"), "v")
+    away = " + ".join(f"bit_count(u_fp[{i}] ^ v_fp[{i}])" for i in range(LONGS))
+    return known.filter(f"{away} <= {most}").select("u", "v")
+
+
+def similar_groups(docs: DataFrame, text: str = "text", order: str = "doc_id", width: int = WIDE_WIDTH, least: float = LEAST_SIMILARITY, segment_bits: int = SEGMENT_BITS) -> DataFrame:
+    """``(order, component)`` for every row: the least ``order`` (a column of any orderable type, unlike in all rows) of its group.
+
+    A group is what links connect; a link is a Jaccard similarity of ``least`` or more between the sets of shingles of ``width``
+    words, verified on whole texts. Texts with equal sets are one node; all texts without a word are one group; null texts are
+    empty. ``docs`` is read more than once: pass files. Meeting places stay small up to about 2 ** segment_bits texts.
+    """
+    small_batches(docs.sparkSession)
+
+    def prints(texts: pa.Array) -> pa.Array:
+        got = [wide_print(t.as_py(), width) for t in texts]
+        return pa.StructArray.from_arrays([pa.array([g[0] for g in got], pa.list_(pa.int64())), pa.array([g[1] for g in got], pa.int64())], ["fp", "node"])
+
+    def sets(texts: pa.Array) -> pa.Array:
+        return pa.array([shingle_set(t.as_py(), width).view(np.int64) for t in texts], pa.list_(pa.int64()))
+
+    printed = cut(docs.select(F.col(order).alias("order"), F.arrow_udf(prints, "fp array<long>, node long")(F.col(text)).alias("p")).select("order", "p.*"), "printed")
+    nodes = cut(printed.groupBy("node").agg(F.min("order").alias("least"), F.first("fp").alias("fp"), F.count(F.lit(1)).alias("n")), "wide")
+    pairs = cut(candidates(nodes.select("node", "fp"), segment_bits), "pairs")
+    wanted = cut(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(nodes.select("node", "least"), "node"), "wanted")
+    texts = join_checked(docs.select(F.col(order).alias("least"), F.col(text).alias("t")), wanted, ["least"], "inner", wanted.count())
+    shingled = cut(texts.select("node", F.arrow_udf(sets, "array<long>")("t").alias("set")), "sets")
+    side = lambda c: shingled.select(F.col("node").alias(c), F.col("set").alias(f"{c}_set"))
+    both = pairs.join(side("u"), "u").join(side("v"), "v").withColumn("common", F.size(F.array_intersect("u_set", "v_set")))
+    verified = both.filter(F.col("common") >= least * (F.size("u_set") + F.size("v_set") - F.col("common")) - 1e-9).select("u", "v")
+    roots = cut(components(cut(verified, "links")), "roots").withColumnRenamed("u", "node")
+    rooted = cut(join_checked(nodes.drop("fp"), roots, ["node"], "left", roots.count()).select("node", F.coalesce("root", "node").alias("root"), "least", "n"), "rooted")
+    by_node = cut(rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component")), "root").select("node", "component", "n"), "named")
+    rows = int(by_node.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
+    return join_counted(printed.drop("fp"), by_node, ["node"], "inner", "n", rows).select("order", "component")

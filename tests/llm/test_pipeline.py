@@ -4,10 +4,10 @@ from pathlib import Path
 sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
 
 import corpus_pipeline as C
-from latticeflow.llm import phrase_index, queries, simhash
+from latticeflow.llm import phrase_index, queries
 
 from .test_phrase_index import brute as hits
-from .test_simhash import brute_components
+from .test_simhash import text_groups
 from .test_suffix_dedup import brute as left
 
 SMALL = "/root/testdata/sf0.001"
@@ -23,7 +23,7 @@ def test_each_stage_against_brute_force(spark):
     assert sorted(r["doc_id"] for r in now.collect()) == sorted(k for k, s in scores.items() if s < 0.3)
 
     rows = sorted(now.collect(), key=lambda r: r["doc_id"])
-    component = brute_components([simhash.fingerprint(r["text"]) for r in rows])
+    component = text_groups([r["text"] for r in rows])
     now = stage["simhash_near_dedup"](spark, now, SMALL).cache()
     assert now.columns == columns
     assert sorted(map(tuple, now.collect())) == sorted(tuple(r) for i, r in enumerate(rows) if component[i] == i)

@@ -29,7 +29,7 @@ def brute_components(prints):
     return [least[find(p)] for p in prints]
 
 
-def test_components_equal_all_pairs(spark):
+def drifting():
     rng = random.Random(3)
     prints = [0, 0, 1, 3, 1 << 63, (1 << 64) - 1, (1 << 64) - 4]
     for _ in range(12):
@@ -38,11 +38,97 @@ def test_components_equal_all_pairs(spark):
             prints.append(p)
             for _ in range(rng.randint(0, 4)):
                 p ^= 1 << rng.randrange(64)
+    return prints
+
+
+@pytest.mark.parametrize("segments, light", [(1, 16), (2, 16), (2, 1), (3, 2), (4, 1), (7, 16)])
+def test_components_equal_all_pairs(spark, monkeypatch, segments, light):
+    monkeypatch.setattr(S, "LIGHT", light)
+    prints = drifting()
     df = spark.createDataFrame([(i, signed(p)) for i, p in enumerate(prints)], "doc_id long, fp long").cache()
-    got = {r["doc_id"]: r["component"] for r in S.near_groups(df).collect()}
+    got = {r["doc_id"]: r["component"] for r in S.near_groups(df, segments=segments).collect()}
     assert [got[i] for i in range(len(prints))] == brute_components(prints)
 
 
+def test_segments_change_the_plan_only(spark):
+    df = spark.createDataFrame([(i, signed(p)) for i, p in enumerate(set(drifting()))], "doc_id long, fp long").cache()
+    plans = {n: S.links(df.select("fp"), segments=n)._jdf.queryExecution().toString() for n in (2, 4)}
+    assert len(set(plans.values())) == 2
+    with pytest.raises(ValueError):
+        S.links(df, most_bits=3)
+
+
+def test_a_heavy_value_is_not_listed_in_pairs(spark):
+    """Fingerprints that share half their bits, all within two bits of one: as many links as fingerprints, times the balls' size."""
+    prints = [0] + [1 << a | 1 << b for a in range(32) for b in range(a)]
+    found = S.links(spark.createDataFrame([(p,) for p in prints], "fp long"))
+    got = {r["u"] for r in found.collect()} | {r["v"] for r in found.collect()}
+    assert got == set(prints) and found.count() < 40 * len(prints)
+
+
+def jaccard(a, b, width=5):
+    x, y = (set(S.shingles(t, width)) for t in (a, b))
+    return len(x & y) / len(x | y) if x | y else 1.0
+
+
+def text_groups(texts, least=0.8):
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    sets = [set(S.shingles(t, 5)) for t in texts]
+    for i in range(len(texts)):
+        for j in range(i):
+            union = len(sets[i] | sets[j])
+            if union == 0 or len(sets[i] & sets[j]) >= least * union - 1e-9:
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    return [find(i) for i in range(len(texts))]
+
+
+def edited(rng, words, n):
+    words = list(words)
+    for _ in range(n):
+        words[rng.randrange(len(words))] = f"new{rng.random()}"
+    return " ".join(words)
+
+
+def test_similar_texts_are_linked_and_others_are_not(spark):
+    rng = random.Random(6)
+    texts = [None, "", " \t", "one two three", "One Two  three", "one two four"]
+    for _ in range(40):
+        words = [f"w{rng.randrange(500)}" for _ in range(rng.randint(60, 300))]
+        texts += [edited(rng, words, rng.randint(0, len(words) // 60)) for _ in range(rng.randint(1, 4))]
+        texts.append(edited(rng, words, len(words) // 8))  # too many edits
+    got = {r["order"]: r["component"] for r in S.similar_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").cache()).collect()}
+    want = text_groups(texts)
+    together = lambda of: {(i, j) for i in range(len(texts)) for j in range(i) if of[i] == of[j]}
+    a, b = together([got[i] for i in range(len(texts))]), together(want)
+    assert a <= b and len(a) >= 0.9 * len(b) > 30
+
+
+def test_recall_of_similar_texts(spark):
+    """Recall of the pairs of different texts with a similarity of 0.8 or more, on all documents of the table."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    texts = [r["text"] for r in docs.orderBy("doc_id").collect()]
+    ids = [r["doc_id"] for r in docs.select("doc_id").orderBy("doc_id").collect()]
+    got = {r["order"]: r["component"] for r in S.similar_groups(docs).collect()}
+    want = text_groups(texts)
+    pairs = [(i, j) for i, w in enumerate(want) for j in range(i) if want[j] == w]
+    assert sum(got[ids[i]] == got[ids[j]] for i, j in pairs) >= 0.9 * len(pairs)
+    same = {}
+    for i, w in enumerate(want):
+        same.setdefault(got[ids[i]], set()).add(w)
+    assert all(len(s) == 1 for s in same.values())
+
+
+def test_similar_groups_of_an_empty_table(spark):
+    assert S.similar_groups(spark.createDataFrame([], "doc_id int, text string")).count() == 0
+
+
 def test_fingerprint_of_one_shingle_is_the_hash_spark_has(spark):
     texts = ["Alpha beta GAMMA", "one two", "ÀB c  d", "x"]
     want = spark.createDataFrame([(" ".join(x.lower().replace("àb", "Àb") for x in t.split()),) for t in texts], "t string").select(F.xxhash64("t")).collect()
