@@ -16,7 +16,6 @@ place agree.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from .common import cut, join_checked
+from .common import cut, join_checked, join_counted, small_batches
 
 #: Bytes through which suffixes are compared; bytes of the strings whose hashes are the first digit; bytes of later digits.
 DEPTH, GRAM, DIGIT = 200, 32, 40
@@ -173,13 +172,13 @@ def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.slice(at, SLICE_ROWS)
 
 
-def _first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kinds = (pa.int32(), pa.int16(), pa.int64(), pa.int16(), pa.int64())
-    for batch in slices(batches):
-        i = batch.schema.names.index("__bytes")
-        got = text_runs([t.as_py() for t in batch.column(i)])
-        arrays = [pa.array([g[j] for g in got], pa.list_(k)) for j, k in enumerate(kinds)]
-        yield pa.RecordBatch.from_arrays([*batch.columns, *arrays], [*batch.schema.names, "__start", "__n", "__digit", "__place", "__hash"])
+RUNS = "start array<int>, n array<smallint>, digit array<long>, place array<smallint>, hash array<long>"
+
+
+def _first_pass(texts: pa.Array) -> pa.Array:
+    got = text_runs([t.as_py() for t in texts])
+    kinds = (("start", pa.int32()), ("n", pa.int16()), ("digit", pa.int64()), ("place", pa.int16()), ("hash", pa.int64()))
+    return pa.StructArray.from_arrays([pa.array([g[j] for g in got], pa.list_(k)) for j, (_, k) in enumerate(kinds)], [n for n, _ in kinds])
 
 
 def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -253,15 +252,16 @@ def repeated_spans(docs: DataFrame, text: str = "text", keep: list[Column] | Non
     """Per row: ``keep``, ``bytes`` (the text in UTF-8) and ``spans``: a, b, a, b and so on, the maximal spans of bytes a to b that
     repeated windows cover, in order; null if there are none.
 
-    A null text is empty; a text under ``DEPTH`` bytes has no window; repeated rows are copies of each other.
-    Other columns of ``docs`` are not read.
+    A null text is empty; a text under ``DEPTH`` bytes has no window; repeated rows are copies of each other; an empty table gives
+    an empty one. Other columns of ``docs`` are not read, but ``keep`` may have no name that begins with two underscores.
     """
+    small_batches(docs.sparkSession)
     given = docs.select(*(keep or [F.col("doc_id")]), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("__bytes"))
     kept = [c for c in given.columns if c != "__bytes"]
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema.fields)
-    first = given.mapInArrow(_first_pass, f"{fields}, __start array<int>, __n array<smallint>, __digit array<long>, __place array<smallint>, __hash array<long>")
+    first = given.withColumn("__runs", F.arrow_udf(_first_pass, RUNS)("__bytes"))
     texts = cut(first.withColumn("__uid", F.monotonically_increasing_id()), "runs")
-    run = texts.select("__uid", F.explode(F.arrays_zip("__start", "__n", "__digit", "__place", "__hash")).alias("r")).select("__uid", "r.*").toDF("uid", "start", "n", "digit", "place", "hash")
+    fields = ["start", "n", "digit", "place", "hash"]
+    run = texts.select("__uid", F.explode(F.arrays_zip(*(F.col(f"__runs.{f}").alias(f) for f in fields))).alias("r")).select("__uid", "r.*").toDF("uid", *fields)
 
     several = run.groupBy("digit").agg(F.count(F.lit(1)).alias("runs"), F.min("hash").alias("lo"), F.max("hash").alias("hi")).filter("runs > 1").select("digit", F.expr("lo <> hi").alias("mixed"))
     several = cut(several, "digits")
@@ -270,10 +270,11 @@ def repeated_spans(docs: DataFrame, text: str = "text", keep: list[Column] | Non
 
     mixed = met.filter("mixed")
     classes = cut(mixed.groupBy("digit", "hash").agg(F.count(F.lit(1)).alias("copies"), F.min_by(F.struct("uid", "start", "n", "place"), F.struct("uid", "start")).alias("one")), "classes")
-    copied = mixed.join(classes.filter("copies > 1").select("digit", "hash"), ["digit", "hash"], "left_semi")
+    # The members of one class may be most rows: those of large classes are not shuffled to it.
+    copied = join_counted(mixed, classes.filter("copies > 1").select("digit", "hash", "copies"), ["digit", "hash"], "left_semi", "copies", mixed.count())
     copied = copied.select(F.col("uid").alias("__uid"), F.col("start").alias("a"), (F.col("start") + F.col("n") + (DEPTH - 1)).alias("b"))
-    hot = classes.groupBy("digit").agg((F.count(F.lit(1)) > HOT).alias("hot"))
-    todo = classes.join(hot, "digit").select(F.col("one.uid").alias("__uid"), F.struct(F.col("one.start").alias("start"), F.col("one.n").alias("n"), F.col("one.place").alias("place"), "digit", "hot").alias("c"))
+    hot = cut(classes.groupBy("digit").agg(F.count(F.lit(1)).alias("classes")).filter(F.col("classes") > HOT).select("digit", F.lit(True).alias("hot")), "hot")
+    todo = join_checked(classes, hot, ["digit"], "left", hot.count()).select(F.col("one.uid").alias("__uid"), F.struct(F.col("one.start").alias("start"), F.col("one.n").alias("n"), F.col("one.place").alias("place"), "digit", F.col("hot").isNotNull().alias("hot")).alias("c"))
     lists = todo.groupBy("__uid").agg(F.collect_list("c").alias("c"))
     todo = cut(lists.select("__uid", *(F.col(f"c.{f}").alias(f) for f in ("start", "n", "place", "digit", "hot"))), "todo")
     rows = join_checked(texts.select("__uid", "__bytes"), todo, ["__uid"], "inner", weight(todo, "start", 20), BROADCAST_BYTES).mapInArrow(_classes, "part long, hot boolean, uid long, start long, place long, hash long, bytes binary")
@@ -288,8 +289,9 @@ def repeated_spans(docs: DataFrame, text: str = "text", keep: list[Column] | Non
     # The members of one class may be most rows, the classes are few: they go to the rows, not the rows to them.
     same_parts = join_checked(hot_rows, twice, key, "left_semi", twice.count()).select(F.col("uid").alias("__uid"), F.col("start").alias("a"), "b")
     single = join_checked(hot_rows, once, key, "left_semi", once.count())
-    sizes = parts.groupBy("part").agg((F.count(F.lit(1)) > BIG).alias("big"))
-    sized = cut(parts.join(sizes, "part").join(single.select(*key, "start"), key, "left"), "sized")
+    big = cut(parts.groupBy("part").agg(F.count(F.lit(1)).alias("classes")).filter(F.col("classes") > BIG).select("part", F.lit(True).alias("big")), "big")
+    sized = join_checked(parts, big, ["part"], "left", big.count()).withColumn("big", F.col("big").isNotNull())
+    sized = cut(sized.join(single.select(*key, "start"), key, "left"), "sized")
     # A class of copies takes part as a partner only: its windows are known to be repeated.
     few = sized.filter("not big").select("part", "uid", F.coalesce("start", F.lit(-1)).alias("start"), "place", "bytes").unionByName(rows.filter("not hot").select("part", "uid", "start", "place", "bytes"))
     blocks = max(1, few.count() // BLOCK_ROWS)
@@ -305,26 +307,36 @@ def repeated_spans(docs: DataFrame, text: str = "text", keep: list[Column] | Non
     return joined.select(*kept, F.col("__bytes").alias("bytes"), "spans")
 
 
+def _left(texts: pa.Array, spans: pa.Array) -> pa.Array:
+    """What is left of texts without their spans: the bytes, and the text without characters of which a cut took a part."""
+    out = []
+    for raw, found in zip(texts, spans.to_pylist()):
+        if not found:
+            out.append(None)
+            continue
+        t = raw.as_py()
+        edges = [0, *found, len(t)]
+        left = b"".join(t[a:b] for a, b in zip(edges[::2], edges[1::2]))
+        out.append({"bytes": left, "text": left.decode("utf-8", "ignore")})
+    return pa.array(out, pa.struct([("bytes", pa.binary()), ("text", pa.string())]))
+
+
 def remove_repeats(docs: DataFrame, text: str = "text", keep: list[Column] | None = None) -> DataFrame:
     """Per row: ``keep``, ``kept_text``, ``n_bytes``, ``n_removed``, ``n_spans`` and ``kept_sha256``.
 
-    The digest is that of all remaining bytes; the text goes without characters of which a cut took a part.
+    The digest is that of all remaining bytes; the text goes without characters of which a cut took a part. Null and empty texts,
+    repeated rows and empty tables are as in ``repeated_spans``; ``keep`` may have none of the result's names.
     """
-    spans = repeated_spans(docs, text, keep)
-    kept = spans.columns[:-2]
-    names = ["kept_text", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            out = []
-            for raw, found in zip(batch.column("bytes"), batch.column("spans").to_pylist()):
-                t, edges = raw.as_py(), [0, *(found or [])]
-                edges.append(len(t))
-                left = b"".join(t[a:b] for a, b in zip(edges[::2], edges[1::2]))
-                out.append((left.decode("utf-8", "ignore"), len(t), len(t) - len(left), len(edges) // 2 - 1, hashlib.sha256(left).hexdigest()))
-            columns = list(zip(*out)) or [()] * 5
-            kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string())
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], *(pa.array(c, k) for c, k in zip(columns, kinds))], [*kept, *names])
-
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in spans.schema.fields[: len(kept)])
-    return spans.mapInArrow(rows, f"{fields}, kept_text string, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    found = repeated_spans(docs, text, keep)
+    kept = found.columns[:-2]
+    cuts = F.col("spans").isNotNull()
+    left = F.arrow_udf(_left, "bytes binary, text string")(F.when(cuts, F.col("bytes")), "spans")  # only texts with spans go to a worker
+    out = found.withColumn("__left", left).withColumn("__bytes", F.when(cuts, F.col("__left.bytes")).otherwise(F.col("bytes")))
+    return out.select(
+        *kept,
+        F.when(cuts, F.col("__left.text")).otherwise(F.col("bytes").cast("string")).alias("kept_text"),
+        F.length("bytes").cast("long").alias("n_bytes"),
+        (F.length("bytes") - F.length("__bytes")).cast("long").alias("n_removed"),
+        F.when(cuts, F.size("spans") / 2).otherwise(0).cast("long").alias("n_spans"),
+        F.sha2("__bytes", 256).alias("kept_sha256"),
+    )
