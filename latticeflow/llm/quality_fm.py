@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
 from .toxicity import bounded_labelled
 
 #: Labelled documents that the machine learns from, at most; width of the interactions; buckets of hashed words.
@@ -57,7 +58,7 @@ class Encoder:
         raw = text.encode("utf-8", "replace")
         words = raw.split()
         known, ids = self.bucket, set()
-        if len(known) > 400_000:
+        if len(known) > 100_000:
             known.clear()
         for w in set(words):
             i = known.get(w)
@@ -130,24 +131,26 @@ def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def learn(docs: DataFrame, labels: DataFrame, learnable: Column | None = None, label: str = "quality", text: str = "text", key: str = "doc_id", rows: int = LEARN_ROWS) -> FactorisationMachine:
     """Fit on at most ``rows`` labelled documents, those with the smallest hash of the key; ``learnable`` is a condition on ``key``.
 
-    A null text counts as empty; rows without a key or label teach nothing.
+    A null text counts as empty; rows without a key or label teach nothing; an id repeated among labels or documents counts as often as
+    it stands there, within the bound; other columns are not read; without rows the machine knows the smoothed rate only.
     """
-    sample = bounded_labelled(docs, labels, label, text, key, learnable, rows).orderBy(F.xxhash64("key"), "key", "text")
+    small_batches(docs.sparkSession)
+    sample = bounded_labelled(docs, labels, label, text, key, learnable, rows)
     got = sample.drop("key").mapInArrow(_encode, "label int, ids array<int>, vals array<double>").toArrow()
     ids = [np.array(x, int) for x in got.column("ids").to_pylist()]
     return fit(list(zip(ids, [np.array(x) for x in got.column("vals").to_pylist()])), np.array(got.column("label").to_pylist()))
 
 
 def score(docs: DataFrame, model: FactorisationMachine, text: str = "text", keep: list[Column] | None = None) -> DataFrame:
-    """Columns ``keep`` and ``score`` for every row; a null text is scored like an empty one."""
-    held = docs.sparkSession.sparkContext.broadcast(model)
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine, encoder = held.value, Encoder()
-        for batch in batches:
-            scores = pa.array([machine.score(*encoder(t.as_py())) for t in batch.column(0)], pa.float64())
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], scores], [*batch.schema.names[1:], "score"])
-
-    given = docs.select(F.col(text).alias("__text"), *(keep or [F.col("doc_id")]))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema.fields[1:])
-    return given.mapInArrow(rows, f"{fields}, score double")
+    """Columns ``keep`` and ``score`` for every row; a null text is scored like an empty one.
+
+    Whole texts of any length are read; repeated rows are scored alike; an empty table gives an empty one. Other columns are not
+    read; ``keep`` may have no column ``score``.
+    """
+    held, encoder = docs.sparkSession.sparkContext.broadcast(model), Encoder()
+
+    def scores(texts: pa.Array) -> pa.Array:
+        return pa.array([held.value.score(*encoder(t.as_py())) for t in texts], pa.float64())
+
+    small_batches(docs.sparkSession)
+    return docs.select(*(keep or [F.col("doc_id")]), F.arrow_udf(scores, "double")(F.col(text)).alias("score"))

@@ -1,7 +1,8 @@
 """Toxicity: a counterfactually regularised linear classifier.
 
-Logistic regression over hashed words and word beginnings. For each learnt text that names an identity group, a counterfactual
-text names another group instead; the loss adds the squared change of the score, so that a mere mention moves no score.
+Logistic regression over hashed words and word beginnings. Each learnt sentence has counterfactuals: where it names an identity group,
+the terms are swapped for every other one of their group; where it names none, each term of one group is put into it. The loss adds
+the squared changes of the score, so that a mere mention moves no score.
 """
 
 from __future__ import annotations
@@ -16,7 +17,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Groups of terms that may stand for each other (a parameter: pass other lists for other languages).
+from .common import small_batches
+
+#: Groups of terms that may stand for each other, in English, German, French and Spanish (a parameter: pass other lists).
 IDENTITY_TERMS: tuple[tuple[str, ...], ...] = (
     ("women", "men", "girls", "boys", "transgender"),
     ("woman", "man", "girl", "boy"),
@@ -26,6 +29,21 @@ IDENTITY_TERMS: tuple[tuple[str, ...], ...] = (
     ("gay", "straight", "lesbian", "bisexual"),
     ("immigrants", "refugees", "natives", "foreigners"),
     ("disabled", "blind", "deaf", "autistic"),
+    ("frauen", "männer", "mädchen", "jungen"),
+    ("muslime", "christen", "juden", "atheisten"),
+    ("schwarze", "weiße", "araber", "asiaten"),
+    ("einwanderer", "flüchtlinge", "ausländer"),
+    ("schwule", "lesben", "bisexuelle"),
+    ("femmes", "hommes", "filles", "garçons"),
+    ("musulmans", "chrétiens", "juifs", "athées"),
+    ("noirs", "blancs", "arabes", "asiatiques"),
+    ("immigrés", "réfugiés", "étrangers"),
+    ("homosexuels", "lesbiennes", "bisexuels"),
+    ("mujeres", "hombres", "niñas", "niños"),
+    ("musulmanes", "cristianos", "judíos", "ateos"),
+    ("negros", "blancos", "árabes", "asiáticos"),
+    ("inmigrantes", "refugiados", "extranjeros"),
+    ("homosexuales", "lesbianas", "bisexuales"),
 )
 #: Labelled documents that the classifier learns from, at most; the ones with the smallest hash of the key are taken.
 LEARN_ROWS = 8000
@@ -34,6 +52,9 @@ SPACE, BEGINNINGS, PENALTY = 1 << 20, (3, 4, 5), 4.0
 #: A feature is kept if it is in so many learnt texts, and its rates in the two classes differ by so many deviations and times.
 LEAST_TEXTS, LEAST_Z, LEAST_RATIO = 4, 3.5, 3.0
 
+#: Words whose features a worker remembers.
+KNOWN_WORDS = 100_000
+
 WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -53,13 +74,31 @@ def words_of(text: str | None) -> set[str]:
     return set(WORD.findall((text or "").lower()))
 
 
-def counterfactual(words: set[str], groups: tuple[tuple[str, ...], ...]) -> set[str] | None:
-    """The words with each identity term replaced by the next one of its group; None if there is no such term."""
-    swap = {term: group[(i + 1) % len(group)] for group in groups for i, term in enumerate(group)}
+def counterfactual(words: set[str], groups: tuple[tuple[str, ...], ...], by: int = 1) -> set[str] | None:
+    """The words with each identity term replaced by the one ``by`` places on in its group; None if there is no such term."""
+    swap = {term: group[(i + by) % len(group)] for group in groups for i, term in enumerate(group)}
     found = words & swap.keys()
     return (words - found) | {swap[w] for w in found} if found else None
 
 
+def changes(words: set[str], groups: tuple[tuple[str, ...], ...]) -> list[tuple[list[int], list[int]]]:
+    """(features added, features removed) by each counterfactual of a text: all swaps, or without a term all mentions of one group."""
+    if not groups:
+        return []
+    swaps = [counterfactual(words, groups, by) for by in range(1, max(map(len, groups)))]
+    others = [x for x in swaps if x is not None and x != words]
+    if not others and swaps[0] is None:
+        group = groups[crc32(" ".join(sorted(words)).encode("utf-8", "replace")) % len(groups)]
+        others = [words | {term} for term in group]
+    gone_or_new = [(o - words, words - o) for o in others]
+    own = features(words) if others else set()
+    out = []
+    for (new, gone), other in zip(gone_or_new, others):
+        left = features(other) if gone else own | features(new)
+        out.append((sorted(left - own), sorted(own - left)))
+    return out
+
+
 @dataclass
 class ToxicityModel:
     """Weights of the kept features, by hash, and the intercept."""
@@ -75,7 +114,7 @@ class ToxicityModel:
         def hits(word: str) -> list[int]:
             ids = [feature(0, word), *(feature(n, word[:n]) for n in BEGINNINGS if len(word) >= n)]
             out = [i for i in ids if i in weights]
-            if len(known[0]) > 400_000:
+            if len(known[0]) > KNOWN_WORDS:
                 known[0] = {}
             known[0][word] = out
             return out
@@ -94,10 +133,11 @@ class ToxicityModel:
         return score
 
 
-def fit(texts: list[np.ndarray], swapped: list[np.ndarray | None], labels: np.ndarray, penalty: float = PENALTY, steps: int = 400, keep: frozenset[int] = frozenset()) -> ToxicityModel:
+def fit(texts: list[np.ndarray], swapped: list, labels: np.ndarray, penalty: float = PENALTY, steps: int = 400, keep: frozenset[int] = frozenset()) -> ToxicityModel:
     """Learn from feature arrays, their counterfactuals and 0/1 labels. ``keep``: features kept whatever their rates.
 
-    With no row, or one class only, the model is the intercept of the smoothed rate.
+    ``swapped`` has for each text the features of a counterfactual, or a list of (added, removed) features, or None. With no row, or
+    one class only, the model is the intercept of the smoothed rate.
     """
     y = np.asarray(labels, float)
     rate = (y.sum() + 0.5) / (len(y) + 1)
@@ -120,21 +160,25 @@ def fit(texts: list[np.ndarray], swapped: list[np.ndarray | None], labels: np.nd
         return np.repeat(np.arange(len(rows)), [len(c) for c in cols]), np.concatenate([np.zeros(0, int), *cols]).astype(int)
 
     row, col = matrix(texts)
-    paired = np.flatnonzero([s is not None for s in swapped])
-    crow, ccol = matrix([swapped[i] for i in paired])
+    pairs = [(i, np.asarray(new, int), np.asarray(gone, int)) for i, s in enumerate(swapped) if s is not None for new, gone in (s if isinstance(s, list) else [(np.setdiff1d(s, texts[i]), np.setdiff1d(texts[i], s))])]
+    paired = np.array([i for i, _, _ in pairs], int)
+    nrow, ncol = matrix([new for _, new, _ in pairs])
+    grow, gcol = matrix([gone for _, _, gone in pairs])
+    crow, ccol, sign = np.concatenate([nrow, grow]), np.concatenate([ncol, gcol]), np.concatenate([np.ones(len(nrow)), -np.ones(len(grow))])
     w, b = np.zeros(len(kept)), intercept
     m, v = np.zeros(len(kept) + 1), np.zeros(len(kept) + 1)
     for t in range(1, steps + 1):
-        s = 1 / (1 + np.exp(-np.clip(np.bincount(row, w[col], len(y)) + b, -40, 40)))
+        z = np.bincount(row, w[col], len(y)) + b
+        s = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
         err = (s - y) / len(y)
+        own = np.zeros(len(kept))
         if len(paired):
-            c = 1 / (1 + np.exp(-np.clip(np.bincount(crow, w[ccol], len(paired)) + b, -40, 40)))
+            c = 1 / (1 + np.exp(-np.clip(z[paired] + np.bincount(crow, sign * w[ccol], len(paired)), -40, 40)))
             gap = 2 * penalty * (s[paired] - c) / len(paired)
-            err[paired] += gap * s[paired] * (1 - s[paired])
             cerr = -gap * c * (1 - c)
-        else:
-            cerr = np.zeros(0)
-        grad = np.append(np.bincount(col, err[row], len(kept)) + np.bincount(ccol, cerr[crow], len(kept)) + 1e-5 * w, err.sum() + cerr.sum())
+            err += np.bincount(paired, gap * s[paired] * (1 - s[paired]) + cerr, len(y))
+            own = np.bincount(ccol, sign * cerr[crow], len(kept))
+        grad = np.append(np.bincount(col, err[row], len(kept)) + own + 1e-5 * w, err.sum())
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
         step = 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-9)
         w, b = w - step[:-1], b - step[-1]
@@ -142,51 +186,59 @@ def fit(texts: list[np.ndarray], swapped: list[np.ndarray | None], labels: np.nd
 
 
 def _learnt(groups: tuple[tuple[str, ...], ...]):
+    lists = pa.list_(pa.list_(pa.int32()))
+
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own, other = [], []
-            for t in batch.column("text"):
-                words = words_of(t.as_py())
-                own.append(sorted(features(words)))
-                cf = counterfactual(words, groups)
-                other.append(None if cf is None else sorted(features(cf)))
-            yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(own, pa.list_(pa.int32())), pa.array(other, pa.list_(pa.int32()))], ["label", "own", "other"])
+            words = [words_of(t.as_py()) for t in batch.column("text")]
+            own = [sorted(features(w)) for w in words]
+            other = [changes(w, groups) for w in words]
+            columns = [pa.array(own, pa.list_(pa.int32())), *(pa.array([[c[k] for c in o] for o in other], lists) for k in (0, 1))]
+            yield pa.RecordBatch.from_arrays([batch.column("label"), *columns], ["label", "own", "added", "removed"])
 
     return rows
 
 
 def bounded_labelled(docs: DataFrame, labels: DataFrame, label: str, text: str, key: str, learnable: Column | None, rows: int) -> DataFrame:
-    """(key, text, label) of ``rows`` labelled documents at most, those with the smallest hash of the key."""
+    """(key, text, label) of ``rows`` labelled documents at most, those with the smallest hash of the key, in that order.
+
+    The bound holds however often an id is repeated, among labels or documents.
+    """
     chosen = labels.select(F.col(key).alias("key"), F.col(label).cast("int").alias("label")).filter("key is not null and label is not null")
     if learnable is not None:
         chosen = chosen.filter(learnable)
     chosen = chosen.orderBy(F.xxhash64(F.lit(label), "key"), "key", "label").limit(rows)
-    return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(F.broadcast(chosen), "key")
+    found = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(F.broadcast(chosen), "key")
+    return found.orderBy(F.xxhash64("key"), "key", F.xxhash64("text"), "label").limit(rows)
 
 
 def learn(docs: DataFrame, labels: DataFrame, learnable: Column | None = None, label: str = "toxic", text: str = "text", key: str = "doc_id", rows: int = LEARN_ROWS, groups: tuple[tuple[str, ...], ...] = IDENTITY_TERMS, penalty: float = PENALTY) -> ToxicityModel:
     """Fit on at most ``rows`` labelled documents; ``learnable`` is a condition on the column ``key``.
 
-    A null text counts as empty; rows without a key or label teach nothing; repeated rows count as often as they stand there.
+    A null text counts as empty; rows without a key or label teach nothing; repeated rows count as often as they stand there; other
+    columns are not read; without rows the model knows the smoothed rate only.
     """
-    sample = bounded_labelled(docs, labels, label, text, key, learnable, rows).orderBy(F.xxhash64("key"), "key", "text")
-    got = sample.drop("key").mapInArrow(_learnt(groups), "label int, own array<int>, other array<int>").toArrow()
+    small_batches(docs.sparkSession)
+    sample = bounded_labelled(docs, labels, label, text, key, learnable, rows)
+    got = sample.drop("key").mapInArrow(_learnt(groups), "label int, own array<int>, added array<array<int>>, removed array<array<int>>").toArrow()
     own = [np.array(x, int) for x in got.column("own").to_pylist()]
-    other = [None if x is None else np.array(x, int) for x in got.column("other").to_pylist()]
-    identity = frozenset(feature(0, w) for group in groups for w in group) if any(x is not None for x in other) else frozenset()
+    other = [list(zip(a, r)) for a, r in zip(got.column("added").to_pylist(), got.column("removed").to_pylist())]
+    identity = frozenset(feature(0, w) for group in groups for w in group)
     return fit(own, other, np.array(got.column("label").to_pylist()), penalty, keep=identity)
 
 
 def score(docs: DataFrame, model: ToxicityModel, text: str = "text", keep: list[Column] | None = None) -> DataFrame:
-    """Columns ``keep`` and ``score`` for every row; a null or empty text gets the score of no feature."""
-    held = docs.sparkSession.sparkContext.broadcast(model)
+    """Columns ``keep`` and ``score`` for every row; a null or empty text gets the score of no feature.
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one = held.value.scorer()
-        for batch in batches:
-            scores = pa.array([one(t.as_py()) for t in batch.column(0)], pa.float64())
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], scores], [*batch.schema.names[1:], "score"])
+    Whole texts of any length are read; repeated rows are scored alike; an empty table gives an empty one. Other columns are not
+    read; ``keep`` may have no column ``score``.
+    """
+    held, one = docs.sparkSession.sparkContext.broadcast(model), []
+
+    def scores(texts: pa.Array) -> pa.Array:
+        if not one:
+            one.append(held.value.scorer())
+        return pa.array([one[0](t.as_py()) for t in texts], pa.float64())
 
-    given = docs.select(F.col(text).alias("__text"), *(keep or [F.col("doc_id")]))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema.fields[1:])
-    return given.mapInArrow(rows, f"{fields}, score double")
+    small_batches(docs.sparkSession)
+    return docs.select(*(keep or [F.col("doc_id")]), F.arrow_udf(scores, "double")(F.col(text)).alias("score"))

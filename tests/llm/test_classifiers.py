@@ -39,6 +39,61 @@ def test_counterfactual_swaps_within_a_group():
     assert toxicity.counterfactual({"the"}, toxicity.IDENTITY_TERMS) is None
 
 
+def test_all_swaps_of_a_group_or_all_mentions_of_one():
+    groups = (("a", "b", "c"), ("x", "y"))
+    whole = lambda w: {toxicity.feature(0, w)}
+    assert toxicity.changes({"see", "a"}, groups) == [(sorted(whole("b")), sorted(whole("a"))), (sorted(whole("c")), sorted(whole("a")))]
+    mentions = toxicity.changes({"see"}, groups)
+    assert mentions in ([(sorted(whole(t)), []) for t in group] for group in groups)
+    assert toxicity.changes({"see"}, ()) == []
+
+
+def test_penalty_against_a_brute_force_descent():
+    """The same loss with dense arrays and a numerical gradient at the solution: no direction improves it."""
+    rng = np.random.default_rng(3)
+    texts = [" ".join(rng.choice([f"v{i}" for i in range(12)], 5)) + (" idiot" if k % 3 == 0 else "") + (" women" if k % 2 else "") for k in range(60)]
+    labels = np.array([k % 3 == 0 for k in range(60)], float)
+    words = [toxicity.words_of(t) for t in texts]
+    own = [np.array(sorted(toxicity.features(w))) for w in words]
+    other = [toxicity.changes(w, toxicity.IDENTITY_TERMS) for w in words]
+    keep = frozenset(toxicity.feature(0, w) for g in toxicity.IDENTITY_TERMS for w in g)
+    model = toxicity.fit(own, other, labels, 4.0, steps=3000, keep=keep)
+
+    def loss(weights, b):
+        z = lambda ids: b + sum(weights.get(int(i), 0.0) for i in ids)
+        s = lambda ids: 1 / (1 + np.exp(-z(ids)))
+        fit = -np.mean([np.log(s(t) if y else 1 - s(t)) for t, y in zip(own, labels)])
+        gaps = [(s(t) - s(set(t.tolist()) - set(gone) | set(new))) ** 2 for t, o in zip(own, other) for new, gone in o]
+        return fit + 4.0 * np.mean(gaps) + 0.5e-5 * sum(w * w for w in weights.values())
+
+    best = loss(model.weights, model.intercept)
+    for step in (0.05, -0.05):
+        assert loss(model.weights, model.intercept + step) > best - 1e-6
+        for i in list(model.weights)[:: max(1, len(model.weights) // 12)]:
+            assert loss(model.weights | {i: model.weights[i] + step}, model.intercept) > best - 1e-6
+
+
+def test_the_penalty_acts_on_the_query(spark, sf_dir):
+    """On the given tables: weights differ, and neutral mentions change scores less."""
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    learn = lambda penalty: toxicity.learn(docs, labels, queries.remainder(F.col("key"), 4) != 2, penalty=penalty)
+    plain, fair = learn(0.0), learn(toxicity.PENALTY)
+    assert plain.weights != fair.weights
+    texts = [r["text"] for r in docs.limit(200).collect()]
+    terms = [t for group in toxicity.IDENTITY_TERMS for t in group]
+    moved = {}
+    for name, model in (("plain", plain), ("fair", fair)):
+        score = model.scorer()
+        moved[name] = np.mean([abs(score(f"{t} {term}") - score(t)) for k, t in enumerate(texts) for term in terms[k % 7 :: 7]])
+    assert moved["fair"] < moved["plain"]
+
+
+def test_an_id_repeated_among_labels_and_documents_stays_within_the_bound(spark):
+    docs = spark.createDataFrame([(1, f"t{i}") for i in range(50)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, i % 2) for i in range(50)], "doc_id long, toxic int")
+    assert toxicity.bounded_labelled(docs, labels, "toxic", "text", "doc_id", None, 20).count() == 20
+
+
 @pytest.mark.parametrize("labels", [[], [1, 1], [0]])
 def test_one_class_or_none(labels):
     rows = arrays(*["a b"] * len(labels))
