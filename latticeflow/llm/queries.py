@@ -21,7 +21,7 @@ def toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repetition.repetition(table(spark, sf_dir, "documents")).drop("longest_repeat")
+    return repetition.repetition(table(spark, sf_dir, "documents"))
 
 
 def benchmark_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -119,17 +119,22 @@ from o x join o y on x.pair_id = y.pair_id and x.side = 'a' and y.side = 'b'
 """
 
 
-#: Repeats of k words or more cover what windows of k words found twice cover; a longest repeat over 200 has such a window of 201.
+#: Repeats of k words or more cover what windows of k words found twice cover. The longest repeat: places of equal windows of three
+#: words at equal distances one after the other; without such windows, whether two or one words are found twice.
 OP2_SQL = r"""
 with d as (select row_number() over () as uid, doc_id, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
-g as (select uid, k, i, md5(array_to_string(w[i : i + k - 1], ' ')) as s from (select uid, w, k, unnest(range(1, greatest(len(w) - k + 1, 0) + 1)) as i from d, (values (3), (8), (201)) v(k))),
-r as (select uid, k, i from (select uid, k, i, count(*) over (partition by uid, k, s) as n from g) where n > 1),
+g as (select uid, k, i, md5(array_to_string(w[i : i + k - 1], ' ')) as s from (select uid, w, k, unnest(range(1, greatest(len(w) - k + 1, 0) + 1)) as i from d, (values (1), (2), (3), (8)) v(k))),
+r as (select uid, k, i, s from (select uid, k, i, s, count(*) over (partition by uid, k, s) as n from g) where n > 1),
 c as (select uid, k, count(distinct p) as n from (select uid, k, unnest(range(i, i + k)) as p from r) group by uid, k),
+e as (select a.uid, a.i, b.i - a.i as gap from r a join r b on a.uid = b.uid and a.s = b.s and a.k = 3 and b.k = 3 and a.i < b.i),
+f as (select uid, gap, i - row_number() over (partition by uid, gap order by i) as island from e),
+x as (select uid, max(n) + 2 as n from (select uid, gap, island, count(*) as n from f group by uid, gap, island) group by uid),
+y as (select uid, max(k) as n from r where k < 3 group by uid),
 l as (select uid, count(*) - count(distinct x) as n from (select uid, unnest(string_split(t, chr(10))) as x from d) where regexp_matches(x, '[^\x20\x09-\x0D]') group by uid),
-m as (select d.doc_id, len(w) as n_words, cast(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) as bigint) as word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) as n_symbols, coalesce(l.n, 0) as n_dup_lines, coalesce(c3.n, 0) as n_repeat_words, coalesce(c8.n, 0) as covered_words, c201.n is not null as long_repeat
-  from d left join l using (uid) left join c c3 on c3.uid = d.uid and c3.k = 3 left join c c8 on c8.uid = d.uid and c8.k = 8 left join c c201 on c201.uid = d.uid and c201.k = 201)
-select doc_id, cast(n_words as bigint) as n_words, word_chars, cast(n_symbols as bigint) as n_symbols, cast(n_dup_lines as bigint) as n_dup_lines, cast(n_repeat_words as bigint) as n_repeat_words, cast(covered_words as bigint) as covered_words,
-  n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed, not (n_words < 50 or 100 * n_repeat_words > 50 * n_words) and covered_words <= 0.4 * n_words and not long_repeat as kept from m
+m as (select d.doc_id, len(w) as n_words, cast(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) as bigint) as word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) as n_symbols, coalesce(l.n, 0) as n_dup_lines, coalesce(c3.n, 0) as n_repeat_words, coalesce(c8.n, 0) as covered_words, coalesce(x.n, y.n, 0) as longest_repeat
+  from d left join l using (uid) left join c c3 on c3.uid = d.uid and c3.k = 3 left join c c8 on c8.uid = d.uid and c8.k = 8 left join x on x.uid = d.uid left join y on y.uid = d.uid)
+select doc_id, cast(n_words as bigint) as n_words, word_chars, cast(n_symbols as bigint) as n_symbols, cast(n_dup_lines as bigint) as n_dup_lines, cast(n_repeat_words as bigint) as n_repeat_words, cast(covered_words as bigint) as covered_words, cast(longest_repeat as bigint) as longest_repeat,
+  n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed, not (n_words < 50 or 100 * n_repeat_words > 50 * n_words) and covered_words <= 0.25 * n_words and longest_repeat <= 50 as kept from m
 """
 
 

@@ -8,7 +8,6 @@ gives the covered share, the longest interval value gives the longest repeat.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -16,8 +15,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 #: Words a repeat needs to count as covering; share of words that repeats may cover; words of the longest repeat allowed.
-LEAST_WORDS, MOST_COVERED, LONGEST_REPEAT = 8, 0.4, 200
+#: The share is the largest one tried at which the labelled documents rejected beyond the base rules are of bad quality twice as often
+#: as the others; 50 words is a passage.
+LEAST_WORDS, MOST_COVERED, LONGEST_REPEAT = 8, 0.25, 50
 #: Words sorted at once in a worker (a longer text is sorted alone).
 BLOCK_WORDS = 400_000
 SPACES = b" \t\n\x0b\x0c\r"
@@ -124,27 +127,26 @@ def repetition(docs: DataFrame, text: str = "text", keep: list[Column] | None =
     """Per row: ``keep``, the base counts, ``covered_words``, ``longest_repeat``, ``base_failed`` and ``kept``.
 
     Words are runs of anything but ASCII white space. A null or empty text has no words and fails the base rules. Repeated rows
-    are judged each on their own; other columns are not read, so their names may clash with the results'.
+    are judged each on their own; whole texts of any length are read; an empty table gives an empty one. Other columns are not read,
+    so their names may clash with the results'; ``keep`` may have none of the results' names.
     """
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            kept, texts = batch.columns[1:], batch.column(0)
-            size = 0
-            parts: list[dict[str, np.ndarray]] = []
-            block: list[str | None] = []
-            for t in texts:
-                block.append(t.as_py())
-                size += len(block[-1] or "") // 5
-                if size >= BLOCK_WORDS:
-                    parts.append(measure(block, least))
-                    block, size = [], 0
-            parts.append(measure(block, least))
-            yield pa.RecordBatch.from_arrays([*kept, *(pa.array(np.concatenate([p[f] for p in parts])) for f in FIELDS)], [*batch.schema.names[1:], *FIELDS])
-
-    given = docs.select(F.col(text).alias("__text"), *(keep or [F.col("doc_id")]))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema.fields[1:])
-    out = given.mapInArrow(rows, f"{fields}, " + ", ".join(f"{f} long" for f in FIELDS))
+    def rows(texts: pa.Array) -> pa.Array:
+        size, parts, block = 0, [], []
+        for t in texts:
+            block.append(t.as_py())
+            size += len(block[-1] or "") // 5
+            if size >= BLOCK_WORDS:
+                parts.append(measure(block, least))
+                block, size = [], 0
+        parts.append(measure(block, least))
+        return pa.StructArray.from_arrays([pa.array(np.concatenate([p[f] for p in parts])) for f in FIELDS], list(FIELDS))
+
+    small_batches(docs.sparkSession)
+    own = keep or [F.col("doc_id")]
+    names = docs.select(*own).columns
+    measured = docs.select(*own, F.arrow_udf(rows, ", ".join(f"{f} long" for f in FIELDS))(F.col(text)).alias("__measures"))
+    out = measured.select(*(F.col(f"`{n}`") for n in names), "__measures.*")
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     fine = (F.col("covered_words") <= F.lit(most_covered) * F.col("n_words")) & (F.col("longest_repeat") <= longest)
     return out.withColumn("base_failed", failed).withColumn("kept", ~failed & fine)

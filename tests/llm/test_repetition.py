@@ -46,15 +46,19 @@ def test_blocks_do_not_matter(spark, monkeypatch):
     assert [tuple(r[f] for f in R.FIELDS) for r in rows] == [brute(t, R.LEAST_WORDS) for t in texts]
     for r in rows:
         assert r["base_failed"] == (r["n_words"] < 50 or 100 * r["n_repeat_words"] > 50 * r["n_words"])
-        assert r["kept"] == (not r["base_failed"] and r["covered_words"] <= 0.4 * r["n_words"] and r["longest_repeat"] <= 200)
+        assert r["kept"] == (not r["base_failed"] and r["covered_words"] <= R.MOST_COVERED * r["n_words"] and r["longest_repeat"] <= R.LONGEST_REPEAT)
 
 
 def test_limits_reject(spark):
     rng = random.Random(1)
     text = lambda n: " ".join(f"u{rng.random()}" for _ in range(n))
-    p, q = text(25), text(201)
-    df = spark.createDataFrame([(1, text(60)), (2, f"{p} {text(40)} {p}"), (3, f"{q} {text(900)} {q}"), (4, f"{text(100)} {p} {text(100)} {p}")], "doc_id long, text string")
-    assert {r["doc_id"]: r["kept"] for r in R.repetition(df).collect()} == {1: True, 2: False, 3: False, 4: True}
+    p, q = text(25), text(51)
+    pasted = text(190)
+    rows = [(1, text(60)), (2, f"{p} {text(40)} {p}"), (3, f"{q} {text(900)} {q}"), (4, f"{text(100)} {p} {text(100)} {p}"), (5, " ".join(f"{text(310)} {pasted}" for _ in range(4))), (6, f"{text(100)} {p} {text(180)} {p} {p}")]
+    got = {r["doc_id"]: (r["kept"], r["base_failed"]) for r in R.repetition(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: (True, False), 2: (False, True), 3: (False, False), 4: (True, False), 5: (False, False), 6: (True, False)}
+    strict = {r["doc_id"]: r["kept"] for r in R.repetition(spark.createDataFrame(rows, "doc_id long, text string"), most_covered=0.1, longest=20).collect()}
+    assert strict == {1: True, 2: False, 3: False, 4: False, 5: False, 6: False}
 
 
 def test_empty_table(spark):
