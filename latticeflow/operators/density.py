@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import cut, join_checked
 from . import ordered
 
 
@@ -52,13 +53,16 @@ def quota_keep(df: DataFrame, quotas: DataFrame, cells: list[str], groups: list[
 
     The target is raised to the size of the floor. Adds ``keep_stage``: floor, quota or fill.
     """
-    ranked = df.withColumn("__floor", F.row_number().over(ordered.over(groups, order)) == 1).join(quotas.select(*cells, "quota"), cells, "left")
-    floors = F.sum(F.col("__floor").cast("long")).over(Window.partitionBy(*cells))
-    rest = F.row_number().over(ordered.over([*cells, "__floor"], order))
-    staged = ranked.withColumn("__q", ~F.col("__floor") & (rest <= F.greatest(F.lit(0), F.coalesce("quota", F.lit(0)) - floors)))
-    staged = staged.withColumn("keep_stage", F.when(F.col("__floor"), "floor").when(F.col("__q"), "quota"))
-    kept = staged.filter("keep_stage is not null").drop("__floor", "__q", "quota")
-    # The fill needs a global order, but no more than `target` rows of it: a bounded top-k, not a sort in one task.
+    heads = ordered.first_of_group(df.select(*df.columns), groups, order).withColumn("__floor", F.lit(True))
+    marked = df.withColumn("__floor", F.lit(False)).exceptAll(heads.withColumn("__floor", F.lit(False))).unionByName(heads)
+    held = cut(quotas.select(*cells, "quota"), "quotas")
+    floors = heads.groupBy(*cells).agg(F.count(F.lit(1)).alias("__floors"))
+    bounds = cut(held.join(floors, cells, "left").select(*cells, F.greatest(F.lit(0), F.coalesce("quota", F.lit(0)) - F.coalesce("__floors", F.lit(0))).alias("__room")), "bounds")
+    placed = ordered.ranked(marked, [*cells, "__floor"], order, "__n")
+    staged = join_checked(placed, bounds, cells, "left", bounds.count())
+    staged = staged.withColumn("keep_stage", F.when(F.col("__floor"), "floor").when(F.col("__n") <= F.coalesce("__room", F.lit(0)), "quota")).select(*df.columns, "keep_stage")
+    staged = cut(staged, "staged")
+    kept = staged.filter("keep_stage is not null")
     more = max(0, target - kept.count())
-    fill = staged.filter("keep_stage is null").orderBy(*order).limit(more).withColumn("keep_stage", F.lit("fill")).drop("__floor", "__q", "quota")
-    return kept.unionByName(fill)
+    rest = ordered.ranked(staged.filter("keep_stage is null"), [], order, "__n").filter(F.col("__n") <= more)
+    return kept.unionByName(rest.withColumn("keep_stage", F.lit("fill")).select(*kept.columns))

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..storage import cut, join_checked, join_counted
 
 
 def over(keys: list[str], order: list[Column]):
@@ -22,14 +23,39 @@ def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int, rank: str
     return df.withColumn(rank, F.row_number().over(over(keys, order))).filter(F.col(rank) <= k)
 
 
+def running(df: DataFrame, keys: list[str], order: list[Column], weight: Column, name: str) -> DataFrame:
+    """The running sum of ``weight`` up to and with each row of its group, however large a group is.
+
+    Rows are dealt by ranges of group and order, so a large group lies in many parts; sums are taken inside each part, and the sum of
+    a group's earlier parts is added. A part begins inside one group at most, so what is added has a row a part, and is broadcast.
+    """
+    dealt = df.withColumn("__w", weight.cast("long"))
+    dealt = cut(dealt.repartitionByRange(*(F.col(f"`{k}`") for k in keys), *order).withColumn("__part", F.spark_partition_id()), "dealt")
+    local = dealt.withColumn(name, F.sum("__w").over(Window.partitionBy("__part", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
+    sums = dealt.groupBy("__part", *keys).agg(F.sum("__w").alias("__w"))
+    before = F.sum("__w").over(Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
+    added = sums.select(F.col("__part").alias("__later"), *(F.col(f"`{k}`").alias(f"__k{i}") for i, k in enumerate(keys)), before.alias("__before")).filter("__before is not null")
+    same = reduce(lambda a, b: a & b, (F.col(f"`{k}`").eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)), F.col("__part") == F.col("__later"))
+    whole = local.join(F.broadcast(added), same, "left").withColumn(name, F.col(name) + F.coalesce("__before", F.lit(0)))
+    return whole.select(*df.columns, name)
+
+
+def ranked(df: DataFrame, keys: list[str], order: list[Column], name: str = "rank") -> DataFrame:
+    """Each row's place in its group, from 1, as ``running``: for groups of any size of which all rows are wanted."""
+    return running(df, keys, order, F.lit(1), name)
+
+
 def first_of_group(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     return top_k(df, keys, order, 1, "__rank").drop("__rank")
 
 
 def with_share(df: DataFrame, keys: list[str], weight: Column, name: str) -> DataFrame:
-    """Each row's share of its group's total weight; 0 in a group without weight."""
-    total = F.sum(weight).over(Window.partitionBy(*keys))
-    return df.withColumn(name, F.when(total > 0, weight / total).otherwise(F.lit(0.0)))
+    """Each row's share of its group's total weight; 0 in a group without weight. Totals are summed before the shuffle, and the rows
+    of large groups are not shuffled to theirs. ``df`` is read three times: pass files."""
+    totals = df.groupBy(*keys).agg(F.sum(weight).alias("__total"), F.count(F.lit(1)).alias("__n"))
+    totals = cut(totals, "totals")
+    shared = join_counted(df, totals, keys, "inner", "__n", int(totals.agg(F.coalesce(F.sum("__n"), F.lit(0))).first()[0]))
+    return shared.select(*df.columns, F.when(F.col("__total") > 0, weight / F.col("__total")).otherwise(F.lit(0.0)).alias(name))
 
 
 def band_quota_backfill(df: DataFrame, keys: list[str], band: str, quotas: dict[str, int], order: list[Column], total: int, rank: str = "rank") -> DataFrame:
@@ -42,47 +68,42 @@ def band_quota_backfill(df: DataFrame, keys: list[str], band: str, quotas: dict[
 
 def capped(df: DataFrame, keys: list[str], order: list[Column], cap: int, reason: str = "group_cap") -> DataFrame:
     """All rows with ``kept`` and, beyond the cap of the group, a ``drop_reason``."""
-    n = F.row_number().over(over(keys, order))
-    return df.withColumn("kept", n <= cap).withColumn("drop_reason", F.when(~F.col("kept"), F.lit(reason)))
+    placed = ranked(df, keys, order, "__n")
+    return placed.withColumn("kept", F.col("__n") <= cap).withColumn("drop_reason", F.when(~F.col("kept"), F.lit(reason))).drop("__n")
 
 
 def take_quota(df: DataFrame, quotas: DataFrame, keys: list[str], order: list[Column], quota: str = "quota") -> DataFrame:
-    """The first rows of each group, as many as the group's quota in ``quotas`` says; none without one."""
-    ranked = df.join(quotas.select(*keys, F.col(quota).alias("__quota")), keys)
-    return ranked.withColumn("__n", F.row_number().over(over(keys, order))).filter("__n <= __quota").drop("__n", "__quota")
+    """The first rows of each group, as many as the group's quota in ``quotas`` (a row a group) says; none without one."""
+    held = quotas.select(*keys, F.col(quota).alias("__quota"))
+    return join_checked(ranked(df, keys, order, "__n"), held, keys, "inner", held.count()).filter("__n <= __quota").select(*df.columns)
 
 
 def thin_to_quota(df: DataFrame, quotas: DataFrame, keys: list[str], protected: Column, order: list[Column], quota: str = "quota") -> DataFrame:
     """Thin each group to the larger of its quota and its number of protected rows, these first; a group without quota stays."""
-    known = df.join(quotas.select(*keys, F.col(quota).alias("__quota")), keys, "left").withColumn("__p", F.coalesce(protected, F.lit(False)))
-    safe = F.sum(F.col("__p").cast("long")).over(Window.partitionBy(*keys))
-    n = F.row_number().over(over(keys, [F.col("__p").desc(), *order]))
-    return known.withColumn("__keep", F.col("__quota").isNull() | (n <= F.greatest(F.col("__quota"), safe))).filter("__keep").drop("__quota", "__p", "__keep")
+    marked = df.withColumn("__p", F.coalesce(protected, F.lit(False)))
+    held = quotas.select(*keys, F.col(quota).alias("__quota"))
+    placed = ranked(marked, keys, [F.col("__p").desc(), *order], "__n")
+    known = join_checked(placed, held, keys, "left", held.count())
+    # Protected rows come first, so one beyond the quota is kept just because it is protected.
+    return known.filter(F.col("__quota").isNull() | F.col("__p") | (F.col("__n") <= F.col("__quota"))).select(*df.columns)
 
 
 def refill(donors: DataFrame, deficits: DataFrame, bin_: str, group: str, used: DataFrame, cap: int, order: list[Column]) -> DataFrame:
     """Donors that fill the bins' deficits, bins in their ``bin_order``, without any group going over ``cap`` rows in all.
 
-    ``used`` (group, n) says what groups have already. The counter runs over bins, so the donors of short bins, a small set by
-    nature, are visited in one ordered pass.
+    ``used`` (group, n) says what groups have already. The bins, cells of a grid, are visited one after the other: of a bin's donors,
+    a group's first ones up to the cap may go, and of these the first ones up to the deficit do.
     """
-    fields = donors.schema
-    ready = donors.join(deficits.select(bin_, "deficit", "bin_order"), bin_).join(used.select(group, F.col("n").alias("__used")), group, "left")
-    rows = ready.withColumn("__used", F.coalesce("__used", F.lit(0))).withColumn("__n", F.row_number().over(over([], [F.col("bin_order"), *order]))).withColumn("__all", F.lit(0))
-
-    def visit(pdf):
-        pdf = pdf.sort_values("__n")
-        left, have, keep = {}, {}, []
-        for i, b, g, d, u in zip(pdf.index, pdf[bin_], pdf[group], pdf["deficit"], pdf["__used"]):
-            left.setdefault(b, d)
-            have.setdefault(g, u)
-            if left[b] > 0 and have[g] < cap:
-                left[b] -= 1
-                have[g] += 1
-                keep.append(i)
-        return pdf.loc[keep, fields.names]
-
-    return rows.groupBy("__all").applyInPandas(visit, fields)
+    short = sorted((r["bin_order"], r[bin_], r["deficit"]) for r in deficits.select(bin_, "bin_order", "deficit").filter("deficit > 0").collect())
+    have, taken = cut(used.select(group, F.col("n").cast("long").alias("__used")), "used"), []
+    for _, name, deficit in short:
+        first = top_k(donors.filter(F.col(bin_) == F.lit(name)), [group], order, cap, "__in_group")
+        free = join_checked(first, have, [group], "left", have.count()).filter(F.coalesce("__used", F.lit(0)) + F.col("__in_group") <= cap)
+        chosen = cut(ranked(free, [], order, "__n").filter(F.col("__n") <= deficit).select(*donors.columns), "refilled")
+        taken.append(chosen)
+        now = have.unionByName(chosen.groupBy(group).agg(F.count(F.lit(1)).alias("__used")))
+        have = cut(now.groupBy(group).agg(F.sum("__used").alias("__used")), "used")
+    return reduce(DataFrame.unionByName, taken) if taken else donors.limit(0)
 
 
 # Frames, prefix sums and runs

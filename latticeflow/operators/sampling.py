@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import cut, join_checked
 from . import ordered
 
 
@@ -67,22 +68,23 @@ def seeded_sample(df: DataFrame, group: str, weight: str, length: str, order: li
 def row_split(df: DataFrame, key: Column, share: float, seed: str = "", names: tuple[str, str] = ("monitor", "main_train")) -> DataFrame:
     """``split``: the rows with the smallest hashes, a ``share`` of all rounded half to even, against the rest.
 
-    The cut is the exact order statistic of the hash, found by counting prefixes, so no task sorts all rows.
+    The cut is the exact order statistic of the hash, found by counting prefixes, four digits a scan, so no task sorts all rows.
+    Rows of one key are not told apart and stay together.
     """
     hashed = df.withColumn("__h", hash_order(key, seed))
     n = round(hashed.count() * share)
-    prefix, bound = "", ""
-    while True:  # descend the hexadecimal digits, with 16 counts a step
-        counts = {r[0]: r[1] for r in hashed.filter(F.col("__h").startswith(prefix)).groupBy(F.substring("__h", len(prefix) + 1, 1)).count().collect()}
-        for digit in "0123456789abcdef":
-            if counts.get(digit, 0) > n:
-                prefix = bound = prefix + digit
+    prefix = bound = ""
+    while n and len(prefix) < 32:
+        counts = hashed.filter(F.col("__h").startswith(prefix)).groupBy(F.substring("__h", len(prefix) + 1, 4).alias("d")).count().collect()
+        for digits, rows in sorted((r["d"], r["count"]) for r in counts):
+            if rows > n:
+                prefix = bound = prefix + digits
                 break
-            n -= counts.get(digit, 0)
+            n -= rows
         else:
             bound = prefix + "g"
             break
-        if not n or len(prefix) == 32:  # rows of one key are not told apart and stay together
+        if not n:
             break
     return hashed.withColumn("split", F.when(F.col("__h") < F.lit(bound), names[0]).otherwise(names[1])).drop("__h")
 
@@ -93,8 +95,10 @@ def group_split(df: DataFrame, group: str, cell: str, share: float, seed: str =
     A group's cell is that of its representative, the least cell by name, so no group is in both parts.
     """
     reps = df.groupBy(group).agg(F.min(cell).alias("__cell"))
-    n = F.count(F.lit(1)).over(Window.partitionBy("__cell"))
-    rank = F.row_number().over(Window.partitionBy("__cell").orderBy(hash_order(F.col(group), seed), group))
-    take = F.least(n, F.greatest(F.lit(1), F.bround(n * F.lit(share)).cast("long")))
-    chosen = reps.select(group, F.when(rank <= take, names[0]).otherwise(names[1]).alias("split"))
-    return df.join(chosen, group)
+    reps = cut(reps, "representatives")
+    sizes = reps.groupBy("__cell").agg(F.count(F.lit(1)).alias("__size"))
+    placed = ordered.ranked(reps, ["__cell"], [hash_order(F.col(group), seed), F.col(group)], "__n")
+    placed = join_checked(placed, sizes, ["__cell"], "inner", sizes.count())
+    take = F.least("__size", F.greatest(F.lit(1), F.bround(F.col("__size") * F.lit(share)).cast("long")))
+    chosen = cut(placed.select(group, F.when(F.col("__n") <= take, names[0]).otherwise(names[1]).alias("split")), "splits")
+    return join_checked(df, chosen, [group], "inner", chosen.count())

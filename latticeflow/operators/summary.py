@@ -4,6 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
+
+from ..storage import cut
+from . import ordered
 
 
 def reason_counts(df: DataFrame, reason: str, passed: str = "passed") -> DataFrame:
@@ -16,16 +20,30 @@ def reason_counts(df: DataFrame, reason: str, passed: str = "passed") -> DataFra
 def numeric_summary(df: DataFrame, columns: list[str], empty_as_zero: bool = False) -> DataFrame:
     """A row a column: n, min, p25, p50, p75, max and mean, with interpolated exact quantiles; non-numbers and nulls are left out.
 
-    Without values the statistics are null, or 0 with ``empty_as_zero``.
+    Equal values are counted before the shuffle, and a quantile is found where the running count over the ordered values passes its
+    place, so no task holds a column's values. Without values the statistics are null, or 0 with ``empty_as_zero``.
     """
-    rows = df.select(F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).cast("string").try_cast("double").alias("v")) for c in columns))).alias("x")).select("x.*")
-    rows = rows.withColumn("v", F.when(~F.isnan("v"), F.col("v")))
-    q = F.percentile("v", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    out = rows.groupBy("column").agg(F.count("v").alias("n"), F.min("v").alias("min"), q.alias("q"), F.max("v").alias("max"), F.avg("v").alias("mean"))
-    out = out.select("column", "n", "min", F.col("q")[0].alias("p25"), F.col("q")[1].alias("p50"), F.col("q")[2].alias("p75"), "max", "mean")
+    number = lambda c: F.col(c).try_cast("double") if isinstance(df.schema[c].dataType, StringType) else F.col(c).cast("double")
+    rows = df.select(F.explode(F.array(*(F.struct(F.lit(c).alias("column"), number(c).alias("v")) for c in columns))).alias("x")).select("x.*")
+    counts = cut(rows.filter("v is not null and not isnan(v)").groupBy("column", "v").agg(F.count(F.lit(1)).alias("n")), "values")
+    totals = counts.groupBy("column").agg(F.sum("n").alias("rows"), F.min("v").alias("min"), F.max("v").alias("max"), (F.sum(F.col("v") * F.col("n")) / F.sum("n")).alias("mean"))
+    passed = ordered.running(counts, ["column"], [F.col("v")], F.col("n"), "upto").join(F.broadcast(totals.select("column", "rows")), "column")
+    # Place q * (rows - 1), counted from 0, lies between two values, each the first one whose running count exceeds its own place.
+    at = lambda q, side: side((F.col("rows") - 1) * F.lit(q))
+    holds = lambda place: (F.col("upto") - F.col("n") <= place) & (place < F.col("upto"))
+    ends = {f"{name}_{side.__name__}": F.max(F.when(holds(at(q, side)), F.col("v"))) for name, q in _QUANTILES.items() for side in (F.floor, F.ceil)}
+    found = passed.groupBy("column").agg(*(c.alias(n) for n, c in ends.items()))
+    every = df.sparkSession.createDataFrame([(c,) for c in columns], "column string")
+    out = every.join(F.broadcast(totals), "column", "left").join(F.broadcast(found), "column", "left")
+    part = lambda q: (F.col("rows") - 1) * F.lit(q) - F.floor((F.col("rows") - 1) * F.lit(q))
+    between = {name: F.col(f"{name}_floor") + part(q) * (F.col(f"{name}_ceil") - F.col(f"{name}_floor")) for name, q in _QUANTILES.items()}
+    out = out.select("column", F.coalesce("rows", F.lit(0)).alias("n"), "min", *(c.alias(name) for name, c in between.items()), "max", "mean")
     return out.fillna(0.0, ["min", "p25", "p50", "p75", "max", "mean"]) if empty_as_zero else out
 
 
+_QUANTILES = {"p25": 0.25, "p50": 0.5, "p75": 0.75}
+
+
 def histogram(df: DataFrame, label: Column, name: str = "label") -> DataFrame:
     return df.groupBy(label.alias(name)).agg(F.count(F.lit(1)).alias("n"))
 

@@ -4,15 +4,22 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators import ordered
+from ..storage import cut
+
 
 def read_jsonl(spark: SparkSession, *paths: str, schema: T.StructType | str | None = None) -> DataFrame:
     """JSON lines of all paths together, columns by name; blank lines do not count. Give a schema to spare the inference."""
     reader = spark.read if schema is None else spark.read.schema(schema)
-    frames = [reader.json(p) for p in paths]
+    return union_by_name(*(reader.json(p) for p in paths))
+
+
+def union_by_name(*frames: DataFrame) -> DataFrame:
+    """All frames together, columns by name; what a frame lacks is null."""
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
@@ -34,11 +41,16 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
     raise ValueError(f"neither JSON lines nor CSV nor Parquet: {path}")
 
 
+def clean_ids(rows: DataFrame, id_: Column, lengths: tuple[int, int] = (4, 4)) -> DataFrame:
+    """The distinct ids (``id``), trimmed and lower-cased, of between ``lengths`` characters."""
+    ids = rows.select(F.lower(F.trim(id_)).alias("id"))
+    return ids.filter(F.length("id").between(*lengths)).distinct()
+
+
 def harvest_ids(spark: SparkSession, folder: str, length: int = 4, pattern: str = "*.csv") -> DataFrame:
     """The distinct ids in the first column of all CSV files: trimmed, lower-cased, of ``length`` characters. Bad lines are skipped."""
     lines = spark.read.option("pathGlobFilter", pattern).text(folder)
-    first = F.lower(F.trim(F.regexp_replace(F.split("value", ",")[0], '^"|"$', "")))
-    return lines.select(first.alias("id")).filter(F.length("id") == length).distinct()
+    return clean_ids(lines, F.regexp_replace(F.trim(F.split("value", ",")[0]), '^"|"$', ""), (length, length))
 
 
 def read_headerless(spark: SparkSession, path: str, names: list[str], sep: str = "\t") -> DataFrame:
@@ -59,8 +71,11 @@ def read_entries(spark: SparkSession, folder: str, names: tuple[str, ...]) -> Da
 
 
 def resolve_paths(rows: DataFrame, present: DataFrame, candidates: list[Column]) -> DataFrame:
-    """Adds ``resolved``: the first candidate name that ``present`` (name) has; null if none is there."""
-    keyed = rows.withColumn("__row", F.monotonically_increasing_id()).withColumn("__c", F.array(*candidates))
+    """Adds ``resolved``: the first candidate name that ``present`` (name) has; null if none is there.
+
+    The numbered rows are written before they are used on two sides, so a row that is computed again keeps its number.
+    """
+    keyed = cut(rows.withColumn("__row", F.monotonically_increasing_id()).withColumn("__c", F.array(*candidates)), "keyed")
     tried = keyed.select("__row", F.posexplode("__c").alias("i", "name")).join(present.select("name").distinct(), "name")
     best = tried.groupBy("__row").agg(F.min_by("name", "i").alias("resolved"))
     return keyed.join(best, "__row", "left").drop("__row", "__c")
@@ -107,10 +122,5 @@ def exactly_one(df: DataFrame, condition: Column) -> DataFrame:
 
 
 def with_row_id(df: DataFrame, order: list[Column], name: str = "row_id") -> DataFrame:
-    """Positions from 0 in a declared order, without one task holding all rows: range partitions, counts, then local positions."""
-    placed = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__m", F.monotonically_increasing_id())
-    part = F.shiftright("__m", 33)
-    sizes = placed.groupBy(part.alias("__p")).agg(F.count(F.lit(1)).alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = sizes.select("__p", before.alias("__s"))
-    return placed.withColumn("__p", part).join(F.broadcast(starts), "__p").withColumn(name, F.col("__s") + F.col("__m").bitwiseAND(F.lit((1 << 33) - 1))).drop("__m", "__p", "__s")
+    """Positions from 0 in a declared order, without one task holding all rows."""
+    return ordered.ranked(df, [], order, name).withColumn(name, F.col(name) - 1)
