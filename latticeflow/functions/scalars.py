@@ -176,19 +176,28 @@ def composite_key(*parts: Column) -> Column:
 
 def group_key(candidates: list[Column], target: Column, task: Column) -> Column:
     """``family:`` with the first usable candidate, else ``target:``, else ``task:``, else ``unknown``; blanks and ``nan`` are not usable."""
-    usable = lambda c: F.when(~F.lower(F.trim(c.cast("string"))).isin("", "nan"), F.trim(c.cast("string")))
+    usable = lambda c: F.when(~F.trim(c.cast("string")).isin("", "nan"), F.trim(c.cast("string")))
     families = [F.concat(F.lit("family:"), usable(c)) for c in candidates]
     return F.coalesce(*families, F.concat(F.lit("target:"), usable(target)), F.concat(F.lit("task:"), usable(task)), F.lit("unknown"))
 
 
+def stripped(text: Column) -> Column:
+    """Without white space at both ends."""
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+
+
 def sanitized(text: Column) -> Column:
-    return F.regexp_replace(text, r"[^A-Za-z0-9_.-]+", "_")
+    """A token for file names: runs of anything but letters, digits, ``.``, ``_`` and ``-`` become ``_``, and such marks at both ends
+    go; ``unknown`` if nothing is left or the text is null."""
+    marked = F.regexp_replace(stripped(text.cast("string")), r"[^A-Za-z0-9._-]+", "_")
+    bare = F.regexp_replace(marked, r"^[._-]+|[._-]+$", "")
+    return F.coalesce(F.nullif(bare, F.lit("")), F.lit("unknown"))
 
 
 def heading(text: Column) -> Column:
-    """Lower case without leading numbering; anything but letters, digits, ``+`` and CJK becomes one space."""
-    bare = F.regexp_replace(F.lower(F.trim(text)), r"^[0-9]+([.][0-9]+)*[.)]?\s+", "")
-    return F.trim(F.regexp_replace(bare, "[^a-z0-9+一-鿿]+", " "))
+    """Lower case without a leading number that a dot or bracket ends; anything but letters, digits and CJK becomes one space."""
+    low = stripped(F.replace(F.lower(F.coalesce(text, F.lit(""))), F.lit("ß"), F.lit("ss")))
+    return F.trim(F.regexp_replace(F.regexp_replace(low, r"^[0-9]+[.)]\s*", ""), "[^a-z0-9一-鿿]+", " "))
 
 
 # Vectors

@@ -62,9 +62,9 @@ def radius_join(left: DataFrame, right: DataFrame, keys: list[str], axes: list[s
     return met.filter(F.col("distance") <= F.lit(radius)).drop(*(f"__c{i}" for i in range(len(axes))))
 
 
-def nearest(pairs: DataFrame, keys: list[str], other: str, distance: str = "distance") -> DataFrame:
-    """Per key, the nearest ``other`` (ties: the least one) and its distance."""
-    m = F.min(F.struct(F.col(distance).alias("d"), F.col(other).alias("o")))
+def nearest(pairs: DataFrame, keys: list[str], other: str, distance: str = "distance", tie: str | None = None) -> DataFrame:
+    """Per key, the nearest ``other`` (ties: by ``tie``, then the least one) and its distance."""
+    m = F.min(F.struct(F.col(distance).alias("d"), (F.col(tie) if tie else F.lit(0)).alias("t"), F.col(other).alias("o")))
     return pairs.groupBy(*keys).agg(m.alias("m")).select(*keys, F.col("m.o").alias("nearest"), F.col("m.d").alias("min_distance"))
 
 
@@ -90,22 +90,47 @@ def distinct_modes(length_difference: Column, first_gap: Column, second_gap: Col
     return (length_difference >= 5) | ((first_gap >= 4) & (second_gap >= 4)) | (iou <= 0.6)
 
 
+def _pieces(df: DataFrame, text: str, keep: list[str], least: float, shorter: bool) -> DataFrame:
+    """Rows ``keep``, __la, __lb, __p, __piece: what a text has in common with any other that it can be alike, as the shorter or the
+    longer one of the two (both, at equal lengths).
+
+    Texts of ``la`` and ``lb >= la`` letters that agree in ``least`` of ``lb`` places differ in at most
+    ``floor((1 - least) * lb) - (lb - la)`` of the first ``la``; cut into one piece more, they share a piece at its place.
+    """
+    n = F.char_length(text)
+    other = F.sequence(n, F.floor(n / F.lit(least) + F.lit(1e-9)).cast("int")) if shorter else F.sequence(F.ceil(n * F.lit(least) - F.lit(1e-9)).cast("int"), n)
+    sized = df.filter(n > 0).select(*keep, F.col(text).alias("__t"), n.alias("__n"), F.explode(other).alias("__o"))
+    la, lb = (F.col("__n"), F.col("__o")) if shorter else (F.col("__o"), F.col("__n"))
+    sized = sized.select(*keep, "__t", la.alias("__la"), lb.alias("__lb")).withColumn("__d", F.floor(F.lit(1 - least) * F.col("__lb") + F.lit(1e-9)).cast("int") - (F.col("__lb") - F.col("__la"))).filter("__d >= 0")
+    cut_ = sized.select("*", F.explode(F.sequence(F.lit(0), F.col("__d"))).alias("__p"))
+    first, last = F.expr("__p * __la div (__d + 1)").cast("int"), F.expr("(__p + 1) * __la div (__d + 1)").cast("int")
+    return cut_.select(*keep, "__la", "__lb", "__p", F.substring(F.col("__t"), first + 1, last - first).alias("__piece"))
+
+
+_PIECE = ["__la", "__lb", "__p", "__piece"]
+
+
 def kmer_conflicts(df: DataFrame, key: str, short: str, long: str, least: float = 0.85, least_ratio: float = 0.70) -> DataFrame:
     """Pairs ``a < b`` whose short sequences share a k-mer (k is 3 up to ten letters, else 4) and whose both sequences are
     identical, position by position, to ``least`` or more.
 
-    Short and long rows with different k never meet. Different short sequences meet once, however many rows have them; lengths are
-    compared before letters.
+    Short and long rows with different k never meet. Alike sequences share a piece at its place, of which there are fewer than of
+    k-mers and which are longer: different short sequences meet by theirs, rows of alike short ones by those of their long ones.
     """
+    least = max(least, least_ratio) if least_ratio > least else least
     texts = df.select(F.col(short).alias("s")).distinct()
-    keyed = texts.withColumn("k", F.when(F.char_length("s") <= 10, 3).otherwise(4)).withColumn("kmer", F.explode(S.kmers(F.col("s"), F.col("k"))))
-    ratio = F.least(F.char_length("as"), F.char_length("bs")) / F.greatest(F.char_length("as"), F.char_length("bs"))
-    met = keyed.withColumnRenamed("s", "as").join(keyed.withColumnRenamed("s", "bs"), ["k", "kmer"]).filter(ratio >= max(least, least_ratio)).select("as", "bs").distinct()
-    alike = met.withColumn("short_identity", S.positional_identity(F.col("as"), F.col("bs"))).filter(F.col("short_identity") >= least)
+    met = _pieces(texts.select("s", F.col("s").alias("as")), "s", ["as"], least, True).join(_pieces(texts.select("s", F.col("s").alias("bs")), "s", ["bs"], least, False), _PIECE).select("as", "bs").distinct()
+    k = lambda c: F.when(F.char_length(c) <= 10, 3).otherwise(4)
+    alike = met.filter(k("as") == k("bs")).withColumn("short_identity", S.positional_identity(F.col("as"), F.col("bs"))).filter(F.col("short_identity") >= least)
+    alike = alike.filter(F.arrays_overlap(S.kmers(F.col("as"), k("as")), S.kmers(F.col("bs"), k("bs"))))
+    # Each alike pair in both orders, so that either of two rows may have the shorter long sequence.
+    alike = alike.unionByName(alike.select(F.col("bs").alias("as"), F.col("as").alias("bs"), "short_identity")).distinct()
     full = df.select(F.col(key).alias("id"), F.col(short).alias("s"), F.col(long).alias("l"))
-    both = alike.join(full.toDF("a", "as", "al"), "as").join(full.toDF("b", "bs", "bl"), "bs").filter("a < b")
-    both = both.filter(S.length_ratio(F.col("al"), F.col("bl")) >= least)
-    scored = both.select("a", "b", "short_identity", S.positional_identity(F.col("al"), F.col("bl")).alias("long_identity"))
+    left = _pieces(full, "l", ["id", "s", "l"], least, True).withColumnsRenamed({"id": "x", "s": "as", "l": "xl"})
+    right = _pieces(full, "l", ["id", "s", "l"], least, False).withColumnsRenamed({"id": "y", "s": "bs", "l": "yl"})
+    both = left.join(alike, "as").join(right, ["bs", *_PIECE]).filter("x <> y")
+    scored = both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "short_identity", "xl", "yl").dropDuplicates(["a", "b"])
+    scored = scored.select("a", "b", "short_identity", S.positional_identity(F.col("xl"), F.col("yl")).alias("long_identity"))
     return scored.filter(F.col("long_identity") >= least)
 
 

@@ -65,6 +65,18 @@ def chain_pairs(atoms: DataFrame, radius: float) -> DataFrame:
     return pairs.join(near, "task_id").select("source_file", F.col("peptide").alias("a"), F.col("receptor").alias("b"), "pair_min_distance")
 
 
+def eligible(near: DataFrame, keys: list[str], item: str, least_contacts: int, least_items: int) -> DataFrame:
+    """Of contact rows, the keys with enough contacts and enough different items in contact: ``contacts`` and ``items``."""
+    counted = near.groupBy(*keys).agg(F.count(F.lit(1)).alias("contacts"), F.count_distinct(item).alias("items"))
+    return counted.filter((F.col("contacts") >= least_contacts) & (F.col("items") >= least_items))
+
+
+def with_masked(pairs: DataFrame, members: DataFrame, keys: list[str], member: str, order: str) -> DataFrame:
+    """Adds ``masked``: the members of the pair's structure but ``a`` and ``b``, in order."""
+    everyone = members.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct(order, member))), lambda x: x[member]).alias("__all"))
+    return pairs.join(everyone, keys).withColumn("masked", F.array_except("__all", F.array("a", "b"))).drop("__all")
+
+
 def directed_tasks(atoms: DataFrame, chain_cutoff: float = 6.0, contact_cutoff: float = 6.0, least_contacts: int = 2, least_residues: int = 8) -> DataFrame:
     """Both directions of each contacting pair whose source chain is long enough and touches with enough residues.
 
@@ -82,11 +94,11 @@ def directed_tasks(atoms: DataFrame, chain_cutoff: float = 6.0, contact_cutoff:
     touched = near.join(both.select("task_id", "source_file", "peptide"), "task_id").join(ids, ["source_file", "peptide", "pep"])
     touched = touched.groupBy("task_id").agg(F.min("d").alias("source_to_receptor_min_distance"), F.count(F.lit(1)).alias("source_contact_residue_count"), F.transform(F.array_sort(F.collect_list(F.struct("pep", "residue_id"))), lambda x: x["residue_id"]).alias("source_contact_residue_ids"))
     of = lambda role: size.select("source_file", F.col("chain_id").alias(role), F.col("n_residues").alias(f"{role}_n_residues"), F.col("n_atoms").alias(f"{role}_n_atoms"))
-    everyone = size.groupBy("source_file").agg(F.transform(F.array_sort(F.collect_list(F.struct("chain_order", "chain_id"))), lambda x: x["chain_id"]).alias("all"))
-    out = both.join(touched, "task_id").join(of("receptor"), ["source_file", "receptor"]).join(of("peptide"), ["source_file", "peptide"]).join(everyone, "source_file")
+    out = both.join(touched, "task_id").join(of("receptor"), ["source_file", "receptor"]).join(of("peptide"), ["source_file", "peptide"])
+    out = with_masked(out, size.select("source_file", "chain_order", "chain_id"), ["source_file"], "chain_id", "chain_order")
     out = out.filter((F.col("peptide_n_residues") >= least_residues) & (F.col("source_contact_residue_count") >= least_contacts))
-    out = out.withColumn("masked_other_chain_ids", F.array_except("all", F.array("a", "b")))
-    return out.withColumn("source_contact_residue_fraction", F.col("source_contact_residue_count") / F.col("peptide_n_residues")).drop("all", "a", "b")
+    out = out.withColumnRenamed("masked", "masked_other_chain_ids")
+    return out.withColumn("source_contact_residue_fraction", F.col("source_contact_residue_count") / F.col("peptide_n_residues")).drop("a", "b")
 
 
 def contact_frame(atoms: DataFrame, res: DataFrame, tasks: DataFrame, radius: float) -> DataFrame:

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import clusters, density, greedy, joins, ordered, quality, retrieval, sampling, summary
+from ..operators import clusters, density, greedy, joins, ordered, quality, retrieval, sampling, structure, summary
+from ..sources import sinks, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -77,8 +78,7 @@ def lenient_cast_coalesce(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("select distinct lower(trim(source)) as id from documents where length(trim(source)) between 4 and 5")
 def id_harvest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ids = t(spark, sf_dir, "documents").select(F.lower(F.trim("source")).alias("id"))
-    return ids.filter(F.length("id").between(4, 5)).distinct()
+    return tables.clean_ids(t(spark, sf_dir, "documents"), F.col("source"), (4, 5))
 
 
 @query("""
@@ -89,9 +89,8 @@ from (select region, a, b, unnest([{'pep': b, 'rec': a}, {'pep': a, 'rec': b}])
 def pair_bidirectional(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = t(spark, sf_dir, "nation").select(F.col("n_regionkey").alias("region"), F.col("n_name").alias("name"))
     both = joins.both_directions(joins.unordered_pairs(n, ["region"], "name"), "a", "b")
-    everyone = n.groupBy("region").agg(F.collect_set("name").alias("names"))  # chains of one structure
-    masked = F.size(F.array_except("names", F.array("peptide", "receptor"))).cast("long")
-    out = both.join(everyone, "region")
+    out = structure.with_masked(both, n.withColumn("place", F.col("name")), ["region"], "name", "place")
+    masked = F.size("masked").cast("long")
     return out.select("region", S.pair_id(F.col("a"), F.col("b")).alias("pair"), S.direction(F.col("peptide"), F.col("receptor")).alias("direction"), "peptide", "receptor", masked.alias("masked"))
 
 
@@ -99,21 +98,22 @@ def pair_bidirectional(spark: SparkSession, sf_dir: str) -> DataFrame:
 select l_suppkey, l_partkey, cast(count(*) as bigint) as contacts, cast(count(distinct l_orderkey) as bigint) as orders
 from lineitem group by all having count(*) >= 3 and count(distinct l_orderkey) >= 2""")
 def directed_eligibility(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = t(spark, sf_dir, "lineitem").groupBy("l_suppkey", "l_partkey").agg(F.count(F.lit(1)).alias("contacts"), F.count_distinct("l_orderkey").alias("orders"))
-    return n.filter("contacts >= 3 and orders >= 2")
+    near = t(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey", "l_orderkey")
+    return structure.eligible(near, ["l_suppkey", "l_partkey"], "l_orderkey", 3, 2).withColumnRenamed("items", "orders")
 
 
 # Spatial and interval joins
 
 
 @query("""
-select a.c_custkey as id, cast(count(b.s_suppkey) as bigint) as near, round(min(abs(a.c_acctbal - b.s_acctbal)), 6) as min_distance,
-  arg_min(b.s_suppkey, abs(a.c_acctbal - b.s_acctbal) * 1000000.0 + b.s_suppkey / 1000000.0) as nearest
-from customer a join supplier b on a.c_nationkey = b.s_nationkey and abs(a.c_acctbal - b.s_acctbal) <= 800 group by 1""")
+with a as (select c_custkey as id, c_nationkey as g, c_acctbal as x, (c_custkey % 10) * 200.0 as y, (c_custkey % 7) * 150.0 as z from customer),
+b as (select s_suppkey as id, s_nationkey as g, s_acctbal as x, (s_suppkey % 10) * 200.0 as y, (s_suppkey % 7) * 150.0 as z from supplier),
+p as (select a.id, b.id as other, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z)) as d from a join b using (g) where d <= 800)
+select id, cast(count(*) as bigint) as near, round(min(d), 6) as min_distance, first(other order by d, other) as nearest from p group by id""")
 def radius_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = t(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("g"), F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("x"))
-    s = t(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("g"), F.col("s_suppkey").alias("id"), F.col("s_acctbal").alias("x"))
-    met = joins.radius_join(c, s, ["g"], ["x"], 800.0)
+    c = t(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("g"), F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("x"), (F.col("c_custkey") % 10 * 200.0).alias("y"), (F.col("c_custkey") % 7 * 150.0).alias("z"))
+    s = t(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("g"), F.col("s_suppkey").alias("id"), F.col("s_acctbal").alias("x"), (F.col("s_suppkey") % 10 * 200.0).alias("y"), (F.col("s_suppkey") % 7 * 150.0).alias("z"))
+    met = joins.radius_join(c, s, ["g"], ["x", "y", "z"], 800.0)
     near = met.groupBy(F.col("l_id").alias("id")).agg(F.count(F.lit(1)).alias("near"))
     best = joins.nearest(met.withColumnRenamed("l_id", "id"), ["id"], "r_id")
     return near.join(best, "id").select("id", "near", r6("min_distance").alias("min_distance"), "nearest")
@@ -126,20 +126,20 @@ select event_id, round(least(coalesce(value - pv, 1e300), coalesce(nv - value, 1
 def nearest_neighbour(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = Window.partitionBy("user_id").orderBy("value", "event_id")
     v = t(spark, sf_dir, "events").select("event_id", "user_id", "value").withColumns({"pi": F.lag("event_id").over(w), "pv": F.lag("value").over(w), "ni": F.lead("event_id").over(w), "nv": F.lead("value").over(w)})
-    down, up = F.col("value") - F.col("pv"), F.col("nv") - F.col("value")
-    nearest = F.when(F.col("pv").isNotNull() & (F.col("nv").isNull() | (down <= up)), F.col("pi")).otherwise(F.col("ni"))
-    return v.filter("pv is not null or nv is not null").select("event_id", r6(F.least(down, up)).alias("distance"), nearest.alias("nearest"))
+    sides = F.array(*(F.struct(F.lit(i).alias("side"), F.col(f"{c}i").alias("other"), F.abs(F.col(f"{c}v") - F.col("value")).alias("distance")) for i, c in enumerate("pn")))
+    pairs = v.select("event_id", F.explode(sides).alias("x")).select("event_id", "x.*").filter("other is not null")
+    return joins.nearest(pairs, ["event_id"], "other", tie="side").select("event_id", r6("min_distance").alias("distance"), "nearest")
 
 
 @query("""
-with w as (select o_custkey as c, o_orderkey as o, min(date_diff('day', timestamp '1990-01-01', l_shipdate)) as lo, max(date_diff('day', timestamp '1990-01-01', l_shipdate)) as hi from orders join lineitem on o_orderkey = l_orderkey group by all),
-p as (select a.c, a.o as a, b.o as b, a.lo as al, a.hi as ah, b.lo as bl, b.hi as bh, greatest(0, least(a.hi, b.hi) - greatest(a.lo, b.lo) + 1) as s from w a join w b on a.c = b.c and a.o < b.o)
+with w as (select o_custkey as c, o_orderkey as o, min(date_diff('day', timestamp '1990-01-01', l_shipdate)) as lo, max(date_diff('day', timestamp '1990-01-01', l_shipdate)) as hi, min(l_quantity) as p, max(l_quantity) as q from orders join lineitem on o_orderkey = l_orderkey group by all),
+p as (select a.c, a.o as a, b.o as b, a.lo as al, a.hi as ah, b.lo as bl, b.hi as bh, abs(a.p - b.p) as dp, abs(a.q - b.q) as dq, greatest(0, least(a.hi, b.hi) - greatest(a.lo, b.lo) + 1) as s from w a join w b on a.c = b.c and a.o < b.o)
 select c as customer, a, b, round(s / cast((ah - al + 1) + (bh - bl + 1) - s as double), 6) as iou from p
-where abs((ah - al) - (bh - bl)) <= 400 and ((al <= bl and ah >= bh) or (bl <= al and bh >= ah) or s / cast((ah - al + 1) + (bh - bl + 1) - s as double) >= 0.8)""")
+where abs((ah - al) - (bh - bl)) <= 400 and dp <= 20 and dq <= 20 and ((al <= bl and ah >= bh) or (bl <= al and bh >= ah) or s / cast((ah - al + 1) + (bh - bl + 1) - s as double) >= 0.8)""")
 def interval_overlap_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     day = F.datediff("l_shipdate", F.lit("1990-01-01").cast("date")).cast("long")
-    w = t(spark, sf_dir, "orders").join(t(spark, sf_dir, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey")).groupBy(F.col("o_custkey").alias("customer"), F.col("o_orderkey").alias("o")).agg(F.min(day).alias("lo"), F.max(day).alias("hi"))
-    return joins.interval_conflicts(w, ["customer"], "o", "lo", "hi", length_gap=400).withColumn("iou", r6("iou"))
+    w = t(spark, sf_dir, "orders").join(t(spark, sf_dir, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey")).groupBy(F.col("o_custkey").alias("customer"), F.col("o_orderkey").alias("o")).agg(F.min(day).alias("lo"), F.max(day).alias("hi"), F.min("l_quantity").alias("p"), F.max("l_quantity").alias("q"))
+    return joins.interval_conflicts(w, ["customer"], "o", "lo", "hi", anchors=("p", "q"), anchor_gap=20, length_gap=400).withColumn("iou", r6("iou"))
 
 
 # Frames, runs, windows
@@ -156,16 +156,17 @@ _BY_TIME = ["ts", "event_id"]
 
 
 @query(f"""
-with e as ({_EVENTS}) select event_id, round(avg(c) over f, 6) as local_avg, round(avg(case when c > 0 then 1.0 else 0.0 end) over f, 6) as local_coverage
+with e as ({_EVENTS}) select event_id, round(avg(c) over f, 6) as local_avg, round(avg(case when c > 0 then 1.0 else 0.0 end) over f, 6) as local_coverage,
+  cast(list_max(list_transform(string_split(array_to_string(list_transform(list(c) over f, lambda x: case when x > 0 then 'x' else ' ' end), ''), ' '), lambda x: length(x))) as integer) as local_run
 from e window f as (partition by user_id order by ts, event_id rows between 3 preceding and 3 following)""")
 def local_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ordered.local_frame(_events(spark, sf_dir), ["user_id"], _BY_TIME, "c").select("event_id", r6("local_avg").alias("local_avg"), r6("local_coverage").alias("local_coverage"))
+    return ordered.local_frame(_events(spark, sf_dir), ["user_id"], _BY_TIME, "c").select("event_id", r6("local_avg").alias("local_avg"), r6("local_coverage").alias("local_coverage"), "local_run")
 
 
 @query(f"""
 with e as ({_EVENTS}), p as (select user_id, row_number() over w - 1 as i, sum(case when c > 0 then 1 else 0 end) over (partition by user_id order by ts, event_id rows unbounded preceding) as s, case when c > 0 then 1 else 0 end as f from e window w as (partition by user_id order by ts, event_id))
 select a.user_id, cast(a.i as bigint) as left_index, cast(n as bigint) as length, cast(b.s - a.s + a.f as bigint) as contacts
-from p a cross join (values (8), (12), (20)) v(n) join p b on a.user_id = b.user_id and b.i = a.i + n - 1 where (b.s - a.s + a.f) / cast(n as double) >= 0.9""")
+from p a cross join (select unnest(range(8, 21)) as n) v join p b on a.user_id = b.user_id and b.i = a.i + n - 1 where (b.s - a.s + a.f) / cast(n as double) >= 0.9""")
 def prefix_window_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     flag = (F.col("c") > 0).cast("long")
     e = ordered.with_prefix(_events(spark, sf_dir), ["user_id"], _BY_TIME, flag, "s")
@@ -179,7 +180,7 @@ def prefix_window_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 with u as (select c_custkey as u, c_custkey % 40 + 8 as n, c_custkey % 7 + 4 as a from customer),
-w as (select u, n, a, len, unnest(range(greatest(0, a - len + 1), least(a, n - len) + 1)) as l from (select *, unnest(range(8, 13)) as len from u) where least(a, n - len) >= greatest(0, a - len + 1))
+w as (select u, n, a, len, unnest(range(greatest(0, a - len + 1), least(a, n - len) + 1)) as l from (select *, unnest(range(8, 21)) as len from u) where least(a, n - len) >= greatest(0, a - len + 1))
 select u as id, cast(l as bigint) as "left", cast(l + len - 1 as bigint) as "right", cast(len as bigint) as length from w""")
 def window_enumerate(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), (F.col("c_custkey") % 40 + 8).alias("n"), (F.col("c_custkey") % 7 + 4).alias("a"))
@@ -378,7 +379,7 @@ def _names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select(F.col("p_partkey").alias("id"), F.upper(F.regexp_replace(F.concat("p_name", "p_type"), " ", "")).alias("s"), F.concat(F.upper("p_name"), "p_brand", F.col("p_size").cast("string")).alias("l"), F.col("p_retailprice").alias("w"))
 
 
-_NAMES_SQL = """n as (select p_partkey as id, substr(upper(replace(p_name || p_type, ' ', '')), 1, 12) as s, upper(p_name) || p_brand || cast(p_size as varchar) as l, p_retailprice as w from part)"""
+_NAMES_SQL = """n as (select p_partkey as id, upper(replace(p_name || p_type, ' ', '')) as s, upper(p_name) || p_brand || cast(p_size as varchar) as l, p_retailprice as w from part)"""
 _PAIRS_SQL = f"""{_NAMES_SQL}, k as (select id, s, l, case when length(s) <= 10 then 3 else 4 end as k from n),
 m as (select distinct id, s, l, k, substr(s, i, k) as g from (select *, unnest(range(1, greatest(length(s) - k + 1, 1) + 1)) as i from k)),
 c as (select distinct a.id as a, b.id as b, a.s as sa, b.s as sb, a.l as la, b.l as lb from m a join m b on a.k = b.k and a.g = b.g and a.id < b.id where least(length(a.s), length(b.s)) / cast(greatest(length(a.s), length(b.s)) as double) >= 0.85 and least(length(a.l), length(b.l)) / cast(greatest(length(a.l), length(b.l)) as double) >= 0.85),
@@ -476,7 +477,7 @@ select s_suppkey as id, s_name as name, 'main' as split, cast(null as varchar) a
 def union_split_sinks(spark: SparkSession, sf_dir: str) -> DataFrame:
     main = t(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), F.lit("main").alias("split"))
     monitor = t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.lit("monitor").alias("split"), F.when(F.col("c_acctbal") < 0, "negative").alias("drop_reason"))
-    return main.unionByName(monitor, allowMissingColumns=True)
+    return tables.union_by_name(main, monitor)
 
 
 @query("""
@@ -546,17 +547,19 @@ def token_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-select source || '|' || lang as key, cast(count(*) * (count(*) - 1) as bigint) as masked from documents group by 1 having count(*) > 1""")
+select doc_id // 64 as batch, source || '|' || lang as key, cast(count(*) * (count(*) - 1) as bigint) as masked from documents group by 1, 2 having count(*) > 1""")
 def composite_key_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = t(spark, sf_dir, "documents").select(F.lit(0).alias("batch"), F.col("doc_id").alias("item"), S.composite_key(F.col("source"), F.col("lang")).alias("key"))
-    # Masked pairs of a key are counted from its size, not listed: n * (n - 1).
-    return d.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", (F.col("n") * (F.col("n") - 1)).alias("masked"))
+    d = t(spark, sf_dir, "documents").select(F.expr("doc_id div 64").alias("batch"), F.col("doc_id").alias("item"), S.composite_key(F.col("source"), F.col("lang")).alias("key"))
+    return joins.equal_key_pairs(d, ["batch"], "key", "item").groupBy("batch", "key").agg(F.count(F.lit(1)).alias("masked"))
 
 
-@query("select doc_id, regexp_replace(trim(regexp_replace(regexp_replace(lower(trim(string_split(text, chr(10))[1])), '^[0-9]+([.][0-9]+)*[.)]?\\s+', ''), '[^a-z0-9+一-鿿]+', ' ', 'g')), '^$', '') as heading, regexp_replace(source, '[^A-Za-z0-9_.-]+', '_', 'g') as source from documents")
+@query("""
+select doc_id, trim(regexp_replace(regexp_replace(trim(replace(lower(string_split(text, chr(10))[1]), 'ß', 'ss')), '^[0-9]+[.)]\\s*', ''), '[^a-z0-9一-鿿]+', ' ', 'g')) as heading,
+  case when trim(regexp_replace(trim(source), '[^A-Za-z0-9._-]+', '_', 'g'), '._-') = '' then 'unknown' else trim(regexp_replace(trim(source), '[^A-Za-z0-9._-]+', '_', 'g'), '._-') end as source,
+  case when trim(regexp_replace(trim(substr(text, 1, 24)), '[^A-Za-z0-9._-]+', '_', 'g'), '._-') = '' then 'unknown' else trim(regexp_replace(trim(substr(text, 1, 24)), '[^A-Za-z0-9._-]+', '_', 'g'), '._-') end as token from documents""")
 def heading_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = t(spark, sf_dir, "documents")
-    return d.select("doc_id", S.heading(F.split("text", "\n")[0]).alias("heading"), S.sanitized(F.col("source")).alias("source"))
+    return d.select("doc_id", S.heading(F.split("text", "\n")[0]).alias("heading"), S.sanitized(F.col("source")).alias("source"), S.sanitized(F.substring("text", 1, 24)).alias("token"))
 
 
 @query("""
@@ -565,15 +568,16 @@ select page_id, coalesce(a.known, b.known, 'unknown') as found from p left join
 def path_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = t(spark, sf_dir, "pages").select("page_id", F.lower(F.regexp_extract("url", "://([^/?#:]*)", 1)).alias("h"), F.regexp_extract("url", "://[^/]*/([^?#]*)", 1).alias("q"))
     known = p.filter(F.col("q").startswith("en/")).select(F.col("h").alias("known")).distinct()
-    first = p.join(known.toDF("a"), F.col("a") == F.col("h"), "left").join(known.toDF("b"), F.col("b") == F.regexp_replace("h", "^(m|blog)[.]", ""), "left")
-    return first.select("page_id", F.coalesce("a", "b", F.lit("unknown")).alias("found"))
+    found = tables.resolve_paths(p, known.withColumnRenamed("known", "name"), [F.col("h"), F.regexp_replace("h", "^(m|blog)[.]", "")])
+    return found.select("page_id", F.coalesce("resolved", F.lit("unknown")).alias("found"))
 
 
 @query("select event_id, case when cast(json_extract_string(props, '$.k') as bigint) >= 90 then 'error' else 'ok' end as status, case when cast(json_extract_string(props, '$.k') as bigint) >= 90 then 'k out of range: ' || json_extract_string(props, '$.k') end as message from events")
 def dead_letter_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.get_json_object("props", "$.k")
-    bad = k.cast("long") >= 90
-    return t(spark, sf_dir, "events").select("event_id", F.when(bad, "error").otherwise("ok").alias("status"), F.when(bad, F.concat(F.lit("k out of range: "), k)).alias("message"))
+    good, bad = sinks.dead_letters(t(spark, sf_dir, "events").select("event_id", "props"), F.when(k.cast("long") >= 90, F.concat(F.lit("k out of range: "), k)))
+    good = good.select("event_id", F.lit("ok").alias("status"), F.lit(None).cast("string").alias("message"))
+    return good.unionByName(bad.select("event_id", F.lit("error").alias("status"), F.col("error").alias("message")))
 
 
 @query("""
@@ -613,7 +617,7 @@ _PAIRED = "p as (select a.vec_id // 2 as query, b.vec_id // 2 as item, %s as sco
 
 
 @query(f"""
-with {_PAIRED % (_DOT, "and (a.vec_id // 2) % 10 = 0")}, o as (select query, score as t from p where query = item)
+with {_PAIRED % (_DOT, "")}, o as (select query, score as t from p where query = item)
 select cast(count(*) as bigint) as n, cast(quantile_disc(rank, 0.5) as double) as median_rank, round(avg(rank), 6) as mean_rank, round(avg(1.0 / rank), 6) as mrr, round(avg(case when rank <= 1 then 1.0 else 0.0 end), 6) as recall_at_1, round(avg(case when rank <= 5 then 1.0 else 0.0 end), 6) as recall_at_5, round(avg(case when rank <= 10 then 1.0 else 0.0 end), 6) as recall_at_10
 from (select p.query, 1 + sum(case when score > t or (score = t and item < p.query) then 1 else 0 end) as rank from p join o on p.query = o.query group by 1)""")
 def retrieval_rank(spark: SparkSession, sf_dir: str) -> DataFrame:

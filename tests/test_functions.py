@@ -70,7 +70,19 @@ def test_vectors(spark):
 
 
 def test_heading(spark):
-    assert values(spark, S.heading(F.col("t")), [("1.2 Hello,  World!",), ("C++ & 中文",), ("",)], "t string") == ["hello world", "c++ 中文", ""]
+    given = ["1.2 Hello,  World!", "C++ & 中文", "", None, "  3) Straße ", "2024 report", "12. Données"]
+    assert values(spark, S.heading(F.col("t")), [(x,) for x in given], "t string") == ["2 hello world", "c 中文", "", "", "strasse", "2024 report", "donn es"]
+
+
+def test_sanitized(spark):
+    given = ["  a b/c.pdb ", "__x-", "._-", "", None, "ok", "é"]
+    assert values(spark, S.sanitized(F.col("t")), [(x,) for x in given], "t string") == ["a_b_c.pdb", "x", "unknown", "unknown", "unknown", "ok", "unknown"]
+
+
+def test_group_key_takes_nan_in_lower_case_only_as_missing(spark):
+    given = [("nan", "x", "t"), ("NaN", "x", "t"), (" ", "nan", "t"), (None, None, "nan")]
+    key = S.group_key([F.col("a")], F.col("b"), F.col("c"))
+    assert values(spark, key, given, "a string, b string, c string") == ["target:x", "family:NaN", "task:t", "unknown"]
 
 
 def test_atom_line_has_fixed_columns(spark):

@@ -160,3 +160,80 @@ def test_in_batch_loss_against_numpy(spark):
     assert retrieval.in_batch_loss(df, "batch", F.col("m")).first()["loss"] == pytest.approx(want)
     ranks = retrieval.partner_ranks(df)
     assert retrieval.rank_metrics(ranks).first()["n"] == 4
+
+
+def test_running_sums_of_groups_of_any_size(spark):
+    rng = random.Random(2)
+    rows = [(None if i % 50 == 0 else "hot" if i % 2 else f"k{i % 7}", rng.randint(0, 30), i) for i in range(3000)]
+    df = spark.createDataFrame(rows, "k string, v int, id int").repartition(6)
+    got = {r["id"]: r["rank"] for r in ordered.ranked(df, ["k"], [F.desc("v"), F.col("id")]).collect()}
+    want = {}
+    for k in {r[0] for r in rows}:
+        for n, r in enumerate(sorted((r for r in rows if r[0] == k), key=lambda r: (-r[1], r[2])), 1):
+            want[r[2]] = n
+    assert got == want
+    upto = {r["id"]: r["s"] for r in ordered.running(df, [], [F.col("id")], F.col("v"), "s").collect()}
+    total, sums = 0, {}
+    for _, v, i in rows:
+        total += v
+        sums[i] = total
+    assert upto == sums
+    assert ordered.ranked(df.limit(0), ["k"], [F.col("id")]).count() == 0
+
+
+def test_a_hot_group_is_not_ranked_in_one_task(spark):
+    """With one group holding all rows, no part that is ranked by itself holds more than a few times its fair share."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        df = spark.range(20_000).withColumn("k", F.lit("hot"))
+        dealt = df.repartitionByRange(F.col("k"), F.col("id")).groupBy(F.spark_partition_id()).count().collect()
+        assert len(dealt) == 4 and max(r["count"] for r in dealt) < 3 * 20_000 / 4
+        assert ordered.ranked(df, ["k"], [F.col("id")]).filter("rank <> id + 1").count() == 0
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_refill_against_a_loop(spark):
+    rng = random.Random(4)
+    donors = [(f"b{rng.randrange(4)}", f"g{rng.randrange(6)}", rng.randint(0, 9), i) for i in range(80)]
+    deficits, used, cap = [("b1", 5, 0), ("b0", 9, 1), ("b3", 30, 2)], [("g0", 3), ("g1", 1)], 4
+    have, want = dict(used), set()
+    for b, d, _ in deficits:
+        for _, g, v, i in sorted((r for r in donors if r[0] == b), key=lambda r: (-r[2], r[3])):
+            if d > 0 and have.get(g, 0) < cap:
+                want.add(i)
+                d, have[g] = d - 1, have.get(g, 0) + 1
+    got = ordered.refill(spark.createDataFrame(donors, "b string, g string, v int, i int"), spark.createDataFrame(deficits, "b string, deficit int, bin_order int"), "b", "g", spark.createDataFrame(used, "g string, n int"), cap, [F.desc("v"), F.col("i")])
+    assert {r["i"] for r in got.collect()} == want
+
+
+def test_summary_of_a_hot_value_strings_and_nulls(spark):
+    values = [5.0] * 300 + [float(i) for i in range(41)] + [None, float("nan")]
+    df = spark.createDataFrame([(v, None if v is None else str(v) if i % 3 else "x", None) for i, v in enumerate(values)], "a double, b string, c double")
+    got = {r["column"]: r for r in summary.numeric_summary(df, ["a", "b", "c"]).collect()}
+    kept = {"a": values[:-2], "b": [v for i, v in enumerate(values[:-2]) if i % 3]}
+    for name, v in kept.items():
+        r = got[name]
+        assert (r["n"], r["min"], r["max"]) == (len(v), min(v), max(v)) and r["mean"] == pytest.approx(np.mean(v))
+        assert [r["p25"], r["p50"], r["p75"]] == pytest.approx(list(np.percentile(v, [25, 50, 75])))
+    assert got["c"]["n"] == 0 and got["c"]["p50"] is None
+    assert summary.numeric_summary(df, ["c"], empty_as_zero=True).first()["p75"] == 0.0
+
+
+def test_kmer_conflicts_against_all_pairs(spark):
+    rng = random.Random(12)
+    word = lambda n: "".join(rng.choice("ABCD") for _ in range(n))
+    rows = []
+    for _ in range(25):
+        s, l = word(rng.randint(1, 16)), word(rng.randint(8, 30))
+        for _ in range(4):
+            edit = lambda x: "".join(rng.choice("ABCD") if rng.random() < 0.06 else c for c in x) + (word(1) if rng.random() < 0.3 else "")
+            rows.append((len(rows), edit(s), edit(l)))
+    rows += [(len(rows), "", "AB"), (len(rows) + 1, "AB", "")]
+    size = lambda s: 3 if len(s) <= 10 else 4
+    kmers = lambda s: {s[i : i + size(s)] for i in range(max(1, len(s) - size(s) + 1))}
+    same = lambda x, y: sum(p == q for p, q in zip(x, y)) / max(len(x), len(y)) if x and y else 0.0
+    for least in (0.85, 0.7):
+        want = {(a, b) for a, s, l in rows for b, t, m in rows if a < b and (len(s) <= 10) == (len(t) <= 10) and kmers(s) & kmers(t) and same(s, t) >= least and same(l, m) >= least}
+        got = joins.kmer_conflicts(spark.createDataFrame(rows, "id int, s string, l string"), "id", "s", "l", least=least).collect()
+        assert {(r["a"], r["b"]) for r in got} == want and len(got) == len(want) > 20
