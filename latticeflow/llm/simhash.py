@@ -158,40 +158,37 @@ def wide_print(text: str | None, width: int) -> tuple[list[int], int]:
     return bits.view(np.int64).tolist(), xxh3_64_intdigest(np.sort(raw[0][:, 0]).tobytes()) - (1 << 63)
 
 
-def candidates(nodes: DataFrame, segment_bits: int = SEGMENT_BITS, most: int = MOST_WIDE) -> DataFrame:
-    """Pairs ``(u, v)`` of the ``node`` s of ``nodes`` (node, fp) whose wide fingerprints agree in a segment but for two bits.
+def candidates(nodes: DataFrame, segment_bits: int = SEGMENT_BITS) -> DataFrame:
+    """Pairs ``(u, v)``, u > v, of the ``node`` s of ``nodes`` (node, fp) whose wide fingerprints agree in a segment but for two bits.
 
-    Each segment is posted with its ball of radius 1, so two that differ in two bits of a segment meet. Of a meeting place all
-    members are paired with two of them, which differ by segment, so that a crowd gives a number of pairs in proportion to it.
+    The nodes with one value in a segment are paired with the least of them, which stands for them. Each value is posted with its
+    ball of radius 1, so two that differ in two bits meet; all that meet are paired with the least, and the least with the greatest.
+    A crowd gives a number of pairs in proportion to it.
     """
-    places = []
-    salts = [xxh3_64_intdigest(bytes([s])) - (1 << 63) for s in range(2 * LONGS)]
-    for s in range(2 * LONGS):
-        value = f"shiftrightunsigned(fp[{s // 2}], {32 * (s % 2)}) & {(1 << segment_bits) - 1}L"
-        places.append(f"transform(sequence(0, {segment_bits}), b -> {s * (1 << 48)}L + (({value}) ^ if(b = 0, 0L, shiftleft(1L, b - 1))))")
-    entries = nodes.select("node", F.explode(F.expr(f"concat({', '.join(places)})")).alias("place"))
-    salt = F.expr(f"array({', '.join(f'{x}L' for x in salts)})[cast(shiftright(place, 48) as int)]")
-    mixed = entries.select("place", F.col("node").bitwiseXOR(salt).alias("mixed"))
-    met = mixed.groupBy("place").agg(F.count(F.lit(1)).alias("n"), F.min("mixed").alias("lo"), F.max("mixed").alias("hi")).filter("n > 1")
-    met = cut(met, "met")
-    own = met.select(F.col("lo").bitwiseXOR(salt).alias("u"), F.col("hi").bitwiseXOR(salt).alias("v"))
-    crowds = met.filter("n > 2").drop("n")
-    more = join_checked(mixed, crowds, ["place"], "inner", crowds.count())
-    ends = F.explode(F.array("lo", "hi")).alias("end")
-    more = more.select("place", "mixed", ends).filter("mixed <> end").select(F.col("mixed").bitwiseXOR(salt).alias("u"), F.col("end").bitwiseXOR(salt).alias("v"))
-    pairs = own.unionByName(more).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    side = lambda c: nodes.select(F.col("node").alias(c), F.col("fp").alias(f"{c}_fp"))
-    known = pairs.join(side("u"), "u").join(side("v"), "v")
-    away = " + ".join(f"bit_count(u_fp[{i}] ^ v_fp[{i}])" for i in range(LONGS))
-    return known.filter(f"{away} <= {most}").select("u", "v")
-
-
-def similar_groups(docs: DataFrame, text: str = "text", order: str = "doc_id", width: int = WIDE_WIDTH, least: float = LEAST_SIMILARITY, segment_bits: int = SEGMENT_BITS) -> DataFrame:
+    low = (1 << segment_bits) - 1
+    segments = [f"{s * (1 << 48)}L + (shiftrightunsigned(fp[{s // 2}], {32 * (s % 2)}) & {low}L)" for s in range(2 * LONGS)]
+    own = nodes.select("node", F.explode(F.expr(f"array({', '.join(segments)})")).alias("value"))
+    values = cut(own.groupBy("value").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("least")), "segments")
+    shared = values.filter("n > 1")
+    same = join_counted(own, shared, ["value"], "inner", "n", 2 * LONGS * nodes.count()).filter("node <> least").select(F.col("node").alias("u"), F.col("least").alias("v"))
+    around = F.explode(F.expr(f"transform(sequence(0, {segment_bits}), b -> if(b = 0, 0L, shiftleft(1L, b - 1)))")).alias("flip")
+    posted = values.select("least", "value", around).select("least", F.col("value").bitwiseXOR(F.col("flip")).alias("place"))
+    met = cut(posted.groupBy("place").agg(F.count(F.lit(1)).alias("n"), F.min("least").alias("lo"), F.max("least").alias("hi")).filter("n > 1"), "met")
+    crowds = met.filter("n > 2").select("place", "lo")
+    more = join_checked(posted, crowds, ["place"], "inner", crowds.count()).select(F.col("least").alias("u"), F.col("lo").alias("v"))
+    pairs = same.unionByName(met.select(F.col("hi").alias("u"), F.col("lo").alias("v"))).unionByName(more)
+    return pairs.filter("u <> v").distinct()
+
+
+def similar_groups(docs: DataFrame, text: str = "text", order: str = "doc_id", width: int = WIDE_WIDTH, least: float = LEAST_SIMILARITY, segment_bits: int = SEGMENT_BITS, most: int = MOST_WIDE) -> DataFrame:
     """``(order, component)`` for every row: the least ``order`` (a column of any orderable type, unlike in all rows) of its group.
 
     A group is what links connect; a link is a Jaccard similarity of ``least`` or more between the sets of shingles of ``width``
-    words, verified on whole texts. Texts with equal sets are one node; all texts without a word are one group; null texts are
-    empty. ``docs`` is read more than once: pass files. Meeting places stay small up to about 2 ** segment_bits texts.
+    words, verified on whole texts whose fingerprints differ in ``most`` bits or fewer. Texts with equal sets are one node; all texts
+    without a word, null ones too, are one group; repeated rows are copies; an empty table gives an empty one. Other columns are not
+    read. ``docs`` is read more than once: pass files. Meeting places stay small up to about 2 ** segment_bits texts.
+
+    First each text is compared with the least of those it meets, which joins most of a crowd; then all that meet and are still apart.
     """
     small_batches(docs.sparkSession)
 
@@ -204,15 +201,28 @@ def similar_groups(docs: DataFrame, text: str = "text", order: str = "doc_id", w
 
     printed = cut(docs.select(F.col(order).alias("order"), F.arrow_udf(prints, "fp array<long>, node long")(F.col(text)).alias("p")).select("order", "p.*"), "printed")
     nodes = cut(printed.groupBy("node").agg(F.min("order").alias("least"), F.first("fp").alias("fp"), F.count(F.lit(1)).alias("n")), "wide")
+    side = lambda df, c, value: df.select(F.col("node").alias(c), F.col(value).alias(f"{c}_{value}"))
+    away = " + ".join(f"bit_count(u_fp[{i}] ^ v_fp[{i}])" for i in range(LONGS))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        near = cut(pairs.join(side(nodes, "u", "fp"), "u").join(side(nodes, "v", "fp"), "v").filter(f"{away} <= {most}").select("u", "v"), "near")
+        wanted = cut(near.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(nodes.select("node", "least"), "node"), "wanted")
+        texts = join_checked(docs.select(F.col(order).alias("least"), F.col(text).alias("t")), wanted, ["least"], "inner", wanted.count())
+        shingled = cut(texts.select("node", F.arrow_udf(sets, "array<long>")("t").alias("set")), "sets")
+        both = near.join(side(shingled, "u", "set"), "u").join(side(shingled, "v", "set"), "v").withColumn("common", F.size(F.array_intersect("u_set", "v_set")))
+        return cut(both.filter(F.col("common") >= least * (F.size("u_set") + F.size("v_set") - F.col("common")) - 1e-9).select("u", "v"), "links")
+
+    def roots(found: DataFrame) -> DataFrame:
+        return cut(components(found), "roots").withColumnRenamed("u", "node")
+
     pairs = cut(candidates(nodes.select("node", "fp"), segment_bits), "pairs")
-    wanted = cut(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(nodes.select("node", "least"), "node"), "wanted")
-    texts = join_checked(docs.select(F.col(order).alias("least"), F.col(text).alias("t")), wanted, ["least"], "inner", wanted.count())
-    shingled = cut(texts.select("node", F.arrow_udf(sets, "array<long>")("t").alias("set")), "sets")
-    side = lambda c: shingled.select(F.col("node").alias(c), F.col("set").alias(f"{c}_set"))
-    both = pairs.join(side("u"), "u").join(side("v"), "v").withColumn("common", F.size(F.array_intersect("u_set", "v_set")))
-    verified = both.filter(F.col("common") >= least * (F.size("u_set") + F.size("v_set") - F.col("common")) - 1e-9).select("u", "v")
-    roots = cut(components(cut(verified, "links")), "roots").withColumnRenamed("u", "node")
-    rooted = cut(join_checked(nodes.drop("fp"), roots, ["node"], "left", roots.count()).select("node", F.coalesce("root", "node").alias("root"), "least", "n"), "rooted")
+    first = verified(pairs.groupBy("u").agg(F.min("v").alias("v")))
+    now = roots(first)
+    size = now.count()
+    apart = join_checked(join_checked(pairs, side(now, "u", "root"), ["u"], "left", size), side(now, "v", "root"), ["v"], "left", size)
+    apart = cut(apart.filter(F.coalesce("u_root", "u") != F.coalesce("v_root", "v")).select("u", "v"), "apart")
+    now = roots(first.unionByName(verified(apart)))
+    rooted = cut(join_checked(nodes.drop("fp"), now, ["node"], "left", now.count()).select("node", F.coalesce("root", "node").alias("root"), "least", "n"), "rooted")
     by_node = cut(rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component")), "root").select("node", "component", "n"), "named")
     rows = int(by_node.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
     return join_counted(printed.drop("fp"), by_node, ["node"], "inner", "n", rows).select("order", "component")
