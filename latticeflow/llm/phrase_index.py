@@ -16,13 +16,15 @@ from .common import cut, join_checked
 
 #: Words of a window; terms that one reading of the documents looks up (a larger test set is searched in blocks).
 WINDOW, TERMS_AT_ONCE = 10, 20_000
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: What stands between words: the ASCII characters that are neither letters nor digits.
+BETWEEN = "".join(c for c in map(chr, range(128)) if not c.isalnum())
 
 
 def words(text: Column) -> Column:
     """The words of a text, A-Z lower-cased; a null text has none."""
-    return F.regexp_extract_all(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), F.lit(WORD), F.lit(0))
+    plain = F.translate(F.coalesce(text, F.lit("")), UPPER + BETWEEN, LOWER + " " * len(BETWEEN))
+    return F.array_remove(F.split(plain, " "), "")
 
 
 def term_counts(docs: DataFrame, terms: DataFrame, text: str) -> DataFrame:
