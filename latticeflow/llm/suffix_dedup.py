@@ -30,9 +30,9 @@ from .common import cut, join_checked, join_counted, small_batches
 DEPTH, GRAM, DIGIT = 200, 32, 40
 WINDOWS = DEPTH - GRAM + 1
 #: Bytes worked on at once (under 2 ** PLACE); classes sorted in one block; classes from which a digit value is split; windows of its parts.
-CHUNK, PLACE, BLOCK_ROWS, HOT, PART = 1 << 19, 20, 10_000, 4000, 16
+CHUNK, PLACE, BLOCK_ROWS, HOT, PART = 1 << 19, 20, 2500, 1000, 16
 #: Classes of a part from which its windows are sorted each by itself.
-BIG = 4000
+BIG = 1000
 #: Rows that a worker turns into Python objects at once.
 SLICE_ROWS = 500
 #: Bytes of spans or classes up to which they are broadcast to the texts; beyond, the texts are shuffled to them.
