@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import small_batches
-from .toxicity import bounded_labelled
+from .toxicity import arrays, bounded_labelled
 
 #: Labelled documents that the machine learns from, at most; width of the interactions; buckets of hashed words.
 LEARN_ROWS, FACTORS, BUCKETS = 3000, 6, 1 << 12
@@ -137,8 +137,7 @@ def learn(docs: DataFrame, labels: DataFrame, learnable: Column | None = None, l
     small_batches(docs.sparkSession)
     sample = bounded_labelled(docs, labels, label, text, key, learnable, rows)
     got = sample.drop("key").mapInArrow(_encode, "label int, ids array<int>, vals array<double>").toArrow()
-    ids = [np.array(x, int) for x in got.column("ids").to_pylist()]
-    return fit(list(zip(ids, [np.array(x) for x in got.column("vals").to_pylist()])), np.array(got.column("label").to_pylist()))
+    return fit(list(zip(arrays(got.column("ids")), arrays(got.column("vals")))), got.column("label").to_numpy())
 
 
 def score(docs: DataFrame, model: FactorisationMachine, text: str = "text", keep: list[Column] | None = None) -> DataFrame:

@@ -186,19 +186,37 @@ def fit(texts: list[np.ndarray], swapped: list, labels: np.ndarray, penalty: flo
 
 
 def _learnt(groups: tuple[tuple[str, ...], ...]):
-    lists = pa.list_(pa.list_(pa.int32()))
+    ids = pa.list_(pa.int32())
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             words = [words_of(t.as_py()) for t in batch.column("text")]
-            own = [sorted(features(w)) for w in words]
-            other = [changes(w, groups) for w in words]
-            columns = [pa.array(own, pa.list_(pa.int32())), *(pa.array([[c[k] for c in o] for o in other], lists) for k in (0, 1))]
-            yield pa.RecordBatch.from_arrays([batch.column("label"), *columns], ["label", "own", "added", "removed"])
+            own = [np.fromiter(sorted(features(w)), np.int32) for w in words]
+            other = [[x for new, gone in changes(w, groups) for x in (len(new), *new, len(gone), *gone)] for w in words]
+            yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(own, ids), pa.array(other, ids)], ["label", "own", "changes"])
 
     return rows
 
 
+def arrays(column: pa.ChunkedArray) -> list[np.ndarray]:
+    """A list column's rows as views of one array."""
+    out = []
+    for chunk in column.chunks:
+        values, ends = chunk.values.to_numpy(), chunk.offsets.to_numpy()
+        out += [values[a:b] for a, b in zip(ends, ends[1:])]
+    return out
+
+
+def _pairs(flat: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(added, removed) of each counterfactual from their lengths and features one after the other."""
+    parts, at = [], 0
+    while at < len(flat):
+        n = int(flat[at])
+        parts.append(flat[at + 1 : at + 1 + n])
+        at += n + 1
+    return list(zip(parts[::2], parts[1::2]))
+
+
 def bounded_labelled(docs: DataFrame, labels: DataFrame, label: str, text: str, key: str, learnable: Column | None, rows: int) -> DataFrame:
     """(key, text, label) of ``rows`` labelled documents at most, those with the smallest hash of the key, in that order.
 
@@ -220,11 +238,9 @@ def learn(docs: DataFrame, labels: DataFrame, learnable: Column | None = None, l
     """
     small_batches(docs.sparkSession)
     sample = bounded_labelled(docs, labels, label, text, key, learnable, rows)
-    got = sample.drop("key").mapInArrow(_learnt(groups), "label int, own array<int>, added array<array<int>>, removed array<array<int>>").toArrow()
-    own = [np.array(x, int) for x in got.column("own").to_pylist()]
-    other = [list(zip(a, r)) for a, r in zip(got.column("added").to_pylist(), got.column("removed").to_pylist())]
+    got = sample.drop("key").mapInArrow(_learnt(groups), "label int, own array<int>, changes array<int>").toArrow()
     identity = frozenset(feature(0, w) for group in groups for w in group)
-    return fit(own, other, np.array(got.column("label").to_pylist()), penalty, keep=identity)
+    return fit(arrays(got.column("own")), [_pairs(x) for x in arrays(got.column("changes"))], got.column("label").to_numpy(), penalty, keep=identity)
 
 
 def score(docs: DataFrame, model: ToxicityModel, text: str = "text", keep: list[Column] | None = None) -> DataFrame:
