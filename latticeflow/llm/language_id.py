@@ -1,9 +1,10 @@
 """Language identification by prediction by partial matching over bytes.
 
-Each language has a variable-order context tree of byte counts. A byte's probability in its longest known context is
-``count / (total + kinds)``; an unseen byte escapes with ``kinds / (total + kinds)`` to the next shorter context, with the
-bytes already ruled out excluded. The statistics are frozen after learning, so each byte's exact code length is a fixed
-number that depends on the byte and the ``ORDER`` bytes before it: scoring sums table entries, for all languages at once.
+Each language has a variable-order context tree of byte counts, up to ``ORDER`` bytes of context. A byte's probability in its longest
+known context is ``count / (total + kinds)``; an unseen byte escapes with ``kinds / (total + kinds)`` to the next shorter context,
+with the bytes already ruled out excluded; below order 0 all 256 bytes are equal. The statistics are frozen after learning, so each
+byte's exact code length is a fixed number. It is kept for every gram that any language has, for all languages at once; for another
+byte, the cost of its context's escape is added to its code length one order below.
 """
 
 from __future__ import annotations
@@ -16,24 +17,54 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Bytes of context. Tables have ALPHABET ** (ORDER + 1) entries a language.
-ORDER = 2
-#: Symbols that are told apart: the most frequent bytes, and one symbol for the rest.
-ALPHABET = 128
+from .common import small_batches
+
+#: Bytes of context, at most (under 8).
+ORDER = 3
 #: Documents that a language's statistics are learned from, in expectation.
 DOCS_PER_LANGUAGE = 1000
 #: Bytes scored at once in a worker.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 UNKNOWN = "und"
 
 
+@dataclass
+class Level:
+    """One order of the tree: sorted ``grams`` (context and byte) with ``bits``, sorted ``contexts`` with ``escape``; a column a language."""
+
+    grams: np.ndarray
+    bits: np.ndarray
+    contexts: np.ndarray
+    escape: np.ndarray
+
+
+def found(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where ``wanted`` stand in the sorted ``keys``, and whether they do."""
+    at = np.minimum(np.searchsorted(keys, wanted), max(0, len(keys) - 1))
+    return at, keys[at] == wanted if len(keys) else np.zeros(len(wanted), bool)
+
+
 @dataclass
 class PpmModel:
-    """Frozen statistics: ``symbol`` maps a byte to its symbol, ``bits`` has a row a context and byte, a column a language."""
+    """Frozen statistics: levels of orders 0 to ORDER; level 0 has all 256 bytes."""
 
     languages: list[str]
-    symbol: np.ndarray
-    bits: np.ndarray
+    levels: list[Level]
+
+    def grams_bits(self, grams: np.ndarray) -> np.ndarray:
+        """Code lengths, a column a language, of the last byte of each gram of ORDER + 1 bytes."""
+        out = np.zeros((len(grams), len(self.languages)), np.float32)
+        open_ = np.arange(len(grams))
+        for order in range(len(self.levels) - 1, -1, -1):
+            level, here = self.levels[order], grams[open_] & np.uint64((1 << (8 * order + 8)) - 1)
+            at, ok = found(level.grams, here)
+            out[open_[ok]] += level.bits[at[ok]]
+            open_, here = open_[~ok], here[~ok]
+            if not len(open_):
+                break
+            at, ok = found(level.contexts, here >> np.uint64(8))
+            out[open_[ok]] += level.escape[at[ok]]
+        return out
 
     def code_lengths(self, data: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """Bits that each text takes under each language; ``data`` holds the texts' bytes one after the other."""
@@ -46,21 +77,21 @@ class PpmModel:
         total = np.zeros((len(full), len(self.languages)))
         for at in range(0, len(data), CHUNK):
             lead = min(at, ORDER)
-            now = self.symbol[data[at - lead : at + CHUNK]].astype(np.int32)
+            now = data[at - lead : at + CHUNK].astype(np.uint64)
             n = len(now) - lead
             low, high = np.searchsorted(ends, at, "right"), np.searchsorted(starts, at + n, "left")
-            index = now[lead:].copy()
+            grams = now[lead:].copy()
             for back in range(1, ORDER + 1):
-                before = np.zeros(n, np.int32)
+                before = np.zeros(n, np.uint64)
                 skip = max(0, back - lead)
                 before[skip:] = now[lead + skip - back : lead + n - back]
-                for i in range(back):  # what stands before a text is symbol 0
+                for i in range(back):  # what stands before a text is byte 0
                     near = starts[low:high] + i
                     near = near[(near < ends[low:high]) & (near >= at) & (near < at + n)] - at
                     before[near] = 0
-                index += before * ALPHABET**back
+                grams |= before << np.uint64(8 * back)
             cuts = np.maximum(starts[low:high] - at, 0)
-            total[low:high] += np.add.reduceat(self.bits[index], cuts, axis=0, dtype=np.float64)
+            total[low:high] += np.add.reduceat(self.grams_bits(grams), cuts, axis=0, dtype=np.float64)
         out[full] = total
         return out
 
@@ -71,32 +102,27 @@ def freeze(grams: dict[str, tuple[np.ndarray, np.ndarray]]) -> PpmModel:
     Without any language the model is empty and predicts nothing.
     """
     languages = sorted(grams)
-    seen = np.zeros(256)
-    for keys, counts in grams.values():
-        np.add.at(seen, keys & 255, counts)
-    common = np.sort(np.argsort(-seen, kind="stable")[: ALPHABET - 1])
-    symbol = np.full(256, ALPHABET - 1, np.uint8)
-    symbol[common] = np.arange(len(common), dtype=np.uint8)
-    bits = np.zeros((ALPHABET ** (ORDER + 1), len(languages)), np.float32)
-    for k, language in enumerate(languages):
-        keys, counts = grams[language]
-        index = np.zeros(len(keys), np.int64)
-        for back in range(ORDER, -1, -1):
-            index = index * ALPHABET + symbol[(keys >> (8 * back)) & 255]
-        tree = np.bincount(index, counts, ALPHABET ** (ORDER + 1))
-        p = np.full((1, ALPHABET), 1 / ALPHABET)
-        for order in range(ORDER + 1):
-            c = tree.reshape(-1, ALPHABET**order, ALPHABET).sum(0) if order < ORDER else tree.reshape(-1, ALPHABET)
-            shorter = np.tile(p, (len(c) // len(p), 1))
-            total, kinds = c.sum(1, keepdims=True), (c > 0).sum(1, keepdims=True)
-            left = np.where(c > 0, 0, shorter)
-            open_ = left.sum(1, keepdims=True)
-            kinds = np.where(open_ > 0, kinds, 0)
+    held = {k: (np.asarray(v[0]).astype(np.uint64), np.asarray(v[1]).astype(np.float64)) for k, v in grams.items()}
+    levels, shorter, shorter_p = [], np.zeros(0, np.uint64), np.zeros((0, len(languages)))
+    for order in range(ORDER + 1):
+        mask = np.uint64((1 << (8 * order + 8)) - 1)
+        keys = np.arange(256, dtype=np.uint64) if order == 0 else np.unique(np.concatenate([np.zeros(0, np.uint64), *(k & mask for k, _ in held.values())]))
+        contexts, of = np.unique(keys >> np.uint64(8), return_inverse=True)
+        p, escape = np.zeros((len(keys), len(languages))), np.zeros((len(contexts), len(languages)))
+        below = np.full((len(keys), len(languages)), 1 / 256) if order == 0 else shorter_p[np.searchsorted(shorter, keys & (mask >> np.uint64(8)))]
+        for j, language in enumerate(languages):
+            own, counts = held[language]
+            c = np.bincount(np.searchsorted(keys, own & mask), counts, len(keys))
+            total, kinds = np.bincount(of, c, len(contexts)), np.bincount(of, c > 0, len(contexts))
+            left = np.where(kinds < 256, 1 - np.bincount(of, np.where(c > 0, below[:, j], 0), len(contexts)), 0)
+            out = np.where(left > 0, kinds, 0)  # without an unseen byte nothing escapes
             with np.errstate(invalid="ignore", divide="ignore"):
-                known = np.where(c > 0, c / (total + kinds), kinds / (total + kinds) * left / open_)
-            p = np.where(total > 0, known, shorter)
-        bits[:, k] = -np.log2(p).ravel()
-    return PpmModel(languages, symbol, bits)
+                factor = np.where(total > 0, out / (total + out) / left, 1.0)
+                p[:, j] = np.where(total[of] == 0, below[:, j], np.where(c > 0, c / (total + out)[of], factor[of] * below[:, j]))
+                escape[:, j] = -np.log2(np.where(left > 0, factor, 1.0))
+        levels.append(Level(keys, -np.log2(p).astype(np.float32) if p.size else p.astype(np.float32), contexts, escape.astype(np.float32)))
+        shorter, shorter_p = keys, p
+    return PpmModel(languages, levels)
 
 
 def _values(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -130,13 +156,14 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "d
     """Learn the context trees from the rows that ``learnable`` admits and that have a text and a language.
 
     A language with more than ``docs_per_language`` rows is sampled by a hash of the key, evenly; the counts of grams, not the
-    texts, come to the driver.
+    texts, come to the driver. Rows without a text or language teach nothing; repeated rows count as often as they stand there.
     """
+    small_batches(docs.sparkSession)
     rows = docs.filter(learnable) if learnable is not None else docs
     rows = rows.select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(lang).cast("string").alias("lang")).filter("lang is not null and t is not null and lang <> 'und'")
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not sizes:
-        return PpmModel([], np.zeros(256, np.uint8), np.zeros((ALPHABET ** (ORDER + 1), 0), np.float32))
+        return freeze({})
     share = F.pmod(F.xxhash64(F.lit("ppm"), F.col("k")), F.lit(1_000_000))
     wanted = F.lit(False)
     for name, n in sizes.items():
@@ -156,29 +183,30 @@ def predict(docs: DataFrame, model: PpmModel, text: str = "text", key: str = "do
     """Per row: the key, ``keep``, ``lang_pred``, ``score`` and ``bits_per_byte`` of the predicted language.
 
     The score is the language's posterior probability at equal priors. A null or empty text, and one without a letter, gets
-    ``und`` and score 0; ties go to the first language by name. Repeated rows are scored alike, other columns are not read.
+    ``und`` and score 0; ties go to the first language by name. Whole texts of any length are read; repeated rows are scored alike;
+    an empty table gives an empty one; other columns are not read, so their names may clash with the results'.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = held.value
-        for batch in batches:
-            data, lengths = _values(batch.column("__bytes"))
-            letters = batch.column("__letters").to_numpy(zero_copy_only=False)
-            bits = m.code_lengths(data, lengths)
-            if m.languages:
-                best = bits.argmin(1)
-                top = bits[np.arange(len(best)), best]
-                p = 1 / np.exp2(np.maximum(top[:, None] - bits, -1000)).sum(1)
-                names = [m.languages[b] if ok else UNKNOWN for b, ok in zip(best, letters)]
-            else:
-                top = p = np.zeros(len(lengths))
-                names = [UNKNOWN] * len(lengths)
-            columns = [c for i, c in enumerate(batch.columns) if not batch.schema.names[i].startswith("__")]
-            kept = [n for n in batch.schema.names if not n.startswith("__")]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(names, pa.string()), pa.array(np.where(letters, p, 0.0)), pa.array(top / np.maximum(lengths, 1))], [*kept, "lang_pred", "score", "bits_per_byte"])
-
+    def score(texts: pa.Array, letters: pa.Array) -> pa.Array:
+        m, has = held.value, letters.to_numpy(zero_copy_only=False)
+        data, lengths = _values(texts)
+        bits = m.code_lengths(data, lengths)
+        if m.languages:
+            best = bits.argmin(1)
+            top = bits[np.arange(len(best)), best]
+            p = 1 / np.exp2(np.maximum(top[:, None] - bits, -1000)).sum(1)
+            names = [m.languages[b] if ok else UNKNOWN for b, ok in zip(best, has)]
+        else:
+            top = p = np.zeros(len(lengths))
+            names = [UNKNOWN] * len(lengths)
+        columns = [pa.array(names, pa.string()), pa.array(np.where(has, p, 0.0)), pa.array(top / np.maximum(lengths, 1))]
+        return pa.StructArray.from_arrays(columns, ["lang_pred", "score", "bits_per_byte"])
+
+    small_batches(docs.sparkSession)
     t = F.col(text)
-    rows = docs.select(F.col(key), *(keep or []), F.coalesce(t, F.lit("")).cast("binary").alias("__bytes"), F.coalesce(t.rlike(r"\p{L}"), F.lit(False)).alias("__letters"))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if not f.name.startswith("__"))
-    return rows.mapInArrow(score, f"{fields}, lang_pred string, score double, bits_per_byte double")
+    letters = F.coalesce(t.rlike(r"\p{L}"), F.lit(False))
+    scored = F.arrow_udf(score, "lang_pred string, score double, bits_per_byte double")(F.coalesce(t, F.lit("")).cast("binary"), letters)
+    kept = docs.select(F.col(key), *(keep or [])).columns
+    out = docs.select(F.col(key), *(keep or []), scored.alias("__scored"))
+    return out.select(*(F.col(f"`{c}`") for c in kept), "__scored.*")

@@ -1,3 +1,5 @@
+from functools import cache
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -153,16 +155,59 @@ def test_null_empty_and_long_texts(spark):
 def ppm(*texts):
     grams = {}
     for lang, text in texts:
-        data = np.frombuffer(b"\0\0" + text.encode(), np.uint8).astype(np.int64)
-        keys, counts = np.unique(data[:-2] << 16 | data[1:-1] << 8 | data[2:], return_counts=True)
+        data = np.frombuffer(b"\0" * language_id.ORDER + text.encode(), np.uint8).astype(np.int64)
+        n = len(data) - language_id.ORDER
+        keys, counts = np.unique(sum(data[language_id.ORDER - b : language_id.ORDER - b + n] << (8 * b) for b in range(language_id.ORDER + 1)), return_counts=True)
         grams[lang] = (keys, counts)
     return language_id.freeze(grams)
 
 
+class NaivePpm:
+    """Counts in dictionaries and the definition word by word: exclusion by going through all 256 bytes."""
+
+    def __init__(self, text):
+        self.counts = {}
+        padded = b"\0" * language_id.ORDER + text.encode()
+        for i in range(language_id.ORDER, len(padded)):
+            for k in range(language_id.ORDER + 1):
+                seen = self.counts.setdefault(padded[i - k : i], {})
+                seen[padded[i]] = seen.get(padded[i], 0) + 1
+
+    @cache
+    def p(self, context, byte):
+        lower = (lambda x: self.p(context[1:], x)) if context else (lambda x: 1 / 256)
+        seen = self.counts.get(context)
+        if not seen:
+            return lower(byte)
+        unseen = [x for x in range(256) if x not in seen]
+        total, kinds = sum(seen.values()), len(seen) if unseen else 0
+        if byte in seen:
+            return seen[byte] / (total + kinds)
+        return kinds / (total + kinds) * lower(byte) / sum(map(lower, unseen))
+
+
+def test_code_lengths_equal_a_naive_tree():
+    learnt = {"a": "the cat sat on the mat. the hat", "b": "der Hut läuft über 日本 Straße"}
+    model, naive = ppm(*learnt.items()), {k: NaivePpm(t) for k, t in learnt.items()}
+    for text in ("the cat", "日本語", "zz\u0001ß the", "der Hut der"):
+        raw = text.encode()
+        got = model.code_lengths(np.frombuffer(raw, np.uint8), np.array([len(raw)]))[0]
+        padded = b"\0" * language_id.ORDER + raw
+        want = [-sum(np.log2(naive[k].p(padded[i - language_id.ORDER : i], padded[i])) for i in range(language_id.ORDER, len(padded))) for k in "ab"]
+        assert np.allclose(got, want, rtol=1e-4)
+
+
 def test_every_context_spends_exactly_one():
     model = ppm(("a", "the cat sat on the mat. " * 9), ("b", "der Hund läuft über die Straße"))
-    p = np.exp2(-model.bits.astype(np.float64)).reshape(-1, language_id.ALPHABET, 2).sum(1)
-    assert np.allclose(p, 1, atol=1e-4)
+    for context in (b"the", b"\0\0\0", b"cat", b"\xc3\xa4u", b"xyz", b"zat"):
+        grams = np.array([int.from_bytes(context + bytes([x]), "big") for x in range(256)], np.uint64)
+        assert np.allclose(np.exp2(-model.grams_bits(grams).astype(float)).sum(0), 1, atol=1e-4)
+
+
+def test_a_long_text_through_spark(spark):
+    docs = spark.createDataFrame([(i, "the cat sat " * 5, "en", 1.0) for i in range(20)] + [(90, "der Hund läuft " * 40_000, "de", 2.0), (91, "der Hund", "de", 3.0)], "doc_id long, text string, lang string, score double")
+    got = {r["doc_id"]: r["lang_pred"] for r in language_id.predict(docs, language_id.learn(docs)).collect()}
+    assert got[90] == got[91] == "de" and got[3] == "en"
 
 
 def test_code_lengths_do_not_depend_on_neighbours(monkeypatch):
