@@ -221,6 +221,11 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(n > 0, dot(a, b) / n).otherwise(F.lit(0.0))
 
 
+def clamped_scale(log_scale: Column, most: float = 100.0) -> Column:
+    """The factor on similarities that a learnt logarithm stands for, at most ``most``."""
+    return F.least(F.exp(log_scale), F.lit(most))
+
+
 def distance(ax: Column, ay: Column, az: Column, bx: Column, by: Column, bz: Column) -> Column:
     return F.sqrt((ax - bx) * (ax - bx) + (ay - by) * (ay - by) + (az - bz) * (az - bz))
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..storage import cut
 
 
 def last_by_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -138,3 +139,22 @@ def equal_key_pairs(df: DataFrame, group: list[str], key: str, item: str) -> Dat
     """Pairs of different items of a group that share a key (the false negatives of a batch)."""
     a, b = df.select(*group, key, F.col(item).alias("a")), df.select(*group, key, F.col(item).alias("b"))
     return a.join(b, [*group, key]).filter("a <> b")
+
+
+def page_references(rows: DataFrame, reference: str, pages: DataFrame, key: str, value: str, order: str) -> DataFrame:
+    """``rows`` with ``found``: the ``value`` of the page that a reference means, or null.
+
+    A reference with bars is tried part by part from the last, then whole: an equal key first, else the first key in ``order`` that it
+    ends with. Ends are met by equality: a reference is joined with all that it can end with.
+    """
+    numbered = cut(rows.withColumn("__row", F.monotonically_increasing_id()), "references")
+    whole = F.trim(F.coalesce(reference, F.lit("")))
+    parts = F.filter(F.transform(F.split(whole, r"\|"), lambda p: F.trim(p)), lambda p: p != "")
+    tried = F.when(F.contains(whole, F.lit("|")), F.concat(F.reverse(parts), F.array(whole))).otherwise(F.array(whole))
+    each = numbered.select("__row", F.posexplode(tried).alias("__try", "__text")).filter("__text <> ''")
+    ends = each.select("__row", "__try", "__text", F.explode(F.sequence(F.lit(1), F.char_length("__text"))).alias("__from")).select("__row", "__try", "__from", F.expr("substring(__text, __from)").alias("__end"))
+    known = pages.select(F.col(key).alias("__end"), F.col(value).alias("found"), F.col(order).alias("__order"))
+    met = ends.join(known, "__end")
+    rank = F.struct("__try", (F.col("__from") > 1).alias("part"), F.when(F.col("__from") > 1, F.col("__order")).alias("order"))
+    best = met.groupBy("__row").agg(F.min_by("found", rank).alias("found"))
+    return numbered.join(best, "__row", "left").drop("__row")

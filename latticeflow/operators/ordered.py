@@ -166,5 +166,13 @@ def neighbour_flags(df: DataFrame, keys: list[str], order: list[Column], linked:
     return out.withColumn("linked_right", F.coalesce(F.lead("linked_left").over(w), F.lit(False)))
 
 
+def distinct_union(df: DataFrame, keys: list[str], order: list[Column], values: str) -> DataFrame:
+    """Per key, the different elements of the arrays ``values`` of its rows, each where it comes first in ``order``."""
+    placed = df.select(*keys, F.struct(*(c.alias(f"o{i}") for i, c in enumerate(order))).alias("__o"), F.posexplode(values).alias("__i", "__v"))
+    first = placed.groupBy(*keys, "__v").agg(F.min(F.struct("__o", "__i")).alias("__at"))
+    listed = first.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("__at", "__v"))).alias("__l"))
+    return listed.select(*keys, F.transform("__l", lambda x: x["__v"]).alias(values))
+
+
 def any_of(*conditions: Column) -> Column:
     return reduce(lambda a, b: a | b, conditions)

@@ -52,3 +52,43 @@ def window_reason(least_average: float = 3.5, override: float | None = None) ->
 def burial_prescreen() -> Column:
     """Whether a window is worth a surface calculation."""
     return (F.col("n_contact_residues") >= 2) & (F.col("contact_coverage") >= 0.25) & (F.col("pocket_size") >= 2)
+
+
+def first_generation_reason(most_resolution: float = 3.5, least_area: float = 200.0) -> Column:
+    """The earlier cascade's labels, over columns metadata_error and assembly_error and exception (names of error types or null),
+    method, resolution, parse_error, n_chains, n_pairs and passing_area (null if no surface could be computed)."""
+    method = F.upper(F.coalesce("method", F.lit("")))
+    fixed = [
+        ("non_xray_method", ~method.contains("X-RAY DIFFRACTION")),
+        ("low_resolution", F.col("resolution") > most_resolution),
+        ("parse_error", F.col("parse_error")),
+        ("assembly_error", F.col("assembly_error").isNotNull()),
+        ("empty_structure", F.coalesce("n_chains", F.lit(0)) == 0),
+        ("insufficient_chain_instances", F.col("n_chains") < 2),
+        ("no_contacting_chain_pairs", F.coalesce("n_pairs", F.lit(0)) == 0),
+        ("delta_sasa_failed", F.col("passing_area").isNull()),
+        ("low_interface_buried_area", F.col("passing_area") < least_area),
+    ]
+    reason = first_reason([("exception", F.col("exception").isNotNull()), ("metadata_error", F.col("metadata_error").isNotNull()), *fixed], "pass")
+    typed = [(name, F.col(column)) for name, column in (("exception", "exception"), ("metadata_error", "metadata_error"), ("assembly_error", "assembly_error"))]
+    return F.coalesce(*(F.when(reason == name, F.concat(F.lit(f"{name}:"), of)) for name, of in typed), reason)
+
+
+def passing_pair(pairs: DataFrame, keys: list[str], order: str, value: str, least: float = 200.0) -> DataFrame:
+    """Per key, the pair at which a scan in ``order`` stops: the first whose value reaches ``least``, else the largest, the first of
+    equal ones. Columns: keys, ``order`` and ``value``; a key without a value has none."""
+    enough = F.col(value) >= least
+    rank = F.struct((~enough).alias("late"), F.when(enough, F.lit(0.0)).otherwise(-F.col(value)).alias("area"), F.col(order).alias("place"))
+    best = pairs.filter(F.col(value).isNotNull()).groupBy(*keys).agg(F.min_by(F.struct(order, value), rank).alias("first"))
+    return best.select(*keys, "first.*")
+
+
+def window_error(start: str = "start", end: str = "end", residues: str = "n_residues", sequence: str = "sequence") -> Column:
+    """Why a window's row does not fit its chain any more: null if it does. For ``sinks.dead_letters``."""
+    return (
+        F.when(F.col(start).isNull() | F.col(end).isNull(), "missing window indices")
+        .when(F.col(residues).isNull(), "missing chain")
+        .when((F.col(start) < 0) | (F.col(end) < F.col(start)) | (F.col(end) >= F.col(residues)), "window out of bounds")
+        .when(F.coalesce(F.char_length(sequence), F.lit(0)) == 0, "empty window")
+        .when(F.char_length(sequence) != F.col(end) - F.col(start) + 1, "window bounds mismatch")
+    )

@@ -53,3 +53,19 @@ def in_batch_loss(scores: DataFrame, batch: str, masked: Column, temperature: fl
     top = rows.withColumn("m", F.max("z").over(Window.partitionBy(batch, "query")))
     per = top.groupBy(batch, "query").agg((F.max("m") + F.log(F.sum(F.exp(F.col("z") - F.col("m"))))).alias("lse"), F.max(F.when(F.col("query") == F.col("item"), F.col("z"))).alias("own"))
     return per.groupBy(batch).agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("lse") - F.col("own")).alias("loss"))
+
+
+def symmetric_loss(scores: DataFrame, batch: str, query_key: str, item_key: str, scale: Column | float = 1.0, floor: float = -1e6) -> DataFrame:
+    """Per batch, half the loss of queries against items and half that of items against queries.
+
+    ``scores`` has query, item, score, and the ``query_key`` and ``item_key`` of the pair's query and item, each as (own, other): columns
+    ``query_key`` and ``query_key_of_item``, and the like. Pairs of items that share their key are masked where queries look for
+    items; pairs that share the query's key are masked where items look for queries.
+    """
+    scaled = scores.withColumn("score", F.col("score") * scale)
+    same_item = F.col(item_key) == F.col(f"{item_key}_of_item")
+    same_query = F.col(query_key) == F.col(f"{query_key}_of_item")
+    one = in_batch_loss(scaled, batch, F.coalesce(same_item, F.lit(False)), floor=floor)
+    turned = scaled.select(*(F.col(c) for c in scaled.columns if c not in ("query", "item")), F.col("item").alias("query"), F.col("query").alias("item"))
+    other = in_batch_loss(turned, batch, F.coalesce(same_query, F.lit(False)), floor=floor).select(batch, F.col("loss").alias("other"))
+    return one.join(other, batch).select(batch, "n", (0.5 * F.col("loss") + 0.5 * F.col("other")).alias("loss"))

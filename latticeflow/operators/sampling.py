@@ -102,3 +102,9 @@ def group_split(df: DataFrame, group: str, cell: str, share: float, seed: str =
     take = F.least("__size", F.greatest(F.lit(1), F.bround(F.col("__size") * F.lit(share)).cast("long")))
     chosen = cut(placed.select(group, F.when(F.col("__n") <= take, names[0]).otherwise(names[1]).alias("split")), "splits")
     return join_checked(df, chosen, [group], "inner", chosen.count())
+
+
+def batches(df: DataFrame, key: Column, size: int, seed: str = "") -> DataFrame:
+    """Adds ``batch`` and ``place``: rows in an order shuffled by the seed, cut into batches of ``size``; the last may be shorter."""
+    placed = ordered.ranked(df.withColumn("__h", hash_order(key, seed)).withColumn("__k", key), [], [F.col("__h"), F.col("__k")], "__n")
+    return placed.select(*df.columns, F.expr(f"cast((__n - 1) div {size} as long)").alias("batch"), F.expr(f"cast((__n - 1) % {size} as int)").alias("place"))

@@ -77,6 +77,15 @@ def with_masked(pairs: DataFrame, members: DataFrame, keys: list[str], member: s
     return pairs.join(everyone, keys).withColumn("masked", F.array_except("__all", F.array("a", "b"))).drop("__all")
 
 
+def chosen_chain(sizes: DataFrame, keys: list[str], chain: str, order: str, residues: str, hint: str | None = None) -> DataFrame:
+    """Per key, the one chain that is the peptide: the one that the column ``hint`` names, else the one with most residues, the first
+    of equal ones; chains without residues do not count. Adds ``chain_count``, of all chains."""
+    named = F.coalesce(F.col(hint) == F.col(chain), F.lit(False)) if hint else F.lit(False)
+    count = sizes.groupBy(*keys).agg(F.count(F.lit(1)).alias("chain_count"))
+    best = ordered.first_of_group(sizes.filter(F.col(residues) > 0), keys, [named.desc(), F.desc(residues), F.col(order), F.col(chain)])
+    return best.join(count, keys)
+
+
 def directed_tasks(atoms: DataFrame, chain_cutoff: float = 6.0, contact_cutoff: float = 6.0, least_contacts: int = 2, least_residues: int = 8) -> DataFrame:
     """Both directions of each contacting pair whose source chain is long enough and touches with enough residues.
 

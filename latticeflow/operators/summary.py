@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from ..functions import scalars as S
 from ..storage import cut
 from . import ordered
 
@@ -62,3 +63,45 @@ def counts_per_parent(parents: DataFrame, children: DataFrame, key: str) -> Data
     """One row: parents without children, and the mean and maximum number of children."""
     n = parents.select(key).distinct().join(children.groupBy(key).agg(F.count(F.lit(1)).alias("n")), key, "left").select(F.coalesce("n", F.lit(0)).alias("n"))
     return n.agg(F.count_if(F.col("n") == 0).alias("without"), F.avg("n").alias("mean"), F.max("n").alias("most"))
+
+
+def weighted_mean(df: DataFrame, value: str, weight: str) -> DataFrame:
+    """One row: the ``mean`` of batch values weighted by their sizes, and the size of all; 0 without rows."""
+    total = F.coalesce(F.sum(weight), F.lit(0))
+    return df.agg(F.when(total > 0, F.sum(F.col(value) * F.col(weight)) / total).otherwise(F.lit(0.0)).alias("mean"), total.alias("n"))
+
+
+def most_common(df: DataFrame, columns: list[str], top: int) -> DataFrame:
+    """The ``top`` most frequent combinations with their counts, ties by value."""
+    return df.groupBy(*columns).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), *columns).limit(top)
+
+
+def run_totals(windows: DataFrame, chosen: DataFrame, task: str = "task_id", score: str = "score", length: str = "peptide_length", most: int = 4, bands: list[tuple[float, str]] | None = None) -> DataFrame:
+    """One row of totals and means of a sampling run: ``windows`` are all joined candidates (with ``duplicate``, ``eligible``, and columns
+    ``burial``, ``pocket_size``, ``hit_left``, ``hit_right``), ``chosen`` those taken (with ``stage``: sampled or filled).
+    """
+    share = lambda a, b: F.when(b > 0, a / b).otherwise(F.lit(0.0))
+    per = windows.groupBy(task).agg(F.count(F.lit(1)).alias("before"), F.count_if(F.col("duplicate")).alias("dup"), F.count_if(F.col("eligible") & ~F.col("duplicate")).alias("fit"))
+    kept = F.col("before") - F.col("dup")
+    tasks = per.agg(
+        F.count(F.lit(1)).alias("num_parent_tasks"), F.coalesce(F.sum("before"), F.lit(0)).alias("total_candidates_before"), F.coalesce(F.sum("dup"), F.lit(0)).alias("total_redundant_dropped"),
+        F.coalesce(F.sum("fit"), F.lit(0)).alias("total_eligible_after_dedup"), F.count_if(kept > most).alias("tasks_truncated"), F.coalesce(F.sum(F.greatest(kept - F.lit(most), F.lit(0))), F.lit(0)).alias("total_topk_dropped"),
+        F.count_if(F.col("fit") == 0).alias("tasks_with_no_eligible_pool"), F.count_if(F.col("fit") > most).alias("tasks_with_sampling_active"),
+    )
+    rows = windows.agg(F.coalesce(F.avg(score), F.lit(0.0)).alias("mean_score_before"), F.count("burial").alias("burial_present_count"), F.count("pocket_size").alias("pocket_size_present_count"))
+    cut_ = bands or [(10, "8_10"), (14, "11_14")]
+    labels = [name for _, name in cut_] + ["15_20"]
+    after = chosen.agg(
+        F.count(F.lit(1)).alias("total_candidates_after"), F.coalesce(F.avg(score), F.lit(0.0)).alias("mean_score_after"), F.count_if(F.col("stage") == "sampled").alias("total_sampled_from_eligible"),
+        F.count_if(F.col("stage") == "filled").alias("total_filled_by_fallback"), F.count_if(F.col("hit_left") & F.col("hit_right")).alias("final_both_cap_count"),
+        *(F.count_if(S.band(F.col(length), cut_, "15_20") == name).alias(f"length_{name}") for name in labels),
+    )
+    one = tasks.crossJoin(F.broadcast(rows)).crossJoin(F.broadcast(after))  # each side is one row
+    return one.select(
+        "*",
+        share(F.col("total_candidates_before"), F.col("num_parent_tasks")).alias("avg_candidates_before"),
+        share(F.col("total_candidates_after"), F.col("num_parent_tasks")).alias("avg_candidates_after"),
+        share(F.col("burial_present_count"), F.col("total_candidates_before")).alias("burial_present_ratio"),
+        share(F.col("pocket_size_present_count"), F.col("total_candidates_before")).alias("pocket_size_present_ratio"),
+        share(F.col("final_both_cap_count"), F.col("total_candidates_after")).alias("final_both_cap_ratio"),
+    )

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import greedy, joins, ordered, quality, sampling, structure, summary, surface
-from ..sources import structures
+from ..sources import sinks, structures
 
 
 def quality_control(texts: DataFrame, atoms: DataFrame, most_resolution: float = 3.5, least_area: float = 200.0, cutoff: float = 6.0, points: int = surface.POINTS) -> DataFrame:
@@ -78,7 +78,8 @@ def run(spark: SparkSession, folder: str, pattern: str = "*.cif", monitor: float
     from ..storage import cut
 
     texts = structures.files(spark, folder, pattern)
-    every = cut(structures.atoms(texts), "atoms")
+    read = cut(structures.parsed(texts), "parsed")
+    every = structures.good(read)
     qc = cut(quality_control(texts, every, points=points), "qc")
     atoms = every.join(qc.filter("passed").select("source_file"), "source_file", "left_semi")
     tasks = cut(structure.directed_tasks(atoms), "tasks")
@@ -89,5 +90,10 @@ def run(spark: SparkSession, folder: str, pattern: str = "*.cif", monitor: float
     named = cut(chosen.join(tasks.select("task_id", "source_file", "pdb_id", "receptor", "peptide", "chain_pair_id", "direction"), "task_id").join(seqs, ["source_file", "receptor"]), "sampled")
     dedup = cut(deduplicated(named), "dedup")
     split = sampling.row_split(dedup.filter("kept"), F.col("candidate_id"), monitor, str(seed))
-    final = cut(finalised(split, atoms, tasks, frame), "final")
-    return {"qc": qc, "tasks": tasks, "windows": wins, "dropped": dedup.filter("not kept"), "final": final, "summary": final_summary(final)}
+    sizes = structure.chains(structure.residues(atoms)).select("source_file", F.col("chain_id").alias("peptide"), "n_residues")
+    lengths = split.join(sizes, ["source_file", "peptide"], "left").withColumns({"__end": F.col("right"), "__start": F.col("left")})
+    fit, unfit = sinks.dead_letters(lengths, quality.window_error("__start", "__end", "n_residues", "peptide_sequence"))
+    final = cut(finalised(fit.drop("__start", "__end", "n_residues"), atoms, tasks, frame), "final")
+    unfit = unfit.select(F.col("candidate_id").alias("id"), F.lit("window").alias("type"), F.col("error").alias("message"))
+    errors = cut(structures.failed(read).select(F.col("source_file").alias("id"), "type", "message").unionByName(unfit), "errors")
+    return {"errors": errors, "qc": qc, "tasks": tasks, "windows": wins, "dropped": dedup.filter("not kept"), "final": final, "summary": final_summary(final)}

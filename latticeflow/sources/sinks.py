@@ -63,3 +63,9 @@ def export_names(df: DataFrame, order: list[Column], pdb: str, receptor: str, pe
 
     i = F.lpad(F.row_number().over(over([pdb], order)).cast("string"), 2, "0")
     return df.withColumn("file_name", F.concat_ws("_", F.col(pdb), i, F.col(receptor), F.col(peptide), F.concat(F.substring(key, 1, 12), F.lit(".pdb"))))
+
+
+def write_manifest(df: DataFrame, path: str, note: str) -> None:
+    """An export's rows as JSON lines in ``manifest.jsonl`` and a note on what is in it in ``README.txt``, both folders of ``path``."""
+    write_jsonl(df, f"{path}/manifest.jsonl")
+    df.sparkSession.createDataFrame([(note,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/README.txt")

@@ -127,27 +127,49 @@ def files(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
     return raw.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("source_file"), F.col("content").cast("string").alias("text"))
 
 
-def atoms(texts: DataFrame, kind: str = "cif") -> DataFrame:
-    """Atoms of ``texts`` (source_file, text). Coordinates have the precision of 32-bit floats, widened.
+#: What a worker adds to the rows of a file: whether it was read, and if not, why.
+OUTCOME = "ok boolean, error struct<type:string,message:string,traceback:string>"
+
+
+def parsed(texts: DataFrame, kind: str = "cif") -> DataFrame:
+    """Atoms of ``texts`` (source_file, text) with ``ok`` and ``error``; a file that cannot be parsed has one row, with its error.
 
-    A file that cannot be parsed yields no atoms; ``metadata`` tells why.
+    Coordinates have the precision of 32-bit floats, widened. Write the frame once, then take ``good`` and ``failed`` rows from it.
     """
     parse = cif_atoms if kind == "cif" else pdb_atoms
     names = [c.split()[0] for c in ATOMS.split(", ")]
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import traceback
+
         for batch in batches:
             for name, text in zip(batch["source_file"], batch["text"]):
                 try:
-                    got = parse(name, text or "")
-                except (ValueError, IndexError, TypeError):
-                    got = []
-                yield pd.DataFrame(got, columns=names)
+                    out = pd.DataFrame(parse(name, text or ""), columns=names).assign(ok=True, error=None)
+                except Exception as e:  # whatever is wrong with a file is a row of the result, not the end of the run
+                    why = {"type": type(e).__name__, "message": str(e), "traceback": traceback.format_exc()}
+                    out = pd.DataFrame([(name, *[None] * (len(names) - 1), False, why)], columns=[*names, "ok", "error"])
+                yield out
 
-    out = texts.select("source_file", "text").mapInPandas(rows, ATOMS)
+    out = texts.select("source_file", "text").mapInPandas(rows, f"{ATOMS}, {OUTCOME}")
     return out.withColumns({c: F.col(c).cast("float").cast("double") for c in "xyz"})
 
 
+def good(rows: DataFrame) -> DataFrame:
+    """The rows of what was read, without the outcome's columns."""
+    return rows.filter("ok").drop("ok", "error")
+
+
+def failed(rows: DataFrame) -> DataFrame:
+    """``(source_file, type, message, traceback)`` of what was not read: the dead letters."""
+    return rows.filter("not ok").select("source_file", "error.*")
+
+
+def atoms(texts: DataFrame, kind: str = "cif") -> DataFrame:
+    """The atoms of the files that can be parsed; ``failed(parsed(texts))`` tells which cannot, and why."""
+    return good(parsed(texts, kind))
+
+
 def metadata(texts: DataFrame) -> DataFrame:
     """``(source_file, pdb_id, method, resolution, n_atoms, metadata_error)`` of mmCIF texts.
 

@@ -124,3 +124,35 @@ def exactly_one(df: DataFrame, condition: Column) -> DataFrame:
 def with_row_id(df: DataFrame, order: list[Column], name: str = "row_id") -> DataFrame:
     """Positions from 0 in a declared order, without one task holding all rows."""
     return ordered.ranked(df, [], order, name).withColumn(name, F.col(name) - 1)
+
+
+def split_rows(df: DataFrame, split: str, *sequences: str, column: str = "split") -> DataFrame:
+    """The rows of one split whose sequences all are non-empty."""
+    there = [F.coalesce(F.char_length(F.trim(s)), F.lit(0)) > 0 for s in sequences]
+    return df.filter(reduce(lambda a, b: a & b, there, F.col(column) == split))
+
+
+def entity_rows(df: DataFrame, entry: str, chains: dict[str, str] | None = None, column: str = "pdb_id") -> DataFrame:
+    """The rows of an entry, without regard to case, and of the chains named by column; an empty name asks for any."""
+    out = df.filter(F.lower(F.trim(column)) == entry.strip().lower())
+    return reduce(lambda d, c: d.filter(F.col(c[0]) == c[1]), [(k, v) for k, v in (chains or {}).items() if v], out)
+
+
+def require_same(df: DataFrame, *columns: str) -> DataFrame:
+    """The frame, if all its rows agree in the columns; else an error that names the first that differs."""
+    counts = df.agg(*(F.count_distinct(F.coalesce(F.col(c).cast("string"), F.lit("\0"))).alias(c) for c in columns)).first()
+    for c in columns:
+        if counts[c] > 1:
+            raise ValueError(f"rows differ in {c}")
+    return df
+
+
+def first_rows(df: DataFrame, order: list[Column], n: int | None) -> DataFrame:
+    """The first ``n`` rows by an order, all without a number. The limit is the feature."""
+    return df if n is None else df.orderBy(*order).limit(n)
+
+
+def read_index(spark: SparkSession, vectors: str, metadata: str, key: str = "id") -> DataFrame:
+    """Vectors and their metadata, both Parquet with one row a ``key``, as one frame; a vector without metadata stays."""
+    require_columns(spark.read.parquet(vectors), key)
+    return spark.read.parquet(vectors).join(spark.read.parquet(metadata), key, "left")
