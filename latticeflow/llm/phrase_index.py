@@ -1,21 +1,23 @@
-"""Positional inverted index over documents, with exact phrase and proximity search. DataFrame functions only.
+"""Distributed positional inverted index over documents, with exact phrase and proximity search. DataFrame functions only.
 
-The index is split by document: a posting is (document, term, position, neighbourhood), where the neighbourhood holds the terms
-at the positions around, so that lists adjusted by their offsets are intersected without reading the document again. A search
-counts how often the corpus has each term of the test set, and fetches for each phrase only the postings of its rarest term.
+A posting is (term, document, position). One pass over the texts stores the postings of all terms of the test set, sorted by term within
+each part. A phrase is searched from its rarest terms: the postings of the rarest one, less its offset in the phrase, are the places
+where the phrase may start; they are intersected with the postings of the second rarest, less its own offset, and what is left with
+those of all others. Proximity is the same with a range of positions instead of one.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import BROADCAST_ROWS
 from .common import cut, join_checked
 
-#: Words of a window; terms that one reading of the documents looks up (a larger test set is searched in blocks).
-WINDOW, TERMS_AT_ONCE = 10, 20_000
+#: Words of a window; words to either side of a window's rarest term within which its other terms count as near.
+WINDOW, WITHIN = 10, 15
+#: Stands for the end of a document among its terms; no word has this character.
+END = "\0"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: What stands between words: the ASCII characters that are neither letters nor digits.
 BETWEEN = "".join(c for c in map(chr, range(128)) if not c.isalnum())
@@ -27,12 +29,6 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(plain, " "), "")
 
 
-def term_counts(docs: DataFrame, terms: DataFrame, text: str) -> DataFrame:
-    """``(term, n)``: how often the documents have each of the distinct ``terms``, in all texts; at least once."""
-    seen = docs.select(F.explode(words(F.col(text))).alias("term"))
-    return join_checked(seen, terms, ["term"], "inner", terms.count()).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
-
-
 def windows(items: DataFrame, key: str, text: str, width: int) -> DataFrame:
     """``(item, i, words)``: every window of ``width`` consecutive words, or the whole of a shorter item; none of an empty one."""
     split = items.select(F.col(key).cast("string").alias("item"), words(F.col(text)).alias("w")).filter("size(w) > 0")
@@ -40,81 +36,109 @@ def windows(items: DataFrame, key: str, text: str, width: int) -> DataFrame:
     return split.select("item", "w", starts).select("item", "i", F.expr(f"slice(w, i + 1, {width})").alias("words"))
 
 
-def rarest(phrases: DataFrame, counts: DataFrame) -> DataFrame:
-    """``phrases`` (with ``words``) that can occur, with their rarest ``term`` and its offset ``off``; ties: the leftmost.
+def stored(docs: DataFrame, terms: DataFrame, text: str, keep: list[str]) -> DataFrame:
+    """The index: ``(term, uid, pos, kept)`` for each occurrence of the ``terms`` (term, one row each), sorted by term in each part.
 
-    A phrase with a term that no document has cannot occur.
+    Each document has one more posting, of the term END at the position after its last word, which alone carries its ``keep`` columns.
     """
-    ids = phrases.withColumn("__p", F.monotonically_increasing_id())
-    ids = cut(ids, "phrases")
-    each = ids.select("__p", F.posexplode("words").alias("off", "term")).join(counts, "term", "left")
-    pick = each.groupBy("__p").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "off", "term")).alias("r")).filter("r.n > 0")
-    return ids.join(pick, "__p").select(*phrases.columns, F.col("r.term").alias("term"), F.col("r.off").alias("off"))
+    kept = F.struct(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)), F.lit(1).alias("there"))
+    given = docs.select(F.monotonically_increasing_id().alias("uid"), words(F.col(text)).alias("w"), kept.alias("kept"))
+    none = F.when(F.lit(False), F.col("kept"))
+    place = lambda w, i: F.struct(w.alias("term"), i.alias("pos"), none.alias("kept"))
+    last = F.struct(F.lit(END).alias("term"), F.size("w").alias("pos"), F.col("kept").alias("kept"))
+    each = given.select("uid", F.explode(F.concat(F.transform("w", place), F.array(last))).alias("p")).select("uid", "p.*")
+    known = terms.select("term").unionByName(terms.sparkSession.createDataFrame([(END,)], "term string"))
+    return cut(join_checked(each, known, ["term"], "left_semi", terms.count() + 1).sortWithinPartitions("term", "uid", "pos"), "postings")
 
 
-def postings(docs: DataFrame, terms: list[str], text: str, reach: int) -> DataFrame:
-    """``docs`` with ``n_words`` and ``postings``: for each occurrence of a term (term, pos, from, near).
+def ordered_phrases(phrases: DataFrame, counts: DataFrame) -> DataFrame:
+    """``(phrase, item, size, terms)``: the different windows' terms as (n, off, term), rarest first, ties by offset.
 
-    ``near`` holds the words at the positions ``from`` to ``pos + reach``. ``docs`` may have any other columns.
+    A phrase with a term that no document has cannot occur and is left out.
     """
-    split = docs.withColumn("__w", words(F.col(text)))
-    places = F.filter(F.transform("__w", lambda w, i: F.when(w.isin(terms), i).otherwise(F.lit(-1))), lambda i: i >= 0) if terms else F.array().cast("array<int>")
-    first = lambda i: F.greatest(i - F.lit(reach), F.lit(0))
-    posting = lambda i: F.struct(F.element_at("__w", i + 1).alias("term"), i.alias("pos"), first(i).alias("from"), F.slice("__w", first(i) + 1, i - first(i) + F.lit(reach + 1)).alias("near"))
-    return split.withColumn("__i", places).select(*docs.columns, F.size("__w").cast("long").alias("n_words"), F.transform("__i", posting).alias("postings"))
+    ids = cut(phrases.select("item", "words").distinct().withColumn("phrase", F.monotonically_increasing_id()), "phrases")
+    each = ids.select("phrase", F.posexplode("words").alias("off", "term")).join(counts, "term")
+    listed = each.groupBy("phrase").agg(F.array_sort(F.collect_list(F.struct("n", "off", "term"))).alias("terms"))
+    return ids.join(listed, "phrase").filter("size(terms) = size(words)").select("phrase", "item", F.size("words").alias("size"), "terms")
 
 
-def phrase_hits(index: DataFrame, phrases: DataFrame, uid: str = "__uid") -> DataFrame:
-    """Exact matches ``(uid, item, start, length)`` of ``phrases`` (item, words, term, off) in an index."""
-    found = index.select(uid, "n_words", F.explode("postings").alias("p")).select(uid, "n_words", "p.*")
-    met = join_checked(found, phrases, ["term"], "inner", phrases.count()).withColumn("start", F.col("pos") - F.col("off"))
-    whole = (F.col("start") >= 0) & (F.col("start") + F.size("words") <= F.col("n_words"))
-    same = F.expr("slice(near, start - `from` + 1, size(words)) = words")
-    return met.filter(whole).filter(same).select(uid, "item", F.col("start").cast("int").alias("start"), F.size("words").alias("length"))
+def starts(index: DataFrame, phrases: DataFrame) -> DataFrame:
+    """``(phrase, uid, at)``: where the rarest term of a phrase stands."""
+    first = phrases.select("phrase", F.col("terms")[0]["term"].alias("term"))
+    found = join_checked(index.select("term", "uid", "pos"), first, ["term"], "inner", first.count())
+    return found.select("phrase", "uid", F.col("pos").alias("at"))
 
 
-def proximity_hits(index: DataFrame, phrases: DataFrame, within: int, uid: str = "__uid") -> DataFrame:
-    """``(uid, item, pos)``: places of a phrase's rarest term with all its other terms at most ``within`` words away, in any order.
+def intersected(index: DataFrame, phrases: DataFrame, at: DataFrame, within: int | None = None) -> DataFrame:
+    """Of the places ``at`` of the rarest terms, those at which all other terms stand too: at their offsets from it, or, with ``within``,
+    anywhere that many words away at most.
 
-    The index must be built with a reach of ``within`` or more.
+    The second rarest terms come first. Their postings are few and are shuffled; what is left goes to all postings if it is few.
     """
-    found = index.select(uid, F.explode("postings").alias("p")).select(uid, "p.*")
-    met = join_checked(found, phrases, ["term"], "inner", phrases.count())
-    close = F.expr(f"slice(near, greatest(pos - `from` - {within}, 0) + 1, least(pos - `from`, {within}) + {within} + 1)")
-    return met.withColumn("close", close).filter("size(array_except(words, close)) = 0").select(uid, "item", "pos")
-
-
-def search(docs: DataFrame, items: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text", width: int = WINDOW, keep: list[Column] | None = None) -> DataFrame:
-    """Per document: ``keep``, ``n_words``, ``n_hit``, ``n_items``, ``items_sha256`` and ``contaminated``.
 
-    A word is hit if it lies in an occurrence of any window of any item. Null and empty texts have no words. An item with a null
-    id hits words but is not listed; items that share an id count once. Repeated documents are searched each on their own.
+    def met(places: DataFrame, terms: DataFrame, wanted: DataFrame, few: bool) -> DataFrame:
+        # One row for each place and term that is there.
+        size = wanted.count()
+        need = join_checked(places, wanted, ["phrase"], "inner", size).select("phrase", "uid", "at", "term", (F.col("at") + F.col("gap")).alias("pos"))
+        if within is not None:
+            need = need.drop("pos").distinct()
+        need = cut(need, "needed")
+        rows = need.count()
+        if within is None:
+            return join_checked(terms, need, ["term", "uid", "pos"], "inner", rows if few else rows + BROADCAST_ROWS)
+        there = join_checked(terms, need, ["term", "uid"], "inner", rows if few else rows + BROADCAST_ROWS)
+        return there.filter(F.abs(F.col("pos") - F.col("at")) <= within).select("phrase", "uid", "at", "term").distinct()
+
+    postings_ = index.select("term", "uid", "pos")
+    second = phrases.filter("size > 1").select("phrase", F.col("terms")[1]["term"].alias("term"), (F.col("terms")[1]["off"] - F.col("terms")[0]["off"]).alias("gap"))
+    alone = join_checked(at, phrases.filter("size = 1").select("phrase"), ["phrase"], "left_semi", 1)
+    rare = second.select("term").distinct()
+    of_second = join_checked(postings_, rare, ["term"], "left_semi", rare.count())
+    left = cut(met(at, of_second, second, few=False).select("phrase", "uid", "at").unionByName(alone).distinct(), "left")
+    others = phrases.select("phrase", F.col("terms")[0]["off"].alias("first"), F.explode(F.slice("terms", 3, 1 << 20)).alias("t"))
+    others = cut(others.select("phrase", F.col("t.term").alias("term"), (F.col("t.off") - F.col("first")).alias("gap")), "others")
+    there = met(left, postings_, others, few=True)
+    number = F.count_distinct("term") if within is not None else F.count(F.lit(1))
+    have = there.groupBy("phrase", "uid", "at").agg(number.alias("have"))
+    want = others.groupBy("phrase").agg((F.count_distinct("term") if within is not None else F.count(F.lit(1))).alias("want"))
+    whole = left.join(want, "phrase", "left").join(have, ["phrase", "uid", "at"], "left")
+    return whole.filter(F.coalesce("want", F.lit(0)) == F.coalesce("have", F.lit(0))).select("phrase", "uid", "at")
+
+
+def search(docs: DataFrame, items: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text", width: int = WINDOW, within: int = WITHIN, keep: list[Column] | None = None) -> DataFrame:
+    """Per document: ``keep``, ``n_words``, ``n_hit``, ``n_items``, ``items_sha256``, ``contaminated`` and ``n_near``.
+
+    A word is hit if it lies in an occurrence of any window of any item; ``n_near`` is the number of items with a window of which all
+    terms stand at most ``within`` words from an occurrence of its rarest term, in any order. Null and empty texts have no words;
+    whole texts of any length are read. An item with a null id hits words but is not listed; items that share an id count once.
+    Repeated documents are searched each on their own; an empty table of either kind finds nothing. Other columns are not read.
     """
+    own = keep or [F.col("doc_id")]
+    names = docs.select(*own).columns
     phrases = windows(items, item_key, item_text, width)
     terms = cut(phrases.select(F.explode("words").alias("term")).distinct(), "terms")
-    counts = cut(term_counts(docs, terms, text), "counts")
-    anchored = cut(rarest(phrases, counts), "anchored")
-    wanted = sorted(r["term"] for r in anchored.select("term").distinct().collect())  # of the test set, not of the corpus
-    given = docs.select(*(keep or [F.col("doc_id")]), F.col(text).alias("__text"))
-    names = [c for c in given.columns if c != "__text"]
-    given = given.withColumn("__uid", F.monotonically_increasing_id())
-    first = cut(postings(given, wanted[:TERMS_AT_ONCE], "__text", width - 1).drop("__text"), "postings")
-    blocks = [phrase_hits(first, anchored.filter(F.col("term") <= F.lit(wanted[:TERMS_AT_ONCE][-1])) if wanted else anchored)]
-    for at in range(TERMS_AT_ONCE, len(wanted), TERMS_AT_ONCE):
-        part = wanted[at : at + TERMS_AT_ONCE]
-        more = cut(postings(given, part, "__text", width - 1).select("__uid", "n_words", "postings"), "postings")
-        blocks.append(phrase_hits(more, anchored.filter(F.col("term").between(part[0], part[-1]))))
-    hits = reduce(DataFrame.unionByName, blocks)
-    by = hits.groupBy("__uid").agg(F.collect_set(F.struct("start", "length")).alias("spans"), F.collect_set("item").alias("items"))
-    by = cut(by, "hits")
-    out = join_checked(first.select("__uid", *names, "n_words"), by, ["__uid"], "left", by.count())
-    covered = F.expr("size(array_distinct(flatten(transform(spans, s -> sequence(s.start, s.start + s.length - 1)))))")
+    given = docs.select(*(c.alias(f"__keep{i}") for i, c in enumerate(own)), F.col(text).alias("__text"))
+    index = stored(given, terms, "__text", [f"__keep{i}" for i in range(len(own))])
+    counts = cut(index.filter(F.col("term") != END).groupBy("term").agg(F.count(F.lit(1)).alias("n")), "counts")
+    asked = cut(ordered_phrases(phrases, counts), "asked")
+    size = asked.count()
+    at = cut(starts(index, asked), "starts")
+
+    exact = join_checked(intersected(index, asked, at), asked.select("phrase", "item", "size", F.col("terms")[0]["off"].alias("off")), ["phrase"], "inner", size)
+    exact = exact.withColumn("start", F.col("at") - F.col("off"))
+    near = join_checked(intersected(index, asked, at, within).select("phrase", "uid").distinct(), asked.select("phrase", "item"), ["phrase"], "inner", size)
+    by = cut(exact.groupBy("uid").agg(F.collect_set(F.struct("start", "size")).alias("spans"), F.collect_set("item").alias("items")), "hits")
+    close = cut(near.groupBy("uid").agg(F.count_distinct("item").alias("n_near")), "near")
+    ends = index.filter(F.col("term") == END).select("uid", F.col("pos").alias("n_words"), "kept")
+    out = join_checked(join_checked(ends, by, ["uid"], "left", by.count()), close, ["uid"], "left", close.count())
+    covered = F.expr("size(array_distinct(flatten(transform(spans, s -> sequence(s.start, s.start + s.size - 1)))))")
     listed = F.coalesce(F.array_sort("items"), F.array().cast("array<string>"))
     return out.select(
-        *names,
-        "n_words",
+        *(F.col(f"kept.c{i}").alias(n) for i, n in enumerate(names)),
+        F.col("n_words").cast("long").alias("n_words"),
         F.when(F.col("spans").isNull(), 0).otherwise(covered).cast("long").alias("n_hit"),
         F.size(listed).cast("long").alias("n_items"),
         F.sha2(F.array_join(listed, ",").cast("binary"), 256).alias("items_sha256"),
         F.col("spans").isNotNull().alias("contaminated"),
+        F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"),
     )

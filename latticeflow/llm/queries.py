@@ -88,7 +88,8 @@ def queries() -> dict[str, Query]:
     }
 
 
-#: Words of both sides; every window of an item against every window of a document, through the window's words.
+#: Words of both sides; every window of an item against every window of a document, through the window's words. Near: of a window's
+#: different terms (pt), as many as it has (pn) stand around a place of its rarest one (pr).
 OP3_SQL = r"""
 with d as (select row_number() over () as uid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
 b as (select item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark),
@@ -97,10 +98,19 @@ sizes as (select distinct n from bw),
 dw as (select uid, i, n, array_to_string(w[i : i + n - 1], ' ') as g from (select uid, w, n, unnest(range(1, len(w) - n + 2)) as i from d, sizes where len(w) >= n)),
 hits as (select dw.uid, dw.i, dw.n, bw.item_id from dw join bw on dw.n = bw.n and dw.g = bw.g),
 words as (select uid, count(distinct p) as n_hit from (select uid, unnest(range(i, i + n)) as p from hits) group by uid),
-items as (select uid, count(*) as n_items, string_agg(item, ',' order by item) as l from (select distinct uid, cast(item_id as varchar) as item from hits) group by uid)
+items as (select uid, count(*) as n_items, string_agg(item, ',' order by item) as l from (select distinct uid, cast(item_id as varchar) as item from hits) group by uid),
+o as (select uid, unnest(w) as x, generate_subscripts(w, 1) as pos from d),
+cnt as (select x, count(*) as c from o group by x),
+ph as (select row_number() over () as p, item_id, string_split(g, ' ') as w from (select distinct item_id, g from bw)),
+pt as (select p, unnest(w) as x, generate_subscripts(w, 1) as off from ph),
+pr as (select p, arg_min(pt.x, c * 1000 + off) as x from pt left join cnt using (x) group by p having count(c) = count(*)),
+pn as (select p, count(distinct x) as n from pt group by p),
+st as (select pr.p, o.uid, o.pos as at from pr join o using (x)),
+nr as (select st.p, st.uid, st.at from st join pn on pn.p = st.p join (select distinct p, x from pt) t on t.p = st.p join o on o.uid = st.uid and o.x = t.x and abs(o.pos - st.at) <= 15 group by st.p, st.uid, st.at, pn.n having count(distinct o.x) = pn.n),
+near as (select uid, count(distinct item_id) as n_near from (select distinct p, uid from nr) join ph using (p) group by uid)
 select d.doc_id, cast(len(d.w) as bigint) as n_words, cast(coalesce(words.n_hit, 0) as bigint) as n_hit, cast(coalesce(items.n_items, 0) as bigint) as n_items,
-  sha256(coalesce(items.l, '')) as items_sha256, words.n_hit is not null as contaminated
-from d left join words using (uid) left join items using (uid)
+  sha256(coalesce(items.l, '')) as items_sha256, words.n_hit is not null as contaminated, cast(coalesce(near.n_near, 0) as bigint) as n_near
+from d left join words using (uid) left join items using (uid) left join near using (uid)
 """
 
 

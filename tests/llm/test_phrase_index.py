@@ -2,6 +2,9 @@ import hashlib
 import random
 import re
 
+import pytest
+from pyspark.sql import functions as F
+
 from latticeflow.llm import phrase_index as P
 
 
@@ -53,9 +56,9 @@ def test_equals_brute_force(spark):
     assert run(spark, docs, items) == brute(docs, items)
 
 
-def test_blocks_of_terms(spark, monkeypatch):
-    monkeypatch.setattr(P, "TERMS_AT_ONCE", 2)
+def test_shuffled_joins_find_the_same(spark, monkeypatch):
     docs, items = fixture()
+    monkeypatch.setattr(P, "join_checked", lambda left, right, on, how, rows, most=0: left.join(right.hint("shuffle_hash"), on, how))
     assert run(spark, docs, items) == brute(docs, items)
 
 
@@ -65,9 +68,46 @@ def test_empty_tables(spark):
     assert run(spark, docs[:6], []) == brute(docs[:6], [])
 
 
-def test_proximity(spark):
-    docs = spark.createDataFrame([(1, "a b rare c d"), (2, "rare b b b b a"), (3, "b a rare"), (4, "rare a")], "__uid long, text string")
-    phrases = spark.createDataFrame([("q", ["rare", "a", "b"], "rare", 0)], "item string, words array<string>, term string, off int")
-    index = P.postings(docs, ["rare"], "text", 5)
-    assert sorted(r["__uid"] for r in P.proximity_hits(index, phrases, 2).collect()) == [1, 3]
-    assert sorted(r["__uid"] for r in P.proximity_hits(index, phrases, 5).collect()) == [1, 2, 3]
+def near(docs, items, width=10, within=P.WITHIN):
+    split = [words(d) for d in docs]
+    counts = {}
+    for w in split:
+        for x in w:
+            counts[x] = counts.get(x, 0) + 1
+    out = []
+    for w in split:
+        found = set()
+        for key, item in items:
+            v = words(item)
+            for i in range(max(0, len(v) - width) + 1 if v else 0):
+                g = v[i : i + width]
+                if all(x in counts for x in g):
+                    rarest = min((counts[x], k, x) for k, x in enumerate(g))[2]
+                    if any(x == rarest and set(g) <= set(w[max(0, p - within) : p + within + 1]) for p, x in enumerate(w)):
+                        found.add(key)
+        out.append(len(found - {None}))
+    return out
+
+
+@pytest.mark.parametrize("within", [2, 5, 15])
+def test_proximity_equals_brute_force(spark, within):
+    docs, items = fixture()
+    d = spark.createDataFrame([(i, t) for i, t in enumerate(docs)], "doc_id long, text string")
+    b = spark.createDataFrame(items, "item_id long, text string")
+    got = {r["doc_id"]: r["n_near"] for r in P.search(d, b, within=within).collect()}
+    want = near(docs, items, within=within)
+    assert [got[i] for i in range(len(docs))] == want and (within < 15 or sum(want))
+
+
+def test_postings_are_stored_once_for_all_terms(spark):
+    docs = spark.createDataFrame([(1, "b a b"), (2, None), (3, "c A-b")], "doc_id long, text string")
+    rows = P.stored(docs, spark.createDataFrame([("a",), ("b",)], "term string"), "text", ["doc_id"]).collect()
+    at = {r["uid"]: r["kept"]["c0"] for r in rows if r["term"] == P.END}
+    assert sorted((at[r["uid"]], r["term"], r["pos"]) for r in rows) == [(1, P.END, 3), (1, "a", 1), (1, "b", 0), (1, "b", 2), (2, P.END, 0), (3, P.END, 3), (3, "a", 1), (3, "b", 2)]
+
+
+def test_clashing_names_and_long_texts(spark):
+    item = " ".join(f"w{i}" for i in range(10))
+    d = spark.createDataFrame([(1, "x " * 200_000 + item, 5, 6), (2, "x", 7, 8)], "doc_id long, text string, uid int, term int")
+    got = P.search(d, spark.createDataFrame([(1, item)], "item_id long, text string"), keep=[F.col("doc_id"), F.col("uid"), F.col("term")])
+    assert sorted((r["doc_id"], r["uid"], r["term"], r["n_words"], r["n_hit"]) for r in got.collect()) == [(1, 5, 6, 200_010, 10), (2, 7, 8, 1, 0)]
