@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..storage import cut, join_checked, join_counted
 
-__all__ = ["cut", "held_out", "join_checked", "join_counted", "remainder", "small_batches", "table"]
+__all__ = ["cut", "held_out", "join_checked", "join_counted", "remainder", "small_batches", "table", "trim"]
 
 #: Rows and bytes of a batch that goes to a Python worker, at most.
 BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
@@ -24,6 +26,14 @@ def small_batches(spark: SparkSession) -> None:
             spark.conf.set(key, str(most))
 
 
+def trim() -> None:
+    """Hand freed memory back to the system, where the C library can: after large arrays its allocator keeps tens of megabytes."""
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the data directory; only Spark opens the path."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

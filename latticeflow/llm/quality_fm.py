@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import small_batches, trim
 from .toxicity import arrays, bounded_labelled
 
 #: Labelled documents that the machine learns from, at most; width of the interactions; buckets of hashed words.
@@ -137,7 +137,10 @@ def learn(docs: DataFrame, labels: DataFrame, learnable: Column | None = None, l
     small_batches(docs.sparkSession)
     sample = bounded_labelled(docs, labels, label, text, key, learnable, rows)
     got = sample.drop("key").mapInArrow(_encode, "label int, ids array<int>, vals array<double>").toArrow()
-    return fit(list(zip(arrays(got.column("ids")), arrays(got.column("vals")))), got.column("label").to_numpy())
+    machine = fit(list(zip(arrays(got.column("ids")), arrays(got.column("vals")))), got.column("label").to_numpy())
+    del got
+    trim()
+    return machine
 
 
 def score(docs: DataFrame, model: FactorisationMachine, text: str = "text", keep: list[Column] | None = None) -> DataFrame:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import small_batches, trim
 
 #: Groups of terms that may stand for each other, in English, German, French and Spanish (a parameter: pass other lists).
 IDENTITY_TERMS: tuple[tuple[str, ...], ...] = (
@@ -144,8 +144,9 @@ def fit(texts: list[np.ndarray], swapped: list, labels: np.ndarray, penalty: flo
     intercept = float(np.log(rate / (1 - rate)))
     if len(y) == 0 or y.min() == y.max():
         return ToxicityModel({}, intercept)
-    pos = np.bincount(np.concatenate([t for t, v in zip(texts, y) if v]), minlength=SPACE).astype(float)
-    neg = np.bincount(np.concatenate([t for t, v in zip(texts, y) if not v]), minlength=SPACE).astype(float)
+    flat = np.concatenate([np.zeros(0, np.int32), *texts]).astype(np.int32, copy=False)
+    of = np.repeat(y > 0, [len(t) for t in texts])
+    pos, neg = (np.bincount(flat[side], minlength=SPACE).astype(float) for side in (of, ~of))
     n1, n0 = y.sum(), len(y) - y.sum()
     p1, p0, p = (pos + 0.5) / (n1 + 1), (neg + 0.5) / (n0 + 1), (pos + neg + 1) / (len(y) + 2)
     z = (p1 - p0) / np.sqrt(p * (1 - p) * (1 / n1 + 1 / n0))
@@ -156,11 +157,13 @@ def fit(texts: list[np.ndarray], swapped: list, labels: np.ndarray, penalty: flo
     place[kept] = np.arange(len(kept))
 
     def matrix(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        cols = [place[r][place[r] >= 0] for r in rows]
-        return np.repeat(np.arange(len(rows)), [len(c) for c in cols]), np.concatenate([np.zeros(0, int), *cols]).astype(int)
+        """Row and column of the kept features; one array for all rows, as thousands of small ones would stay with the driver."""
+        cols = place[np.concatenate([np.zeros(0, np.int32), *rows]).astype(np.int32, copy=False)]
+        there = cols >= 0
+        return np.repeat(np.arange(len(rows)), [len(r) for r in rows])[there], cols[there]
 
     row, col = matrix(texts)
-    pairs = [(i, np.asarray(new, int), np.asarray(gone, int)) for i, s in enumerate(swapped) if s is not None for new, gone in (s if isinstance(s, list) else [(np.setdiff1d(s, texts[i]), np.setdiff1d(texts[i], s))])]
+    pairs = [(i, np.asarray(new, np.int32), np.asarray(gone, np.int32)) for i, s in enumerate(swapped) if s is not None for new, gone in (s if isinstance(s, list) else [(np.setdiff1d(s, texts[i]), np.setdiff1d(texts[i], s))])]
     paired = np.array([i for i, _, _ in pairs], int)
     nrow, ncol = matrix([new for _, new, _ in pairs])
     grow, gcol = matrix([gone for _, _, gone in pairs])
@@ -240,7 +243,10 @@ def learn(docs: DataFrame, labels: DataFrame, learnable: Column | None = None, l
     sample = bounded_labelled(docs, labels, label, text, key, learnable, rows)
     got = sample.drop("key").mapInArrow(_learnt(groups), "label int, own array<int>, changes array<int>").toArrow()
     identity = frozenset(feature(0, w) for group in groups for w in group)
-    return fit(arrays(got.column("own")), [_pairs(x) for x in arrays(got.column("changes"))], got.column("label").to_numpy(), penalty, keep=identity)
+    model = fit(arrays(got.column("own")), [_pairs(x) for x in arrays(got.column("changes"))], got.column("label").to_numpy(), penalty, keep=identity)
+    del got
+    trim()
+    return model
 
 
 def score(docs: DataFrame, model: ToxicityModel, text: str = "text", keep: list[Column] | None = None) -> DataFrame:
