@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import small_batches, trim
-from .toxicity import arrays, bounded_labelled
+from .toxicity import bounded_labelled, in_order
 
 #: Labelled documents that the machine learns from, at most; width of the interactions; buckets of hashed words.
 LEARN_ROWS, FACTORS, BUCKETS = 3000, 6, 1 << 12
@@ -125,7 +125,7 @@ def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     encoder = Encoder()
     for batch in batches:
         got = [encoder(t.as_py()) for t in batch.column("text")]
-        yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array([g[0].astype(np.int32) for g in got], pa.list_(pa.int32())), pa.array([g[1] for g in got], pa.list_(pa.float64()))], ["label", "ids", "vals"])
+        yield pa.RecordBatch.from_arrays([batch.column("place"), batch.column("label"), pa.array([g[0].astype(np.int32) for g in got], pa.list_(pa.int32())), pa.array([g[1] for g in got], pa.list_(pa.float64()))], ["place", "label", "ids", "vals"])
 
 
 def learn(docs: DataFrame, labels: DataFrame, learnable: Column | None = None, label: str = "quality", text: str = "text", key: str = "doc_id", rows: int = LEARN_ROWS) -> FactorisationMachine:
@@ -136,9 +136,10 @@ def learn(docs: DataFrame, labels: DataFrame, learnable: Column | None = None, l
     """
     small_batches(docs.sparkSession)
     sample = bounded_labelled(docs, labels, label, text, key, learnable, rows)
-    got = sample.drop("key").mapInArrow(_encode, "label int, ids array<int>, vals array<double>").toArrow()
-    machine = fit(list(zip(arrays(got.column("ids")), arrays(got.column("vals")))), got.column("label").to_numpy())
-    del got
+    got = sample.mapInArrow(_encode, "place long, label int, ids array<int>, vals array<double>").toArrow()
+    ids, values, labels_ = in_order(got, "ids", "vals")
+    machine = fit(list(zip(ids, values)), labels_)
+    del got, ids, values
     trim()
     return machine
 

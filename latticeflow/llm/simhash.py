@@ -173,7 +173,8 @@ def candidates(nodes: DataFrame, segment_bits: int = SEGMENT_BITS) -> DataFrame:
     same = join_counted(own, shared, ["value"], "inner", "n", 2 * LONGS * nodes.count()).filter("node <> least").select(F.col("node").alias("u"), F.col("least").alias("v"))
     around = F.explode(F.expr(f"transform(sequence(0, {segment_bits}), b -> if(b = 0, 0L, shiftleft(1L, b - 1)))")).alias("flip")
     posted = values.select("least", "value", around).select("least", F.col("value").bitwiseXOR(F.col("flip")).alias("place"))
-    met = cut(posted.groupBy("place").agg(F.count(F.lit(1)).alias("n"), F.min("least").alias("lo"), F.max("least").alias("hi")).filter("n > 1"), "met")
+    # Hardly two rows of a part share a place, so they are dealt out as they are and only then counted.
+    met = cut(posted.repartition("place").groupBy("place").agg(F.count(F.lit(1)).alias("n"), F.min("least").alias("lo"), F.max("least").alias("hi")).filter("n > 1"), "met")
     crowds = met.filter("n > 2").select("place", "lo")
     more = join_checked(posted, crowds, ["place"], "inner", crowds.count()).select(F.col("least").alias("u"), F.col("lo").alias("v"))
     pairs = same.unionByName(met.select(F.col("hi").alias("u"), F.col("lo").alias("v"))).unionByName(more)

@@ -47,6 +47,8 @@ IDENTITY_TERMS: tuple[tuple[str, ...], ...] = (
 )
 #: Labelled documents that the classifier learns from, at most; the ones with the smallest hash of the key are taken.
 LEARN_ROWS = 8000
+#: Parts in which they are turned into features.
+LEARN_PARTS = 16
 #: Hash space of the features, lengths of word beginnings, weight of the counterfactual penalty.
 SPACE, BEGINNINGS, PENALTY = 1 << 20, (3, 4, 5), 4.0
 #: A feature is kept if it is in so many learnt texts, and its rates in the two classes differ by so many deviations and times.
@@ -145,22 +147,28 @@ def fit(texts: list[np.ndarray], swapped: list, labels: np.ndarray, penalty: flo
     if len(y) == 0 or y.min() == y.max():
         return ToxicityModel({}, intercept)
     flat = np.concatenate([np.zeros(0, np.int32), *texts]).astype(np.int32, copy=False)
-    of = np.repeat(y > 0, [len(t) for t in texts])
-    pos, neg = (np.bincount(flat[side], minlength=SPACE).astype(float) for side in (of, ~of))
+    ends = np.cumsum([len(t) for t in texts])
+    pos, both = np.zeros(SPACE), np.zeros(SPACE)
+    for at in range(0, len(flat), SPACE):
+        part = flat[at : at + SPACE]
+        bad = y[np.searchsorted(ends, np.arange(at, at + len(part)), "right")] > 0
+        pos += np.bincount(part[bad], minlength=SPACE)
+        both += np.bincount(part, minlength=SPACE)
+    neg = both - pos
     n1, n0 = y.sum(), len(y) - y.sum()
     p1, p0, p = (pos + 0.5) / (n1 + 1), (neg + 0.5) / (n0 + 1), (pos + neg + 1) / (len(y) + 2)
     z = (p1 - p0) / np.sqrt(p * (1 - p) * (1 / n1 + 1 / n0))
     good = (pos + neg >= LEAST_TEXTS) & (np.abs(z) >= LEAST_Z) & (np.maximum(p1 / p0, p0 / p1) >= LEAST_RATIO)
     good[list(keep)] = True
     kept = np.flatnonzero(good)
-    place = np.full(SPACE, -1)
+    place = np.full(SPACE, -1, np.int32)
     place[kept] = np.arange(len(kept))
 
     def matrix(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         """Row and column of the kept features; one array for all rows, as thousands of small ones would stay with the driver."""
         cols = place[np.concatenate([np.zeros(0, np.int32), *rows]).astype(np.int32, copy=False)]
-        there = cols >= 0
-        return np.repeat(np.arange(len(rows)), [len(r) for r in rows])[there], cols[there]
+        there = np.flatnonzero(cols >= 0)
+        return np.searchsorted(np.cumsum([len(r) for r in rows]), there, "right"), cols[there]
 
     row, col = matrix(texts)
     pairs = [(i, np.asarray(new, np.int32), np.asarray(gone, np.int32)) for i, s in enumerate(swapped) if s is not None for new, gone in (s if isinstance(s, list) else [(np.setdiff1d(s, texts[i]), np.setdiff1d(texts[i], s))])]
@@ -196,7 +204,7 @@ def _learnt(groups: tuple[tuple[str, ...], ...]):
             words = [words_of(t.as_py()) for t in batch.column("text")]
             own = [np.fromiter(sorted(features(w)), np.int32) for w in words]
             other = [[x for new, gone in changes(w, groups) for x in (len(new), *new, len(gone), *gone)] for w in words]
-            yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(own, ids), pa.array(other, ids)], ["label", "own", "changes"])
+            yield pa.RecordBatch.from_arrays([batch.column("place"), batch.column("label"), pa.array(own, ids), pa.array(other, ids)], ["place", "label", "own", "changes"])
 
     return rows
 
@@ -210,6 +218,13 @@ def arrays(column: pa.ChunkedArray) -> list[np.ndarray]:
     return out
 
 
+def in_order(got: pa.Table, *lists: str) -> tuple:
+    """The list columns' rows, as views, and the labels, in the order of ``place``."""
+    order = np.argsort(got.column("place").to_numpy(), kind="stable")
+    columns = (arrays(got.column(c)) for c in lists)
+    return *([c[i] for i in order] for c in columns), got.column("label").to_numpy()[order]
+
+
 def _pairs(flat: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     """(added, removed) of each counterfactual from their lengths and features one after the other."""
     parts, at = [], 0
@@ -221,16 +236,17 @@ def _pairs(flat: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
 
 
 def bounded_labelled(docs: DataFrame, labels: DataFrame, label: str, text: str, key: str, learnable: Column | None, rows: int) -> DataFrame:
-    """(key, text, label) of ``rows`` labelled documents at most, those with the smallest hash of the key, in that order.
+    """(place, text, label) of ``rows`` labelled documents at most, those with the smallest hash of the key; ``place`` is their order.
 
-    The bound holds however often an id is repeated, among labels or documents.
+    The bound holds however often an id is repeated, among labels or documents. The rows are dealt out again after the limit.
     """
     chosen = labels.select(F.col(key).alias("key"), F.col(label).cast("int").alias("label")).filter("key is not null and label is not null")
     if learnable is not None:
         chosen = chosen.filter(learnable)
     chosen = chosen.orderBy(F.xxhash64(F.lit(label), "key"), "key", "label").limit(rows)
     found = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(F.broadcast(chosen), "key")
-    return found.orderBy(F.xxhash64("key"), "key", F.xxhash64("text"), "label").limit(rows)
+    first = found.orderBy(F.xxhash64("key"), "key", F.xxhash64("text"), "label").limit(rows)
+    return first.select(F.monotonically_increasing_id().alias("place"), "text", "label").repartition(LEARN_PARTS)
 
 
 def learn(docs: DataFrame, labels: DataFrame, learnable: Column | None = None, label: str = "toxic", text: str = "text", key: str = "doc_id", rows: int = LEARN_ROWS, groups: tuple[tuple[str, ...], ...] = IDENTITY_TERMS, penalty: float = PENALTY) -> ToxicityModel:
@@ -241,10 +257,11 @@ def learn(docs: DataFrame, labels: DataFrame, learnable: Column | None = None, l
     """
     small_batches(docs.sparkSession)
     sample = bounded_labelled(docs, labels, label, text, key, learnable, rows)
-    got = sample.drop("key").mapInArrow(_learnt(groups), "label int, own array<int>, changes array<int>").toArrow()
+    got = sample.mapInArrow(_learnt(groups), "place long, label int, own array<int>, changes array<int>").toArrow()
     identity = frozenset(feature(0, w) for group in groups for w in group)
-    model = fit(arrays(got.column("own")), [_pairs(x) for x in arrays(got.column("changes"))], got.column("label").to_numpy(), penalty, keep=identity)
-    del got
+    own, other, labels_ = in_order(got, "own", "changes")
+    model = fit(own, [_pairs(x) for x in other], labels_, penalty, keep=identity)
+    del got, own, other
     trim()
     return model
 
