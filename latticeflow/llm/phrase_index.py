@@ -11,11 +11,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import BROADCAST_ROWS
 from .common import cut, join_checked
 
 #: Words of a window; words to either side of a window's rarest term within which its other terms count as near.
 WINDOW, WITHIN = 10, 15
+#: Numbers of documents, of eight bytes, that are broadcast; beyond, the postings are shuffled to them.
+FEW_DOCUMENTS = 2_000_000
 #: Stands for the end of a document among its terms; no word has this character.
 END = "\0"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -73,20 +74,16 @@ def intersected(index: DataFrame, phrases: DataFrame, at: DataFrame, within: int
     """Of the places ``at`` of the rarest terms, those at which all other terms stand too: at their offsets from it, or, with ``within``,
     anywhere that many words away at most.
 
-    The second rarest terms come first. Their postings are few and are shuffled; what is left goes to all postings if it is few.
+    The second rarest terms come first: their postings are few. What all others are intersected with are the postings of the documents
+    that are left, which are told by a broadcast of their numbers, up to FEW_DOCUMENTS.
     """
 
-    def met(places: DataFrame, terms: DataFrame, wanted: DataFrame, few: bool) -> DataFrame:
+    def met(places: DataFrame, terms: DataFrame, wanted: DataFrame) -> DataFrame:
         # One row for each place and term that is there.
-        size = wanted.count()
-        need = join_checked(places, wanted, ["phrase"], "inner", size).select("phrase", "uid", "at", "term", (F.col("at") + F.col("gap")).alias("pos"))
-        if within is not None:
-            need = need.drop("pos").distinct()
-        need = cut(need, "needed")
-        rows = need.count()
+        need = join_checked(places, wanted, ["phrase"], "inner", wanted.count()).select("phrase", "uid", "at", "term", (F.col("at") + F.col("gap")).alias("pos"))
         if within is None:
-            return join_checked(terms, need, ["term", "uid", "pos"], "inner", rows if few else rows + BROADCAST_ROWS)
-        there = join_checked(terms, need, ["term", "uid"], "inner", rows if few else rows + BROADCAST_ROWS)
+            return terms.join(need.hint("shuffle_hash"), ["term", "uid", "pos"])
+        there = terms.join(need.drop("pos").distinct().hint("shuffle_hash"), ["term", "uid"])
         return there.filter(F.abs(F.col("pos") - F.col("at")) <= within).select("phrase", "uid", "at", "term").distinct()
 
     postings_ = index.select("term", "uid", "pos")
@@ -94,10 +91,11 @@ def intersected(index: DataFrame, phrases: DataFrame, at: DataFrame, within: int
     alone = join_checked(at, phrases.filter("size = 1").select("phrase"), ["phrase"], "left_semi", 1)
     rare = second.select("term").distinct()
     of_second = join_checked(postings_, rare, ["term"], "left_semi", rare.count())
-    left = cut(met(at, of_second, second, few=False).select("phrase", "uid", "at").unionByName(alone).distinct(), "left")
+    left = cut(met(at, of_second, second).select("phrase", "uid", "at").unionByName(alone).distinct(), "left")
     others = phrases.select("phrase", F.col("terms")[0]["off"].alias("first"), F.explode(F.slice("terms", 3, 1 << 20)).alias("t"))
     others = cut(others.select("phrase", F.col("t.term").alias("term"), (F.col("t.off") - F.col("first")).alias("gap")), "others")
-    there = met(left, postings_, others, few=True)
+    documents = cut(left.select("uid").distinct(), "documents")
+    there = met(left, join_checked(postings_, documents, ["uid"], "left_semi", documents.count(), FEW_DOCUMENTS), others)
     number = F.count_distinct("term") if within is not None else F.count(F.lit(1))
     have = there.groupBy("phrase", "uid", "at").agg(number.alias("have"))
     want = others.groupBy("phrase").agg((F.count_distinct("term") if within is not None else F.count(F.lit(1))).alias("want"))
