@@ -30,9 +30,9 @@ WIDTH, SEED, BITS, MOST_BITS, SEGMENTS = 3, 42, 64, 2, 2
 #: Fingerprints that a table's value may have before it is split by the other segments.
 LIGHT = 16
 #: Wide fingerprints: words of a shingle, similarity, longs (each has two segments), bits of a segment that are looked up.
-WIDE_WIDTH, LEAST_SIMILARITY, LONGS, SEGMENT_BITS = 5, 0.8, 3, 28
+WIDE_WIDTH, LEAST_SIMILARITY, LONGS, SEGMENT_BITS = 5, 0.8, 4, 28
 #: Differing bits beyond which two wide fingerprints are not compared by their shingles: 0.8 means 15 % on average.
-MOST_WIDE = 46
+MOST_WIDE = 62
 
 
 def shingles(text: str | None, width: int) -> list[bytes]:
