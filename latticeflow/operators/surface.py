@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -72,12 +75,15 @@ def interface_areas(atoms: DataFrame, pairs: DataFrame, probe: float = PROBE, po
 def window_burial(atoms: DataFrame, tasks: DataFrame, wins: DataFrame, probe: float = PROBE, points: int = POINTS, key: str = "candidate_id") -> DataFrame:
     """Per window: free, bound and buried area and the buried share, for the window's atoms alone and beside the receptor.
 
-    Only receptor atoms that could touch a window's atom go along. A group is one window.
+    Only receptor atoms in the window's box, widened by what two atoms and the probe can span, are sent along. A group is one window.
     """
     t = wins.select(key, "task_id", "left", "right").join(tasks.select("task_id", "source_file", "receptor", "peptide"), "task_id")
     columns = ["element", "atom_name", "x", "y", "z"]
     own = atoms.select("source_file", F.col("chain_id").alias("peptide"), "res_index", *columns).join(t, ["source_file", "peptide"]).filter("res_index between left and right").select(key, F.lit(True).alias("own"), *columns)
-    other = atoms.select("source_file", F.col("chain_id").alias("receptor"), *columns).join(t, ["source_file", "receptor"]).select(key, F.lit(False).alias("own"), *columns)
+    widest = 2 * (max(*S.RADII.values(), S.OTHER_RADIUS) + probe)
+    boxes = own.groupBy(key).agg(*(f(c).alias(f"{name}_{c}") for c in "xyz" for name, f in (("low", F.min), ("high", F.max))))
+    inside = reduce(and_, (F.col(c).between(F.col(f"low_{c}") - widest, F.col(f"high_{c}") + widest) for c in "xyz"))
+    other = atoms.select("source_file", F.col("chain_id").alias("receptor"), *columns).join(t.join(boxes, key), ["source_file", "receptor"]).filter(inside).select(key, F.lit(False).alias("own"), *columns)
     kind = wins.schema[key].dataType.simpleString()
 
     def burial(pdf):

@@ -21,7 +21,9 @@ def quality_control(texts: DataFrame, atoms: DataFrame, most_resolution: float =
     early = quality.structure_reason(most_resolution, least_area)
     cheap = base.withColumns({"area_failed": F.lit(False), "max_area": F.lit(1e300)}).filter(early == "passed").select("source_file")
     areas = surface.interface_areas(atoms, pairs.join(cheap, "source_file", "left_semi"), points=points)
-    best = areas.groupBy("source_file").agg(F.max("delta_area").alias("max_area"), F.max_by(S.pair_id(F.col("a"), F.col("b")), "delta_area").alias("passing_pair"), F.min(F.col("delta_area").isNull()).alias("area_failed"))
+    place = atoms.select("source_file", "chain_id", "chain_order").distinct()
+    areas = areas.join(place.toDF("source_file", "a", "oa"), ["source_file", "a"]).join(place.toDF("source_file", "b", "ob"), ["source_file", "b"])
+    best = areas.groupBy("source_file").agg(F.max("delta_area").alias("max_area"), F.min_by(S.pair_id(F.col("a"), F.col("b")), F.when(F.col("delta_area").isNotNull(), F.struct(-F.col("delta_area"), "oa", "ob"))).alias("passing_pair"), F.min(F.col("delta_area").isNull()).alias("area_failed"))
     out = base.join(best, "source_file", "left").withColumn("area_failed", F.coalesce("area_failed", F.lit(False)))
     out = out.withColumn("reason", early).withColumn("passed", F.col("reason") == "passed").withColumn("resolution_missing", F.col("resolution").isNull())
     return out.select("source_file", "pdb_id", "passed", "reason", "method", "resolution", "resolution_missing", "n_chains", "n_pairs", "max_area", "passing_pair")
