@@ -110,7 +110,8 @@ def links(prints: DataFrame, most_bits: int = MOST_BITS, segments: int = SEGMENT
 
     flips = F.array(*(F.struct(F.lit(s).alias("segment"), F.lit(signed(m)).alias("mask"), F.lit(f).alias("flip"), F.lit(n).alias("away")) for s, m in enumerate(all_masks) for f, n in ball(m, radius)))
     probes = prints.select("fp", F.explode(flips).alias("p")).select("fp", "p.segment", "p.away", F.col("fp").bitwiseXOR(F.col("p.flip")).bitwiseAND(F.col("p.mask")).alias("value"))
-    met = join_checked(probes, buckets, ["segment", "value"], "inner", buckets.count())
+    # Of the probes few meet anything: they are shuffled once, at any size, and what they met is written.
+    met = cut(probes.join(buckets.hint("shuffle_hash"), ["segment", "value"]).filter("size(members) > 1 or members is null or members[0] <> fp"), "met")
     near = F.expr(f"u <> v and bit_count(u ^ v) <= {most_bits}")
     found = met.filter("members is not null").select(F.col("fp").alias("u"), F.explode("members").alias("v")).filter(near)
 
