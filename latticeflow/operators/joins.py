@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..storage import cut
+from ..storage import cut, join_counted
 
 
 def last_by_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -111,30 +111,76 @@ def _pieces(df: DataFrame, text: str, keep: list[str], least: float, shorter: bo
 _PIECE = ["__la", "__lb", "__p", "__piece"]
 
 
-def kmer_conflicts(df: DataFrame, key: str, short: str, long: str, least: float = 0.85, least_ratio: float = 0.70) -> DataFrame:
-    """Pairs ``a < b`` whose short sequences share a k-mer (k is 3 up to ten letters, else 4) and whose both sequences are
-    identical, position by position, to ``least`` or more.
+#: Keys of a class of equal sequences that are listed in one row, and pairs that a task writes, as a rule.
+MEMBERS, PAIRS = 1000, 4_000_000
+
+
+def sequence_classes(df: DataFrame, short: str, long: str) -> DataFrame:
+    """Rows class, s, l, n: the different pairs of sequences of ``df``, numbered, and how many rows have each. Pairs with a null or an
+    empty sequence are like nothing, themselves included, and are left out.
+    """
+    s, l = F.col(short).alias("s"), F.col(long).alias("l")  # noqa: E741
+    sized = df.select(s, l).filter("char_length(s) > 0 and char_length(l) > 0").groupBy("s", "l").agg(F.count(F.lit(1)).alias("n"))
+    return cut(sized.select(F.monotonically_increasing_id().alias("class"), "*"), "classes")
+
+
+def class_conflicts(classes: DataFrame, least: float = 0.85, least_ratio: float = 0.70) -> DataFrame:
+    """Pairs ``x < y`` of different ``classes`` whose short sequences share a k-mer (k is 3 up to ten letters, else 4) and whose both
+    sequences are identical, position by position, to ``least`` or more.
 
     Short and long rows with different k never meet. Alike sequences share a piece at its place, of which there are fewer than of
-    k-mers and which are longer: different short sequences meet by theirs, rows of alike short ones by those of their long ones.
+    k-mers and which are longer: different short sequences meet by theirs, classes of alike short ones by those of their long ones.
     """
-    least = max(least, least_ratio) if least_ratio > least else least
-    texts = df.select(F.col(short).alias("s")).distinct()
+    least = max(least, least_ratio)
+    texts = classes.select("s").distinct()
     met = _pieces(texts.select("s", F.col("s").alias("as")), "s", ["as"], least, True).join(_pieces(texts.select("s", F.col("s").alias("bs")), "s", ["bs"], least, False), _PIECE).select("as", "bs").distinct()
     k = lambda c: F.when(F.char_length(c) <= 10, 3).otherwise(4)
     alike = met.filter(k("as") == k("bs")).withColumn("short_identity", S.positional_identity(F.col("as"), F.col("bs"))).filter(F.col("short_identity") >= least)
     alike = alike.filter(F.arrays_overlap(S.kmers(F.col("as"), k("as")), S.kmers(F.col("bs"), k("bs"))))
-    # Each alike pair in both orders, so that either of two rows may have the shorter long sequence.
+    # Each alike pair in both orders, so that either of two classes may have the shorter long sequence.
     alike = alike.unionByName(alike.select(F.col("bs").alias("as"), F.col("as").alias("bs"), "short_identity")).distinct()
-    full = df.select(F.col(key).alias("id"), F.col(short).alias("s"), F.col(long).alias("l"))
+    full = classes.select(F.col("class").alias("id"), "s", "l")
     left = _pieces(full, "l", ["id", "s", "l"], least, True).withColumnsRenamed({"id": "x", "s": "as", "l": "xl"})
     right = _pieces(full, "l", ["id", "s", "l"], least, False).withColumnsRenamed({"id": "y", "s": "bs", "l": "yl"})
     both = left.join(alike, "as").join(right, ["bs", *_PIECE]).filter("x <> y")
-    scored = both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "short_identity", "xl", "yl").dropDuplicates(["a", "b"])
-    scored = scored.select("a", "b", "short_identity", S.positional_identity(F.col("xl"), F.col("yl")).alias("long_identity"))
+    scored = both.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), "short_identity", "xl", "yl").dropDuplicates(["x", "y"])
+    scored = scored.select("x", "y", "short_identity", S.positional_identity(F.col("xl"), F.col("yl")).alias("long_identity"))
     return scored.filter(F.col("long_identity") >= least)
 
 
+def with_class(df: DataFrame, classes: DataFrame, short: str, long: str) -> DataFrame:
+    """``df`` with the ``class`` of its sequences, and its rows ``n``; null where they have none. Large classes are not shuffled."""
+    total = int(classes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
+    own = (F.char_length(short) > 0) & (F.char_length(long) > 0)
+    named = df.filter(own).withColumns({"__s": F.col(short), "__l": F.col(long)})
+    met = join_counted(named, classes.select(F.col("s").alias("__s"), F.col("l").alias("__l"), "class", "n", F.col("n").alias("__n")), ["__s", "__l"], "inner", "__n", total)
+    none = F.lit(None).cast("long")
+    return met.select(*df.columns, "class", "n").unionByName(df.filter(~F.coalesce(own, F.lit(False))).withColumns({"class": none, "n": none}))
+
+
+def kmer_conflicts(df: DataFrame, key: str, short: str, long: str, least: float = 0.85, least_ratio: float = 0.70) -> DataFrame:
+    """Pairs ``a < b`` of rows of the same or of conflicting classes (``class_conflicts``), each once, with both identities.
+
+    Only classes are compared; their pairs are spelt out last, from lists of MEMBERS keys at most, and not shuffled any more.
+    """
+    classes = sequence_classes(df, short, long)
+    pairs = class_conflicts(classes, least, least_ratio)
+    equal = classes.select(F.col("class").alias("x"), F.col("class").alias("y"), F.lit(1.0).alias("short_identity"), F.lit(1.0).alias("long_identity"))
+    pairs = cut(pairs.unionByName(equal), "class-pairs") if least <= 1 else pairs.limit(0)
+    rows = df.select(F.col(key).alias("id"), F.col(short).alias("s"), F.col(long).alias("l")).filter("id is not null").distinct()
+    part = F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / MEMBERS)).alias("part")
+    lists = cut(with_class(rows, classes, "s", "l").filter("class is not null").groupBy("class", part).agg(F.collect_list("id").alias("ids")), "members")
+    side = lambda c: lists.select(F.col("class").alias(c), F.col("part").alias(f"{c}_part"), F.col("ids").alias(f"{c}_ids"))
+    met = pairs.join(side("x"), "x").join(side("y"), "y").filter("x <> y or x_part <= y_part")
+    met = cut(met.withColumn("pairs", F.size("x_ids").cast("long") * F.size("y_ids")), "lists")
+    many = int(met.agg(F.coalesce(F.sum("pairs"), F.lit(0))).first()[0])
+    dealt = met.repartition(max(8, min(many // PAIRS + 1, 100_000)))
+    each = dealt.withColumn("a", F.explode("x_ids")).select("a", "x", "y", "x_part", "y_part", F.explode("y_ids").alias("b"), "short_identity", "long_identity")
+    # Within one list each pair is met in both orders, between two lists in one.
+    each = each.filter(F.when((F.col("x") == F.col("y")) & (F.col("x_part") == F.col("y_part")), F.col("a") < F.col("b")).otherwise(F.col("a") != F.col("b")))
+    return each.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "short_identity", "long_identity")
+
+
 def equal_key_pairs(df: DataFrame, group: list[str], key: str, item: str) -> DataFrame:
     """Pairs of different items of a group that share a key (the false negatives of a batch)."""
     a, b = df.select(*group, key, F.col(item).alias("a")), df.select(*group, key, F.col(item).alias("b"))
