@@ -12,16 +12,16 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import cut
+from ..storage import cut, join_counted
 
 
 def independent_set(rows: DataFrame, conflicts: DataFrame, key: str = "id", priority: str = "priority") -> DataFrame:
-    """``rows`` (key, priority; lower comes first, ties by key) and ``conflicts`` (a, b), read as undirected.
+    """``rows`` (key, priority; lower comes first, nulls last, ties by key) and ``conflicts`` (a, b), read as undirected.
 
     Returns (key, kept, by): ``by`` is the kept neighbour of first priority for a dropped row. Only rows with a conflict take part
     in the rounds, and decided ones leave.
     """
-    first = rows.select(F.col(key).alias("k"), F.struct(F.col(priority).alias("p"), F.col(key).alias("k")).alias("o"))
+    first = rows.select(F.col(key).alias("k"), F.struct(F.col(priority).isNull().alias("none"), F.col(priority).alias("p"), F.col(key).alias("k")).alias("o"))
     pairs = conflicts.select("a", "b").filter("a <> b").unionByName(conflicts.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     # Directed from a row to its neighbours of higher priority.
     edges = pairs.join(first.select(F.col("k").alias("a"), F.col("o").alias("oa")), "a").join(first.select(F.col("k").alias("b"), F.col("o").alias("ob")), "b")
@@ -43,6 +43,25 @@ def independent_set(rows: DataFrame, conflicts: DataFrame, key: str = "id", prio
     return out.select(key, (F.col("__kept").isNotNull() | F.col("by").isNull()).alias("kept"), F.when(F.col("__kept").isNull(), F.col("by")).alias("by"))
 
 
+def independent_set_of_copies(rows: DataFrame, conflicts: DataFrame, key: str = "id", priority: str = "priority", of: str = "class") -> DataFrame:
+    """``independent_set`` where rows of one class conflict with each other and with all rows of the classes that ``conflicts`` (a, b)
+    pairs theirs with; a row of a null class conflicts with none.
+
+    A class's first row stands for it: if it is kept, it drops the others, and what drops it drops them too. So the rounds see a row a
+    class, and copies give no pairs.
+    """
+    order = F.struct(F.col(priority).isNull().alias("none"), F.col(priority).alias("p"), F.col(key).alias("k"))
+    firsts = cut(rows.filter(F.col(of).isNotNull()).groupBy(F.col(of).alias("c")).agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n")), "firsts")
+    chosen = independent_set(firsts, conflicts, "c", "first")
+    named = chosen.join(firsts, "c").join(firsts.select(F.col("c").alias("by"), F.col("first.k").alias("__by")), "by", "left")
+    named = cut(named.select(F.col("c").alias(of), F.col("first.k").alias("__first"), F.col("kept").alias("__kept"), F.coalesce("__by", "first.k").alias("__over"), "n"), "chosen")
+    total = int(named.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
+    met = join_counted(rows.select(key, of), named, [of], "inner", "n", total)
+    met = met.withColumn("kept", F.col("__kept") & (F.col(key) == F.col("__first"))).select(key, "kept", F.when(~F.col("kept"), F.col("__over")).alias("by"))
+    free = rows.filter(F.col(of).isNull()).select(key, F.lit(True).alias("kept"), F.lit(None).cast(rows.schema[key].dataType).alias("by"))
+    return met.unionByName(free)
+
+
 def spaced_positions(df: DataFrame, keys: list[str], position: str, order: list[str], gap: int, most: int) -> DataFrame:
     """One-dimensional suppression inside each group: by order, keep positions more than ``gap`` away from all kept, at most ``most``.
 

@@ -400,8 +400,10 @@ z as (select kept from r order by i desc limit 1)
 select o.id, list_contains(z.kept, o.id) as kept, case when not list_contains(z.kept, o.id) then (select arg_min(q.id, q.i) from o q where list_contains(z.kept, q.id) and list_contains(o.l, q.id)) end as by from o, z""")
 def greedy_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = _names(spark, sf_dir)
-    rows = names.select("id", (-F.col("w")).alias("priority"))
-    return greedy.independent_set(rows, joins.kmer_conflicts(names, "id", "s", "l")).select("id", "kept", "by")
+    classes = joins.sequence_classes(names, "s", "l")
+    conflicts = joins.class_conflicts(classes).select(F.col("x").alias("a"), F.col("y").alias("b"))
+    rows = joins.with_class(names, classes, "s", "l").select("id", (-F.col("w")).alias("priority"), "class")
+    return greedy.independent_set_of_copies(rows, conflicts)
 
 
 @query("""

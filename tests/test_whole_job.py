@@ -1,7 +1,10 @@
 """Registered queries against brute force where their SQL looks at a part of the job only."""
 
 import duckdb
+import pytest
+from pyspark.sql import functions as F
 
+from latticeflow.operators import joins
 from latticeflow.plans import catalogue
 
 SMALL = "/root/testdata/sf0.001"
@@ -72,3 +75,41 @@ def test_ranks_of_every_pair(spark):
     assert (got["n"], got["median_rank"]) == (n, sorted(ranks)[(n + 1) // 2 - 1])
     assert abs(got["mean_rank"] - sum(ranks) / n) < 1e-5 and abs(got["mrr"] - sum(1 / r for r in ranks) / n) < 1e-5
     assert all(abs(got[f"recall_at_{k}"] - sum(r <= k for r in ranks) / n) < 1e-5 for k in (1, 5, 10))
+
+
+def with_copies(spark, path, copies):
+    """The smallest parts ``copies`` times with shifted keys, some without a price, a name or a type."""
+    parts = spark.read.parquet(f"{SMALL}/part.parquet")
+    many = parts.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(copies - 1)))).withColumn("p_partkey", F.col("p_partkey") + 1000 * F.col("i")).drop("i")
+    odd = F.col("p_partkey") % 97
+    many = many.withColumns({"p_retailprice": F.when(odd != 5, F.col("p_retailprice")), "p_name": F.when(odd == 6, "").when(odd != 7, F.col("p_name")), "p_type": F.when(odd == 6, "").otherwise(F.col("p_type"))})
+    many.write.parquet(f"{path}/part.parquet")
+    return rows_of(f"{path}/part.parquet/*.parquet")
+
+
+def rows_of(path):
+    text = "select p_partkey, upper(replace(p_name || p_type, ' ', '')), upper(p_name) || p_brand || cast(p_size as varchar), p_retailprice from"
+    return duckdb.sql(f"{text} '{path}'").fetchall()
+
+
+@pytest.mark.parametrize("members", [1000, 2])
+def test_copies_are_met_as_classes(spark, tmp_path, monkeypatch, members):
+    """Each class of equal sequences is compared once, its pairs are spelt out from lists; null and empty sequences meet nothing."""
+    monkeypatch.setattr(joins, "MEMBERS", members)
+    compared = []
+    inner = joins.class_conflicts
+    monkeypatch.setattr(joins, "class_conflicts", lambda classes, *a: compared.append(classes.count()) or inner(classes, *a))
+    parts = with_copies(spark, str(tmp_path), 3)
+    alike = [p for p in parts if p[1] and p[2]]
+    want = kmer_pairs(alike)
+    got = catalogue.queries()["kmer_block_dup"](spark, str(tmp_path)).collect()
+    assert {(r["a"], r["b"]): (r["short_identity"], r["long_identity"]) for r in got} == want and len(got) == len(want)
+
+    kept, by = [], {}
+    for i, *_ in sorted(parts, key=lambda p: (p[3] is None, -(p[3] or 0), p[0])):
+        by[i] = next((k for k in kept if (min(i, k), max(i, k)) in want), None)
+        if by[i] is None:
+            kept.append(i)
+    got = catalogue.queries()["greedy_dedup"](spark, str(tmp_path)).collect()
+    assert {r["id"]: (r["kept"], r["by"]) for r in got} == {i: (b is None, b) for i, b in by.items()} and len(got) == len(parts)
+    assert compared == [len({p[1:3] for p in alike})] * 2
