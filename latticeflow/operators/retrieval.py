@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..storage import BROADCAST_ROWS, cut
+
+#: Vectors of a block at most and at least, bytes of packed queries that are broadcast, of a batch for a worker, and pairs computed at once.
+BLOCK, LEAST_BLOCK, BROADCAST_BYTES, BATCH_BYTES, SLICE = 4096, 256, 48 << 20, 4 << 20, 1 << 21
 
 
 def similarity(queries: DataFrame, items: DataFrame, query: str, item: str, q_vec: str, i_vec: str, block: list[str] | None = None) -> DataFrame:
@@ -32,6 +38,126 @@ def partner_ranks(scores: DataFrame, query: str = "query", item: str = "item") -
     return scores.join(true, query).groupBy(query).agg((F.count_if(ahead) + 1).alias("rank"))
 
 
+def vector_matrix(vectors: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """A list array as rows of one width, and where they hold a value; what a row lacks is 0."""
+    vectors = vectors.combine_chunks() if isinstance(vectors, pa.ChunkedArray) else vectors
+    sizes = np.asarray(vectors.value_lengths().fill_null(0), np.int64)
+    flat = vectors.flatten()
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    at = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    full, held = np.zeros((len(sizes), int(sizes.max(initial=0)))), np.zeros((len(sizes), int(sizes.max(initial=0))), bool)
+    held[row, at] = np.asarray(flat.is_valid())
+    full[row, at] = np.asarray(flat.cast("double").fill_null(0.0))
+    return full, held
+
+
+def same_width(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    most = max(a.shape[1], b.shape[1])
+    return np.pad(a, ((0, 0), (0, most - a.shape[1]))), np.pad(b, ((0, 0), (0, most - b.shape[1])))
+
+
+def exact_dots(a: np.ndarray, a_held: np.ndarray, b: np.ndarray, b_held: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row by row the sum of products from the first place to the last, as SQL adds them, without those of a missing value, and
+    whether there is any product.
+    """
+    total, some = np.zeros(len(a)), np.zeros(len(a), bool)
+    with np.errstate(all="ignore"):
+        for d in range(a.shape[1]):
+            both = a_held[:, d] & b_held[:, d]
+            total, some = np.where(both, total + a[:, d] * b[:, d], total), some | both
+    return total, some
+
+
+def count_ahead(q: tuple, i: tuple) -> np.ndarray:
+    """How many items (ids, vectors, held) are ahead of each query's own (ids, own scores, vectors, held): higher, or equal with a
+    lesser id; NaN is equal to itself and above all.
+
+    A matrix product decides wherever its rounding cannot matter; the other pairs are added up in the order of SQL.
+    """
+    (q_id, own, qv, qh), (i_id, iv, ih) = q, i
+    (qv, iv), (qh, ih) = same_width(qv, iv), same_width(qh, ih)
+    ahead = np.zeros(len(q_id), np.int64)
+    plain = bool(qh.all() and ih.all() and qv.shape[1] and np.isfinite(qv).all() and np.isfinite(iv).all() and np.isfinite(own).all())
+    step = max(1, SLICE // max(1, len(i_id)))
+    slack = 4 * (qv.shape[1] + 1) * np.finfo(float).eps * np.linalg.norm(iv, axis=1) if plain else None
+    if plain and not np.isfinite(slack).all():
+        plain = False
+    for a in range(0, len(q_id), step):
+        rows = slice(a, a + step)
+        if plain:
+            over = qv[rows] @ iv.T - own[rows, None]
+            bound = np.linalg.norm(qv[rows], axis=1)[:, None] * slack + np.finfo(float).tiny
+            ahead[rows] = (over > bound).sum(1)
+            x, y = np.nonzero(~(np.abs(over) > bound))
+        else:
+            x, y = map(np.ravel, np.indices((len(q_id[rows]), len(i_id))))
+        for b in range(0, len(x), SLICE // 8):
+            u, v = x[b : b + SLICE // 8] + a, y[b : b + SLICE // 8]
+            score, some = exact_dots(qv[u], qh[u], iv[v], ih[v])
+            t = own[u]
+            higher = (score > t) | (np.isnan(score) & ~np.isnan(t))
+            equal = (score == t) | (np.isnan(score) & np.isnan(t))
+            np.add.at(ahead, u[some & (higher | equal & (i_id[v] < q_id[u]))], 1)
+    return ahead
+
+
+def block_ranks(queries: DataFrame, items: DataFrame, query: str, item: str, q_vec: str, i_vec: str) -> DataFrame:
+    """(query, rank): what ``partner_ranks`` of all scores gives, for long ids, without a row a pair. Every query is compared with all items.
+
+    Vectors are packed into blocks, and each block of queries meets each block of items in one row; it becomes a count a query. The
+    packed queries are broadcast if they were counted to be small, else the two sides are multiplied. A query without an item of its id
+    is left out, one whose own score is null has rank 1; missing values and places have no product.
+    """
+    conf = queries.sparkSession.conf
+    most = (conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) or "").removesuffix("b")
+    if not most.isdigit() or not 0 < int(most) <= BATCH_BYTES:
+        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    q = queries.select(F.col(query).cast("long").alias("query"), F.col(q_vec).alias("v")).filter("query is not null")
+    i = items.select(F.col(item).cast("long").alias("item"), F.col(i_vec).alias("v")).filter("item is not null")
+    n = items.count()
+    rows = min(BLOCK, max(LEAST_BLOCK, n // (4 * queries.sparkSession.sparkContext.defaultParallelism) + 1))
+    own = q.join(i.select(F.col("item").alias("query"), F.col("v").alias("other")), "query").withColumnRenamed("v", "mine")
+    asked = q.join(own, "query")
+
+    def packed(batches, with_own):
+        for batch in batches:
+            for at in range(0, batch.num_rows, rows):
+                part = batch.slice(at, rows)
+                v, held = vector_matrix(part.column(1))
+                columns = [np.asarray(part.column(0), np.int64).tobytes(), v.tobytes(), np.packbits(held).tobytes(), len(v)]
+                if with_own:
+                    (a, b), (ah, bh) = (same_width(x, y) for x, y in zip(vector_matrix(part.column(2)), vector_matrix(part.column(3))))
+                    t, some = exact_dots(a, ah, b, bh)
+                    columns += [t.tobytes(), np.packbits(some).tobytes()]
+                yield pa.RecordBatch.from_pylist([dict(zip(names[: len(columns)], columns))], pa.schema(list(zip(names, types))[: len(columns)]))
+
+    names, types = ("ids", "vectors", "held", "n", "own", "some"), (pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.binary(), pa.binary())
+    fields = "ids binary, vectors binary, held binary, n long"
+    q_blocks = cut(asked.select("query", "v", "mine", "other").mapInArrow(lambda b: packed(b, True), f"{fields}, own binary, some binary"), "query-blocks")
+    q_blocks = q_blocks.select(*(F.col(c).alias(f"q_{c}") for c in q_blocks.columns))
+    i_blocks = cut(i.mapInArrow(lambda b: packed(b, False), fields), "item-blocks").repartition(max(1, -(-n // rows)))
+    size = q_blocks.agg(F.coalesce(F.sum("q_n"), F.lit(0)), F.coalesce(F.sum(F.length("q_vectors")), F.lit(0))).first()
+    small = size[0] <= BROADCAST_ROWS and size[1] <= BROADCAST_BYTES
+    met = i_blocks.crossJoin(F.broadcast(q_blocks)) if small else i_blocks.hint("shuffle_replicate_nl").crossJoin(q_blocks)
+
+    def block(r, s):
+        v = np.frombuffer(r[f"{s}vectors"]).reshape(r[f"{s}n"], -1)
+        return v, np.unpackbits(np.frombuffer(r[f"{s}held"], np.uint8), count=v.size).astype(bool).reshape(v.shape)
+
+    def counted(batches):
+        for batch in batches:
+            for at in range(batch.num_rows):
+                r = batch.slice(at, 1).to_pylist()[0]
+                ids, t = np.frombuffer(r["q_ids"], np.int64), np.frombuffer(r["q_own"])
+                some = np.unpackbits(np.frombuffer(r["q_some"], np.uint8), count=len(t)).astype(bool)
+                v, held = block(r, "q_")
+                ahead = np.zeros(len(ids), np.int64)
+                ahead[some] = count_ahead((ids[some], t[some], v[some], held[some]), (np.frombuffer(r["ids"], np.int64), *block(r, "")))
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(ahead)], ["query", "ahead"])
+
+    return met.mapInArrow(counted, "query long, ahead long").groupBy("query").agg((F.sum("ahead") + 1).alias("rank"))
+
+
 def rank_metrics(ranks: DataFrame, at: tuple[int, ...] = (1, 5, 10), rank: str = "rank") -> DataFrame:
     """One row: queries, lower median, mean, mean reciprocal rank, and recall within the first k."""
     return ranks.agg(

@@ -625,8 +625,7 @@ from (select p.query, 1 + sum(case when score > t or (score = t and item < p.que
 def retrieval_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every even vector against all odd vectors."""
     v = t(spark, sf_dir, "embeddings").withColumn("pair", F.expr("vec_id div 2"))
-    scores = retrieval.similarity(v.filter("vec_id % 2 = 0"), v.filter("vec_id % 2 = 1"), "pair", "pair", "embedding", "embedding")
-    m = retrieval.rank_metrics(retrieval.partner_ranks(scores))
+    m = retrieval.rank_metrics(retrieval.block_ranks(v.filter("vec_id % 2 = 0"), v.filter("vec_id % 2 = 1"), "pair", "pair", "embedding", "embedding"))
     return m.select("n", "median_rank", *(r6(c).alias(c) for c in m.columns[2:]))
 
 

@@ -1,10 +1,13 @@
 """Registered queries against brute force where their SQL looks at a part of the job only."""
 
+import math
+import random
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from latticeflow.operators import joins
+from latticeflow.operators import joins, retrieval
 from latticeflow.plans import catalogue
 
 SMALL = "/root/testdata/sf0.001"
@@ -113,3 +116,32 @@ def test_copies_are_met_as_classes(spark, tmp_path, monkeypatch, members):
     got = catalogue.queries()["greedy_dedup"](spark, str(tmp_path)).collect()
     assert {r["id"]: (r["kept"], r["by"]) for r in got} == {i: (b is None, b) for i, b in by.items()} and len(got) == len(parts)
     assert compared == [len({p[1:3] for p in alike})] * 2
+
+
+@pytest.mark.parametrize("broadcast", [48 << 20, 0])
+def test_ranks_come_from_blocks_not_from_a_row_a_pair(spark, monkeypatch, broadcast):
+    """Ties that only the order of addition settles, copies, repeated ids, missing values and NaN, against adding one by one."""
+    monkeypatch.setattr(retrieval, "LEAST_BLOCK", 8)
+    monkeypatch.setattr(retrieval, "BROADCAST_BYTES", broadcast)
+    monkeypatch.setattr(retrieval, "similarity", None)
+    rng = random.Random(4)
+    plain = [(i, [rng.choice([0.1, 0.2, 0.3, -0.7, 1e8]) for _ in range(6)]) for i in range(60)]
+    odd = [(60, None), (61, []), (62, [None] * 6), (63, [float("nan")] * 6), (64, [0.1, None, 3.0]), (65, [0.1] * 8), (66, [float("inf")] * 6), (7, [0.3] * 6)]
+    for queries, items in ((plain, [(i, list(reversed(v))) for i, v in plain]), (plain + odd, [*plain, *odd, (500, [0.2] * 6)])):
+
+        def score(a, b):
+            parts = [x * y for x, y in zip(a or [], b or []) if x is not None and y is not None]
+            total = 0.0
+            for p in parts:
+                total += p
+            return (math.isnan(total), 0 if math.isnan(total) else total) if parts else None
+
+        want = {}
+        for i, _ in queries:
+            own = [score(a, b) for j, a in queries if j == i for k, b in items if k == i]
+            scores = [(score(a, b), k) for j, a in queries if j == i for k, b in items]
+            want[i] = 1 + sum(s is not None and t is not None and (s > t or s == t and k < i) for t in own for s, k in scores)
+        frames = [spark.createDataFrame(rows, "id long, v array<double>") for rows in (queries, items)]
+        got = retrieval.block_ranks(*frames, "id", "id", "v", "v").collect()
+        assert {r["query"]: r["rank"] for r in got} == want and len(got) == len(want)
+    assert retrieval.block_ranks(frames[0].limit(0), frames[1].limit(0), "id", "id", "v", "v").count() == 0
