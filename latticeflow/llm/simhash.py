@@ -9,12 +9,14 @@ the members of a small ball around all their other bits. Such a meeting place ho
 least one, and their number is bounded by the size of the balls, so each is linked to that one, and no pairs within it are listed.
 
 ``near_groups`` does this for fingerprints of 64 bits and a few differing bits, without losing a link. ``similar_groups`` is for texts
-with equal shingles: wide fingerprints whose segments are searched with balls on both sides, then the Jaccard similarity itself.
+with equal shingles: wide fingerprints whose segments are searched with balls on both sides join most of them, then the Jaccard
+similarity itself decides on all pairs that share one of their first shingles and are still apart.
 """
 
 from __future__ import annotations
 
 from itertools import combinations, repeat
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +35,8 @@ LIGHT = 16
 WIDE_WIDTH, LEAST_SIMILARITY, LONGS, SEGMENT_BITS = 5, 0.8, 4, 28
 #: Differing bits beyond which two wide fingerprints are not compared by their shingles: 0.8 means 15 % on average.
 MOST_WIDE = 62
+#: Rows in which common shingles are looked for, in how many of them one is common, and how many are known at most: they only order.
+SAMPLE, COMMON, MOST_COMMON = 20_000, 3, 400_000
 
 
 def shingles(text: str | None, width: int) -> list[bytes]:
@@ -159,6 +163,48 @@ def wide_print(text: str | None, width: int) -> tuple[list[int], int]:
     return bits.view(np.int64).tolist(), xxh3_64_intdigest(np.sort(raw[0][:, 0]).tobytes()) - (1 << 63)
 
 
+def prefix(found: np.ndarray, common: np.ndarray, least: float) -> np.ndarray:
+    """The first of a text's different shingles, by hash, those in ``common`` (sorted) last. Two texts with a similarity of ``least`` or more
+    share one of them: what is left out of either is too little for their overlap.
+    """
+    if not len(common):
+        last = np.zeros(len(found), bool)
+    else:  # ``common`` is sorted and long: it is looked up, not gone through for each text
+        last = common[np.minimum(np.searchsorted(common, found), len(common) - 1)] == found
+    return np.concatenate([found[~last], found[last]])[: len(found) - ceil(least * len(found) - 1e-9) + 1]
+
+
+def common_shingles(docs: DataFrame, text: str, order: str, width: int) -> np.ndarray:
+    """Shingles that many of SAMPLE rows have, at most MOST_COMMON. Which ones they are changes the work, never what is found."""
+    part = docs.select(F.col(text).alias("t"), F.xxhash64(F.col(order)).alias("h")).filter(F.pmod("h", F.lit(max(1, docs.count() // SAMPLE))) == 0)
+
+    def sets(texts: pa.Array) -> pa.Array:
+        return pa.array([shingle_set(t.as_py(), width).view(np.int64) for t in texts], pa.list_(pa.int64()))
+
+    counted = part.select(F.explode(F.arrow_udf(sets, "array<long>")("t")).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= COMMON)
+    top = counted.orderBy(F.desc("n"), "token").limit(MOST_COMMON).select("token").toArrow()
+    return np.sort(np.asarray(top.column(0), np.int64).view(np.uint64))
+
+
+def apart_pairs(nodes: DataFrame, roots: DataFrame, least: float) -> DataFrame:
+    """All pairs (u, v), u > v, of ``nodes`` (node, prefix, size) under different ``roots`` (node, root; a node itself where it has none)
+    that can have a similarity of ``least`` or more.
+
+    Two such share a shingle of their prefixes, and behind the first that they share enough is left of both. Shingles that one root
+    has alone are left out; at each of the others, the nodes of all roots but its most frequent one are paired with all nodes there.
+    """
+    rooted = cut(join_checked(nodes, roots, ["node"], "left", roots.count()).select("node", F.coalesce("root", "node").alias("root"), "size", "prefix"), "prefixes")
+    posted = rooted.select("node", "root", "size", F.posexplode("prefix").alias("at", "token"))
+    several = cut(posted.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("token"), "shared")
+    places = cut(join_checked(posted, several, ["token"], "left_semi", several.count()), "places")
+    most = places.groupBy("token", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("token").agg(F.max_by("root", F.struct("n", "root")).alias("most"))
+    few = places.join(most, "token").filter("root <> most").drop("most")
+    side = lambda df, c: df.select("token", *(F.col(x).alias(f"{c}_{x}") for x in ("node", "root", "size", "at")))
+    met = side(few, "u").join(side(places, "v"), "token").filter("u_root <> v_root")
+    enough = F.least(F.col("u_size") - F.col("u_at"), F.col("v_size") - F.col("v_at")) >= least / (1 + least) * (F.col("u_size") + F.col("v_size")) - 1e-6
+    return met.filter(enough).select(F.greatest("u_node", "v_node").alias("u"), F.least("u_node", "v_node").alias("v")).distinct()
+
+
 def candidates(nodes: DataFrame, segment_bits: int = SEGMENT_BITS) -> DataFrame:
     """Pairs ``(u, v)``, u > v, of the ``node`` s of ``nodes`` (node, fp) whose wide fingerprints agree in a segment but for two bits.
 
@@ -186,28 +232,36 @@ def similar_groups(docs: DataFrame, text: str = "text", order: str = "doc_id", w
     """``(order, component)`` for every row: the least ``order`` (a column of any orderable type, unlike in all rows) of its group.
 
     A group is what links connect; a link is a Jaccard similarity of ``least`` or more between the sets of shingles of ``width``
-    words, verified on whole texts whose fingerprints differ in ``most`` bits or fewer. Texts with equal sets are one node; all texts
+    words, verified on whole texts; none is left out (by 64-bit hashes of shingles). Texts with equal sets are one node; all texts
     without a word, null ones too, are one group; repeated rows are copies; an empty table gives an empty one. Other columns are not
     read. ``docs`` is read more than once: pass files. Meeting places stay small up to about 2 ** segment_bits texts.
 
-    First each text is compared with the least of those it meets, which joins most of a crowd; then all that meet and are still apart.
+    First texts of near fingerprints, ``most`` bits at most, are joined: each with the least of those it meets, which joins most of a
+    crowd, then all that meet and are still apart. Then all pairs under different roots whose prefixes allow a link are verified.
     """
     small_batches(docs.sparkSession)
+    common = common_shingles(docs, text, order, width)
 
     def prints(texts: pa.Array) -> pa.Array:
         got = [wide_print(t.as_py(), width) for t in texts]
-        return pa.StructArray.from_arrays([pa.array([g[0] for g in got], pa.list_(pa.int64())), pa.array([g[1] for g in got], pa.int64())], ["fp", "node"])
+        found = [shingle_set(t.as_py(), width) for t in texts]
+        first = pa.array([prefix(f, common, least).view(np.int64) for f in found], pa.list_(pa.int64()))
+        columns = [pa.array([g[0] for g in got], pa.list_(pa.int64())), pa.array([g[1] for g in got], pa.int64()), first, pa.array(list(map(len, found)), pa.int32())]
+        return pa.StructArray.from_arrays(columns, ["fp", "node", "prefix", "size"])
 
     def sets(texts: pa.Array) -> pa.Array:
         return pa.array([shingle_set(t.as_py(), width).view(np.int64) for t in texts], pa.list_(pa.int64()))
 
-    printed = cut(docs.select(F.col(order).alias("order"), F.arrow_udf(prints, "fp array<long>, node long")(F.col(text)).alias("p")).select("order", "p.*"), "printed")
-    nodes = cut(printed.groupBy("node").agg(F.min("order").alias("least"), F.first("fp").alias("fp"), F.count(F.lit(1)).alias("n")), "wide")
+    printed = cut(docs.select(F.col(order).alias("order"), F.arrow_udf(prints, "fp array<long>, node long, prefix array<long>, size int")(F.col(text)).alias("p")).select("order", "p.*"), "printed")
+    nodes = cut(printed.groupBy("node").agg(F.min("order").alias("least"), F.first("fp").alias("fp"), F.first("prefix").alias("prefix"), F.first("size").alias("size"), F.count(F.lit(1)).alias("n")), "wide")
     side = lambda df, c, value: df.select(F.col("node").alias(c), F.col(value).alias(f"{c}_{value}"))
     away = " + ".join(f"bit_count(u_fp[{i}] ^ v_fp[{i}])" for i in range(LONGS))
 
+    def near_prints(pairs: DataFrame) -> DataFrame:
+        return pairs.join(side(nodes, "u", "fp"), "u").join(side(nodes, "v", "fp"), "v").filter(f"{away} <= {most}").select("u", "v")
+
     def verified(pairs: DataFrame) -> DataFrame:
-        near = cut(pairs.join(side(nodes, "u", "fp"), "u").join(side(nodes, "v", "fp"), "v").filter(f"{away} <= {most}").select("u", "v"), "near")
+        near = cut(pairs, "near")
         wanted = cut(near.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(nodes.select("node", "least"), "node"), "wanted")
         texts = join_checked(docs.select(F.col(order).alias("least"), F.col(text).alias("t")), wanted, ["least"], "inner", wanted.count())
         shingled = cut(texts.select("node", F.arrow_udf(sets, "array<long>")("t").alias("set")), "sets")
@@ -218,13 +272,15 @@ def similar_groups(docs: DataFrame, text: str = "text", order: str = "doc_id", w
         return cut(components(found), "roots").withColumnRenamed("u", "node")
 
     pairs = cut(candidates(nodes.select("node", "fp"), segment_bits), "pairs")
-    first = verified(pairs.groupBy("u").agg(F.min("v").alias("v")))
+    first = verified(near_prints(pairs.groupBy("u").agg(F.min("v").alias("v"))))
     now = roots(first)
     size = now.count()
     apart = join_checked(join_checked(pairs, side(now, "u", "root"), ["u"], "left", size), side(now, "v", "root"), ["v"], "left", size)
     apart = cut(apart.filter(F.coalesce("u_root", "u") != F.coalesce("v_root", "v")).select("u", "v"), "apart")
-    now = roots(first.unionByName(verified(apart)))
-    rooted = cut(join_checked(nodes.drop("fp"), now, ["node"], "left", now.count()).select("node", F.coalesce("root", "node").alias("root"), "least", "n"), "rooted")
+    first = first.unionByName(verified(near_prints(apart)))
+    now = roots(first)
+    now = roots(first.unionByName(verified(apart_pairs(nodes.select("node", "prefix", "size"), now, least))))
+    rooted = cut(join_checked(nodes.drop("fp", "prefix", "size"), now, ["node"], "left", now.count()).select("node", F.coalesce("root", "node").alias("root"), "least", "n"), "rooted")
     by_node = cut(rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component")), "root").select("node", "component", "n"), "named")
     rows = int(by_node.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
-    return join_counted(printed.drop("fp"), by_node, ["node"], "inner", "n", rows).select("order", "component")
+    return join_counted(printed.select("order", "node"), by_node, ["node"], "inner", "n", rows).select("order", "component")

@@ -110,6 +110,24 @@ def test_similar_texts_are_linked_and_others_are_not(spark):
     assert a <= b and len(a) >= 0.9 * len(b) > 30
 
 
+@pytest.mark.parametrize("segment_bits, common", [(28, 3), (32, 10**9), (28, 1)])
+def test_no_link_is_left_out(spark, monkeypatch, segment_bits, common):
+    """Pairs just over the threshold, of texts of unlike lengths too, a crowd of near copies, and a passage that many share."""
+    monkeypatch.setattr(S, "COMMON", common)
+    rng = random.Random(9)
+    passage, crowd = ([f"p{i}" for i in range(40)], [f"c{i}" for i in range(120)])
+    texts = [" ".join(passage + [f"own{i}x{j}" for j in range(rng.randint(1, 12))]) for i in range(40)]
+    texts += [edited(rng, crowd, rng.randint(0, 4)) for _ in range(40)]
+    for i in range(150):
+        words = [f"t{i}w{j}" for j in range(rng.randint(45, 200))]
+        shingled = len(words) - 4
+        lost = int(shingled / 9 / 5)  # that many edits, each in five shingles, leave a similarity of 0.8 or a little more
+        at = rng.sample(range(5, len(words) - 5, 10), min(lost, len(words) // 10 - 1))
+        texts += [" ".join(words), " ".join(f"e{i}x{j}" if j in at else w for j, w in enumerate(words)), " ".join(words[: int(len(words) * 0.81)])]
+    got = {r["order"]: r["component"] for r in S.similar_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").cache(), segment_bits=segment_bits).collect()}
+    assert [got[i] for i in range(len(texts))] == text_groups(texts)
+
+
 def test_recall_of_similar_texts(spark):
     """Recall of the pairs of different texts with a similarity of 0.8 or more, on all documents of the table."""
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
