@@ -32,8 +32,9 @@ def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     """
     numbered = cut(docs.select(F.struct(*(F.col(c) for c in docs.columns)).alias("doc"), F.monotonically_increasing_id().alias("row")), "numbered")
     order = F.struct(F.col("doc.doc_id").isNull().alias("none"), F.col("doc.doc_id").alias("id"), "row")
+    first = cuts_made()
     groups = simhash.similar_groups(numbered.select(order.alias("order"), F.col("doc.text").alias("text")), order="order")
-    kept = cut(groups.filter("order = component").select(F.col("order.row").alias("row")), "kept")
+    kept = publish(groups.filter("order = component").select(F.col("order.row").alias("row")), "kept", first)
     return join_checked(numbered, kept, ["row"], "left_semi", kept.count()).select("doc.*")
 
 

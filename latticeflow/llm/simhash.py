@@ -15,6 +15,7 @@ similarity itself decides on all pairs that share one of their first shingles an
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import combinations, repeat
 from math import ceil
 
@@ -37,6 +38,11 @@ WIDE_WIDTH, LEAST_SIMILARITY, LONGS, SEGMENT_BITS = 5, 0.8, 4, 28
 MOST_WIDE = 62
 #: Rows in which common shingles are looked for, in how many of them one is common, and how many are known at most: they only order.
 SAMPLE, COMMON, MOST_COMMON = 20_000, 3, 400_000
+#: Bytes of a shingle's hash by which prefixes meet: equal ones of unlike shingles only add pairs, which are verified.
+TOKEN = 5
+TOKEN_MASK = np.uint64((1 << 8 * TOKEN) - 1)
+#: Postings that meet in one task, on average; postings of a block; pairs that are listed at once.
+SLICE, EMIT, PAIRS = 500_000, 500_000, 1_000_000
 
 
 def shingles(text: str | None, width: int) -> list[bytes]:
@@ -153,56 +159,201 @@ def shingle_set(text: str | None, width: int) -> np.ndarray:
     return np.unique(np.fromiter(map(xxh3_64_intdigest, set(shingles(text, width))), np.uint64))
 
 
-def wide_print(text: str | None, width: int) -> tuple[list[int], int]:
-    """The wide fingerprint of the text's different shingles, and a hash of their set; zeros without a word."""
-    parts = sorted(set(shingles(text, width)))
+def digests(parts: list[bytes], seed: int = 0) -> np.ndarray:
+    """Two 64-bit hashes of each shingle."""
+    return np.frombuffer(b"".join(map(xxh3_128_digest, parts, repeat(seed))), "<u8").reshape(-1, 2)
+
+
+def wide_print(text: str | None, width: int) -> tuple[list[int], int, np.ndarray]:
+    """The wide fingerprint of the text's different shingles, a hash of their set, and their sorted 64-bit hashes; zeros without a word."""
+    parts = list(set(shingles(text, width)))
     if not parts:
-        return [0] * LONGS, 0
-    raw = [np.frombuffer(b"".join(map(xxh3_128_digest, parts, repeat(seed))), "<u8").reshape(-1, 2) for seed in range((LONGS + 1) // 2)]
+        return [0] * LONGS, 0, np.zeros(0, np.uint64)
+    raw = [digests(parts, seed) for seed in range((LONGS + 1) // 2)]
     bits = majority(np.ascontiguousarray(np.concatenate(raw, axis=1)[:, :LONGS]))
-    return bits.view(np.int64).tolist(), xxh3_64_intdigest(np.sort(raw[0][:, 0]).tobytes()) - (1 << 63)
+    first = np.sort(raw[0][:, 0])
+    return bits.view(np.int64).tolist(), xxh3_64_intdigest(first.tobytes()) - (1 << 63), np.unique(first)
 
 
 def prefix(found: np.ndarray, common: np.ndarray, least: float) -> np.ndarray:
-    """The first of a text's different shingles, by hash, those in ``common`` (sorted) last. Two texts with a similarity of ``least`` or more
-    share one of them: what is left out of either is too little for their overlap.
+    """The first of a text's different shingles, by hash, those in ``common`` (sorted) last, each by its last TOKEN bytes. Two texts with
+    a similarity of ``least`` or more share one of them: what is left out of either is too little for their overlap.
     """
+    tokens = found & TOKEN_MASK
     if not len(common):
         last = np.zeros(len(found), bool)
     else:  # ``common`` is sorted and long: it is looked up, not gone through for each text
-        last = common[np.minimum(np.searchsorted(common, found), len(common) - 1)] == found
-    return np.concatenate([found[~last], found[last]])[: len(found) - ceil(least * len(found) - 1e-9) + 1]
+        last = common[np.minimum(np.searchsorted(common, tokens), len(common) - 1)] == tokens
+    return np.concatenate([tokens[~last], tokens[last]])[: len(found) - ceil(least * len(found) - 1e-9) + 1]
+
+
+def packed(tokens: np.ndarray) -> bytes:
+    """Numbers as TOKEN bytes each."""
+    return tokens.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :TOKEN].tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // TOKEN, 8), np.uint8)
+    out[:, :TOKEN] = np.frombuffer(data, np.uint8).reshape(-1, TOKEN)
+    return out.view("<u8").ravel()
+
+
+def planes(*columns: np.ndarray) -> bytes:
+    """Columns of 32-bit numbers, byte by byte: bytes that are zero in all rows are runs, which any codec of a shuffle takes away."""
+    return b"".join(c.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes() for c in columns)
+
+
+def from_planes(data: bytes, columns: int) -> list[np.ndarray]:
+    raw = np.frombuffer(data, np.uint8).reshape(columns, 4, -1)
+    return [np.ascontiguousarray(c.T).view("<u4").ravel().astype(np.int64) for c in raw]
+
+
+def parities(found: np.ndarray) -> bytes:
+    """A bit for each of at least twice as many buckets as hashes: whether their number in it is odd. A power of two of bytes, eight at least."""
+    bits = max(64, 2 << max(0, len(found) - 1).bit_length())
+    return np.packbits(np.bincount((found & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1, bitorder="little").tobytes()
+
+
+def least_difference(a: bytes, b: bytes) -> int:
+    """A number of elements by which two sets differ at least, by their parities: the larger one is folded to the smaller one's buckets."""
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    while len(x) != len(y):
+        x, y = (x, y) if len(x) > len(y) else (y, x)
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
 
 
 def common_shingles(docs: DataFrame, text: str, order: str, width: int) -> np.ndarray:
     """Shingles that many of SAMPLE rows have, at most MOST_COMMON. Which ones they are changes the work, never what is found."""
     part = docs.select(F.col(text).alias("t"), F.xxhash64(F.col(order)).alias("h")).filter(F.pmod("h", F.lit(max(1, docs.count() // SAMPLE))) == 0)
-
-    def sets(texts: pa.Array) -> pa.Array:
-        return pa.array([shingle_set(t.as_py(), width).view(np.int64) for t in texts], pa.list_(pa.int64()))
-
-    counted = part.select(F.explode(F.arrow_udf(sets, "array<long>")("t")).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= COMMON)
-    top = counted.orderBy(F.desc("n"), "token").limit(MOST_COMMON).select("token").toArrow()
+    slices = 16
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            tokens = np.concatenate([digests(list(set(shingles(t.as_py(), width))))[:, 0] for t in batch.column(0)]) & TOKEN_MASK
+            at = tokens % np.uint64(slices)
+            yield pa.RecordBatch.from_pydict({"slice": pa.array(range(slices), pa.int32()), "tokens": pa.array([packed(tokens[at == s]) for s in range(slices)], pa.binary())})
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = [unpacked(x.as_py()) for batch in batches for x in batch.column("tokens")]
+        tokens, n = np.unique(np.concatenate(found), return_counts=True)
+        yield pa.RecordBatch.from_pydict({"token": tokens[n >= COMMON].view(np.int64), "n": n[n >= COMMON].astype(np.int64)})
+
+    dealt_out = part.select("t").mapInArrow(dealt, "slice int, tokens binary")
+    top = dealt_out.groupBy("slice").applyInArrow(counted, "token long, n long").orderBy(F.desc("n"), "token").limit(MOST_COMMON).select("token").toArrow()
     return np.sort(np.asarray(top.column(0), np.int64).view(np.uint64))
 
 
-def apart_pairs(nodes: DataFrame, roots: DataFrame, least: float) -> DataFrame:
-    """All pairs (u, v), u > v, of ``nodes`` (node, prefix, size) under different ``roots`` (node, root; a node itself where it has none)
-    that can have a similarity of ``least`` or more.
+def meetings(token: np.ndarray, num: np.ndarray, root: np.ndarray, size: np.ndarray, at: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (u, v), u > v, of the ``num`` of postings of one token under different ``root`` s that can have a similarity of ``least`` or more.
 
-    Two such share a shingle of their prefixes, and behind the first that they share enough is left of both. Shingles that one root
-    has alone are left out; at each of the others, the nodes of all roots but its most frequent one are paired with all nodes there.
+    At each token the postings of all roots but its most frequent one are paired with all postings of a fitting size. What two share from
+    the place ``at`` on has to be enough for both. Pairs are listed in parts of bounded size; a pair can come more than once.
+    """
+    order = np.lexsort((size, token))
+    token, num, root, size, at = (x[order] for x in (token, num, root, size, at))
+    group = np.cumsum(np.concatenate([[True], token[1:] != token[:-1]])[: len(token)])
+    roots, root = np.unique(root, return_inverse=True)
+    which, inverse, n = np.unique(group * (len(roots) + 1) + root, return_inverse=True, return_counts=True)
+    by_group = np.lexsort((n, which // (len(roots) + 1)))
+    of = (which // (len(roots) + 1))[by_group]
+    most = np.zeros(len(which), bool)
+    most[by_group[np.concatenate([of[1:] != of[:-1], [True]])[: len(of)]]] = True
+    is_most = most[inverse]
+    few = np.flatnonzero(~is_most)
+    key = group * (1 << 33) + size
+    lo = np.searchsorted(key, group[few] * (1 << 33) + np.ceil(least * size[few] - 1e-6).astype(np.int64), "left")
+    hi = np.searchsorted(key, group[few] * (1 << 33) + np.floor(size[few] / least + 1e-6).astype(np.int64), "right")
+    ends = np.cumsum(hi - lo)
+    start = 0
+    while start < len(few):
+        stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + PAIRS, "right")))
+        counts = (hi - lo)[start:stop]
+        i = np.repeat(few[start:stop], counts)
+        j = np.arange(len(i)) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(lo[start:stop], counts)
+        enough = np.minimum(size[i] - at[i], size[j] - at[j]) >= least / (1 + least) * (size[i] + size[j]) - 1e-6
+        ok = enough & (root[i] != root[j]) & (is_most[j] | (j > i))
+        i, j = num[i[ok]], num[j[ok]]
+        both = np.unique(np.stack([np.maximum(i, j), np.minimum(i, j)]), axis=1) if len(i) else np.zeros((2, 0), np.int64)
+        yield both[0], both[1]
+        start = stop
+
+
+def apart_pairs(printed: DataFrame, nodes: DataFrame, roots: DataFrame, least: float) -> DataFrame:
+    """All pairs (u, v), u > v, of the ``num`` of first rows of ``printed`` (order, num, node, size, prefix) under different ``roots``
+    (node, root; a node itself where it has none) that can have a similarity of ``least`` or more.
+
+    Two such share a shingle of their prefixes. Postings are dealt out by shingle in blocks of bytes, a shuffle of some seven bytes each, and
+    paired where they meet: ``meetings``.
     """
-    rooted = cut(join_checked(nodes, roots, ["node"], "left", roots.count()).select("node", F.coalesce("root", "node").alias("root"), "size", "prefix"), "prefixes")
-    posted = rooted.select("node", "root", "size", F.posexplode("prefix").alias("at", "token"))
-    several = cut(posted.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("token"), "shared")
-    places = cut(join_checked(posted, several, ["token"], "left_semi", several.count()), "places")
-    most = places.groupBy("token", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("token").agg(F.max_by("root", F.struct("n", "root")).alias("most"))
-    few = places.join(most, "token").filter("root <> most").drop("most")
-    side = lambda df, c: df.select("token", *(F.col(x).alias(f"{c}_{x}") for x in ("node", "root", "size", "at")))
-    met = side(few, "u").join(side(places, "v"), "token").filter("u_root <> v_root")
-    enough = F.least(F.col("u_size") - F.col("u_at"), F.col("v_size") - F.col("v_at")) >= least / (1 + least) * (F.col("u_size") + F.col("v_size")) - 1e-6
-    return met.filter(enough).select(F.greatest("u_node", "v_node").alias("u"), F.least("u_node", "v_node").alias("v")).distinct()
+    special = cut(nodes.filter("n > 1").select("node", "least").join(roots, "node", "full_outer"), "special")
+    first = join_checked(printed.select("order", "num", "node", "size", "prefix"), special, ["node"], "left", special.count()).filter("least is null or order = least").select("num", "size", "prefix", "root")
+    postings = int(printed.agg(F.coalesce(F.sum(F.length("prefix")), F.lit(0))).first()[0]) // TOKEN
+    slices = max(1, ceil(postings / SLICE))
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[int, int, np.ndarray, int | None]] = []
+
+        def out() -> pa.RecordBatch:
+            base = held[0][0]
+            lengths = np.array([len(h[2]) for h in held])
+            token = np.concatenate([h[2] for h in held])
+            row = np.repeat(np.arange(len(held)), lengths)
+            at = np.arange(len(token)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+            num, size = np.array([h[0] - base for h in held]), np.array([h[1] for h in held])
+            rooted = np.array([h[3] is not None for h in held])
+            root = np.array([h[3] or 0 for h in held], np.int64)
+            slot = (token % np.uint64(slices)).astype(np.int64)
+            order = np.argsort(slot, kind="stable")
+            found = []
+            for some in np.split(order, np.cumsum(np.bincount(slot, minlength=slices))[:-1]):
+                if len(some):
+                    rows = row[some]
+                    known = np.unique(rows[rooted[rows]])
+                    step = np.diff(num[rows], prepend=0)
+                    found.append((int(slot[some[0]]), base, packed(token[some]), planes(step, size[rows], at[some]), planes(num[known]), root[known].tobytes()))
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary()))], ["slice", "base", "tokens", "places", "rooted", "roots"])
+
+        total = 0
+        for batch in batches:
+            for num, size, data, root in zip(*(batch.column(c).to_pylist() for c in range(4))):
+                if held and (total > EMIT or not held[-1][0] < num < held[0][0] + (1 << 32)):
+                    yield out()
+                    held, total = [], 0
+                if data:
+                    held.append((num, size, unpacked(data), root))
+                    total += len(data) // TOKEN
+        if held:
+            yield out()
+
+    def paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[list[np.ndarray]] = [[], [], [], [], []]
+        known_num, known_root = [], []
+        for batch in batches:
+            for _, base, tokens, places, rooted, roots in zip(*(c.to_pylist() for c in batch.columns)):
+                step, size, at = from_planes(places, 3)
+                for part, x in zip(parts, (unpacked(tokens), base + np.cumsum(step), size, at)):
+                    part.append(x)
+                known_num.append(base + from_planes(rooted, 1)[0])
+                known_root.append(np.frombuffer(roots, np.int64))
+        token, num, size, at = (np.concatenate(p) for p in parts[:4])
+        numbers, where, n = np.unique(token, return_inverse=True, return_counts=True)
+        some = n[where] > 1
+        token, num, size, at = token[some], num[some], size[some], at[some]
+        # A root's number is under zero, that of a row without one is its own.
+        named, of = np.unique(np.concatenate(known_root), return_inverse=True)
+        have, first = np.unique(np.concatenate(known_num), return_index=True)
+        root = num.copy()
+        if len(have):
+            found = np.minimum(np.searchsorted(have, num), len(have) - 1)
+            root = np.where(have[found] == num, -1 - of[first][found], num)
+        for u, v in meetings(token, num, root, size, at, least):
+            yield pa.RecordBatch.from_pydict({"u": u, "v": v})
+
+    blocks = first.mapInArrow(dealt, "slice int, base long, tokens binary, places binary, rooted binary, roots binary")
+    return blocks.groupBy("slice").applyInArrow(paired, "u long, v long").distinct()
 
 
 def candidates(nodes: DataFrame, segment_bits: int = SEGMENT_BITS) -> DataFrame:
@@ -244,43 +395,75 @@ def similar_groups(docs: DataFrame, text: str = "text", order: str = "doc_id", w
 
     def prints(texts: pa.Array) -> pa.Array:
         got = [wide_print(t.as_py(), width) for t in texts]
-        found = [shingle_set(t.as_py(), width) for t in texts]
-        first = pa.array([prefix(f, common, least).view(np.int64) for f in found], pa.list_(pa.int64()))
-        columns = [pa.array([g[0] for g in got], pa.list_(pa.int64())), pa.array([g[1] for g in got], pa.int64()), first, pa.array(list(map(len, found)), pa.int32())]
-        return pa.StructArray.from_arrays(columns, ["fp", "node", "prefix", "size"])
+        columns = [
+            pa.array([g[0] for g in got], pa.list_(pa.int64())),
+            pa.array([g[1] for g in got], pa.int64()),
+            pa.array([len(g[2]) for g in got], pa.int32()),
+            pa.array([packed(prefix(g[2], common, least)) for g in got], pa.binary()),
+            pa.array([parities(g[2]) for g in got], pa.binary()),
+        ]
+        return pa.StructArray.from_arrays(columns, ["fp", "node", "size", "prefix", "parity"])
 
     def sets(texts: pa.Array) -> pa.Array:
         return pa.array([shingle_set(t.as_py(), width).view(np.int64) for t in texts], pa.list_(pa.int64()))
 
-    printed = cut(docs.select(F.col(order).alias("order"), F.arrow_udf(prints, "fp array<long>, node long, prefix array<long>, size int")(F.col(text)).alias("p")).select("order", "p.*"), "printed")
-    nodes = cut(printed.groupBy("node").agg(F.min("order").alias("least"), F.first("fp").alias("fp"), F.first("prefix").alias("prefix"), F.first("size").alias("size"), F.count(F.lit(1)).alias("n")), "wide")
+    def can(u_size: pa.Array, u_parity: pa.Array, v_size: pa.Array, v_parity: pa.Array) -> pa.Array:
+        rows = zip(*(c.to_pylist() for c in (u_size, u_parity, v_size, v_parity)))
+        return pa.array([least_difference(a, b) <= (1 - least) / (1 + least) * (m + n) + 1e-6 for m, a, n, b in rows], pa.bool_())
+
+    what = "fp array<long>, node long, size int, prefix binary, parity binary"
+    described = docs.select(F.col(order).alias("order"), F.arrow_udf(prints, what)(F.col(text)).alias("p"))
+    printed = cut(described.select("order", F.monotonically_increasing_id().alias("num"), "p.*"), "printed")
+    nodes = cut(printed.groupBy("node").agg(F.min("order").alias("least"), F.first("fp").alias("fp"), F.count(F.lit(1)).alias("n")), "wide")
     side = lambda df, c, value: df.select(F.col("node").alias(c), F.col(value).alias(f"{c}_{value}"))
     away = " + ".join(f"bit_count(u_fp[{i}] ^ v_fp[{i}])" for i in range(LONGS))
 
     def near_prints(pairs: DataFrame) -> DataFrame:
         return pairs.join(side(nodes, "u", "fp"), "u").join(side(nodes, "v", "fp"), "v").filter(f"{away} <= {most}").select("u", "v")
 
+    def possible(pairs: DataFrame) -> DataFrame:
+        """Of pairs of ``num`` those whose parities allow a link, as pairs of ``node``."""
+        met = cut(pairs, "met")
+        wanted = cut(met.select(F.explode(F.array("u", "v")).alias("num")).distinct(), "wanted")
+        known = cut(join_checked(printed.select("num", "node", "size", "parity"), wanted, ["num"], "left_semi", wanted.count()), "parities")
+        end = lambda c: known.select(F.col("num").alias(c), *(F.col(x).alias(f"{c}_{x}") for x in ("node", "size", "parity")))
+        both = met.join(end("u"), "u").join(end("v"), "v").filter(F.arrow_udf(can, "boolean")("u_size", "u_parity", "v_size", "v_parity"))
+        return both.select(F.greatest("u_node", "v_node").alias("u"), F.least("u_node", "v_node").alias("v"))
+
     def verified(pairs: DataFrame) -> DataFrame:
+        """The pairs that are links. A set goes to the other one of each pair; sets are made where the texts are read."""
         near = cut(pairs, "near")
-        wanted = cut(near.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(nodes.select("node", "least"), "node"), "wanted")
+        ends = near.groupBy(F.col("u").alias("node")).agg(F.collect_list("v").alias("to")).join(near.select(F.col("v").alias("node"), F.lit(True).alias("own")).distinct(), "node", "full_outer")
+        wanted = cut(ends.join(nodes.select("node", "least"), "node"), "wanted")
         texts = join_checked(docs.select(F.col(order).alias("least"), F.col(text).alias("t")), wanted, ["least"], "inner", wanted.count())
-        shingled = cut(texts.select("node", F.arrow_udf(sets, "array<long>")("t").alias("set")), "sets")
-        both = near.join(side(shingled, "u", "set"), "u").join(side(shingled, "v", "set"), "v").withColumn("common", F.size(F.array_intersect("u_set", "v_set")))
+        shingled = lambda df, *keep: df.select(*keep, F.arrow_udf(sets, "array<long>")("t").alias("set"))
+        us = shingled(texts.filter("to is not null"), "node", "to").select(F.col("node").alias("u"), F.explode("to").alias("v"), F.col("set").alias("u_set"))
+        vs = shingled(texts.filter("own"), F.col("node").alias("v")).withColumnRenamed("set", "v_set")
+        both = us.join(vs, "v").withColumn("common", F.size(F.array_intersect("u_set", "v_set")))
         return cut(both.filter(F.col("common") >= least * (F.size("u_set") + F.size("v_set") - F.col("common")) - 1e-9).select("u", "v"), "links")
 
     def roots(found: DataFrame) -> DataFrame:
         return cut(components(found), "roots").withColumnRenamed("u", "node")
 
+    def still_apart(pairs: DataFrame, now: DataFrame) -> DataFrame:
+        size = now.count()
+        found = join_checked(join_checked(pairs, side(now, "u", "root"), ["u"], "left", size), side(now, "v", "root"), ["v"], "left", size)
+        found = found.select("u", "v", F.coalesce("u_root", "u").alias("u_root"), F.coalesce("v_root", "v").alias("v_root"))
+        return cut(found.filter("u_root <> v_root"), "apart")
+
     pairs = cut(candidates(nodes.select("node", "fp"), segment_bits), "pairs")
     first = verified(near_prints(pairs.groupBy("u").agg(F.min("v").alias("v"))))
+    first = first.unionByName(verified(near_prints(still_apart(pairs, roots(first)).select("u", "v"))))
     now = roots(first)
-    size = now.count()
-    apart = join_checked(join_checked(pairs, side(now, "u", "root"), ["u"], "left", size), side(now, "v", "root"), ["v"], "left", size)
-    apart = cut(apart.filter(F.coalesce("u_root", "u") != F.coalesce("v_root", "v")).select("u", "v"), "apart")
-    first = first.unionByName(verified(near_prints(apart)))
+    # Of the pairs between two roots one is verified first; all that its link does not join follow.
+    rest = still_apart(possible(apart_pairs(printed, nodes, now, least)), now)
+    one = rest.groupBy(F.greatest("u_root", "v_root"), F.least("u_root", "v_root")).agg(F.min(F.struct("u", "v")).alias("p")).select("p.*")
+    one = cut(one, "one")
+    first = first.unionByName(verified(one))
     now = roots(first)
-    now = roots(first.unionByName(verified(apart_pairs(nodes.select("node", "prefix", "size"), now, least))))
-    rooted = cut(join_checked(nodes.drop("fp", "prefix", "size"), now, ["node"], "left", now.count()).select("node", F.coalesce("root", "node").alias("root"), "least", "n"), "rooted")
+    left = still_apart(rest.select("u", "v").join(one, ["u", "v"], "left_anti"), now)
+    now = roots(first.unionByName(verified(left.select("u", "v"))))
+    rooted = cut(join_checked(nodes.drop("fp"), now, ["node"], "left", now.count()).select("node", F.coalesce("root", "node").alias("root"), "least", "n"), "rooted")
     by_node = cut(rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component")), "root").select("node", "component", "n"), "named")
     rows = int(by_node.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
     return join_counted(printed.select("order", "node"), by_node, ["node"], "inner", "n", rows).select("order", "component")

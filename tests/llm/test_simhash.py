@@ -128,6 +128,55 @@ def test_no_link_is_left_out(spark, monkeypatch, segment_bits, common):
     assert [got[i] for i in range(len(texts))] == text_groups(texts)
 
 
+def shuffled(spark, since=0):
+    """Bytes that the stages from number ``since`` on wrote for shuffles, and the next stage's number."""
+    jvm, gateway = spark._jvm, spark.sparkContext._gateway
+    stages = spark._jsc.sc().statusStore().stageList(None, False, False, gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+    rows = [(s.stageId(), s.shuffleWriteBytes()) for s in (stages.apply(i) for i in range(stages.size()))]
+    return sum(n for i, n in rows if i >= since), max((i for i, _ in rows), default=-1) + 1
+
+
+def test_prefixes_and_sets_are_shuffled_in_little_space(spark):
+    """Long texts, each with a neighbour of half its shingles: their prefixes meet, and no set has to be moved."""
+    rng = random.Random(12)
+    texts = []
+    for i in range(150):
+        words = [f"{rng.getrandbits(24):06x}" for _ in range(3000)]
+        texts += [" ".join(words), edited(rng, words, 230)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").cache()
+    assert docs.count() == len(texts)
+    _, since = shuffled(spark)
+    got = {r["order"]: r["component"] for r in S.similar_groups(docs).collect()}
+    assert [got[i] for i in range(len(texts))] == text_groups(texts)
+    assert shuffled(spark, since)[0] < 1.5 * sum(map(len, texts))
+
+
+def test_meetings_are_the_pairs_that_can_be_links():
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    for n in (0, 1, 400):
+        token, root, size, at = rng.integers(0, 12, n), rng.integers(0, 6, n), rng.integers(5, 40, n), rng.integers(0, 5, n)
+        num = np.arange(n) * 3
+        got = {(int(u), int(v)) for us, vs in S.meetings(token.astype(np.uint64), num, root, size, at, 0.8) for u, v in zip(us, vs)}
+        fits = lambda i, j: min(size[i] - at[i], size[j] - at[j]) >= 0.8 / 1.8 * (size[i] + size[j]) - 1e-6 and 0.8 * max(size[i], size[j]) <= min(size[i], size[j]) + 1e-6
+        assert got == {(3 * i, 3 * j) for i in range(n) for j in range(i) if token[i] == token[j] and root[i] != root[j] and fits(i, j)}
+
+
+def test_blocks_and_parities():
+    import numpy as np
+
+    rng = np.random.default_rng(7)
+    tokens = rng.integers(0, 1 << 40, 99).astype(np.uint64)
+    assert (S.unpacked(S.packed(tokens)) == tokens).all()
+    a, b = rng.integers(0, 1 << 32, 50), rng.integers(0, 300, 50)
+    assert [x.tolist() for x in S.from_planes(S.planes(a, b), 2)] == [a.tolist(), b.tolist()]
+    for m, n, both in ((0, 0, 0), (1, 40, 1), (300, 310, 280), (900, 1100, 900), (70, 3000, 12)):
+        x = rng.integers(0, 1 << 63, m + n - both).astype(np.uint64)
+        least = S.least_difference(S.parities(x[:m]), S.parities(x[m - both :]))
+        assert least <= m + n - 2 * both and (least == 0) == (m + n == 2 * both)
+
+
 def test_recall_of_similar_texts(spark):
     """Recall of the pairs of different texts with a similarity of 0.8 or more, on all documents of the table."""
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
