@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..storage import cut, join_counted
+from ..storage import cut, join_counted, join_shuffled
 
 
 def last_by_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -102,15 +102,29 @@ def _pieces(df: DataFrame, text: str, keep: list[str], least: float, shorter: bo
     other = F.sequence(n, F.floor(n / F.lit(least) + F.lit(1e-9)).cast("int")) if shorter else F.sequence(F.ceil(n * F.lit(least) - F.lit(1e-9)).cast("int"), n)
     sized = df.filter(n > 0).select(*keep, F.col(text).alias("__t"), n.alias("__n"), F.explode(other).alias("__o"))
     la, lb = (F.col("__n"), F.col("__o")) if shorter else (F.col("__o"), F.col("__n"))
-    sized = sized.select(*keep, "__t", la.alias("__la"), lb.alias("__lb")).withColumn("__d", F.floor(F.lit(1 - least) * F.col("__lb") + F.lit(1e-9)).cast("int") - (F.col("__lb") - F.col("__la"))).filter("__d >= 0")
-    cut_ = sized.select("*", F.explode(F.sequence(F.lit(0), F.col("__d"))).alias("__p"))
-    first, last = F.expr("__p * __la div (__d + 1)").cast("int"), F.expr("(__p + 1) * __la div (__d + 1)").cast("int")
-    return cut_.select(*keep, "__la", "__lb", "__p", F.substring(F.col("__t"), first + 1, last - first).alias("__piece"))
+    sized = sized.select(*keep, "__t", la.alias("__la"), lb.alias("__lb")).filter(_differing(least) >= 0)
+    cut_ = sized.select("*", F.explode(F.sequence(F.lit(0), _differing(least))).alias("__p"))
+    return cut_.select(*keep, "__la", "__lb", "__p", _piece(F.col("__t"), F.col("__p"), least).alias("__piece"))
 
 
 _PIECE = ["__la", "__lb", "__p", "__piece"]
 
 
+def _differing(least: float) -> Column:
+    """In how many of the first ``__la`` places two alike texts of ``__la`` and ``__lb`` letters can differ; negative: there are none."""
+    return F.floor(F.lit(1 - least) * F.col("__lb") + F.lit(1e-9)).cast("int") - (F.col("__lb") - F.col("__la"))
+
+
+def _piece(text: Column, p: Column, least: float) -> Column:
+    place = lambda i: F.floor(i * F.col("__la") / (_differing(least) + 1)).cast("int")
+    return F.substring(text, place(p) + 1, place(p + 1) - place(p))
+
+
+def _first_shared(a: str, b: str, least: float) -> Column:
+    """Whether the piece by which two texts have met is the first that they share, so that of all their meetings one counts."""
+    return ~F.exists(F.slice(F.sequence(F.lit(0), F.col("__p")), F.lit(1), F.col("__p")), lambda q: _piece(F.col(a), q, least) == _piece(F.col(b), q, least))
+
+
 #: Keys of a class of equal sequences that are listed in one row, and pairs that a task writes, as a rule.
 MEMBERS, PAIRS = 1000, 4_000_000
 
@@ -133,7 +147,8 @@ def class_conflicts(classes: DataFrame, least: float = 0.85, least_ratio: float
     """
     least = max(least, least_ratio)
     texts = classes.select("s").distinct()
-    met = _pieces(texts.select("s", F.col("s").alias("as")), "s", ["as"], least, True).join(_pieces(texts.select("s", F.col("s").alias("bs")), "s", ["bs"], least, False), _PIECE).select("as", "bs").distinct()
+    sides = _pieces(texts.select("s", F.col("s").alias("as")), "s", ["as"], least, True), _pieces(texts.select("s", F.col("s").alias("bs")), "s", ["bs"], least, False)
+    met = join_shuffled(*sides, _PIECE).filter(_first_shared("as", "bs", least)).select("as", "bs")
     k = lambda c: F.when(F.char_length(c) <= 10, 3).otherwise(4)
     alike = met.filter(k("as") == k("bs")).withColumn("short_identity", S.positional_identity(F.col("as"), F.col("bs"))).filter(F.col("short_identity") >= least)
     alike = alike.filter(F.arrays_overlap(S.kmers(F.col("as"), k("as")), S.kmers(F.col("bs"), k("bs"))))
@@ -142,9 +157,10 @@ def class_conflicts(classes: DataFrame, least: float = 0.85, least_ratio: float
     full = classes.select(F.col("class").alias("id"), "s", "l")
     left = _pieces(full, "l", ["id", "s", "l"], least, True).withColumnsRenamed({"id": "x", "s": "as", "l": "xl"})
     right = _pieces(full, "l", ["id", "s", "l"], least, False).withColumnsRenamed({"id": "y", "s": "bs", "l": "yl"})
-    both = left.join(alike, "as").join(right, ["bs", *_PIECE]).filter("x <> y")
-    scored = both.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), "short_identity", "xl", "yl").dropDuplicates(["x", "y"])
-    scored = scored.select("x", "y", "short_identity", S.positional_identity(F.col("xl"), F.col("yl")).alias("long_identity"))
+    both = join_shuffled(join_shuffled(left, alike, "as"), right, ["bs", *_PIECE])
+    # Classes with long sequences of one length meet in both orders, others in one.
+    both = both.filter("x < y or x > y and __la < __lb").filter(_first_shared("xl", "yl", least))
+    scored = both.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), "short_identity", S.positional_identity(F.col("xl"), F.col("yl")).alias("long_identity"))
     return scored.filter(F.col("long_identity") >= least)
 
 
@@ -171,7 +187,7 @@ def kmer_conflicts(df: DataFrame, key: str, short: str, long: str, least: float
     part = F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / MEMBERS)).alias("part")
     lists = cut(with_class(rows, classes, "s", "l").filter("class is not null").groupBy("class", part).agg(F.collect_list("id").alias("ids")), "members")
     side = lambda c: lists.select(F.col("class").alias(c), F.col("part").alias(f"{c}_part"), F.col("ids").alias(f"{c}_ids"))
-    met = pairs.join(side("x"), "x").join(side("y"), "y").filter("x <> y or x_part <= y_part")
+    met = join_shuffled(join_shuffled(pairs, side("x"), "x"), side("y"), "y").filter("x <> y or x_part <= y_part")
     met = cut(met.withColumn("pairs", F.size("x_ids").cast("long") * F.size("y_ids")), "lists")
     many = int(met.agg(F.coalesce(F.sum("pairs"), F.lit(0))).first()[0])
     dealt = met.repartition(max(8, min(many // PAIRS + 1, 100_000)))

@@ -76,6 +76,15 @@ def join_checked(left: DataFrame, right: DataFrame, on: list[str], how: str, row
     return left.join(F.broadcast(right) if rows <= most else right.hint("shuffle_hash"), on, how)
 
 
+def join_shuffled(left: DataFrame, right: DataFrame, on: list[str] | str, how: str = "inner") -> DataFrame:
+    """Join in which neither side is ever broadcast: both are shuffled and sorted, which spills and lets hot keys be split.
+
+    For sides whose rows nobody has counted. Spark's estimate goes by the size of compressed files and knows nothing of what an
+    explode adds, so it would collect hundreds of MB in the driver for a few MB of Parquet.
+    """
+    return left.join(right.hint("merge"), on, how)
+
+
 #: Keys with more than one in so many of all rows are hot: there can be no more of them than this.
 HOT_KEYS = 100_000
 
