@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import cut, join_counted
+from ..storage import cut, join_counted, join_shuffled
 
 
 def independent_set(rows: DataFrame, conflicts: DataFrame, key: str = "id", priority: str = "priority") -> DataFrame:
@@ -24,22 +24,22 @@ def independent_set(rows: DataFrame, conflicts: DataFrame, key: str = "id", prio
     first = rows.select(F.col(key).alias("k"), F.struct(F.col(priority).isNull().alias("none"), F.col(priority).alias("p"), F.col(key).alias("k")).alias("o"))
     pairs = conflicts.select("a", "b").filter("a <> b").unionByName(conflicts.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     # Directed from a row to its neighbours of higher priority.
-    edges = pairs.join(first.select(F.col("k").alias("a"), F.col("o").alias("oa")), "a").join(first.select(F.col("k").alias("b"), F.col("o").alias("ob")), "b")
+    edges = join_shuffled(join_shuffled(pairs, first.select(F.col("k").alias("a"), F.col("o").alias("oa")), "a"), first.select(F.col("k").alias("b"), F.col("o").alias("ob")), "b")
     every = edges = cut(edges.filter("ob < oa"), "conflicts")
     open_ = cut(edges.select(F.col("a").alias("k"), F.col("oa").alias("o")).unionByName(edges.select(F.col("b").alias("k"), F.col("ob").alias("o"))).distinct(), "open")
     rounds: list[DataFrame] = []
     while not open_.isEmpty():
-        now = cut(open_.join(edges.select(F.col("a").alias("k")).distinct(), "k", "left_anti"), "kept")
-        dropped = cut(edges.join(now.select(F.col("k").alias("b")), "b", "left_semi").select(F.col("a").alias("k")).distinct(), "dropped")
+        now = cut(join_shuffled(open_, edges.select(F.col("a").alias("k")).distinct(), "k", "left_anti"), "kept")
+        dropped = cut(join_shuffled(edges, now.select(F.col("k").alias("b")), "b", "left_semi").select(F.col("a").alias("k")).distinct(), "dropped")
         rounds.append(now)
         gone = now.select("k").unionByName(dropped)
-        open_ = cut(open_.join(gone, "k", "left_anti"), "open")
-        edges = cut(edges.join(gone.select(F.col("k").alias("a")), "a", "left_anti").join(gone.select(F.col("k").alias("b")), "b", "left_anti"), "conflicts")
+        open_ = cut(join_shuffled(open_, gone, "k", "left_anti"), "open")
+        edges = cut(join_shuffled(join_shuffled(edges, gone.select(F.col("k").alias("a")), "a", "left_anti"), gone.select(F.col("k").alias("b")), "b", "left_anti"), "conflicts")
     if not rounds:
         return rows.select(key, F.lit(True).alias("kept"), F.lit(None).cast(rows.schema[key].dataType).alias("by"))
     kept = reduce(DataFrame.unionByName, rounds)
-    best = every.join(kept.select(F.col("k").alias("b")), "b", "left_semi").groupBy("a").agg(F.min("ob").alias("m")).select(F.col("a").alias(key), F.col("m.k").alias("by"))
-    out = rows.select(key).join(best, key, "left").join(kept.select(F.col("k").alias(key), F.lit(True).alias("__kept")), key, "left")
+    best = join_shuffled(every, kept.select(F.col("k").alias("b")), "b", "left_semi").groupBy("a").agg(F.min("ob").alias("m")).select(F.col("a").alias(key), F.col("m.k").alias("by"))
+    out = join_shuffled(join_shuffled(rows.select(key), best, key, "left"), kept.select(F.col("k").alias(key), F.lit(True).alias("__kept")), key, "left")
     return out.select(key, (F.col("__kept").isNotNull() | F.col("by").isNull()).alias("kept"), F.when(F.col("__kept").isNull(), F.col("by")).alias("by"))
 
 
@@ -53,7 +53,7 @@ def independent_set_of_copies(rows: DataFrame, conflicts: DataFrame, key: str =
     order = F.struct(F.col(priority).isNull().alias("none"), F.col(priority).alias("p"), F.col(key).alias("k"))
     firsts = cut(rows.filter(F.col(of).isNotNull()).groupBy(F.col(of).alias("c")).agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n")), "firsts")
     chosen = independent_set(firsts, conflicts, "c", "first")
-    named = chosen.join(firsts, "c").join(firsts.select(F.col("c").alias("by"), F.col("first.k").alias("__by")), "by", "left")
+    named = join_shuffled(join_shuffled(chosen, firsts, "c"), firsts.select(F.col("c").alias("by"), F.col("first.k").alias("__by")), "by", "left")
     named = cut(named.select(F.col("c").alias(of), F.col("first.k").alias("__first"), F.col("kept").alias("__kept"), F.coalesce("__by", "first.k").alias("__over"), "n"), "chosen")
     total = int(named.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
     met = join_counted(rows.select(key, of), named, [of], "inner", "n", total)

@@ -7,7 +7,8 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from latticeflow.operators import joins, retrieval
+from latticeflow import storage
+from latticeflow.operators import greedy, joins, retrieval
 from latticeflow.plans import catalogue
 
 SMALL = "/root/testdata/sf0.001"
@@ -145,3 +146,18 @@ def test_ranks_come_from_blocks_not_from_a_row_a_pair(spark, monkeypatch, broadc
         got = retrieval.block_ranks(*frames, "id", "id", "v", "v").collect()
         assert {r["query"]: r["rank"] for r in got} == want and len(got) == len(want)
     assert retrieval.block_ranks(frames[0].limit(0), frames[1].limit(0), "id", "id", "v", "v").count() == 0
+
+
+@pytest.mark.parametrize("name", ["kmer_block_dup", "greedy_dedup"])
+def test_sides_of_unknown_size_are_not_broadcast(spark, monkeypatch, name):
+    """Only the hot keys of ``join_counted``, which are bounded in number, go through the driver, however small Spark takes a side to be."""
+    sent = []
+
+    def watched(df, what, inner=storage.cut):
+        sent.append((what, df._jdf.queryExecution().executedPlan().toString().count("BroadcastExchange")))
+        return inner(df, what)
+
+    monkeypatch.setattr(joins, "cut", watched)
+    monkeypatch.setattr(greedy, "cut", watched)
+    watched(catalogue.queries()[name](spark, SMALL), "result")
+    assert {what for what, n in sent if n} <= ({"members"} if name == "kmer_block_dup" else {"firsts", "result"}) and len(sent) > 4
