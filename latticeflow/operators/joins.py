@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..storage import cut, join_counted, join_shuffled
+from ..storage import cut, join_counted, join_shuffled, with_batches
 
 
 def last_by_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -46,21 +48,90 @@ def unordered_pairs(df: DataFrame, keys: list[str], item: str) -> DataFrame:
     return a.join(b, keys).filter("a < b")
 
 
+def _cells(df: DataFrame, axes: list[str], radius: float, around: bool) -> DataFrame:
+    """``df`` with the grid cell ``__c0``, ``__c1``, ... of each row, or a row for each of the cells around it."""
+    for i, c in enumerate(axes):
+        cell = F.floor(F.col(c) / F.lit(radius)).cast("long")
+        df = df.withColumn(f"__c{i}", F.explode(F.array(*(F.try_add(cell, F.lit(d).cast("long")) for d in (-1, 0, 1)))) if around else cell)
+    return df
+
+
 def radius_join(left: DataFrame, right: DataFrame, keys: list[str], axes: list[str], radius: float, prefix: tuple[str, str] = ("l_", "r_")) -> DataFrame:
     """Pairs within ``radius`` of each other (inclusive), as an equi-join on grid cells of that width.
 
     The right side is put into all cells next to its own, so each pair meets in exactly one cell, the left point's own. Columns get
     prefixes, keys do not; ``distance`` is added. Rows without coordinates meet nothing.
     """
-    cell = lambda c: F.floor(F.col(c) / F.lit(radius)).cast("long")
-    own = left.select(*keys, *(F.col(c).alias(prefix[0] + c) for c in left.columns if c not in keys), *(cell(c).alias(f"__c{i}") for i, c in enumerate(axes)))
-    near = right
-    for i, c in enumerate(axes):
-        near = near.withColumn(f"__c{i}", F.explode(F.array(*(cell(c) + d for d in (-1, 0, 1)))))
-    near = near.select(*keys, *(F.col(c).alias(prefix[1] + c) for c in right.columns if c not in keys), *(f"__c{i}" for i in range(len(axes))))
+    cells = [f"__c{i}" for i in range(len(axes))]
+    own = _cells(left, axes, radius, False).select(*keys, *(F.col(c).alias(prefix[0] + c) for c in left.columns if c not in keys), *cells)
+    near = _cells(right, axes, radius, True).select(*keys, *(F.col(c).alias(prefix[1] + c) for c in right.columns if c not in keys), *cells)
     square = sum((F.col(prefix[0] + c) - F.col(prefix[1] + c)) * (F.col(prefix[0] + c) - F.col(prefix[1] + c)) for c in axes)
-    met = own.join(near, [*keys, *(f"__c{i}" for i in range(len(axes)))]).withColumn("distance", F.sqrt(square))
-    return met.filter(F.col("distance") <= F.lit(radius)).drop(*(f"__c{i}" for i in range(len(axes))))
+    met = join_shuffled(own, near, [*keys, *cells]).withColumn("distance", F.sqrt(square))
+    return met.filter(F.col("distance") <= F.lit(radius)).drop(*cells)
+
+
+#: Points of a cell that are listed in one row, at most as a rule, on the left and on the right, and distances computed at once.
+LEFT_POINTS, RIGHT_POINTS, DISTANCES = 2048, 8192, 1 << 19
+
+
+def _point_lists(df: DataFrame, by: list[str], axes: list[str], most: int, names: tuple[str, str]) -> DataFrame:
+    """Rows ``by``, ids, points: the points of a cell in parts of ``most`` or so, dealt by a hash of all they have."""
+    sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"))
+    dealt = join_shuffled(df, sizes, by).withColumn("__part", F.pmod(F.xxhash64("id", *axes), F.ceil(F.col("__n") / most)))
+    point = F.struct(F.col("id"), *(F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(axes)))
+    lists = dealt.groupBy(*by, "__part").agg(F.collect_list(point).alias("p"))
+    return lists.select(*by, F.col("p.id").alias(names[0]), F.array(*(F.col(f"p.x{i}") for i in range(len(axes)))).alias(names[1]))
+
+
+def _count_nearest(points: np.ndarray, others: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each of ``points`` how many ``others`` are within ``radius``, the least distance, and the first place that has it.
+    Distances are added up axis by axis, as SQL does it.
+    """
+    near, least, which = np.zeros(points.shape[1], np.int64), np.full(points.shape[1], np.inf), np.zeros(points.shape[1], np.int64)
+    step = max(1, DISTANCES // max(1, others.shape[1]))
+    for a in range(0, points.shape[1], step):
+        square = 0.0
+        for x, y in zip(points[:, a : a + step], others):
+            gap = x[:, None] - y[None, :]
+            square = square + gap * gap
+        d = np.sqrt(square)
+        met = d <= radius
+        d = np.where(met, d, np.inf)
+        near[a : a + step], at = met.sum(1), d.argmin(1)
+        least[a : a + step], which[a : a + step] = d[np.arange(len(at)), at], at
+    return near, least, which
+
+
+def radius_nearest(left: DataFrame, right: DataFrame, keys: list[str], axes: list[str], radius: float, item: str = "id") -> DataFrame:
+    """(id, near, nearest, min_distance): for each ``item`` of the left, a long, the number of its pairs in ``radius_join``, and its nearest
+    item of the right (ties: the least, null last), without a row a pair. Items without a pair are left out.
+
+    Each cell's points and all points around it are packed into lists; every list of the one meets every list of the other in one row,
+    which becomes a row a left point. Nothing is broadcast, and no task holds more than two lists at once.
+    """
+    cells = [*keys, *(f"__c{i}" for i in range(len(axes)))]
+    side = lambda df: df.select(*keys, F.col(item).cast("long").alias("id"), *axes).filter(" and ".join(f"`{c}` is not null and not isnan(`{c}`)" for c in axes))
+    own = _point_lists(_cells(side(left), axes, radius, False), cells, axes, LEFT_POINTS, ("l_ids", "l_points"))
+    near = _point_lists(_cells(side(right), axes, radius, True), cells, axes, RIGHT_POINTS, ("r_ids", "r_points"))
+    met = join_shuffled(own, near, cells).select("l_ids", "l_points", "r_ids", "r_points")
+
+    def coordinates(lists):
+        return np.stack([np.asarray(lists[i].values, np.float64) for i in range(len(lists))])
+
+    def counted(batches):
+        for batch in batches:
+            for at in range(batch.num_rows):
+                l_ids, l_points, r_ids, r_points = (batch.column(c)[at].values for c in range(4))
+                # Ascending ids, nulls last: of equal distances the first is the least id.
+                order = np.lexsort((np.asarray(r_ids.fill_null(0), np.int64), np.asarray(r_ids.is_null())))
+                r_ids = r_ids.take(pa.array(order))
+                n, d, which = _count_nearest(coordinates(l_points), coordinates(r_points)[:, order], radius)
+                some = pa.array(np.flatnonzero(n))
+                yield pa.RecordBatch.from_arrays([l_ids.take(some), *(pa.array(x[n > 0]) for x in (n, d)), r_ids.take(pa.array(which[n > 0]))], ["id", "near", "d", "other"])
+
+    dealt = with_batches(met).mapInArrow(counted, "id long, near long, d double, other long")
+    best = F.min(F.struct("d", F.col("other").isNull().alias("none"), "other")).alias("m")
+    return dealt.groupBy("id").agg(F.sum("near").alias("near"), best).select("id", "near", F.col("m.other").alias("nearest"), F.col("m.d").alias("min_distance"))
 
 
 def nearest(pairs: DataFrame, keys: list[str], other: str, distance: str = "distance", tie: str | None = None) -> DataFrame:

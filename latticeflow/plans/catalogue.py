@@ -113,10 +113,7 @@ select id, cast(count(*) as bigint) as near, round(min(d), 6) as min_distance, f
 def radius_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = t(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("g"), F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("x"), (F.col("c_custkey") % 10 * 200.0).alias("y"), (F.col("c_custkey") % 7 * 150.0).alias("z"))
     s = t(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("g"), F.col("s_suppkey").alias("id"), F.col("s_acctbal").alias("x"), (F.col("s_suppkey") % 10 * 200.0).alias("y"), (F.col("s_suppkey") % 7 * 150.0).alias("z"))
-    met = joins.radius_join(c, s, ["g"], ["x", "y", "z"], 800.0)
-    near = met.groupBy(F.col("l_id").alias("id")).agg(F.count(F.lit(1)).alias("near"))
-    best = joins.nearest(met.withColumnRenamed("l_id", "id"), ["id"], "r_id")
-    return near.join(best, "id").select("id", "near", r6("min_distance").alias("min_distance"), "nearest")
+    return joins.radius_nearest(c, s, ["g"], ["x", "y", "z"], 800.0).select("id", "near", r6("min_distance").alias("min_distance"), "nearest")
 
 
 @query("""

@@ -71,6 +71,15 @@ def cuts_made() -> int:
     return len(_written)
 
 
+def with_batches(df: DataFrame, size: int = 4 << 20) -> DataFrame:
+    """``df``, after the session's batches for Python workers were bounded to ``size`` bytes where they are larger."""
+    conf = df.sparkSession.conf
+    most = (conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) or "").removesuffix("b")
+    if not most.isdigit() or not 0 < int(most) <= size:
+        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
+    return df
+
+
 def join_checked(left: DataFrame, right: DataFrame, on: list[str], how: str, rows: int, most: int = BROADCAST_ROWS) -> DataFrame:
     """Join with a right side of ``rows`` rows: broadcast up to ``most``, beyond that hashed after a shuffle, without a sort."""
     return left.join(F.broadcast(right) if rows <= most else right.hint("shuffle_hash"), on, how)

@@ -161,3 +161,27 @@ def test_sides_of_unknown_size_are_not_broadcast(spark, monkeypatch, name):
     monkeypatch.setattr(greedy, "cut", watched)
     watched(catalogue.queries()[name](spark, SMALL), "result")
     assert {what for what, n in sent if n} <= ({"members"} if name == "kmer_block_dup" else {"firsts", "result"}) and len(sent) > 4
+
+
+@pytest.mark.parametrize("points", [8192, 3])
+def test_nearest_come_from_lists_not_from_a_row_a_pair(spark, monkeypatch, points):
+    """Ties, copies, repeated and null ids, and missing coordinates, against comparing one by one; no side is broadcast."""
+    monkeypatch.setattr(joins, "LEFT_POINTS", points)
+    monkeypatch.setattr(joins, "RIGHT_POINTS", points)
+    monkeypatch.setattr(joins, "radius_join", None)
+    rng = random.Random(6)
+    place = lambda: float(rng.choice([-3, -1, 0, 1, 2, 4, 7.5]))
+    some = lambda n: [(i, rng.choice("ab"), place(), place()) for i in range(n)]
+    odd = [(None, "a", 0.0, 0.0), (3, "a", 1.0, 1.0), (90, None, 0.0, 0.0), (91, "a", None, 0.0), (92, "a", float("nan"), 0.0), (93, "b", float("inf"), 0.0), (94, "c", 0.0, 0.0)]
+    left, right = some(40) + odd, some(60) + odd[:-1]
+    want = {}
+    for i, g, x, y in left:
+        for j, h, u, v in right:
+            if None not in (g, x, u) and g == h and (d := math.sqrt((x - u) * (x - u) + (y - v) * (y - v))) <= 2:
+                n, best = want.get(i, (0, (math.inf, True, 0)))
+                want[i] = n + 1, min(best, (d, j is None, j or 0))
+    frames = [spark.createDataFrame(rows, "id long, g string, x double, y double") for rows in (left, right)]
+    got = joins.radius_nearest(*frames, ["g"], ["x", "y"], 2.0)
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+    got = got.collect()
+    assert {r["id"]: (r["near"], (r["min_distance"], r["nearest"] is None, r["nearest"] or 0)) for r in got} == want and len(got) == len(want)
