@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..storage import BROADCAST_ROWS, cut
+from ..storage import BROADCAST_ROWS, cut, with_batches
 
 #: Vectors of a block at most and at least, bytes of packed queries that are broadcast, of a batch for a worker, and pairs computed at once.
 BLOCK, LEAST_BLOCK, BROADCAST_BYTES, BATCH_BYTES, SLICE = 4096, 256, 48 << 20, 4 << 20, 1 << 21
@@ -158,6 +159,121 @@ def block_ranks(queries: DataFrame, items: DataFrame, query: str, item: str, q_v
     return met.mapInArrow(counted, "query long, ahead long").groupBy("query").agg((F.sum("ahead") + 1).alias("rank"))
 
 
+def cosines(a: np.ndarray, a_held: np.ndarray, b: np.ndarray, b_held: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row by row the cosine, rounded as SQL does it (the sum of products over the product of roots), and whether there is one."""
+    (total, some), (aa, _), (bb, _) = exact_dots(a, a_held, b, b_held), exact_dots(a, a_held, a, a_held), exact_dots(b, b_held, b, b_held)
+    with np.errstate(all="ignore"):
+        return total / (np.sqrt(aa) * np.sqrt(bb)), some
+
+
+def best_first(score: np.ndarray, some: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Order as SQL's ``score desc, item``: NaN above all, pairs without a score last; ``place`` ascends with the item."""
+    nan = np.isnan(score)
+    return np.lexsort((place, np.where(nan, 0.0, -score), ~nan, ~some))
+
+
+def top_of_block(q: tuple, i: tuple, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each pair that is among its query's k best in the block: query, item (both by place), score, and whether it has one.
+
+    ``q`` and ``i`` are (vectors, held), items in the order that settles ties. Of equal vectors the first k can be among the best only. A
+    matrix product leaves out what its rounding cannot bring among the k best; the rest, and all pairs with odd vectors, are added up.
+    """
+    (qv, iv), (qh, ih) = same_width(q[0], i[0]), same_width(q[1], i[1])
+    whole = np.ascontiguousarray(np.concatenate([iv.view(np.uint8).reshape(len(iv), -1), ih.view(np.uint8).reshape(len(ih), -1)], 1))
+    if whole.shape[1]:
+        _, kind = np.unique(whole.view(np.dtype((np.void, whole.shape[1]))).ravel(), return_inverse=True)
+    else:
+        kind = np.zeros(len(iv), np.int64)
+    order = np.argsort(kind, kind="stable")
+    first = np.flatnonzero(np.diff(kind[order], prepend=-1))
+    nth = np.arange(len(order)) - np.repeat(first, np.diff(np.append(first, len(order))))
+    left = np.sort(order[nth < k])
+    iv, ih = iv[left], ih[left]
+
+    def lengths(v, held):
+        with np.errstate(all="ignore"):
+            n = np.sqrt((v * v).sum(1))
+        return n, held.all(1) & np.isfinite(v).all(1) & (n > 1e-100) & (n < 1e100)
+
+    (qn, q_plain), (i_n, i_plain) = lengths(qv, qh), lengths(iv, ih)
+    slack = 16 * (qv.shape[1] + 4) * np.finfo(float).eps
+    unit = iv[i_plain] / i_n[i_plain, None]
+    odd, plain = np.flatnonzero(~i_plain), np.flatnonzero(i_plain)
+    out = [[], [], [], []]
+
+    def settle(x, y):
+        """The k best of each query among its pairs (x, y)."""
+        parts = [cosines(qv[x[b : b + SLICE // 8]], qh[x[b : b + SLICE // 8]], iv[y[b : b + SLICE // 8]], ih[y[b : b + SLICE // 8]]) for b in range(0, len(x), SLICE // 8)]
+        score, some = (np.concatenate([p[j] for p in parts]) for j in (0, 1))
+        by = best_first(score, some, y)
+        by = by[np.argsort(x[by], kind="stable")]
+        start = np.flatnonzero(np.diff(x[by], prepend=-1))
+        rank = np.arange(len(by)) - np.repeat(start, np.diff(np.append(start, len(by))))
+        by = by[rank < k]
+        for to, values in zip(out, (x[by], left[y[by]], score[by], some[by])):
+            to.append(values)
+
+    step = max(1, SLICE // max(1, len(iv)))
+    for a in range(0, len(qv), step):
+        rows = np.arange(a, min(a + step, len(qv)))
+        fine = rows[q_plain[rows]]
+        xs, ys = [np.repeat(rows[~q_plain[rows]], len(iv)), np.repeat(fine, len(odd))], [np.tile(np.arange(len(iv)), len(rows) - len(fine)), np.tile(odd, len(fine))]
+        if len(fine) and len(plain):
+            near = (qv[fine] / qn[fine, None]) @ unit.T
+            least = np.partition(near, max(0, len(plain) - k), axis=1)[:, max(0, len(plain) - k)] - 2 * slack
+            x, y = np.nonzero(near >= least[:, None])
+            xs.append(fine[x])
+            ys.append(plain[y])
+        x, y = np.concatenate(xs), np.concatenate(ys)
+        if len(x):
+            settle(x, y)
+    kinds = (np.int64, np.int64, np.float64, bool)
+    return tuple(np.concatenate(o) if o else np.zeros(0, kind) for o, kind in zip(out, kinds))
+
+
+def block_top(queries: DataFrame, items: DataFrame, query: str, item: str, q_vec: str, i_vec: str, k: int) -> DataFrame:
+    """(query, item, score, rank): the k items of highest cosine for each query, ties by item, for long ids, without a row a pair.
+
+    Every query is compared with every item, by blocks that are packed into rows. Packed queries are broadcast if they were counted to be
+    small, else the two sides are multiplied. Scores are those of SQL: null without a product, NaN, above all, for a vector of zeros.
+    """
+    n = items.count()
+    rows = min(BLOCK, max(LEAST_BLOCK, n // (4 * queries.sparkSession.sparkContext.defaultParallelism) + 1))
+
+    def packed(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, rows):
+                part = batch.slice(at, rows)
+                part = part.take(pa.compute.sort_indices(part.column(0)))  # nulls last
+                v, held = vector_matrix(part.column(1))
+                yield pa.RecordBatch.from_arrays([pa.array([part.column(0).to_pylist()], pa.list_(pa.int64())), pa.array([v.tobytes()]), pa.array([np.packbits(held).tobytes()]), pa.array([len(v)], pa.int64())], ["ids", "vectors", "held", "n"])
+
+    fields = "ids array<long>, vectors binary, held binary, n long"
+    pack = lambda df, key, v: with_batches(df.select(F.col(key).cast("long").alias("id"), F.col(v).alias("v")), BATCH_BYTES).mapInArrow(packed, fields)
+    q_blocks = cut(pack(queries, query, q_vec), "query-blocks")
+    q_blocks = q_blocks.select(*(F.col(c).alias(f"q_{c}") for c in q_blocks.columns))
+    i_blocks = cut(pack(items, item, i_vec), "item-blocks").repartition(max(1, -(-n // rows)))
+    size = q_blocks.agg(F.coalesce(F.sum("q_n"), F.lit(0)), F.coalesce(F.sum(F.length("q_vectors")), F.lit(0))).first()
+    small = size[0] <= BROADCAST_ROWS and size[1] <= BROADCAST_BYTES
+    met = i_blocks.crossJoin(F.broadcast(q_blocks)) if small else i_blocks.hint("shuffle_replicate_nl").crossJoin(q_blocks)
+
+    def block(batch, at, s):
+        n = batch.column(f"{s}n")[at].as_py()
+        v = np.frombuffer(batch.column(f"{s}vectors")[at].as_py()).reshape(n, -1)
+        return v, np.unpackbits(np.frombuffer(batch.column(f"{s}held")[at].as_py(), np.uint8), count=v.size).astype(bool).reshape(v.shape)
+
+    def chosen(batches):
+        for batch in batches:
+            for at in range(batch.num_rows):
+                x, y, score, some = top_of_block(block(batch, at, "q_"), block(batch, at, ""), k)
+                ids = [batch.column(c)[at].values.take(pa.array(z)) for c, z in (("q_ids", x), ("ids", y))]
+                yield pa.RecordBatch.from_arrays([*ids, pa.array(score, mask=~some)], ["query", "item", "score"])
+
+    by = Window.partitionBy("query").orderBy(F.desc_nulls_last("score"), F.asc_nulls_last("item"))
+    best = met.mapInArrow(chosen, "query long, item long, score double")
+    return best.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= k)
+
+
 def rank_metrics(ranks: DataFrame, at: tuple[int, ...] = (1, 5, 10), rank: str = "rank") -> DataFrame:
     """One row: queries, lower median, mean, mean reciprocal rank, and recall within the first k."""
     return ranks.agg(

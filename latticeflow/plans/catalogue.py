@@ -596,10 +596,6 @@ def scalar_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Retrieval
 
 
-def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return t(spark, sf_dir, "embeddings").select("vec_id", S.unit(F.col("embedding")).alias("v"), "label")
-
-
 _DOT = "list_sum(list_transform(list_zip(cast(a.embedding as double[]), cast(b.embedding as double[])), lambda z: z[1] * z[2]))"
 _COS = f"{_DOT} / (sqrt(list_sum(list_transform(cast(a.embedding as double[]), lambda z: z * z))) * sqrt(list_sum(list_transform(cast(b.embedding as double[]), lambda z: z * z))))"
 
@@ -607,9 +603,9 @@ _COS = f"{_DOT} / (sqrt(list_sum(list_transform(cast(a.embedding as double[]), l
 @query(f"""
 select a.vec_id as query, b.vec_id as item, cast(row_number() over (partition by a.vec_id order by {_COS} desc, b.vec_id) as integer) as rank, round({_COS}, 5) as score from embeddings a, embeddings b where a.vec_id % 100 = 0 qualify rank <= 5""")
 def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = _vectors(spark, sf_dir)
-    scores = retrieval.similarity(v.filter("vec_id % 100 = 0"), v, "vec_id", "vec_id", "v", "v")
-    return retrieval.top_items(scores, 5).select("query", "item", "rank", F.round("score", 5).alias("score"))
+    v = t(spark, sf_dir, "embeddings")
+    best = retrieval.block_top(v.filter("vec_id % 100 = 0"), v, "vec_id", "vec_id", "embedding", "embedding", 5)
+    return best.select("query", "item", "rank", F.round("score", 5).alias("score"))
 
 
 _PAIRED = "p as (select a.vec_id // 2 as query, b.vec_id // 2 as item, %s as score from embeddings a, embeddings b where a.vec_id %% 2 = 0 and b.vec_id %% 2 = 1 %s)"

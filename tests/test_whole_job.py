@@ -185,3 +185,23 @@ def test_nearest_come_from_lists_not_from_a_row_a_pair(spark, monkeypatch, point
     assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
     got = got.collect()
     assert {r["id"]: (r["near"], (r["min_distance"], r["nearest"] is None, r["nearest"] or 0)) for r in got} == want and len(got) == len(want)
+
+
+@pytest.mark.parametrize("broadcast", [48 << 20, 0])
+def test_best_items_come_from_blocks_not_from_a_row_a_pair(spark, tmp_path, monkeypatch, broadcast):
+    """Copies, ties, zeros, missing values, NaN and vectors of other lengths, against the SQL."""
+    monkeypatch.setattr(retrieval, "LEAST_BLOCK", 8)
+    monkeypatch.setattr(retrieval, "BROADCAST_BYTES", broadcast)
+    monkeypatch.setattr(retrieval, "similarity", None)
+    rng = random.Random(8)
+    vectors = [(50 * i, [rng.choice([0.1, 0.2, 0.3, -0.7]) for _ in range(5)]) for i in range(120)]
+    vectors += [(7 * i + 1, [0.1, 0.2, 0.3, 0.1, 0.3]) for i in range(40)] + [(i, None) for i in (6, 100_000)] + [(13, []), (200_000, [None] * 5), (300_000, [0.1, None, 0.3])]
+    odd = [(400_000, [0.0] * 5), (500_001, [0.1] * 7), (600_000, [float("nan")] * 5), (700_000, [1e-30] * 5), (800_000, [3e38] * 5)]
+    for k, rows in enumerate((vectors[:160], vectors, vectors + odd)):
+        spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3).write.parquet(f"{tmp_path}/{k}/embeddings.parquet")
+        con = duckdb.connect()
+        con.execute(f"create view embeddings as select * from '{tmp_path}/{k}/embeddings.parquet/*.parquet'")
+        shown = lambda r: (r[0], r[1], r[2], None if r[3] is None else "nan" if math.isnan(r[3]) else round(r[3], 5) + 0.0)
+        want = sorted(map(shown, con.execute("select query, item, rank, score from (" + catalogue.oracle_sql()["cosine_topk"] + ")").fetchall()), key=lambda r: (r[0], r[2]))
+        got = catalogue.queries()["cosine_topk"](spark, f"{tmp_path}/{k}").select("query", "item", "rank", "score").collect()
+        assert sorted(map(shown, got), key=lambda r: (r[0], r[2])) == want
